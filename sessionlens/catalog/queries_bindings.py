@@ -1,0 +1 @@
+"""Checks of the bindings themselves (every other query builds on them)."""
