@@ -22,7 +22,7 @@ _DROPS = """select seq, coalesce(nullif(o ->> '$.reason', ''), 'unknown') as rea
     list_distinct(list_filter(list_concat(
        case when json_type(o, '$.request_ids') = 'ARRAY' then json_extract_string(o, '$.request_ids[*]') else [] end,
        [o ->> '$.provider_request_id', o ->> '$.request_id', o ->> '$.request.request_id', o ->> '$.request.provider_request_id']),
-       x -> x is not null and x <> '')) as ids
+       lambda x: x is not null and x <> '')) as ids
   from (select seq, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload else '{}' end as o
         from t_events where starts_with(event_type, 'context.analysis.') and ends_with(event_type, '.dropped'))"""
 _EXPANDED = """select seq, reason, dropped_work, terminal, len(ids) as named, unnest(ids) as named_id from drops
@@ -213,7 +213,7 @@ def lifecycle_counts(spark, root):
          case when snapshots <> complete_snapshots + partial_snapshots + dropped_snapshots then 'snapshots_not_partitioned' end,
          case when distinct_requests > requests then 'more_snapshot_ids_than_requests' end,
          case when orphan_snapshots > 0 then 'orphan_snapshots' end,
-         case when dropped_snapshots > 0 and drop_events = 0 then 'drops_without_events' end], x -> x is not null)) as violation
+         case when dropped_snapshots > 0 and drop_events = 0 then 'drops_without_events' end], lambda x: x is not null)) as violation
        from lc""",
     drops=_DROPS, lc=_LIFECYCLE,
 )
