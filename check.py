@@ -32,7 +32,7 @@ def main() -> int:
     prefixes = sys.argv[2:]
     root = f"/root/testdata/sf{sf}"
     load()
-    names = [n for n in QUERIES if not prefixes or any(n.startswith(p) for p in prefixes)]
+    names = [n for n in QUERIES if not prefixes or any(n.startswith(p) or QUERIES[n].__module__.endswith(p) for p in prefixes)]
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                   "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
