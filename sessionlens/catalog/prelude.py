@@ -206,6 +206,7 @@ CTES: dict[str, str] = {
               where c_custkey % 13 <> 0),
              (values (0), (1)) as copies(copy)
         where copy = 0 or c_custkey % 21 = 0""",
+    "t_outputs": "OUTPUTS",
     # Views built on the bindings, as the operators define them.
     "v_latest": """
         select * from t_snapshots s where analysis_version =
@@ -230,6 +231,25 @@ CTES: dict[str, str] = {
 }
 
 
+def _outputs() -> str:
+    from ..sources.bindings import OUTPUT_LINES
+
+    def joined(name: str, separator: str) -> str:
+        line = OUTPUT_LINES[name].replace("{quarter}", "i // 4").replace("{fifth}", "i // 5")
+        return f"array_to_string(list_transform(range(0, 2 + o_orderkey % 30), lambda i: {line}), {separator})"
+
+    return f"""select o_orderkey as block_id, {joined('test_stdout', 'chr(10)')} || chr(10) as test_stdout,
+      {joined('check_stderr', 'chr(10)')} || chr(10) as check_stderr, {joined('rg_stdout', 'chr(10)')} as rg_stdout,
+      case when o_orderkey % 5 = 0 then 'Unknown head' else 'On branch main' end || chr(10) || 'Changes not staged for commit:'
+        || chr(10) || '  (use "git add <file>..." to update)' || chr(10) || {joined('status_lines', 'chr(10)')} || chr(10) as status_stdout,
+      {joined('log_text', 'chr(10)')} || chr(10) as log_text,
+      '[' || {joined('json_rows', "', '")} || case when o_orderkey % 7 = 0 then '' else ']' end as json_text
+      from orders"""
+
+
+CTES["t_outputs"] = _outputs()
+
+
 def _needed(text: str, found: dict[str, None]) -> None:
     for name in re.findall(r"\b[tv]_[a-z_]+\b", text):
         if name in CTES and name not in found:

@@ -453,3 +453,43 @@ MAKERS = {
 def star_trace(spark: SparkSession, root: str) -> Trace:
     """All trace tables over the given folder, built lazily."""
     return Trace({name: (lambda maker=maker: maker(spark, root)) for name, maker in MAKERS.items()})
+
+
+# Tool output texts of an order: each line is computed from the order key and the line's place, so a
+# text is built on its own row without grouping.
+OUTPUT_LINES = {
+    "test_stdout": """case (i * 7 + o_orderkey) % 5 when 0 then concat('test mod_a::case_', i, ' ... FAILED')
+        when 1 then 'running 12 tests' else concat('test mod_b::case_', i, ' ... ok') end""",
+    "check_stderr": """case (i + o_orderkey) % 6 when 0 then 'warning: unused variable'
+        when 1 then '    Finished dev profile' else concat('   Compiling crate_', i, ' v0.1.0') end""",
+    "rg_stdout": """concat('src/file_', {quarter}, '.rs:', i * 3 + 1, ':let value = ', i,
+        case when o_orderkey % 11 = 0 and i = 1 then ' at :9: end' else '' end)""",
+    "status_lines": "concat('\tmodified:   src/file_', i, '.rs')",
+    "log_text": """concat('2024-01-01T00:00:0', i % 10, case when ({fifth}) % 2 = 0 then ' INFO ' else ' WARN ' end,
+        'worker ', i, ' done')""",
+    "json_rows": """concat('{"id": ', i, ', "status": "ok", "note": "", "price": ', i * 10, '}')""",
+}
+
+
+def outputs(spark: SparkSession, root: str) -> DataFrame:
+    """Tool outputs derived from orders: test, build, search, status, log and JSON texts."""
+    def joined(name: str, separator: str) -> str:
+        line = OUTPUT_LINES[name].replace("{quarter}", "i div 4").replace("{fifth}", "i div 5")
+        return f"array_join(transform(sequence(0, cast(1 + o_orderkey % 30 as int)), i -> {line}), '{separator}')"
+
+    newline = "\\n"
+    return read(spark, root, "orders").select(
+        F.col("o_orderkey").alias("block_id"),
+        F.expr(f"concat({joined('test_stdout', newline)}, '{newline}')").alias("test_stdout"),
+        F.expr(f"concat({joined('check_stderr', newline)}, '{newline}')").alias("check_stderr"),
+        F.expr(joined("rg_stdout", newline)).alias("rg_stdout"),
+        F.expr(
+            "concat(case when o_orderkey % 5 = 0 then 'Unknown head' else 'On branch main' end,"
+            f" '{newline}Changes not staged for commit:{newline}  (use \"git add <file>...\" to update){newline}',"
+            f" {joined('status_lines', newline)}, '{newline}')"
+        ).alias("status_stdout"),
+        F.expr(f"concat({joined('log_text', newline)}, '{newline}')").alias("log_text"),
+        F.expr(f"concat('[', {joined('json_rows', ', ')}, case when o_orderkey % 7 = 0 then '' else ']' end)").alias(
+            "json_text"
+        ),
+    )
