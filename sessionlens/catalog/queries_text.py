@@ -8,12 +8,12 @@ from ..functions import labels
 from ..functions import text as tx
 from ..operators import blocktext as bt
 from ..operators import reduce as red
-from ..sources.bindings import outputs, read
+from ..sources.bindings import outputs, read, read_text
 from .registry import query
 
 
 def documents(spark, root):
-    return read(spark, root, "documents").select("doc_id", "text", "lang", "source")
+    return read_text(spark, root, "documents", "doc_id", "text", "lang", "source")
 
 
 def q(pattern: str) -> str:
@@ -308,7 +308,7 @@ _RG_LINES = """select block_id, l, regexp_extract(l, '^([^:]*):([0-9]+):(.*)$',
 
 @query(
     "C15_search_matches",
-    """select block_id, row_number() over (partition by block_id order by file collate binary, line, text) - 1 as position, file, line, text from rg""",
+    """select block_id, row_number() over (partition by block_id order by file, line, text) - 1 as position, file, line, text from rg""",
     rg=_RG_LINES,
 )
 def search_matches(spark, root):
@@ -645,7 +645,7 @@ def shell_projection(spark, root):
     "R13_search_projection",
     """select o.block_id, case when n >= 2 then sha256('[search results]' || chr(10) || body) end as candidate_fp from t_outputs o join (
          select block_id, count(*) as n, string_agg(case when first_of then file || ':' || chr(10) else '' end || line || chr(9) || text || chr(10), ''
-           order by file collate binary, line, text) as body
+           order by file, line, text) as body
          from (select *, row_number() over (partition by block_id, file order by line, text) = 1 as first_of from rg) group by 1) b using (block_id)
        where strlen(rg_stdout) >= 256""",
     rg=_RG_LINES,

@@ -24,6 +24,20 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on inputs that arrive in fewer partitions than there are cores.
+
+    Per-row text work is CPU bound; a table of one small file would run on a single core. Real
+    inputs have far more splits than cores, and then nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_text(spark: SparkSession, root: str, table: str, *columns: str) -> DataFrame:
+    return spread(read(spark, root, table).select(*columns))
+
+
 def whole(expr: str) -> Column:
     """Truncate a non-negative double the same way in every engine."""
     return F.expr(f"cast(floor({expr}) as bigint)")
@@ -437,7 +451,7 @@ def sidecars(spark: SparkSession, root: str) -> DataFrame:
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """Documents as text blocks: session = source, order = document id."""
-    return read(spark, root, "documents").select(
+    return read_text(spark, root, "documents", "doc_id", "source", "text", "lang").select(
         F.col("doc_id").alias("block_id"), F.col("source").alias("session_id"), "text", "lang"
     )
 
@@ -478,7 +492,7 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
         return f"array_join(transform(sequence(0, cast(1 + o_orderkey % 30 as int)), i -> {line}), '{separator}')"
 
     newline = "\\n"
-    return read(spark, root, "orders").select(
+    return read_text(spark, root, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("block_id"),
         F.expr(f"concat({joined('test_stdout', newline)}, '{newline}')").alias("test_stdout"),
         F.expr(f"concat({joined('check_stderr', newline)}, '{newline}')").alias("check_stderr"),
