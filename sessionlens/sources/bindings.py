@@ -507,3 +507,70 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
             "json_text"
         ),
     )
+
+
+def raw_requests(spark: SparkSession, root: str) -> DataFrame:
+    """One request body per conversation turn; every fifth is cut off and so malformed."""
+    body = F.concat(
+        F.expr("concat('{\"model\":\"m', cast(turn % 3 as string), '\",\"stream\":true,\"instructions\":\"be brief\",\"input\":["
+               "{\"type\":\"message\",\"role\":\"', role, '\",\"content\":[{\"type\":\"input_text\",\"text\":')"),
+        F.expr("substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"),
+        F.lit('},{"type":"input_image","image_url":"u"}]},{"type":"function_call","call_id":"c1","name":"search","arguments":"{}"},'
+              '{"type":"function_call_output","call_id":"c1","output":"done"},{"type":"reasoning"},{"role":"user","content":"plain"},'
+              '"loose",{"type":"mystery"}],"tools":[{"type":"function","name":"search"},{"type":"mcp","server_label":"files"}]'),
+        F.expr("case when turn % 2 = 0 then concat(',\"previous_response_id\":\"resp_', cast(conv_id as string), '\"') else '' end"),
+        F.expr("case when turn % 5 = 4 then '' else '}' end"),
+    )
+    return read_text(spark, root, "conversations", "conv_id", "turn", "role", "text").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+        "conv_id", "turn", "role", "text", body.alias("body"),
+    )
+
+
+def usage_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Provider usage documents derived from orders, some of them inconsistent."""
+    return read(spark, root, "orders").select(
+        F.col("o_orderkey").alias("attempt_id"),
+        F.expr(
+            """case o_orderkey % 9 when 0 then '{}' when 1 then 'null' when 2 then '{"input_tokens":-3,"output_tokens":4}'
+            when 3 then '{"input_tokens":10,"input_tokens_details":{"cached_tokens":12}}'
+            when 4 then '{"input_tokens":1.5,"output_tokens":2}' when 5 then '{"input_tokens":18446744073709551615}'
+            when 6 then '{"input_tokens":10,"output_tokens":4,"total_tokens":15,"output_tokens_details":{"reasoning_tokens":9}}'
+            else concat('{"input_tokens":', cast(o_orderkey as string), ',"input_tokens_details":{"cached_tokens":',
+                 cast(o_orderkey div 3 as string), ',"cache_write":2},"output_tokens":8,"output_tokens_details":{"reasoning_tokens":5},"total_tokens":',
+                 cast(o_orderkey + 8 as string), '}') end"""
+        ).alias("usage"),
+    )
+
+
+def stream_chunks(spark: SparkSession, root: str, source: DataFrame | None = None) -> DataFrame:
+    """Response streams derived from orders, cut into chunks at arbitrary places."""
+    orders = read(spark, root, "orders") if source is None else source
+    text = F.expr(
+        r"""concat('event: response.created\ndata: {"response":{"id":"resp-', o_orderkey, '","model":"m', o_orderkey % 3, '"}}\n\n: ping\n\n',
+        repeat('event: response.output_text.delta\ndata: {"delta":"x"}\n\n', cast(o_orderkey % 4 as int)),
+        case o_orderkey % 5 when 0 then concat('event: response.completed\ndata: {"response":\ndata: {"usage":{"input_tokens":', o_orderkey, '}}}\n\n')
+        when 1 then 'event: response.incomplete\ndata: {"response":{}}\n\n'
+        when 2 then 'event: response.failed\ndata: {"response":{"error":{"code":"overloaded"}}}\n\n'
+        when 4 then 'event: response.completed\ndata: {"response":{"usage":{"input_tokens":1}}}\n\nevent: response.output_text.delta\ndata: {"usage":{"input_tokens":9}}\n\n'
+        else 'event: response.in_progress\ndata: {oops\n\n' end)"""
+    )
+    ended = F.expr(r"case o_orderkey % 3 when 0 then replace(body, '\n', '\r\n') when 1 then body else replace(body, '\n', '\r') end")
+    return (
+        orders.select("o_orderkey", text.alias("body"))
+        .select("o_orderkey", ended.alias("body"), (F.col("o_orderkey") % 23 + 17).cast("int").alias("w"))
+        .select("o_orderkey", "body", "w", F.explode(F.expr("sequence(0, cast((length(body) - 1) div w as int))")).alias("seq"))
+        .select(
+            F.col("o_orderkey").alias("attempt_id"), F.col("seq").cast("bigint").alias("seq"),
+            F.expr("substring(body, seq * w + 1, w)").alias("chunk"),
+            F.expr(
+                "case when seq = (length(body) - 1) div w then case when o_orderkey % 2 = 0 then 'cancel' else 'disconnect' end end"
+            ).alias("closing"),
+        )
+    )
+
+
+def session_of_event_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The event table as a stream."""
+    schema = read(spark, root, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
