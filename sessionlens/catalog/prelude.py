@@ -207,6 +207,39 @@ CTES: dict[str, str] = {
              (values (0), (1)) as copies(copy)
         where copy = 0 or c_custkey % 21 = 0""",
     "t_outputs": "OUTPUTS",
+    "t_runs": """
+        select o_orderkey as run_id, substr(o_orderpriority, 1, 1) as experiment,
+               case when o_orderkey % 2 = 0 then 'control' else 'treatment' end as arm,
+               case when o_orderkey % 4999 = 0 then 1 else 0 end as provider_errors,
+               case when o_orderkey % 2 = 0 then 5000 else 1000 + o_orderkey % 50 end as source_emitted_bytes,
+               o_orderkey % 900 as reducer_duration_us,
+               cast(floor(o_totalprice / case when o_orderkey % 2 = 0 then 1 else 2 end) as bigint) as input_uncached,
+               cast(floor(o_totalprice) as bigint) as duration_us, cast(floor(o_totalprice / 7) as bigint) as dispatch_us,
+               o_orderkey % 3 as command_retries, o_orderkey % 2 as tool_calls,
+               cast(floor(o_totalprice) as bigint) - (o_orderkey % 2) * 700 as forwarded_bytes,
+               case when o_orderkey % 997 = 0 then 1 else 0 end as determinism_failures,
+               row_number() over (partition by substr(o_orderpriority, 1, 1), o_orderkey % 2 order by o_orderkey) as pair_index
+        from orders""",
+    "t_arm_blocks": """
+        select ['config_a', 'config_b', 'no_plugins', 'no_memories', 'no_hooks', 'no_extensions', 'ignored'][c_custkey % 7 + 1] as arm,
+               (c_custkey // 7) % 6 as run, c_custkey as request_id, 'b' || j as fp, cast(j + 10 as bigint) as tokens
+        from customer, range(0, 10) as r(j)
+        where (j < 7 and not (c_custkey % 7 = 2 and j in (1, 2)) and not (c_custkey % 7 = 3 and j = 3)
+               and not (c_custkey % 7 = 5 and j in (1, 2, 3, 4)) and not (c_custkey % 7 = 6 and j > 1))
+            or (j = 7 and c_custkey % 2 = 0) or (j = 8 and c_custkey % 7 = 5) or (j = 9 and c_custkey % 7 = 6)""",
+    "t_arm_requests": """
+        select ['control', 'null', 'treatment'][o_orderkey % 3 + 1] as arm, cast((o_orderkey // 3) % 6 as int) as round,
+               o_orderkey as request_id, epoch_us(o_orderdate) as created_us,
+               1000 + (o_orderkey // 3) % 100 - case when o_orderkey % 3 = 2 then 300 else 0 end as input_tokens,
+               500 + (o_orderkey // 3) % 10 as cached_input_tokens,
+               500 + (o_orderkey // 3) % 100 - case when o_orderkey % 3 = 2 then 300 else 0 end as uncached_input_tokens,
+               20 + o_orderkey % 4 as output_tokens, o_orderpriority as model, 1 as tool_count, o_orderkey % 3 as effort
+        from orders""",
+    "v_stable": """
+        select arm, fp, min(n) * min(lo) as weight from (select arm, request_id, fp, count(*) as n, min(tokens) as lo, max(tokens) as hi
+          from t_arm_blocks group by 1, 2, 3) p group by arm, fp
+        having count(*) = (select count(distinct request_id) from t_arm_blocks b where b.arm = p.arm)
+          and min(n) = max(n) and min(lo) = max(hi)""",
     # Views built on the bindings, as the operators define them.
     "v_latest": """
         select * from t_snapshots s where analysis_version =

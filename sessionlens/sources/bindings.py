@@ -574,3 +574,70 @@ def session_of_event_stream(spark: SparkSession, root: str) -> DataFrame:
     """The event table as a stream."""
     schema = read(spark, root, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """Experiment runs derived from orders: two arms by key parity, experiment by priority."""
+    return read(spark, root, "orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.substring("o_orderpriority", 1, 1).alias("experiment"),
+        F.expr("case when o_orderkey % 2 = 0 then 'control' else 'treatment' end").alias("arm"),
+        F.expr("cast(1 as bigint)").alias("agent_success"),
+        F.expr("cast(1 as bigint)").alias("task_success"),
+        F.expr("cast(case when o_orderkey % 4999 = 0 then 1 else 0 end as bigint)").alias("provider_errors"),
+        *[F.expr("cast(1 as bigint)").alias(c) for c in ("source_executions", "source_ids_present", "source_sessions_linked", "active_evaluations", "forwarding_mutations", "never_worse_accepted", "shadow_evaluations")],
+        *[F.expr("cast(0 as bigint)").alias(c) for c in ("hook_rewrites", "fail_open_executions", "recovery_requests", "recovery_failures")],
+        F.expr("cast(case when o_orderkey % 2 = 0 then 5000 else 1000 + o_orderkey % 50 end as bigint)").alias("source_emitted_bytes"),
+        F.expr("cast(4000 as bigint)").alias("source_stdout_bytes"),
+        F.expr("cast(1000 as bigint)").alias("source_stderr_bytes"),
+        F.expr("cast(1200 as bigint)").alias("candidate_bytes"),
+        F.expr("o_orderkey % 900").alias("reducer_duration_us"),
+        F.expr("cast(floor(o_totalprice / case when o_orderkey % 2 = 0 then 1 else 2 end) as bigint)").alias("input_uncached"),
+        F.expr("cast(floor(o_totalprice) as bigint)").alias("duration_us"),
+        F.expr("cast(floor(o_totalprice / 7) as bigint)").alias("dispatch_us"),
+        F.expr("o_orderkey % 3").alias("command_retries"),
+        F.expr("cast(2 as bigint)").alias("provider_requests"),
+        F.expr("o_orderkey % 2").alias("tool_calls"),
+        F.expr("o_orderkey % 5 + 1").alias("snapshots"),
+        F.expr("o_orderkey % 5 + 1").alias("complete_snapshots"),
+        F.expr("cast(floor(o_totalprice) as bigint) - (o_orderkey % 2) * 700").alias("forwarded_bytes"),
+        F.expr("cast(case when o_orderkey % 997 = 0 then 1 else 0 end as bigint)").alias("determinism_failures"),
+    )
+
+
+ARMS = ("config_a", "config_b", "no_plugins", "no_memories", "no_hooks", "no_extensions", "ignored")
+
+
+def arm_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Instruction blocks of seven experiment arms: customers are requests, each arm lacks some blocks."""
+    names = ", ".join(f"'{a}'" for a in ARMS)
+    return (
+        read(spark, root, "customer")
+        .select(
+            F.expr(f"element_at(array({names}), cast(c_custkey % 7 + 1 as int))").alias("arm"),
+            F.expr("(c_custkey div 7) % 6").alias("run"), F.col("c_custkey").alias("request_id"), F.expr("c_custkey % 7").alias("a"),
+            F.explode(F.expr("sequence(0, 9)")).alias("j"),
+        )
+        .where(
+            "(j < 7 and not (a = 2 and j in (1, 2)) and not (a = 3 and j = 3) and not (a = 5 and j in (1, 2, 3, 4)) and not (a = 6 and j > 1))"
+            " or (j = 7 and request_id % 2 = 0) or (j = 8 and a = 5) or (j = 9 and a = 6)"
+        )
+        .select("arm", "run", "request_id", F.concat(F.lit("b"), F.col("j").cast("string")).alias("fp"), (F.col("j") + 10).cast("bigint").alias("tokens"))
+    )
+
+
+def arm_requests(spark: SparkSession, root: str) -> DataFrame:
+    """Usage of three crossover arms over six rounds; orders are the runs' requests."""
+    return read(spark, root, "orders").select(
+        F.expr("element_at(array('control', 'null', 'treatment'), cast(o_orderkey % 3 + 1 as int))").alias("arm"),
+        F.expr("cast((o_orderkey div 3) % 6 as int)").alias("round"),
+        F.col("o_orderkey").alias("request_id"),
+        F.expr("unix_micros(cast(o_orderdate as timestamp))").alias("created_us"),
+        F.expr("1000 + (o_orderkey div 3) % 100 - case when o_orderkey % 3 = 2 then 300 else 0 end").alias("input_tokens"),
+        F.expr("500 + (o_orderkey div 3) % 10").alias("cached_input_tokens"),
+        F.expr("500 + (o_orderkey div 3) % 100 - case when o_orderkey % 3 = 2 then 300 else 0 end").alias("uncached_input_tokens"),
+        F.expr("20 + o_orderkey % 4").alias("output_tokens"),
+        F.col("o_orderpriority").alias("model"),
+        F.expr("cast(1 as bigint)").alias("tool_count"),
+        F.expr("o_orderkey % 3").alias("effort"),
+    )
