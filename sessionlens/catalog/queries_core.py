@@ -67,20 +67,16 @@ def analyzed_usage(spark, root):
 
 
 @query(
-    "D01_complete_sum_by_model",
-    """select model, cast(count(*) as bigint) as requests,
+    "D01_complete_sum",
+    """select session_id, cast(count(*) as bigint) as requests,
          case when count(input_cached) = count(*) then cast(sum(input_cached) as bigint) end as cached_complete,
          cast(sum(input_cached) as bigint) as cached_subtotal
-       from t_requests r join v_final f using (request_id) left join t_usage u on u.attempt_id = f.attempt_id
-       where f.attempt_id is null or request_id % 10 = 3 or input_cached is not null
-       group by model""",
+       from v_final f left join t_usage u on u.attempt_id = f.attempt_id group by 1""",
 )
-def complete_sum_by_model(spark, root):
+def complete_sum_by_session(spark, root):
     from ..functions.measures import complete_sum
 
-    facts = views.request_usage(star_trace(spark, root))
-    kept = facts.where("attempt_id is null or request_id % 10 = 3 or input_cached is not null")
-    return kept.groupBy("model").agg(
+    return views.request_usage(star_trace(spark, root)).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("requests"), complete_sum("input_cached").alias("cached_complete"),
         F.sum("input_cached").alias("cached_subtotal"),
     )

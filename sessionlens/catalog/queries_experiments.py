@@ -244,13 +244,14 @@ def instruction_surface(spark, root):
 
 @query(
     "F06_basis_points",
-    """select o_orderkey, least(10000, (o_orderkey % 97) * 10000 // nullif(o_orderkey % 31, 0)) as truncated_bp,
-         cast(round_even((o_orderkey % 97) * 10000.0::double / nullif(o_orderkey % 31, 0), 0) as bigint) as half_even_bp from orders""",
+    """select o_orderkey, case when o_orderkey % 31 <> 0 then least(10000, (o_orderkey % 29) * 10000 // (o_orderkey % 31)) end as truncated_bp,
+         case when o_orderkey % 31 <> 0 then least(10000, cast(round_even((o_orderkey % 29) * 10000.0::double / (o_orderkey % 31), 0) as bigint)) end as half_even_bp
+       from orders""",
 )
 def basis_point_rules(spark, root):
     from ..functions.measures import basis_points, basis_points_half_even
 
-    a, b = F.col("o_orderkey") % 97, F.col("o_orderkey") % 31
+    a, b = F.col("o_orderkey") % 29, F.col("o_orderkey") % 31
     return read(spark, root, "orders").select(
         "o_orderkey", basis_points(a, b).alias("truncated_bp"), basis_points_half_even(a, b).alias("half_even_bp")
     )

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import ingest
-from ..session import checkpoint_dir
+from ..session import new_folder
 from ..sources.bindings import raw_requests, read, session_of_event_stream, star_trace, stream_chunks, usage_documents
 from ..streaming import eventlog, sse
 from .registry import query
@@ -299,12 +297,7 @@ def stream_latencies(spark, root):
 
 
 def _scratch(spark) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where none is configured."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    checkpoint_dir(spark, base)
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _as_log(events):
@@ -383,3 +376,15 @@ def live_deltas(spark, root):
         F.array(F.struct(F.sha2("text", 256).alias("exact"), F.sha2("role", 256).alias("semantic"), F.length("text").cast("bigint").alias("tokens"))).alias("blocks"),
     )
     return eventlog.run_to_table(eventlog.live_deltas(snapshots), spark, f"{folder}/deltas", f"{folder}/state", "append")
+
+
+@query(
+    "T06_bounded_stream",
+    """select o_orderkey as attempt_id, case when 2 + o_orderkey % 4 + case when o_orderkey % 5 = 4 then 1 else 0 end > 4 then 'resource_limit' else 'complete' end as status,
+         least(4, 2 + o_orderkey % 4 + case when o_orderkey % 5 = 4 then 1 else 0 end) as kept from orders""",
+)
+def bounded_stream(spark, root):
+    bounded = sse.bound_events(sse.frame_events(stream_chunks(spark, root)), max_events=4)
+    return bounded.groupBy("attempt_id").agg(
+        F.when(F.max("over"), "resource_limit").otherwise("complete").alias("status"), F.count(F.when(~F.col("over"), 1)).alias("kept")
+    )

@@ -55,9 +55,10 @@ def basis_points(numerator: Column | str, denominator: Column | str) -> Column:
 
 
 def basis_points_half_even(numerator: Column | str, denominator: Column | str) -> Column:
-    """Share in 1/10000, rounded half to even."""
+    """Share in 1/10000, rounded half to even, clamped to 10000."""
     top, bottom = _col(numerator).cast("double"), _col(denominator).cast("double")
-    return F.when(bottom != 0, F.bround(top * 10000.0 / bottom, 0).cast("bigint"))
+    share = F.bround(top * 10000.0 / bottom, 0).cast("bigint")
+    return F.when(bottom != 0, F.least(F.lit(10000).cast("bigint"), share))
 
 
 def parts_per_million(numerator: Column | str, denominator: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """Exact ranks and percentiles that never gather a hot group into one task.
 
-Both helpers use the same two-level scheme. A `bucket` column, monotone in the ordering, cuts each
+All helpers use the same two-level scheme. A `bucket` column, monotone in the ordering, cuts each
 group into pieces; pieces are ranked on their own, and piece sizes (a pre-aggregated table with one
 row per group and bucket) give the offset of each piece. A group holding a third of all rows is
 thus spread over as many tasks as it has buckets, and the result is the same as one big window.
@@ -32,6 +32,46 @@ def _flag_descending(order: Column, descending: bool) -> Column:
     return order.desc() if descending else order.asc()
 
 
+# A group up to this many rows is ranked by one task; a larger one is cut into buckets.
+HOT_ROWS = 1_000_000
+
+
+def _in_buckets(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, bucket: Column, descending: bool) -> DataFrame:
+    """Running total of `value` inside each group, computed bucket by bucket."""
+    staged = rows.withColumn("__bucket", bucket).withColumn("__value", value)
+    by_bucket = _flag_descending(F.col("__bucket"), descending)
+    ahead = Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        staged.groupBy(*keys, "__bucket")
+        .agg(F.sum("__value").alias("__size"))
+        .select(*keys, "__bucket", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__ahead"))
+    )
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = join_on_nullable(staged, offsets, [*keys, "__bucket"])
+    return joined.withColumn(name, F.sum("__value").over(inside) + F.col("__ahead")).drop("__bucket", "__ahead", "__value")
+
+
+def _running(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, bucket: Column, descending: bool, hot_rows: int) -> DataFrame:
+    """Running total per group; only groups above `hot_rows` pay for buckets.
+
+    Sizes come from a pre-aggregated count. Where no group is hot, adaptive execution finds the hot
+    side empty and is left with one shuffle and one window.
+    """
+    if not keys:
+        return _in_buckets(rows, keys, order, value, name, bucket, descending)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
+    condition = None
+    renamed = hot
+    for key in keys:
+        renamed = renamed.withColumnRenamed(key, f"__h_{key}")
+        term = rows[key].eqNullSafe(F.col(f"__h_{key}"))
+        condition = term if condition is None else condition & term
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = rows.join(renamed, condition, "left_anti").withColumn(name, F.sum(value).over(inside))
+    large = _in_buckets(rows.join(renamed, condition, "left_semi"), keys, order, value, name, bucket, descending)
+    return cold.unionByName(large)
+
+
 def numbered(
     df: DataFrame,
     keys: list[str],
@@ -39,27 +79,17 @@ def numbered(
     name: str = "row_number",
     bucket: Column | None = None,
     descending: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based row number of each row inside its group.
 
     `bucket` must not decrease along `order` (not increase with `descending=True`). Without a
-    bucket a plain window is used: only for groups whose size the data model bounds.
+    bucket a plain window is used: only for groups whose size the data model bounds. `order` must be
+    a total order, which row numbers need anyway to be reproducible.
     """
     if bucket is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    rows = df.withColumn("__bucket", bucket)
-    by_bucket = _flag_descending(F.col("__bucket"), descending)
-    ahead = Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*keys, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .select(*keys, "__bucket", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__ahead"))
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    joined = join_on_nullable(rows, offsets, [*keys, "__bucket"])
-    return joined.withColumn(name, F.row_number().over(inside) + F.col("__ahead")).drop(
-        "__bucket", "__ahead"
-    )
+    return _running(df, keys, order, F.lit(1).cast("bigint"), name, bucket, descending, hot_rows)
 
 
 def running_sum(
@@ -69,24 +99,10 @@ def running_sum(
     value: Column,
     name: str,
     bucket: Column,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the running total of `value` up to and including each row, bucket by bucket."""
-    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
-    ahead = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*keys, "__bucket")
-        .agg(F.sum("__value").alias("__size"))
-        .select(*keys, "__bucket", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__ahead"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = join_on_nullable(rows, offsets, [*keys, "__bucket"])
-    return joined.withColumn(name, F.sum("__value").over(inside) + F.col("__ahead")).drop(
-        "__bucket", "__ahead", "__value"
-    )
+    """Add the running total of `value` up to and including each row."""
+    return _running(df, keys, order, value, name, bucket, False, hot_rows)
 
 
 @dataclass(frozen=True)

@@ -98,6 +98,6 @@ CANDIDATE_STATUSES = (
     "applicable", "not_applicable", "no_improvement", "resource_limit", "invalid_input",
     "recovery_failed", "internal_error",
 )
-RELATIONSHIPS = ("caused_by", "derived_from", "child_of", "follows")
+RELATIONSHIPS = ("spawned", "follows_from", "recovery_of", "evaluation_of")
 TURN_ROUTES = ("responses", "v1/responses", "backend-api/codex/responses")
 COMPACTION_KINDS = ("compaction_v2", "compaction_legacy")

@@ -1,9 +1,14 @@
-"""Session builder with the settings the jobs assume."""
+"""Session builder with the settings the jobs assume, and the shared scratch folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "sessionlens", master: str | None = None, **conf: str) -> SparkSession:
     """Create or reuse a session; cluster settings given outside always win."""
@@ -23,10 +28,26 @@ def build_session(app: str = "sessionlens", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder named by the cluster; `fallback` only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors share, named by `spark.checkpoint.dir`.
+
+    Where it is unset, a local run (one machine, as in tests) gets a temporary folder; a cluster gets
+    None, and callers then keep their plans lazy instead of writing to a machine-local place.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or fallback
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if configured:
+        return configured.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        return None
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the shared one."""
+    base = shared_folder(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base}/{purpose}-{uuid.uuid4().hex}"

@@ -4,6 +4,8 @@ The given tables carry no agent traffic, so each trace table is derived from the
 customers become sessions, orders become requests and snapshots, line items become attempts and
 context blocks, events stay an event log, documents and conversations provide block text. All
 derivations are arithmetic on the source columns, hence the same at any scale and in any engine.
+Gaps are part of the data: some requests have no snapshot, some attempts no usage, some sessions no
+label, because missing facts are what most operators are about.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
+from ..session import new_folder, shared_folder
 from .trace import Trace
 
 LINE_ORDER = (
@@ -112,7 +115,27 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def ordered_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Numbered line items, derived once per application and stored in the shared folder.
+
+    Attempts, usage, blocks and candidates all start here, so the numbering is an ingest step: its
+    result is a table, as the facts of a real trace are. Without a shared folder it stays lazy.
+    """
+    folder = shared_folder(spark)
+    if folder is None:
+        return numbered_lines(spark, root)
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _STORED:
+        path = new_folder(spark, "lines")
+        numbered_lines(spark, root).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def numbered_lines(spark: SparkSession, root: str) -> DataFrame:
     """Line items numbered inside their order over a total order of the columns.
 
     The bucket cuts an order by line number and part range, so one order holding a large share of

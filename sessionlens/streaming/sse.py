@@ -70,6 +70,11 @@ def frame_events(chunks: DataFrame, key: str = "attempt_id") -> DataFrame:
     return rows
 
 
+def bound_events(events: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_EVENT_BYTES) -> DataFrame:
+    """Mark events beyond the bounds of a stream; earlier ones stay."""
+    return events.withColumn("over", (F.col("event_no") >= max_events) | (F.col("size") > max_bytes))
+
+
 def fold_events(events: DataFrame, closings: DataFrame, key: str = "attempt_id") -> DataFrame:
     """Observation per attempt: first id and model, last usage, terminal state; late events only count.
 
