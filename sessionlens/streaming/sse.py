@@ -239,15 +239,14 @@ OBSERVATION = (
 )
 
 
-def observe_stream(chunks: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+def observe_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
     """Stateful fold of a stream of (attempt_id, seq, chunk, closing).
 
-    A row with `closing` set ends its attempt; one that never ends is closed as disconnected by a
-    processing-time timeout. Chunks of an attempt arrive in order across batches (a transport keyed
+    A row with `closing` set ends its attempt. With a timeout, one that never ends is closed as
+    disconnected after that much processing time; a bounded run (availableNow) must go without, since
+    waiting timers keep a query alive. Chunks of an attempt arrive in order across batches (a transport keyed
     by attempt gives that) and are ordered by `seq` within a batch.
     """
-    millis = int(timeout.split()[0]) * 60_000
-
     def step(key, batches: Iterator[pd.DataFrame], state):
         fold = Fold(state.get[0] if state.exists else None)
         closing = None
@@ -260,14 +259,15 @@ def observe_stream(chunks: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                 closing = end if isinstance(end, str) else closing
         if closing is None:
             state.update((fold.save(),))
-            state.setTimeoutDuration(millis)
+            if timeout_minutes is not None:
+                state.setTimeoutDuration(timeout_minutes * 60_000)
             return
         fold.close(closing)
         state.remove()
         yield pd.DataFrame([{"attempt_id": key[0], **fold.row()}])
 
     return chunks.groupBy("attempt_id").applyInPandasWithState(
-        step, OBSERVATION, "fold string", "append", "ProcessingTimeTimeout"
+        step, OBSERVATION, "fold string", "append", "NoTimeout" if timeout_minutes is None else "ProcessingTimeTimeout"
     )
 
 
