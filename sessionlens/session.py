@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def build_session(app: str = "sessionlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,26 +27,26 @@ def build_session(app: str = "sessionlens", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by `spark.checkpoint.dir`.
 
-    Where it is unset, a local run (one machine, as in tests) gets a temporary folder; a cluster gets
-    None, and callers then keep their plans lazy instead of writing to a machine-local place.
+    Where the setting is absent (tests, a first try), the session gets one below the warehouse, which
+    all executors share as well; it is removed when the session's JVM ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    application = spark.sparkContext.applicationId
+    if application in _OWN_FOLDERS:
+        return _OWN_FOLDERS[application]
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return _OWN_FOLDERS.setdefault(application, own)
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one."""
-    base = shared_folder(spark)
-    if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
