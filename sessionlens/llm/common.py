@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
+from .packed import FILTER_BITS
 
 #: A word, in Java, DuckDB and Python spelling alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +39,12 @@ def fresh(frame: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def common_bits(told: DataFrame) -> np.ndarray:
+    """The filter that rows (common) with its places make: FILTER_BITS / 8 bytes, whatever the data."""
+    words = told.where("common IS NOT NULL").groupBy((F.col("common") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(common % 32 AS int))")).alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out.view(np.uint8)

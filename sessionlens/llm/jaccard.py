@@ -33,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import common_bits, stored
 from .components import components
+from .packed import by_shard, filter_place, runs, shard_of, unpack
 from .words import Text, in_sequence, mixed, pieces
 
 WORDS = 5
@@ -50,8 +50,6 @@ SLICE = 8 << 20
 BLOCK = 1024
 #: A shingle in so many documents or more is common: it comes last in the order of step 4.
 COMMON = 32
-#: Bits of the filter that marks common shingles; where it fills up, the order is merely less apt.
-FILTER_BITS = 1 << 23
 MIN_HASHES = 4
 
 
@@ -88,45 +86,10 @@ def signatures(of: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def _flat(data: memoryview, kind: str, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
-
-
-def _pack(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
-    """Records of a shard: keys rising, the document of each (0 where several), how many documents."""
-    ids, refs = np.unique(docs, return_inverse=True)
-    body = _planes(np.diff(ids, prepend=0)) + _planes(np.diff(keys, prepend=np.uint32(0))) + _planes(refs.astype(np.uint32)) + _planes(counts.astype(np.uint32))
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(ids), len(keys)], np.int64).tobytes() + body)
-
-
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = memoryview(zstandard.ZstdDecompressor().decompress(payload))
-    n_ids, n = np.frombuffer(data, np.int64, 2).tolist()
-    at, out = 16, []
-    for kind, m in (("<i8", n_ids), ("<u4", n), ("<u4", n), ("<u4", n)):
-        out.append(_flat(data[at:], kind, m))
-        at += np.dtype(kind).itemsize * m
-    ids, keys = np.cumsum(out[0]), np.cumsum(out[1], dtype=np.uint32)
-    return keys, ids[out[2]], out[3]
-
-
 _RECORDS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("shared", pa.int64()), ("common", pa.int64()), ("payload", pa.binary())])
 _REPLIES = "doc_id long, n long, sig_a long, sig_b long, shared long, common long"
 
 
-def _filter_place(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _of(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int32), hashes.astype(np.uint32)
-
-
 def sharing(docs: DataFrame) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, n, sig_a, sig_b; and rows (doc_id, shared) with parts of how
     many of its shingles stand in other documents, and rows (common) with places of the filter for common shingles."""
@@ -137,21 +100,16 @@ def sharing(docs: DataFrame) -> DataFrame:
         ids, found = np.concatenate(ids), np.concatenate(found)
         of = np.concatenate(of)
         n, (sig_a, sig_b) = np.bincount(of, minlength=len(ids)), signatures(of, found, len(ids))
-        shard, key = _of(found, shards)
+        shard, key = shard_of(found, shards)
         order = np.lexsort((key, shard))
         shard, key, of = shard[order], key[order], of[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])
-        begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(key)))
+        begin, count = runs(key, shard)
         shared = np.bincount(of[np.repeat(count > 1, count)], minlength=len(ids))
         doc = np.where(count > 1, 0, ids[of[begin]] if len(begin) else 0)
         whole = len(ids)
         yield _batch(doc_id=ids, n=n, sig_a=sig_a, sig_b=sig_b, shared=shared, shard=(np.arange(whole) % shards).astype(np.int32))
-        edges = np.searchsorted(shard[begin], np.arange(shards + 1))
-        full = np.flatnonzero(np.diff(edges))
-        payload = [_pack(key[begin[a:b]], doc[a:b], count[a:b]) for a, b in zip(edges[full], edges[full + 1])]
-        yield _batch(shard=full.astype(np.int32), payload=payload)
+        full, payload = by_shard(shard[begin], key[begin], doc, count, shards)
+        yield _batch(shard=full, payload=payload)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, of, found, held, n = [], [], [], 0, 0
@@ -176,18 +134,16 @@ def sharing(docs: DataFrame) -> DataFrame:
                 yield docs_only.drop_columns(["shard", "payload"])
             for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if payload.is_valid:
-                    parts.setdefault(shard, []).append(_unpack(payload.as_py()))
+                    parts.setdefault(shard, []).append(unpack(payload.as_py()))
         for shard, got in parts.items():
             key, doc, count = (np.concatenate(x) for x in zip(*got))
             order = np.argsort(key, kind="stable")
             key, doc, count = key[order], doc[order], count[order].astype(np.int64)
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            begin = np.flatnonzero(new)
-            slices, total = np.diff(np.append(begin, len(key))), np.add.reduceat(count, begin)
+            begin, slices = runs(key)
+            total = np.add.reduceat(count, begin)
             told, times = np.unique(doc[np.repeat(slices > 1, slices) & (count == 1)], return_counts=True)
             yield _batch(doc_id=told, shared=times).drop_columns(["shard", "payload"])
-            places = np.unique(_filter_place(key[begin[total >= COMMON]].astype(np.uint64) | (np.uint64(shard) << np.uint64(32))))
+            places = np.unique(filter_place(key[begin[total >= COMMON]].astype(np.uint64) | (np.uint64(shard) << np.uint64(32))))
             yield _batch(common=places).drop_columns(["shard", "payload"])
 
     schema = ", ".join(f"{f.name} {'int' if f.name == 'shard' else 'binary' if f.name == 'payload' else 'long'}" for f in _RECORDS)
@@ -224,8 +180,8 @@ def _vertices(docs: DataFrame, kept: DataFrame, common: np.ndarray, shards: int)
                     a, b, mine = sig[0, i], sig[1, i], found[begin[i] : begin[i + 1]]
                     if (a, b) != (batch.column("sig_a")[row + i].as_py(), batch.column("sig_b")[row + i].as_py()):
                         continue  # another text under the same doc_id
-                    shard, key = _of(mine, shards)
-                    last = bits[_filter_place(key.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32)))]
+                    shard, key = shard_of(mine, shards)
+                    last = bits[filter_place(key.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32)))]
                     first = mine[np.lexsort((mine, last))][: len(mine) - _required(len(mine)) + 1]
                     mins = [int(mixed(mine ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min().astype(np.int64)) for k in range(1, MIN_HASHES + 1)]
                     out.append(dict(id=batch.column("id")[row + i].as_py(), share=batch.column("share")[row + i].as_py(), n=len(mine), shingles=mine.tobytes(), first=first.view(np.int64).tolist(), mins=mins))
@@ -327,15 +283,6 @@ def _search(vertices: DataFrame) -> DataFrame:
     return filled.groupBy("shingle", "a", "b").applyInArrow(run, "u long, v long")
 
 
-def _common_bits(spark: SparkSession, told: DataFrame) -> np.ndarray:
-    """The filter for common shingles, at most FILTER_BITS / 8 bytes."""
-    words = told.where("common IS NOT NULL").groupBy((F.col("common") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(common % 32 AS int))")).alias("bits"))
-    got = words.toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every doc_id of `docs` (doc_id, text).
 
@@ -353,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept = sets.where("n > 0").join(shared, "doc_id").where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
     share = F.max(F.least(F.lit(1.0), F.col("shared") / F.col("n")))
     kept = stored(spark, kept.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id"), share.alias("share")), "kept")
-    vertices = stored(spark, _vertices(docs, kept, _common_bits(spark, told), shards), "vertices")
+    vertices = stored(spark, _vertices(docs, kept, common_bits(told), shards), "vertices")
     hubs = stored(spark, _hub_links(vertices), "hubs")
     near = components(hubs)
     grouped = vertices.join(near.select(F.col("v").alias("id"), "m"), "id", "left").withColumn("component", F.coalesce("m", "id"))
