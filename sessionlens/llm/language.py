@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .words import LOWER, SPACE, Text, pieces
 
 FEATURES = 1 << 16
@@ -166,9 +167,11 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
     names = np.array([*model.languages, NONE], dtype=object)
     n_languages = len(model.languages)
 
+    [own] = fresh(docs.select(*keep), "text_")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in pieces(batch, "__text", most=1 << 24):
+            for row, texts in pieces(batch, own, most=1 << 24):
                 n, parts, at = len(texts), [], 0
                 while at < n:  # features take many bytes a byte of text, the pass over words few
                     stop, size = at, 0
@@ -194,7 +197,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
                 yield pa.RecordBatch.from_arrays(out, names=columns)
 
     spans = "array<struct<first:int,words:int,lang:string>>"
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(own))
     shape = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(None).cast(spans).alias("spans")] * with_spans)
     columns = shape.columns
     return source.mapInArrow(run, shape.schema)

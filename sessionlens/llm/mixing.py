@@ -106,8 +106,9 @@ def _plan_source(lengths: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": lengths["source"], "size": lengths["size"], "epochs": epochs, "picked": picked})
 
 
-def mix(sized: DataFrame, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of `sized` (doc_id, source, size).
+def mix(sized: DataFrame, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, keep_source: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of `sized` (doc_id, source, size),
+    and its source if asked for.
 
     `taken` is the words of the document that enter the mix: its size times the repeats of its
     source, once more if it was picked. Sources' sums come as near to their targets as lengths allow.
@@ -132,7 +133,7 @@ def mix(sized: DataFrame, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), m
     chosen = _with(rows.withColumn("place", place), cut, ["source", "size", "slice"], "left")
     repeats = F.coalesce(F.col("epochs") + F.when(F.col("place") <= F.col("room"), 1).otherwise(0), F.lit(0))
     out = _with(chosen.select("doc_id", "source", "size", (repeats * F.col("size")).alias("taken")), targets, ["source"], "left")
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", *["source"] * keep_source, "size", "source_size", "target", "taken")
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -24,6 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .words import pieces
 
 MARK = "▁"
@@ -269,10 +270,12 @@ def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", ke
     the model cannot tell from a space. One row for every row of `docs`; no shuffle.
     """
 
+    [own] = fresh(docs.select(*keep), "text_")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = segmenter(model, n_best)
         for batch in batches:
-            for row, texts in _runs(batch, "__text"):
+            for row, texts in _runs(batch, own):
                 part, ids, scores, back = batch.slice(row, len(texts)), [], [], []
                 for best, top, _ in found.best(texts):
                     ids.append(best)
@@ -285,7 +288,7 @@ def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", ke
                     names=names,
                 )
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(own))
     names = [*keep, "ids", "scores", "decoded"]
     kinds = {"ids": "array<int>", "scores": "array<double>", "decoded": "string"}
     schema = source.select(*keep, *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).schema

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .words import SPACE, Text, in_sequence, mixed, pieces
 
 SYMBOLS = np.zeros(256, bool)
@@ -76,15 +77,17 @@ def _measured(texts: list[bytes | None]) -> list[np.ndarray]:
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and MEASURES, one row for every row of `docs`; a null text has no words."""
 
+    [own] = fresh(docs.select(*keep), "text_")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_measured(texts) for _, texts in pieces(batch, "__text")]
+            parts = [_measured(texts) for _, texts in pieces(batch, own)]
             if not parts:
                 continue
             found = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, *MEASURES])
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(own))
     schema = source.select(*keep, *[F.lit(0).cast("long").alias(m) for m in MEASURES]).schema
     return source.mapInArrow(run, schema)
 

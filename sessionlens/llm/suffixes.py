@@ -410,8 +410,9 @@ def _cut(data: bytes, spans: list) -> tuple[int, int, bytes]:
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every doc_id of `docs` (doc_id, text), and `kept`
-    (binary; null where nothing goes) if `with_text`.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every doc_id of `docs` (doc_id, text); if `with_text`
+    also `kept`, the text that stays without the rests of characters cut in two (null where nothing goes), and
+    `sha256` of the whole text.
 
     A null text is empty; texts under LENGTH bytes lose nothing. Rows that repeat a doc_id with an
     equal text are one document; of different texts under one doc_id the one with the smallest sha256
@@ -442,10 +443,10 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 arrays = [part.column("doc_id"), *(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got])]
                 names = ["doc_id", "n_removed", "n_spans", "kept_sha256"]
                 if with_text:
-                    arrays, names = [*arrays, pa.array([g[2] for g in got], pa.binary())], [*names, "kept"]
+                    arrays, names = [*arrays, pa.array([g[2].decode("utf-8", "ignore") for g in got], pa.string())], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    results = candidates.select("doc_id", "text").join(spans, "doc_id").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    results = candidates.select("doc_id", "text").join(spans, "doc_id").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     results = results.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "of")
     whole = one.join(originals, "sha")
     out = whole.join(results, whole["doc_id"] == results["of"], "left")
@@ -456,5 +457,5 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
     if with_text:
-        picked.append(F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+        picked += [F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"), F.col("sha").alias("sha256")]
     return out.select(*picked)
