@@ -8,7 +8,8 @@ The result is every document's component of links.
    records by shard (a range of the hash); a shard counts in how many documents its hashes occur and
    tells the documents. A hash that is common everywhere sends one record a slice, so no shard is hot.
    Documents with less than three quarters shared are done; most are.
-2. *Equal sets* are one vertex, represented by the smallest doc_id.
+2. *Equal sets* are one vertex, represented by the smallest doc_id. Vertices count again what they share
+   with each other, which bounds their overlap with any: most copies of a copy drop out as too different.
 3. *Hubs.* Vertices with an equal min-hash are compared with one of them, the one that shares most of
    its shingles (in a group of near copies, the original): one comparison a vertex and min-hash. This
    joins large groups into components without looking at their pairs.
@@ -22,13 +23,13 @@ The result is every document's component of links.
    meet. A cell above `BLOCK` documents is searched in pairs of blocks, so tasks stay bounded.
 5. *Components* of all links.
 
-Hashes have 64 bits. Step 1 uses 32 bits inside a shard, where a chance match only keeps a document
+Hashes have 64 bits, 48 in a set that is sent to be compared with another. Step 1 uses 32 bits inside a shard, where a chance match only keeps a document
 for the exact steps. Texts cross the network once, to meet the list of documents step 1 keeps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +91,26 @@ _RECORDS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n", pa.in
 _REPLIES = "doc_id long, n long, sig_a long, sig_b long, shared long, common long"
 
 
-def sharing(docs: DataFrame) -> DataFrame:
+Read = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]
+
+
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Read:
+    for batch in batches:
+        for row, texts in pieces(batch, "text"):
+            yield np.asarray(batch.column("doc_id").slice(row, len(texts)), np.int64), *shingles(texts), sum(len(t or b"") for t in texts)
+
+
+def _read_sets(batches: Iterator[pa.RecordBatch]) -> Read:
+    for batch in batches:
+        sets = [unpacked(x.as_buffer()) for x in batch.column("shingles")]
+        if sets:
+            found = np.concatenate(sets)
+            yield np.asarray(batch.column("id"), np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), found, 8 * len(found)
+
+
+def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] = _read_texts) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, n, sig_a, sig_b; and rows (doc_id, shared) with parts of how
-    many of its shingles stand in other documents, and rows (common) with places of the filter for common shingles."""
+    many of its shingles stand in other rows, and rows (common) with places of the filter for common shingles."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -113,16 +131,14 @@ def sharing(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, of, found, held, n = [], [], [], 0, 0
-        for batch in batches:
-            for row, texts in pieces(batch, "text"):
-                a, b = shingles(texts)
-                ids.append(np.asarray(batch.column("doc_id").slice(row, len(texts)), np.int64))
-                of.append(a + n)
-                found.append(b)
-                n, held = n + len(texts), held + sum(len(t or b"") for t in texts)
-                if held >= SLICE:
-                    yield from records(ids, of, found)
-                    ids, of, found, held, n = [], [], [], 0, 0
+        for doc_ids, a, b, size in read(batches):
+            ids.append(doc_ids)
+            of.append(a + n)
+            found.append(b)
+            n, held = n + len(doc_ids), held + size
+            if held >= SLICE:
+                yield from records(ids, of, found)
+                ids, of, found, held, n = [], [], [], 0, 0
         if ids:
             yield from records(ids, of, found)
 
@@ -147,7 +163,7 @@ def sharing(docs: DataFrame) -> DataFrame:
             yield _batch(common=places).drop_columns(["shard", "payload"])
 
     schema = ", ".join(f"{f.name} {'int' if f.name == 'shard' else 'binary' if f.name == 'payload' else 'long'}" for f in _RECORDS)
-    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    packed = docs.mapInArrow(scan, schema)
     return packed.repartitionById(shards, F.col("shard")).mapInArrow(meet, _REPLIES)
 
 
@@ -165,49 +181,80 @@ def linked(common: int, a: int, b: int) -> bool:
     return common > 0 and BOTTOM * common >= TOP * (a + b - common)
 
 
-def _vertices(docs: DataFrame, kept: DataFrame, common: np.ndarray, shards: int) -> DataFrame:
-    """(id, share, n, shingles, first, mins) of the documents in `kept` (id, sig_a, sig_b, share)."""
+def packed(hashes: np.ndarray) -> bytes:
+    """A set as its rising 48-bit hashes; sets are compared in pairs, where these tell shingles apart."""
+    return np.sort(hashes & _LOW).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(np.uint64).ravel()
+
+
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _sets(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(id, n, shingles) of the documents in `kept` (id, sig_a, sig_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(common, bitorder="little")
         for batch in batches:
+            want_a, want_b, ids = (np.asarray(batch.column(c), np.int64) for c in ("sig_a", "sig_b", "id"))
             for row, texts in pieces(batch, "text"):
                 of, found = shingles(texts)
                 begin = np.searchsorted(of, np.arange(len(texts) + 1))
-                sig = signatures(of, found, len(texts))
-                out = []
-                for i in range(len(texts)):
-                    a, b, mine = sig[0, i], sig[1, i], found[begin[i] : begin[i + 1]]
-                    if (a, b) != (batch.column("sig_a")[row + i].as_py(), batch.column("sig_b")[row + i].as_py()):
-                        continue  # another text under the same doc_id
-                    shard, key = shard_of(mine, shards)
-                    last = bits[filter_place(key.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32)))]
-                    first = mine[np.lexsort((mine, last))][: len(mine) - _required(len(mine)) + 1]
-                    mins = [int(mixed(mine ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min().astype(np.int64)) for k in range(1, MIN_HASHES + 1)]
-                    out.append(dict(id=batch.column("id")[row + i].as_py(), share=batch.column("share")[row + i].as_py(), n=len(mine), shingles=mine.tobytes(), first=first.view(np.int64).tolist(), mins=mins))
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("id", pa.int64()), ("share", pa.float64()), ("n", pa.int64()), ("shingles", pa.binary()), ("first", longs), ("mins", longs)])
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(kept, "id")
-    return rows.mapInArrow(run, "id long, share double, n long, shingles binary, first array<long>, mins array<long>")
-
-
-def _hub_links(vertices: DataFrame) -> DataFrame:
+                sig_a, sig_b = signatures(of, found, len(texts))
+                # another text under the same doc_id is passed over
+                fine = np.flatnonzero((sig_a == want_a[row : row + len(texts)]) & (sig_b == want_b[row : row + len(texts)]))
+                sizes = np.diff(begin)[fine]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row + fine]), pa.array(sizes.astype(np.int64)), pa.array([packed(found[begin[i] : begin[i + 1]]) for i in fine], pa.binary())],
+                    names=["id", "n", "shingles"],
+                )
+
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(kept.select("id", "sig_a", "sig_b"), "id")
+    return rows.mapInArrow(run, "id long, n long, shingles binary")
+
+
+def _keys(sets: DataFrame, common: np.ndarray, shards: int) -> DataFrame:
+    """(id, n, shared, most, first, mins): the shingles in the first part of the order, and the min-hashes. `most` is the
+    greatest size of a set that may link: the overlap of two sets is at least 3/7 of their sizes, at most `shared`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(common, bitorder="little")
+        for batch in batches:
+            first, mins = [], []
+            for data in batch.column("shingles"):
+                mine = unpacked(data.as_buffer())
+                shard, key = shard_of(mine, shards)
+                last = bits[filter_place(key.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32)))]
+                first.append(mine[np.lexsort((mixed(mine), last))][: len(mine) - _required(len(mine)) + 1].view(np.int64).tolist())
+                mins.append([int(mixed(mine ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min().astype(np.int64)) for k in range(1, MIN_HASHES + 1)])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "shared", "most")), pa.array(first, longs), pa.array(mins, longs)], names=["id", "n", "shared", "most", "first", "mins"])
+
+    most = F.floor(F.col("shared") * (TOP + BOTTOM) / TOP - F.col("n") + F.lit(1e-9))
+    live = sets.withColumn("most", most).where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
+    return live.select("id", "n", "shared", "most", "shingles").mapInArrow(run, "id long, n long, shared long, most long, first array<long>, mins array<long>")
+
+
+def _hub_links(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): links between vertices and the hubs of their min-hashes."""
-    keyed = vertices.select("id", "share", F.posexplode("mins").alias("k", "least"))
-    hubs = keyed.groupBy("k", "least").agg(F.max(F.struct("share", (-F.col("id")).alias("minus"))).alias("best"), F.count(F.lit(1)).alias("size"))
-    hubs = hubs.where("size > 1").select("k", "least", (-F.col("best.minus")).alias("hub"))
-    pairs = keyed.join(hubs, ["k", "least"]).where("id <> hub").select("id", "hub").distinct()
-    with_set = vertices.select("id", "n", "shingles").join(pairs, "id")
-    both = with_set.join(vertices.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_shingles")), "hub")
-    close = both.where((BOTTOM * F.col("n") >= TOP * F.col("hub_n")) & (BOTTOM * F.col("hub_n") >= TOP * F.col("n")))
+    keyed = keys.select("id", "n", "most", "shared", F.posexplode("mins").alias("k", "least"))
+    rank = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("id")).alias("minus"), "n", "most")
+    hubs = keyed.groupBy("k", "least").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = hubs.select("k", "least", (-F.col("best.minus")).alias("hub"), F.col("best.n").alias("hub_n"), F.col("best.most").alias("hub_most"))
+    pairs = keyed.join(hubs, ["k", "least"]).where("id <> hub AND n <= hub_most AND hub_n <= most").select("id", "hub").distinct()
+    with_set = sets.join(pairs, "id")
+    close = with_set.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for a, b, x, y in zip(batch.column("id").to_pylist(), batch.column("hub").to_pylist(), batch.column("shingles"), batch.column("hub_shingles")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                     u.append(a)
                     v.append(b)
@@ -216,10 +263,11 @@ def _hub_links(vertices: DataFrame) -> DataFrame:
     return close.select("id", "hub", "shingles", "hub_shingles").mapInArrow(compare, "u long, v long")
 
 
-def divide_skip(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], groups: np.ndarray, most: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that join sets of different groups, enough of them to connect all groups that any link connects.
 
-    `sets` are sorted distinct hashes. With `sides`, only sets of different sides are compared. The
+    `sets` are sorted distinct hashes, `most` the greatest size of a set that each may link with. With
+    `sides`, only sets of different sides are compared. The
     search asks each set, from small to large, for the smaller sets that share at least as many
     shingles as it needs.
     """
@@ -228,28 +276,27 @@ def divide_skip(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray |
     values = np.concatenate([sets[i] for i in by_size])
     order = np.argsort(values, kind="stable")
     lists, ranks = values[order], np.repeat(np.arange(len(sets)), sizes)[order]  # inverted lists, members rising
-    parent = {g: g for g in groups.tolist()}
-
-    def root(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
-        return g
-
+    limit, label = np.asarray(most)[by_size], np.unique(groups, return_inverse=True)[1]
     out = []
     for rank, i in enumerate(by_size):
         mine = sets[i]
         low, need = np.searchsorted(sizes, _required(len(mine))), _required(len(mine))
+        fit = np.flatnonzero(limit[low:rank] >= len(mine)) + low
+        fit = fit[(sizes[fit] <= most[i]) & (label[by_size[fit]] != label[i])]
+        if sides is not None:
+            fit = fit[sides[by_size[fit]] != sides[i]]
+        if not len(fit):
+            continue
         begin, end = np.searchsorted(lists, mine), np.searchsorted(lists, mine, "right")
         length = end - begin
         n_long = int(min(need - 1, need / (0.01 * np.log(max(length.max(), 2)) + 1)))
         by_length = np.argsort(length)
         short, long = by_length[: len(mine) - n_long], by_length[len(mine) - n_long :]
         merged = np.concatenate([ranks[begin[k] : end[k]] for k in short])
-        counts = np.bincount(merged[(merged >= low) & (merged < rank)], minlength=rank)
-        for other in np.flatnonzero(counts >= need - n_long):
+        counts = np.bincount(merged, minlength=len(sets))
+        for other in fit[counts[fit] >= need - n_long]:
             j = by_size[other]
-            if (sides is not None and sides[i] == sides[j]) or root(groups[i]) == root(groups[j]):
+            if label[i] == label[j]:
                 continue
             common = int(counts[other])
             for k in long[::-1]:
@@ -257,27 +304,30 @@ def divide_skip(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray |
                 common += int(at < end[k] and ranks[at] == other)
             if linked(common, len(mine), int(sizes[other])):
                 out.append((int(i), int(j)))
-                parent[root(groups[i])] = root(groups[j])
+                label[label == label[i]] = label[j]
     return out
 
 
-def _search(vertices: DataFrame) -> DataFrame:
-    """(u, v): the links between vertices of different components that step 4 finds; `vertices` has `component`."""
-    posted = vertices.select("id", "component", F.explode("first").alias("shingle"))
-    lists = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("least"))
+def _search(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the links between vertices of different components that step 4 finds; `keys` has `component`."""
+    posted = keys.select("id", "component", "n", "most", F.explode("first").alias("shingle"))
+    several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("most").alias("greatest"))
+    # A set can link in a cell only with one that is small enough for it and for which it is small enough.
+    met = posted.join(several.where("low < high").select("shingle", "least_n", "greatest"), "shingle").where("least_n <= most AND n <= greatest")
+    lists = met.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("least"))
     cells = lists.where("low < high").groupBy("size", "mark", "low", "high", "least").agg(F.min("shingle").alias("shingle"))
     cells = cells.select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    members = posted.join(cells, "shingle").select("shingle", "blocks", "id")
+    members = met.join(cells, "shingle").select("shingle", "blocks", "id", "component", "most")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("shingle", "id", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    filled = members.join(vertices.select("id", "component", "shingles"), "id")
+    members = members.select("shingle", "id", "component", "most", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    filled = members.join(sets.select("id", "shingles"), "id")
 
     def run(cell: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell["shingles"]]
-        ids, group, block = (np.asarray(cell[c].combine_chunks()) for c in ("id", "component", "block"))
+        found_sets = [unpacked(x.as_buffer()) for x in cell["shingles"]]
+        ids, group, block, most = (np.asarray(cell[c].combine_chunks()) for c in ("id", "component", "block", "most"))
         sides = block if cell["a"][0].as_py() != cell["b"][0].as_py() else None
-        found = divide_skip(sets, group, sides)
+        found = divide_skip(found_sets, group, most, sides)
         return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
 
     return filled.groupBy("shingle", "a", "b").applyInArrow(run, "u long, v long")
@@ -293,24 +343,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = sharing(docs).groupBy("doc_id", "sig_a", "sig_b", "common").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-    told = stored(spark, told, "sharing")
-    sets = told.where("n IS NOT NULL").select("doc_id", "sig_a", "sig_b", "n")
-    shared = told.where("shared IS NOT NULL").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    kept = sets.where("n > 0").join(shared, "doc_id").where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
-    share = F.max(F.least(F.lit(1.0), F.col("shared") / F.col("n")))
-    kept = stored(spark, kept.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id"), share.alias("share")), "kept")
-    vertices = stored(spark, _vertices(docs, kept, common_bits(told), shards), "vertices")
-    hubs = stored(spark, _hub_links(vertices), "hubs")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = sharing(rows).groupBy("doc_id", "sig_a", "sig_b").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    told = stored(spark, told.where("doc_id IS NOT NULL"), "sharing")
+    texts = told.where("n IS NOT NULL").select("doc_id", "sig_a", "sig_b", "n")
+    shared = told.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    kept = texts.where("n > 0").join(shared, "doc_id").where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
+    kept = stored(spark, kept.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id")), "kept")
+    sets = stored(spark, _sets(rows, kept), "sets")
+    # Equal texts are one vertex now: what each shares with other vertices is less than what it shared with rows.
+    told = stored(spark, sharing(sets.select("id", "shingles"), _read_sets), "sharing")
+    shared = told.where("shared IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.sum("shared").alias("shared"))
+    keys = stored(spark, _keys(sets.join(shared, "id"), common_bits(told), shards), "keys")
+    hubs = stored(spark, _hub_links(keys, sets), "hubs")
     near = components(hubs)
-    grouped = vertices.join(near.select(F.col("v").alias("id"), "m"), "id", "left").withColumn("component", F.coalesce("m", "id"))
-    grouped = stored(spark, grouped.select("id", "component", "shingles", "first"), "grouped")
-    more = _search(grouped)
+    grouped = keys.join(near.select(F.col("v").alias("id"), "m"), "id", "left").withColumn("component", F.coalesce("m", "id"))
+    more = _search(grouped, sets)
     # Texts under one doc_id belong together.
-    named = sets.where("n > 0").join(kept.select("sig_a", "sig_b", "id"), ["sig_a", "sig_b"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
+    named = texts.where("n > 0").join(kept.select("sig_a", "sig_b", "id"), ["sig_a", "sig_b"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
     several = named.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u < v").select("u", "v")
     whole = components(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(more).unionByName(several))
-    out = sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
+    out = texts.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     least = named.groupBy("doc_id").agg(F.min("id").alias("id")).join(whole.select(F.col("v").alias("id"), "m"), "id", "left")
     least = least.select("doc_id", F.coalesce("m", "id").alias("component_id"))
     return out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
