@@ -9,9 +9,10 @@ hundred times, so the corpus is first cut down to what can repeat.
    hashes are packed by shard, and documents are told which of their anchors occur twice or more.
    Documents without one, and copies of whole documents (which go entirely), are done.
 2. *Contexts.* The windows with one anchor are neighbours; the bytes they cover are its context.
-   Equal contexts are combined inside a task: all but the first go without further ado. The first
-   meets the other contexts with that anchor, few of them, in one task.
-3. *Suffix sorting* of the contexts that meet: of the suffixes at window starts, those smaller than
+   Equal contexts, known by their hashes, are combined inside a task and then over all: all but the
+   first go without further ado. Only where an anchor has different contexts, their bytes are needed.
+   The texts that may lose something lie in a table bucketed by doc_id, so they cross the network once.
+3. *Suffix sorting* of the contexts that meet under an anchor: of the suffixes at window starts, those smaller than
    their successor are sorted directly, to LENGTH bytes; the others follow from one scan over the
    buckets of first bytes, each from the place of its successor. Neighbours in the order with a common
    prefix of LENGTH bytes are equal windows; all but the first window go.
@@ -31,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import common_bits, stored
+from .common import bucketed, common_bits, stored
 from .packed import by_shard, filter_place, runs, shard_of, unpack
 from .words import PIECE, Text, mixed, pieces
 
 LENGTH = 100
-K = 32
+K = 48
 SLICE = 8 << 20
 #: Occurrences from which an anchor's windows are compared one by one (step 4).
 COMMON = 4096
@@ -167,7 +168,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
 
 
 _OCCURRENCES = pa.schema(
-    [("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.binary()), ("window_a", pa.int64()), ("window_b", pa.int64())]
+    [("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("window_a", pa.int64()), ("window_b", pa.int64())]
 )
 
 
@@ -207,10 +208,8 @@ def _occurrences(candidates: DataFrame, common: np.ndarray, shards: int) -> Data
         context, seldom = context[order], seldom[order]
         new, size = runs(context)
         heads = seldom[new]
-        data = anchors.text.data
         yield _batch(
-            _OCCURRENCES, anchor=anchors.hash[heads].view(np.int64), context=context[new].view(np.int64), doc_id=doc[heads], first=anchors.first[heads], last=anchors.last[heads],
-            bytes=[data[a:b].tobytes() for a, b in zip(begin[heads], end[heads])],
+            _OCCURRENCES, anchor=anchors.hash[heads].view(np.int64), context=context[new].view(np.int64), doc_id=doc[heads], first=anchors.first[heads], last=anchors.last[heads]
         )
         again = np.ones(len(seldom), bool)
         again[new] = False
@@ -240,7 +239,7 @@ def _occurrences(candidates: DataFrame, common: np.ndarray, shards: int) -> Data
             for row, texts in pieces(batch, "text", most=4 * PIECE):
                 yield from found(batch, row, texts, bits)
 
-    schema = ", ".join(f"{f.name} {'binary' if f.name == 'bytes' else 'long'}" for f in _OCCURRENCES)
+    schema = ", ".join(f"{f.name} long" for f in _OCCURRENCES)
     return candidates.mapInArrow(run, schema)
 
 
@@ -343,44 +342,67 @@ def _repeated(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, last: n
     return _joined(owner[again], place[again], place[again])
 
 
-def _resolved(occurrences: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, first, last): window starts that repeat earlier ones, among contexts with one anchor."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by anchor in portions of about `most` bytes, no anchor cut in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        anchor = np.asarray(batch.column("anchor"))
+        if sum(b.nbytes for b in held) >= most and len(anchor) and anchor[0] != anchor[-1]:
+            cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1  # the last anchor may go on
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(rows: pa.Table) -> dict[str, np.ndarray]:
+    return {c: np.asarray(rows[c].combine_chunks()) for c in ("anchor", "context", "doc_id", "first", "last")}
 
-    def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        cols = {c: np.concatenate([r[c] for r in rows]) for c in ("anchor", "context", "doc_id", "first", "last")}
-        texts = [x for r in rows for x in r["bytes"]]
-        begin, size = runs(cols["context"], cols["anchor"])
-        head = np.repeat(begin, size)
-        rest = np.flatnonzero((cols["doc_id"] != cols["doc_id"][head]) | (cols["first"] != cols["first"][head]))
-        yield _batch(_FLAGS, **_joined(cols["doc_id"][rest], cols["first"][rest], cols["last"][rest]))
-        # anchors with several different contexts
-        of, many = runs(cols["anchor"][begin])
-        mixed_ = begin[np.repeat(many > 1, many)]
-        if len(mixed_):
-            yield _batch(_FLAGS, **_repeated([texts[i] for i in mixed_], cols["doc_id"][mixed_], cols["first"][mixed_], cols["last"][mixed_]))
+
+def _first_contexts(occurrences: DataFrame, shards: int) -> DataFrame:
+    """Rows (doc_id, first, last) with the windows of contexts that stand earlier, and rows with all columns: the first
+    occurrence of each context whose anchor has others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            anchor = np.asarray(batch.column("anchor"))
-            part = {c: np.asarray(batch.column(c)) for c in ("anchor", "context", "doc_id", "first", "last")}
-            part["bytes"] = batch.column("bytes").to_pylist()
-            rows.append(part)
-            held += sum(map(len, part["bytes"]))
-            if held >= TOGETHER and len(anchor) and anchor[0] != anchor[-1]:
-                cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1  # the last anchor may go on
-                rows[-1] = {c: v[:cut] for c, v in part.items()}
-                yield from flush(rows)
-                rows = [{c: v[cut:] for c, v in part.items()}]
-                held = sum(map(len, rows[0]["bytes"]))
-        if rows:
-            yield from flush(rows)
-
-    seldom = occurrences.where("anchor IS NOT NULL").select("anchor", "context", "doc_id", "first", "last", "bytes")
+        for rows in _groups(batches, TOGETHER):
+            cols = _columns(rows)
+            begin, size = runs(cols["context"], cols["anchor"])
+            head = np.repeat(begin, size)
+            rest = np.flatnonzero((cols["doc_id"] != cols["doc_id"][head]) | (cols["first"] != cols["first"][head]))
+            yield _batch(_CONTEXTS, **_joined(cols["doc_id"][rest], cols["first"][rest], cols["last"][rest]))
+            _, many = runs(cols["anchor"][begin])
+            open_ = begin[np.repeat(many > 1, many)]
+            yield _batch(_CONTEXTS, **{c: v[open_] for c, v in cols.items()})
+
+    seldom = occurrences.where("anchor IS NOT NULL").select("anchor", "context", "doc_id", "first", "last")
     met = seldom.repartition(shards, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "first")
-    return met.mapInArrow(run, "doc_id long, first long, last long")
+    return met.mapInArrow(run, "anchor long, context long, doc_id long, first long, last long")
+
+
+def _resolved(contexts: DataFrame, candidates: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, first, last): window starts that repeat earlier ones, among different contexts with one anchor."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+                data = text.as_py().encode()
+                cols = {c: pa.array([w[c] for w in wanted], pa.int64()) for c in ("anchor", "context", "first", "last")}
+                cut = pa.array([data[w["first"] : w["last"] + LENGTH] for w in wanted], pa.binary())
+                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([doc_id] * len(wanted), pa.int64()), cut], names=[*cols, "doc_id", "bytes"])
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, TOGETHER):
+            cols = _columns(rows)
+            yield _batch(_FLAGS, **_repeated(rows["bytes"].to_pylist(), cols["doc_id"], cols["first"], cols["last"]))
+
+    wanted = contexts.where("anchor IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "first", "last")).alias("wanted"))
+    cut = candidates.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(read, "anchor long, context long, first long, last long, doc_id long, bytes binary")
+    met = cut.repartition(shards, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "first")
+    return met.mapInArrow(sort, "doc_id long, first long, last long")
 
 
+_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 _FLAGS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
@@ -429,10 +451,12 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     keys = told.where("keys IS NOT NULL").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # no more than its anchors
     wanted = one.join(originals, "sha").where("doc_id = original").select("doc_id", "sha").join(keys, "doc_id")
     candidates = rows.join(wanted, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "keys")
-    candidates = stored(spark, candidates, "candidates")
+    candidates = bucketed(spark, candidates, "doc_id", shards, "candidates")
     occurrences = stored(spark, _occurrences(candidates, common_bits(told), shards), "occurrences")
     known = occurrences.where("anchor IS NULL AND window_a IS NULL").select("doc_id", "first", "last")
-    flags = known.unionByName(_resolved(occurrences, shards)).unionByName(_windows(occurrences))
+    contexts = stored(spark, _first_contexts(occurrences, shards), "contexts")
+    known = known.unionByName(contexts.where("anchor IS NULL").select("doc_id", "first", "last"))
+    flags = known.unionByName(_resolved(contexts, candidates, shards)).unionByName(_windows(occurrences))
     spans = flags.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # no more than its bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
