@@ -15,8 +15,8 @@ The result is every document's component of links.
    joins large groups into components without looking at their pairs.
 4. *T-occurrence search.* What hubs may have missed is found exactly: two linked documents have a
    common shingle among the first quarter (plus one) of their shingles in any fixed order; the order
-   puts common shingles last. The documents under such a shingle form a cell; cells within one
-   component, and cells with the members of another one, drop out by aggregation. In a cell, the
+   puts common shingles last. Lists of documents under such a shingle that stay within one component
+   drop out by aggregation; the others form cells by their least component. In a cell, the
    inverted lists of a document's shingles are searched by DivideSkip: the longest lists are set
    aside, the short ones merged and counted, and documents that could still reach the required
    overlap are probed in the long ones by binary search. Only documents of different components
@@ -294,15 +294,19 @@ def divide_skip(sets: list[np.ndarray], groups: np.ndarray, most: np.ndarray, si
         short, long = by_length[: len(mine) - n_long], by_length[len(mine) - n_long :]
         merged = np.concatenate([ranks[begin[k] : end[k]] for k in short])
         counts = np.bincount(merged, minlength=len(sets))
-        for other in fit[counts[fit] >= need - n_long]:
+        fit = fit[counts[fit] >= need - n_long]
+        common = counts[fit]
+        for done, k in enumerate(long[::-1]):  # longest first
+            if not len(fit):
+                break
+            members = ranks[begin[k] : end[k]]
+            at = np.minimum(np.searchsorted(members, fit), max(len(members) - 1, 0))
+            common = common + (members[at] == fit) if len(members) else common
+            able = common + (n_long - 1 - done) >= need
+            fit, common = fit[able], common[able]
+        for other, overlap in zip(fit.tolist(), common.tolist()):
             j = by_size[other]
-            if label[i] == label[j]:
-                continue
-            common = int(counts[other])
-            for k in long[::-1]:
-                at = begin[k] + np.searchsorted(ranks[begin[k] : end[k]], other)
-                common += int(at < end[k] and ranks[at] == other)
-            if linked(common, len(mine), int(sizes[other])):
+            if label[i] != label[j] and linked(overlap, len(mine), int(sizes[other])):
                 out.append((int(i), int(j)))
                 label[label == label[i]] = label[j]
     return out
@@ -314,13 +318,14 @@ def _search(keys: DataFrame, sets: DataFrame) -> DataFrame:
     several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("most").alias("greatest"))
     # A set can link in a cell only with one that is small enough for it and for which it is small enough.
     met = posted.join(several.where("low < high").select("shingle", "least_n", "greatest"), "shingle").where("least_n <= most AND n <= greatest")
-    lists = met.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("least"))
-    cells = lists.where("low < high").groupBy("size", "mark", "low", "high", "least").agg(F.min("shingle").alias("shingle"))
-    cells = cells.select("shingle", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    members = met.join(cells, "shingle").select("shingle", "blocks", "id", "component", "most")
+    lists = met.groupBy("shingle").agg(F.min("component").alias("cell"), F.max("component").alias("high"))
+    # Lists with the same least component are one cell, so that two sets seldom meet twice.
+    members = met.join(lists.where("cell < high").select("shingle", "cell"), "shingle").select("cell", "id", "component", "most").distinct()
+    sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    members = members.join(sizes, "cell")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("shingle", "id", "component", "most", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    members = members.select("cell", "id", "component", "most", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     filled = members.join(sets.select("id", "shingles"), "id")
 
     def run(cell: pa.Table) -> pa.Table:
@@ -330,7 +335,7 @@ def _search(keys: DataFrame, sets: DataFrame) -> DataFrame:
         found = divide_skip(found_sets, group, most, sides)
         return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
 
-    return filled.groupBy("shingle", "a", "b").applyInArrow(run, "u long, v long")
+    return filled.groupBy("cell", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
