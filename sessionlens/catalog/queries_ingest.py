@@ -384,7 +384,7 @@ def live_deltas(spark, root):
          least(4, 2 + o_orderkey % 4 + case when o_orderkey % 5 = 4 then 1 else 0 end) as kept from orders""",
 )
 def bounded_stream(spark, root):
-    bounded = sse.bound_events(sse.frame_events(stream_chunks(spark, root)), max_events=4)
+    bounded = sse.bound_events(sse.frame_events(stream_chunks(spark, root)), max_events=4, max_bytes=1 << 20)
     return bounded.groupBy("attempt_id").agg(
         F.when(F.max("over"), "resource_limit").otherwise("complete").alias("status"), F.count(F.when(~F.col("over"), 1)).alias("kept")
     )

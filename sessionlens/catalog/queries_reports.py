@@ -579,8 +579,9 @@ def registered_estimator(spark, root):
 
 @query(
     "U03_registered_compressor",
-    """select doc_id, case when strlen(c) >= strlen(text) then 'no_improvement' else 'applicable' end as status, strlen(c) as output_bytes
-       from (select doc_id, text, regexp_replace(text, ' +', ' ', 'g') as c from documents) where strlen(text) >= 256""",
+    """select doc_id, case when strlen(text) < 256 then 'below_minimum' when strlen(c) >= strlen(text) then 'no_improvement' else 'applicable' end as status,
+         case when strlen(text) >= 256 then strlen(c) end as output_bytes
+       from (select doc_id, text, regexp_replace(text, ' +', ' ', 'g') as c from documents)""",
 )
 def registered_compressor(spark, root):
     """A reducer of one's own: runs of blanks become one."""

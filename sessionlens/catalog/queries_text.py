@@ -374,7 +374,7 @@ def search_answer(spark, root):
 )
 def shell_family(spark, root):
     command = F.expr("case block_id % 3 when 0 then 'cargo test --all' when 1 then 'rg needle src' end")
-    output = F.expr("concat('3 passed; 1 failed ', substring(test_stdout, 1, 4000))")
+    output = F.expr("concat('3 passed; 1 failed ', test_stdout)")
     return outputs(spark, root).select("block_id", labels.shell_family(command, output).alias("family"))
 
 
@@ -555,7 +555,7 @@ _CELLS = "'[' || i || ',\"\",' || i * 10 || ',\"ok\"]'"
 _KEYS = "'[\"id\",\"note\",\"price\",\"status\"]'"
 
 
-@query("R03_json_tabular", _rows_sql(_CELLS, f"'[\"TPJ2\",' || {_KEYS} || ',['", "']]'", "','"))
+@query("R03_json_tabular", _rows_sql(_CELLS, f"'[\"table2\",' || {_KEYS} || ',['", "']]'", "','"))
 def json_tabular(spark, root):
     out = red.propose(_json_rows(spark, root), ["json.tabular"])
     return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"))
@@ -591,30 +591,41 @@ def key_elision(spark, root):
     return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"))
 
 
+def _at_least(candidates: str, source: str, least: int) -> str:
+    """Candidates of inputs with `least` bytes; smaller ones stay without one."""
+    return (
+        f"select block_id, case when strlen({source}) >= {least} then candidate_fp end as candidate_fp, strlen({source}) < {least} as below_minimum"
+        f" from ({candidates}) join t_outputs using (block_id)"
+    )
+
+
+def _below():
+    return F.coalesce(F.col("failure") == "below_minimum", F.lit(False)).alias("below_minimum")
+
+
 @query(
     "R10_empty_noise_fields",
-    "select * from (" + _rows_sql("'{\"id\":' || i || ',\"price\":' || i * 10 || ',\"status\":\"ok\"}'", "'['", "']'", "','")
-    + ") where block_id in (select block_id from t_outputs where strlen(json_text) >= 128)",
+    _at_least(_rows_sql("'{\"id\":' || i || ',\"price\":' || i * 10 || ',\"status\":\"ok\"}'", "'['", "']'", "','"), "json_text", 128),
 )
 def empty_noise(spark, root):
     out = red.propose(_json_rows(spark, root), ["json.empty_noise_fields"])
-    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"))
+    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"), _below())
 
 
 @query(
     "R11_repeated_value_elision",
-    "select * from (" + _rows_sql(
+    _at_least(_rows_sql(
         "'{\"id\":' || i || ',\"price\":' || i * 10 || '}'", "'{\"common\":{\"note\":\"\",\"status\":\"ok\"},\"rows\":['", "']}'", "','"
-    ) + ") where block_id in (select block_id from t_outputs where strlen(json_text) >= 256)",
+    ), "json_text", 256),
 )
 def repeated_values(spark, root):
     out = red.propose(_json_rows(spark, root), ["json.repeated_value_elision"])
-    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"))
+    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"), _below())
 
 
 @query(
     "R05_repeated_subtree",
-    """select block_id, case when json_valid(json_text) then sha256('["TPJ3",[{"id":0,"note":"","price":0,"status":"ok"}],[["$tp_ref",0],["$tp_ref",0]]]') end
+    """select block_id, case when json_valid(json_text) then sha256('["shared3",[{"id":0,"note":"","price":0,"status":"ok"}],[["$same_as",0],["$same_as",0]]]') end
          as candidate_fp from t_outputs""",
 )
 def repeated_subtree(spark, root):
@@ -632,9 +643,9 @@ _SHELL = """select block_id, ls, '{"exit_code":1,"stdout":' || to_json(array_to_
 
 @query(
     "R12_shell_projection",
-    """select block_id, case when len(ls) - 48 > 1 then sha256('{"exit_code":1,"stdout":' || to_json(array_to_string(ls[1:24], chr(10)) || chr(10)
+    """select block_id, case when len(ls) - 48 > 1 and strlen(t) >= 256 then sha256('{"exit_code":1,"stdout":' || to_json(array_to_string(ls[1:24], chr(10)) || chr(10)
          || '[Agenttrace omitted ' || (len(ls) - 48) || ' output lines; local recovery is available]' || chr(10) || array_to_string(ls[-24:], chr(10))) || '}')
-         end as candidate_fp from sh where strlen(t) >= 256""",
+         end as candidate_fp, strlen(t) < 256 as below_minimum from sh""",
     sh=_SHELL,
 )
 def shell_projection(spark, root):
@@ -642,22 +653,22 @@ def shell_projection(spark, root):
     text = F.to_json(F.struct(F.lit(1).alias("exit_code"), lines.alias("stdout")))
     rows = outputs(spark, root).select("block_id", text.alias("text"), F.lit("json").alias("detected_kind"))
     out = red.propose(rows, ["shell.diagnostic_projection"])
-    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"))
+    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"), _below())
 
 
 @query(
     "R13_search_projection",
-    """select o.block_id, case when n >= 2 then sha256('[search results]' || chr(10) || body) end as candidate_fp from t_outputs o join (
+    """select o.block_id, case when n >= 2 and strlen(rg_stdout) >= 256 then sha256('[search results]' || chr(10) || body) end as candidate_fp,
+         strlen(rg_stdout) < 256 as below_minimum from t_outputs o left join (
          select block_id, count(*) as n, string_agg(case when first_of then file || ':' || chr(10) else '' end || line || chr(9) || text || chr(10), ''
            order by file, line, text) as body
-         from (select *, row_number() over (partition by block_id, file order by line, text) = 1 as first_of from rg) group by 1) b using (block_id)
-       where strlen(rg_stdout) >= 256""",
+         from (select *, row_number() over (partition by block_id, file order by line, text) = 1 as first_of from rg) group by 1) b using (block_id)""",
     rg=_RG_LINES,
 )
 def search_projection(spark, root):
     rows = outputs(spark, root).select("block_id", F.col("rg_stdout").alias("text"), F.lit("plain_text").alias("detected_kind"))
     out = red.propose(rows, ["search.result_projection"])
-    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"))
+    return out.select("block_id", F.sha2("candidate", 256).alias("candidate_fp"), _below())
 
 
 @query("R08_block_fold")
@@ -669,11 +680,11 @@ def block_fold(spark, root):
 
 @query(
     "R01_noop_controls",
-    f"select doc_id, 'no_improvement' as status, strlen(text) as input_bytes, {tokens_sql('text')} as input_tokens from documents where strlen(text) <= 1048576",
+    f"select doc_id, 'no_improvement' as status, strlen(text) as input_bytes, {tokens_sql('text')} as input_tokens from documents",
 )
 def noop_controls(spark, root):
     rows = documents(spark, root).withColumn("detected_kind", F.lit("plain_text"))
-    return red.evaluate(red.propose(rows, ["text.noop"])).where("input_bytes <= 1048576").select(
+    return red.evaluate(red.propose(rows, ["text.noop"])).select(
         "doc_id", "status", "input_bytes", "input_tokens"
     )
 

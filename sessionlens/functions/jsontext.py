@@ -73,7 +73,7 @@ def _facts(text: str):
         value = strict(text)
         nested = depth(value)
         items = len(value) if isinstance(value, (dict, list)) else 1
-        return True, nested > MAX_DEPTH, items, min(nested, MAX_DEPTH), 0, 0, 0
+        return True, nested > MAX_DEPTH, items, nested, 0, 0, 0
     except (ValueError, RecursionError):
         pass
     values = containers = deepest = 0
@@ -85,8 +85,6 @@ def _facts(text: str):
             value = strict(line)
         except (ValueError, RecursionError):
             continue
-        if depth(value) > MAX_DEPTH:
-            continue
         values += 1
         if line[0] in "{[":
             containers += 1
@@ -107,13 +105,11 @@ def json_facts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 # --- JSON candidates -----------------------------------------------------------------------------
 
 
-def _uniform(value, columns: int | None = None):
+def _uniform(value):
     """Rows and key order of a uniform array of objects, or None."""
     if not isinstance(value, list) or len(value) < 2 or not isinstance(value[0], dict) or not value[0]:
         return None
     keys = sorted(value[0])
-    if columns is not None and len(keys) > columns:
-        return None
     if any(not isinstance(row, dict) or row.keys() != value[0].keys() for row in value):
         return None
     return keys, [[row[k] for k in keys] for row in value]
@@ -121,12 +117,12 @@ def _uniform(value, columns: int | None = None):
 
 def tabular(value):
     shaped = _uniform(value)
-    return None if shaped is None else compact(["TPJ2", *shaped])
+    return None if shaped is None else compact(["table2", *shaped])
 
 
 def readable(value, style: str):
-    shaped = _uniform(value, 64)
-    if shaped is None or len(value) > 100_000 or any(depth(c) > 8 for row in shaped[1] for c in row):
+    shaped = _uniform(value)
+    if shaped is None:
         return None
     keys, rows = shaped
     if style == "table":
@@ -161,12 +157,12 @@ def subtrees(value):
         if not isinstance(node, (dict, list)):
             return node
         if not root and compact(node) in places:
-            return ["$tp_ref", places[compact(node)]]
+            return ["$same_as", places[compact(node)]]
         if isinstance(node, dict):
             return {k: factor(v) for k, v in node.items()}
         return [factor(v) for v in node]
 
-    return compact(["TPJ3", [json.loads(k) for k in defined], factor(value, True)])
+    return compact(["shared3", [json.loads(k) for k in defined], factor(value, True)])
 
 
 def without_empty(value):
@@ -411,8 +407,6 @@ def _envelope(text: str):
     except (ValueError, RecursionError):
         return None, "not_applicable"
     tokens = list(re.finditer(r'"(?:[^"\\]|\\.)*"', text))
-    if len(tokens) > 16:
-        return None, "not_applicable"
     hits = [(m, found) for m in tokens if (found := parse_search(json.loads(m.group()))) is not None]
     if len(hits) != 1:
         return None, "not_applicable"

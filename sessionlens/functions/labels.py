@@ -143,7 +143,6 @@ SHELL_MARKERS = (
     ("dependency", ("cargo tree", "npm install", "npm ls", "pnpm", "dependency", "resolver"), ()),
     ("version_control", ("git ", 'git"', "git status", "git diff", "git log"), ()),
 )
-SIGNAL_BYTES = 4096
 
 
 def _has_any(signal: Column, markers) -> Column:
@@ -154,11 +153,8 @@ def _has_any(signal: Column, markers) -> Column:
 
 
 def shell_side(signal: Column | str) -> Column:
-    """Family one side (command or output) points to, NULL if none.
-
-    Only the first 4096 bytes are a signal: that bound belongs to the definition of the label.
-    """
-    text = F.lower(F.decode(F.substring(F.encode(_col(signal), "utf-8"), 1, SIGNAL_BYTES), "utf-8"))
+    """Family one side (command or output) points to, NULL if none; the whole text is the signal."""
+    text = F.lower(_col(signal))
     out = None
     for family, single, pairs in SHELL_MARKERS:
         hit = _has_any(text, single)

@@ -10,10 +10,6 @@ from ..functions.measures import count_where
 from ..sources.trace import Trace
 from .views import ordered_snapshots
 
-# A snapshot is analysed up to this many blocks; a longer one is compared up to the bound and the
-# delta is marked resource_limit. The bound is part of the snapshot contract.
-MAX_BLOCKS = 8192
-
 
 def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
     """Each snapshot with its predecessor in the session.
@@ -32,7 +28,7 @@ def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def context_deltas(pairs: DataFrame, blocks: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def context_deltas(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Delta per pair: exact multiset match first, then semantic match among the leftovers.
 
     Both sides are stacked and shuffled once by pair; every later step is a window or aggregate whose
@@ -51,12 +47,10 @@ def context_deltas(pairs: DataFrame, blocks: DataFrame, max_blocks: int = MAX_BL
             (
                 (F.coalesce("current_status", F.lit("")) != "complete")
                 | (F.coalesce("previous_status", F.lit("")) != "complete")
-                | (F.coalesce("cs", F.lit(0)) > max_blocks)
-                | (F.coalesce("ps", F.lit(0)) > max_blocks)
             ).alias("limited"),
         )
     )
-    kept = blocks.where(F.col("ordinal") < max_blocks).select("snapshot_id", *columns)
+    kept = blocks.select("snapshot_id", *columns)
     current = pairs.select(F.col("current_snapshot_id").alias("pair"), F.col("current_snapshot_id").alias("snapshot_id")).join(
         kept, "snapshot_id"
     )
@@ -112,7 +106,7 @@ def context_deltas(pairs: DataFrame, blocks: DataFrame, max_blocks: int = MAX_BL
         F.coalesce(F.bool_or(F.col("both") & ~F.col("matches")), F.lit(False)).alias("__mismatch"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    cut = F.least(F.col("cs"), F.lit(max_blocks)) == F.least(F.col("ps"), F.lit(max_blocks))
+    cut = F.col("cs") == F.col("ps")
     unsure = F.col("limited") & ~F.coalesce("__mismatch", F.lit(False)) & cut
     empty = F.col("pair").isNull()  # neither side has a block
     return limits.join(counted, limits.current_snapshot_id == counted.pair, "left").select(
@@ -127,8 +121,8 @@ def context_deltas(pairs: DataFrame, blocks: DataFrame, max_blocks: int = MAX_BL
     )
 
 
-def trace_deltas(trace: Trace, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    return context_deltas(snapshot_pairs(trace.snapshots), trace.blocks, max_blocks)
+def trace_deltas(trace: Trace) -> DataFrame:
+    return context_deltas(snapshot_pairs(trace.snapshots), trace.blocks)
 
 
 def reconcile(

@@ -18,7 +18,6 @@ RESULT_TYPES = (
     "function_call_output", "computer_call_output", "web_search_call_output", "code_interpreter_call_output",
     "custom_tool_call_output", "tool_search_output", "local_shell_call_output", "shell_call_output",
 )
-MAX_BLOCKS = 8192
 
 
 def parsed_requests(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -229,7 +228,6 @@ def request_blocks(raw: DataFrame, key: str, body: str = "body") -> DataFrame:
     ordinal = F.row_number().over(Window.partitionBy(key).orderBy("entry", "part")) - 1
     return (
         blocks.withColumn("ordinal", ordinal.cast("bigint"))
-        .where(F.col("ordinal") < MAX_BLOCKS)
         .withColumn("raw_bytes", F.octet_length("content").cast("bigint"))
         .drop("entry", "part")
     )

@@ -16,11 +16,7 @@ from ..functions.jsontext import NAME, search_view, structured_candidate
 from ..functions.labels import cache_risk
 from ..functions.text import common_prefix, kept_lines, structural_tokens
 
-# Limits of one candidate evaluation.
-MAX_INPUT_BYTES = 1_048_576
-MAX_OUTPUT_BYTES = 1_048_576
-MAX_MEMORY_BYTES = 4_194_304
-MAX_CANDIDATES = 16
+# Reducers leave smaller inputs as they are; such rows stay, with the status below_minimum.
 MIN_REDUCER_BYTES = 256
 MIN_NOISE_BYTES = 128
 
@@ -192,7 +188,7 @@ def register_compressor(
 
 
 def candidate_plan(blocks: DataFrame) -> DataFrame:
-    """Candidates to evaluate per block: by content kind, size and tool or shell family, at most 16.
+    """Candidates to evaluate per block: by content kind, size and tool or shell family.
 
     Expects kind, detected_kind, raw_bytes, tool_family and shell_family. The candidate list is a
     literal array, so the plan is a per-row expression: no join, no shuffle, no ranking.
@@ -208,7 +204,7 @@ def candidate_plan(blocks: DataFrame) -> DataFrame:
         if name == "search.result_projection":
             wanted = wanted & (json_kind | (F.col("shell_family") == "search"))
         plans.append(F.when(wanted, F.lit(name)))
-    ids = F.slice(F.array_compact(F.array(*plans)), 1, MAX_CANDIDATES)
+    ids = F.array_compact(F.array(*plans))
     return blocks.where("kind = 'tool_result'").withColumn("candidate_id", F.explode(ids))
 
 
@@ -218,15 +214,17 @@ def propose(blocks: DataFrame, candidates: list[str], text: str = "text") -> Dat
     for name in candidates:
         kinds, readable, job = REGISTRY[name]
         rows = blocks.where(F.col("detected_kind").isin(*kinds))
+        part = job(rows, text)
         if name in REDUCERS:
-            rows = rows.where(F.octet_length(text) >= REDUCERS[name])
-        part = job(rows, text).withColumn("candidate_id", F.lit(name)).withColumn("readability", F.lit(readable))
+            small = F.octet_length(text) < REDUCERS[name]
+            part = part.withColumn("candidate", F.when(~small, F.col("candidate"))).withColumn("failure", F.when(small, "below_minimum").otherwise(F.col("failure")))
+        part = part.withColumn("candidate_id", F.lit(name)).withColumn("readability", F.lit(readable))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def evaluate(proposed: DataFrame, text: str = "text") -> DataFrame:
-    """Gate a candidate: size limits, then never worse in bytes and in tokens.
+    """Gate a candidate: its own failure, then never worse in bytes and in tokens.
 
     The originals stay in place beside the candidates, so recovery is the original itself. Optional
     columns `request_offset`, `request_bytes` and `persistence` give the preserved prefix and risk.
@@ -241,16 +239,11 @@ def evaluate(proposed: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("output_tokens", structural_tokens("candidate"))
         .withColumn("prefix_bytes", common_prefix(text, "candidate").cast("bigint"))
     )
-    too_large = (F.col("input_bytes") > MAX_INPUT_BYTES) | F.coalesce(
-        (F.col("output_bytes") > MAX_OUTPUT_BYTES) | (F.col("output_bytes") + F.col("input_bytes") > MAX_MEMORY_BYTES),
-        F.lit(False),
-    )
     no_gain = (F.col("output_bytes") >= F.col("input_bytes")) | F.coalesce(
         F.col("output_tokens") >= F.col("input_tokens"), F.lit(False)
     )
     status = (
-        F.when(too_large, "resource_limit")
-        .when(F.col("failure").isNotNull(), F.col("failure"))
+        F.when(F.col("failure").isNotNull(), F.col("failure"))
         .when(F.col("candidate").isNull(), "not_applicable")
         .when(no_gain, "no_improvement")
         .otherwise("applicable")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
-from ..session import new_folder, shared_folder
+from ..session import new_folder
 from .trace import Trace
 
 LINE_ORDER = (
@@ -27,18 +27,8 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on inputs that arrive in fewer partitions than there are cores.
-
-    Per-row text work is CPU bound; a table of one small file would run on a single core. Real
-    inputs have far more splits than cores, and then nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_text(spark: SparkSession, root: str, table: str, *columns: str) -> DataFrame:
-    return spread(read(spark, root, table).select(*columns))
+    return read(spark, root, table).select(*columns)
 
 
 def whole(expr: str) -> Column:
@@ -122,11 +112,8 @@ def ordered_lines(spark: SparkSession, root: str) -> DataFrame:
     """Numbered line items, derived once per application and stored in the shared folder.
 
     Attempts, usage, blocks and candidates all start here, so the numbering is an ingest step: its
-    result is a table, as the facts of a real trace are. Without a shared folder it stays lazy.
+    result is a table, as the facts of a real trace are, on every kind of master.
     """
-    folder = shared_folder(spark)
-    if folder is None:
-        return numbered_lines(spark, root)
     key = (spark.sparkContext.applicationId, root)
     if key not in _STORED:
         path = new_folder(spark, "lines")

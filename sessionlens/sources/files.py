@@ -132,7 +132,7 @@ def _share(rows: Column, name: str) -> Column:
     return F.try_variant_get(F.get(found, F.lit(0)), "$.token_share", "double")
 
 
-def convergence_points(documents: DataFrame, sizes: tuple[int, ...] = (10, 20, 30, 40)) -> DataFrame:
+def convergence_points(documents: DataFrame) -> DataFrame:
     """Shares, cache ratio, repetition and stability per cohort size."""
     parts = documents.select(
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("id"), F.regexp_extract("path", r"baseline_n(\d+)\.json$", 1).alias("n"),
@@ -144,7 +144,7 @@ def convergence_points(documents: DataFrame, sizes: tuple[int, ...] = (10, 20, 3
         _share(detected, "plain_text").alias("plain_share"), _share(detected, "unknown").alias("unknown_share"),
         _get("$.provider_usage.cache_ratio", "double").alias("cache_ratio"),
         _get("$.repetition.exact_repeated_token_share", "double").alias("repetition"),
-    ).where(F.col("size").isin(*sizes))
+    )
     moves = parts.where("is_convergence").select("id", F.explode(_get("$.transitions", "array<variant>")).alias("t")).groupBy(
         "id", F.try_variant_get("t", "$.current_sessions", "int").alias("size")
     ).agg(F.max(F.try_variant_get("t", "$.stable", "boolean")).alias("stable"))

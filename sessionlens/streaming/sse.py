@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Bounds of one stream. Beyond them earlier events stay and the observation ends in resource_limit.
-MAX_EVENTS = 100_000
-MAX_EVENT_BYTES = 1_048_576
-
 # Event names and the lifecycle state they report.
 STATES = {
     "response.created": "queued", "response.queued": "queued", "response.in_progress": "in_progress",
@@ -70,8 +66,8 @@ def frame_events(chunks: DataFrame, key: str = "attempt_id") -> DataFrame:
     return rows
 
 
-def bound_events(events: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_EVENT_BYTES) -> DataFrame:
-    """Mark events beyond the bounds of a stream; earlier ones stay."""
+def bound_events(events: DataFrame, max_events: int, max_bytes: int) -> DataFrame:
+    """Mark events beyond bounds that the caller sets; every event stays."""
     return events.withColumn("over", (F.col("event_no") >= max_events) | (F.col("size") > max_bytes))
 
 
@@ -84,21 +80,19 @@ def fold_events(events: DataFrame, closings: DataFrame, key: str = "attempt_id")
     lifecycle = F.create_map(*[F.lit(v) for k, s in STATES.items() for v in (k, s)])
     doc = F.try_parse_json("data")
     named = events.withColumn("state", lifecycle[F.col("event")]).withColumn("doc", doc)
-    within = (F.col("event_no") < MAX_EVENTS) & (F.col("size") <= MAX_EVENT_BYTES)
-    stop = named.where(within & F.col("state").isin(*TERMINAL) & F.col("doc").isNotNull()).groupBy(key).agg(
+    stop = named.where(F.col("state").isin(*TERMINAL) & F.col("doc").isNotNull()).groupBy(key).agg(
         F.min("event_no").alias("stop")
     )
     response = F.coalesce(F.try_variant_get("doc", "$.response", "variant"), F.col("doc"))
     rows = named.join(stop, key, "left").withColumn("__r", response)
     live = F.col("event_no") <= F.coalesce("stop", F.lit(2147483647))
-    text = lambda path: F.when(live & within, F.try_variant_get("__r", path, "string"))
+    text = lambda path: F.when(live, F.try_variant_get("__r", path, "string"))
     first = lambda value: F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.col("event_no")))
-    usage = F.when(live & within, F.to_json(F.try_variant_get("__r", "$.usage", "variant")))
+    usage = F.when(live, F.to_json(F.try_variant_get("__r", "$.usage", "variant")))
     usage = F.when(usage.startswith("{"), usage)
-    state = F.when(live & within & F.col("doc").isNotNull(), F.col("state"))
+    state = F.when(live & F.col("doc").isNotNull(), F.col("state"))
     status = (
-        F.when(live & ~within, "resource_limit")
-        .when(live & F.col("state").isNotNull() & F.col("doc").isNull(), "partial")
+        F.when(live & F.col("state").isNotNull() & F.col("doc").isNull(), "partial")
         .otherwise("complete")
     )
     folded = rows.groupBy(key).agg(
@@ -194,16 +188,12 @@ class Fold:
 
     def _emit(self) -> None:
         s = self.s
-        name, data, size = s["name"], s["data"], s["size"]
+        name, data = s["name"], s["data"]
         s["name"], s["data"], s["size"] = None, "", 0
-        number = s["events"] + s["late"]
         if s["terminal"]:
             s["late"] += 1
             return
         s["events"] += 1
-        if number >= MAX_EVENTS or size > MAX_EVENT_BYTES:
-            s["status"] = 6
-            return
         state = STATES.get(name)
         try:
             document = json.loads(data)

@@ -50,10 +50,10 @@ def test_paging_reports_the_next_offset(synthetic):
 DELTA = "snapshot_id bigint, ordinal bigint, exact_fp string, semantic_fp string, estimated_tokens bigint"
 
 
-def run_delta(spark, before, after, limit=8192):
+def run_delta(spark, before, after, status="complete"):
     blocks = [(1, i, *b) for i, b in enumerate(before)] + [(2, i, *b) for i, b in enumerate(after)]
-    pairs = spark.createDataFrame([(2, 1, "complete", "complete")], "current_snapshot_id bigint, previous_snapshot_id bigint, current_status string, previous_status string")
-    return delta.context_deltas(pairs, spark.createDataFrame(blocks, DELTA), limit).collect()[0]
+    pairs = spark.createDataFrame([(2, 1, status, "complete")], "current_snapshot_id bigint, previous_snapshot_id bigint, current_status string, previous_status string")
+    return delta.context_deltas(pairs, spark.createDataFrame(blocks, DELTA)).collect()[0]
 
 
 def test_delta_fixture(spark):
@@ -63,7 +63,13 @@ def test_delta_fixture(spark):
     assert (row.repeated_blocks, row.repeated_tokens) == (2, 8)
     assert (row.changed_blocks, row.new_blocks, row.removed_blocks) == (1, 1, 1)
     assert row.new_tokens is None and (row.common_prefix_blocks, row.common_prefix_tokens) == (2, 8)
-    assert run_delta(spark, before, after, limit=3).status == "resource_limit"
+    assert run_delta(spark, before, after, "partial").status == "resource_limit"
+
+
+def test_delta_of_very_long_snapshots(spark):
+    before = [(f"A{i}", None, 1) for i in range(9000)]
+    row = run_delta(spark, before, [*before, ("B", None, 1)])
+    assert (row.status, row.repeated_blocks, row.new_blocks, row.common_prefix_blocks) == ("complete", 9000, 1, 9000)
 
 
 def test_delta_against_brute_force(spark):
