@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, common_bits, stored
 from .packed import by_shard, filter_place, runs, shard_of, unpack
-from .words import PIECE, Text, mixed, pieces
+from .words import Text, mixed, pieces
 
 LENGTH = 100
 K = 48
@@ -42,7 +42,7 @@ SLICE = 8 << 20
 #: Occurrences from which an anchor's windows are compared one by one (step 4).
 COMMON = 4096
 #: Bytes of contexts sorted together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 
 _SEPARATOR = 0xFF  # in no UTF-8 text
 
@@ -186,58 +186,67 @@ def _occurrences(candidates: DataFrame, common: np.ndarray, shards: int) -> Data
     """Of `candidates` (doc_id, text, keys): rows (doc_id, first, last) with window starts that are known to repeat
     earlier ones, rows with the first occurrence of each context in the task, and rows with single windows."""
 
-    def found(batch: pa.RecordBatch, row: int, texts: list[bytes | None], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def gather(batch: pa.RecordBatch, row: int, texts: list[bytes | None], bits: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(anchor, context, doc, first, last) of contexts, and (hash, second hash, doc, start) of single windows."""
         anchors = Anchors(texts)
-        if not len(anchors.owner):
-            return
         ids = np.asarray(batch.column("doc_id").slice(row, len(texts)), np.int64)
         shard, key = shard_of(anchors.hash, shards)
         key64 = key.astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32))
         edges = np.searchsorted(anchors.owner, np.arange(len(texts) + 1))
         told = np.zeros(len(key64), bool)
-        for i in range(len(texts)):
-            mine = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("keys")[row + i].as_py()])
+        for i, keys in enumerate(batch.column("keys").slice(row, len(texts))):
+            mine = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in keys])
             told[edges[i] : edges[i + 1]] = np.isin(key64[edges[i] : edges[i + 1]], mine)
+        if not told.any():
+            return [], []
         often = told & bits[filter_place(key64)].astype(bool)
-        seldom = np.flatnonzero(told & ~often)
         begin, end = anchors.span()
-        doc = ids[anchors.owner]
-        # contexts with one anchor: the first of equal ones goes on
-        context = mixed(anchors.text.hashes(begin[seldom], end[seldom]) + mixed(anchors.hash[seldom] ^ (anchors.place[seldom] << 20 | (end - begin)[seldom]).astype(np.uint64)))
-        order = np.lexsort((anchors.first[seldom], doc[seldom], context))
-        context, seldom = context[order], seldom[order]
-        new, size = runs(context)
-        heads = seldom[new]
-        yield _batch(
-            _OCCURRENCES, anchor=anchors.hash[heads].view(np.int64), context=context[new].view(np.int64), doc_id=doc[heads], first=anchors.first[heads], last=anchors.last[heads]
-        )
-        again = np.ones(len(seldom), bool)
-        again[new] = False
-        rows, head = seldom[again], np.repeat(heads, size)[again]
-        rows = rows[(doc[rows] != doc[head]) | (anchors.first[rows] != anchors.first[head])]  # a repeated row is the same document
-        yield _batch(_OCCURRENCES, **_joined(doc[rows], anchors.first[rows], anchors.last[rows]))
-        # windows of common anchors one by one
-        rows = np.flatnonzero(often)
-        if len(rows):
-            size = anchors.last[rows] - anchors.first[rows] + 1
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            at, of, first = np.repeat(begin[rows], size) + step, np.repeat(doc[rows], size), np.repeat(anchors.first[rows], size) + step
-            a = anchors.text.hashes(at, at + LENGTH)
-            order = np.lexsort((first, of, a))
-            a, at, of, first = a[order], at[order], of[order], first[order]
-            new, size = runs(a)
-            b = mixed(anchors.text.hashes(at[new], at[new] + LENGTH // 2) ^ np.uint64(0x1234567))
-            yield _batch(_OCCURRENCES, window_a=a[new].view(np.int64), window_b=b.view(np.int64), doc_id=of[new], first=first[new], last=first[new])
-            again = np.ones(len(a), bool)
-            again[new] = False
-            again &= (of != np.repeat(of[new], size)) | (first != np.repeat(first[new], size))
-            yield _batch(_OCCURRENCES, **_joined(of[again], first[again], first[again]))
+        doc, text = ids[anchors.owner], anchors.text
+        at = np.flatnonzero(told & ~often)
+        context = mixed(text.hashes(begin[at], end[at]) + mixed(anchors.hash[at] ^ (anchors.place[at] << 20 | (end - begin)[at]).astype(np.uint64)))
+        contexts = [anchors.hash[at].view(np.int64), context.view(np.int64), doc[at], anchors.first[at], anchors.last[at]]
+        at = np.flatnonzero(often)
+        size = anchors.last[at] - anchors.first[at] + 1
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start = np.repeat(begin[at], size) + step
+        second = mixed(text.hashes(start, start + LENGTH // 2) ^ np.uint64(0x1234567))
+        windows = [text.hashes(start, start + LENGTH).view(np.int64), second.view(np.int64), np.repeat(doc[at], size), np.repeat(anchors.first[at], size) + step]
+        return contexts, windows
+
+    def combine(contexts: list, windows: list) -> Iterator[pa.RecordBatch]:
+        """The first of equal contexts and windows go on, the windows of the others are known to repeat."""
+        if contexts:
+            anchor, context, doc, first, last = (np.concatenate(x) for x in zip(*contexts))
+            order = np.lexsort((first, doc, context, anchor))
+            anchor, context, doc, first, last = (x[order] for x in (anchor, context, doc, first, last))
+            head, size = runs(context, anchor)
+            yield _batch(_OCCURRENCES, anchor=anchor[head], context=context[head], doc_id=doc[head], first=first[head], last=last[head])
+            lead = np.repeat(head, size)
+            again = (doc != doc[lead]) | (first != first[lead])  # a repeated row is the same document
+            yield _batch(_OCCURRENCES, **_joined(doc[again], first[again], last[again]))
+        if windows:
+            a, b, doc, first = (np.concatenate(x) for x in zip(*windows))
+            order = np.lexsort((first, doc, b, a))
+            a, b, doc, first = (x[order] for x in (a, b, doc, first))
+            head, size = runs(a, b)
+            yield _batch(_OCCURRENCES, window_a=a[head], window_b=b[head], doc_id=doc[head], first=first[head], last=first[head])
+            lead = np.repeat(head, size)
+            again = (doc != doc[lead]) | (first != first[lead])
+            yield _batch(_OCCURRENCES, **_joined(doc[again], first[again], first[again]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(common, bitorder="little")
+        contexts, windows, held = [], [], 0
         for batch in batches:
-            for row, texts in pieces(batch, "text", most=4 * PIECE):
-                yield from found(batch, row, texts, bits)
+            for row, texts in pieces(batch, "text"):
+                more, single = gather(batch, row, texts, bits)
+                contexts += [more] if len(more) else []
+                windows += [single] if len(single) and len(single[0]) else []
+                held += sum(len(t or b"") for t in texts) + 32 * sum(len(w[0]) for w in windows[-1:])
+                if held >= SLICE:
+                    yield from combine(contexts, windows)
+                    contexts, windows, held = [], [], 0
+        yield from combine(contexts, windows)
 
     schema = ", ".join(f"{f.name} long" for f in _OCCURRENCES)
     return candidates.mapInArrow(run, schema)
