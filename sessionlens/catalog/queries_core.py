@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composition as comp
 from ..operators import quality, sessions, usage, views
-from ..sources.bindings import star_trace
+from ..sources.bindings import snapshots, star_trace
 from .registry import query
 
 
@@ -516,7 +516,7 @@ def persistence_counts(spark, root):
 
 @query("W04_snapshot_order", "select snapshot_id, session_id, snapshot_order from v_ordered")
 def snapshot_order(spark, root):
-    return views.ordered_snapshots(star_trace(spark, root).snapshots).select(
+    return views.number_snapshots(snapshots(spark, root)).select(
         "snapshot_id", "session_id", "snapshot_order"
     )
 

@@ -32,12 +32,9 @@ def _flag_descending(order: Column, descending: bool) -> Column:
     return order.desc() if descending else order.asc()
 
 
-# A group up to this many rows is ranked by one task; a larger one is cut into buckets.
-HOT_ROWS = 1_000_000
-
-
 def _in_buckets(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, bucket: Column, descending: bool) -> DataFrame:
-    """Running total of `value` inside each group, computed bucket by bucket."""
+    """Running total of `value` inside each group, computed bucket by bucket: the rows are used twice, once for the
+    bucket sizes and once for the windows, which stay where the join with the offsets has put them."""
     staged = rows.withColumn("__bucket", bucket).withColumn("__value", value)
     by_bucket = _flag_descending(F.col("__bucket"), descending)
     ahead = Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,27 +48,6 @@ def _in_buckets(rows: DataFrame, keys: list[str], order: list[Column], value: Co
     return joined.withColumn(name, F.sum("__value").over(inside) + F.col("__ahead")).drop("__bucket", "__ahead", "__value")
 
 
-def _running(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, bucket: Column, descending: bool, hot_rows: int) -> DataFrame:
-    """Running total per group; only groups above `hot_rows` pay for buckets.
-
-    Sizes come from a pre-aggregated count. Where no group is hot, adaptive execution finds the hot
-    side empty and is left with one shuffle and one window.
-    """
-    if not keys:
-        return _in_buckets(rows, keys, order, value, name, bucket, descending)
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
-    condition = None
-    renamed = hot
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__h_{key}")
-        term = rows[key].eqNullSafe(F.col(f"__h_{key}"))
-        condition = term if condition is None else condition & term
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = rows.join(renamed, condition, "left_anti").withColumn(name, F.sum(value).over(inside))
-    large = _in_buckets(rows.join(renamed, condition, "left_semi"), keys, order, value, name, bucket, descending)
-    return cold.unionByName(large)
-
-
 def numbered(
     df: DataFrame,
     keys: list[str],
@@ -79,7 +55,6 @@ def numbered(
     name: str = "row_number",
     bucket: Column | None = None,
     descending: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based row number of each row inside its group.
 
@@ -89,7 +64,7 @@ def numbered(
     """
     if bucket is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return _running(df, keys, order, F.lit(1).cast("bigint"), name, bucket, descending, hot_rows)
+    return _in_buckets(df, keys, order, F.lit(1).cast("bigint"), name, bucket, descending)
 
 
 def running_sum(
@@ -99,10 +74,9 @@ def running_sum(
     value: Column,
     name: str,
     bucket: Column,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the running total of `value` up to and including each row."""
-    return _running(df, keys, order, value, name, bucket, False, hot_rows)
+    return _in_buckets(df, keys, order, value, name, bucket, False)
 
 
 @dataclass(frozen=True)

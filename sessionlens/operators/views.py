@@ -134,7 +134,13 @@ def time_bucket(column: str, width: int = HOUR_US) -> Column:
 
 
 def ordered_snapshots(snapshots: DataFrame) -> DataFrame:
-    """0-based place of each snapshot in its session: start time, unknown last, then id."""
+    """Snapshots with `snapshot_order`; a table that was numbered at ingest is taken as it is."""
+    return snapshots if "snapshot_order" in snapshots.columns else number_snapshots(snapshots)
+
+
+def number_snapshots(snapshots: DataFrame) -> DataFrame:
+    """0-based place of each snapshot in its session: start time, unknown last, then id. An ingest step: its result is
+    stored with the snapshots, and every analysis of neighbours, windows and lineages reads it."""
     out = numbered(
         snapshots,
         ["session_id"],

@@ -10,10 +10,13 @@ label, because missing facts are what most operators are about.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
+from ..operators.views import number_snapshots
 from ..session import new_folder
 from .trace import Trace
 
@@ -105,7 +108,7 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def ordered_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -114,10 +117,19 @@ def ordered_lines(spark: SparkSession, root: str) -> DataFrame:
     Attempts, usage, blocks and candidates all start here, so the numbering is an ingest step: its
     result is a table, as the facts of a real trace are, on every kind of master.
     """
-    key = (spark.sparkContext.applicationId, root)
+    return _ingested(spark, root, "lines", lambda: numbered_lines(spark, root))
+
+
+def ordered_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Snapshots with their place in the session, numbered once per application like the lines."""
+    return _ingested(spark, root, "snapshots", lambda: number_snapshots(snapshots(spark, root)))
+
+
+def _ingested(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, root, name)
     if key not in _STORED:
-        path = new_folder(spark, "lines")
-        numbered_lines(spark, root).write.parquet(path)
+        path = new_folder(spark, name)
+        make().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -468,7 +480,7 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
 
 MAKERS = {
     "sessions": sessions, "workloads": workloads, "operations": operations, "requests": requests,
-    "attempts": attempts, "usage": usage, "snapshots": snapshots, "blocks": blocks,
+    "attempts": attempts, "usage": usage, "snapshots": ordered_snapshots, "blocks": blocks,
     "metrics": metrics, "deltas": deltas, "events": events, "experiments": experiments,
     "candidates": candidates, "sidecars": sidecars,
 }

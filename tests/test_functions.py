@@ -30,18 +30,18 @@ def test_ratios_and_basis_points(spark):
     assert got[1].r == 5.0 and got[1].bp == 10000 and got[1].ppm == 1000000
 
 
-@pytest.mark.parametrize("hot_rows", [0, 7, 10_000])
-def test_numbering_does_not_depend_on_the_split(spark, hot_rows):
+@pytest.mark.parametrize("width", [1, 9, 10_000])
+def test_numbering_does_not_depend_on_the_split(spark, width):
     rng = random.Random(1)
     data = [(rng.choice(["hot"] * 5 + ["a", "b", None]), i, rng.randrange(50)) for i in range(400)]
     rows = spark.createDataFrame(data, "k string, id bigint, t bigint").repartition(7)
-    got = numbered(rows, ["k"], [F.col("t").asc(), F.col("id").asc()], "n", F.floor(F.col("t") / 9), hot_rows=hot_rows)
+    got = numbered(rows, ["k"], [F.col("t").asc(), F.col("id").asc()], "n", F.floor(F.col("t") / width))
     want = {}
     for key in {d[0] for d in data}:
         for n, d in enumerate(sorted((d for d in data if d[0] == key), key=lambda d: (d[2], d[1])), 1):
             want[d[1]] = n
     assert {r.id: r.n for r in got.collect()} == want
-    total = running_sum(rows, ["k"], [F.col("t").asc(), F.col("id").asc()], F.col("t"), "s", F.floor(F.col("t") / 9), hot_rows=hot_rows)
+    total = running_sum(rows, ["k"], [F.col("t").asc(), F.col("id").asc()], F.col("t"), "s", F.floor(F.col("t") / width))
     sums = {}
     for key in {d[0] for d in data}:
         run = 0
