@@ -109,8 +109,8 @@ def _read_sets(batches: Iterator[pa.RecordBatch]) -> Read:
 
 
 def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] = _read_texts) -> DataFrame:
-    """For each row of `docs` (doc_id, text): doc_id, n, sig_a, sig_b; and rows (doc_id, shared) with parts of how
-    many of its shingles stand in other rows, and rows (common) with places of the filter for common shingles."""
+    """For each row of `docs` (doc_id, text): doc_id, n, sig_a, sig_b and how many of its shingles stand in other rows;
+    and rows (common) with places of the filter for common shingles."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -147,7 +147,8 @@ def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] =
         for batch in batches:
             docs_only = batch.filter(pc.is_null(batch.column("payload")))
             if docs_only.num_rows:
-                yield docs_only.drop_columns(["shard", "payload"])
+                home = _home(np.asarray(docs_only.column("doc_id"), np.int64), shards)
+                yield docs_only.set_column(0, "shard", pa.array(home))
             for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if payload.is_valid:
                     parts.setdefault(shard, []).append(unpack(payload.as_py()))
@@ -158,13 +159,38 @@ def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] =
             begin, slices = runs(key)
             total = np.add.reduceat(count, begin)
             told, times = np.unique(doc[np.repeat(slices > 1, slices) & (count == 1)], return_counts=True)
-            yield _batch(doc_id=told, shared=times).drop_columns(["shard", "payload"])
+            home = _home(told, shards)
+            order = np.argsort(home, kind="stable")
+            full, replies = by_shard(home[order], np.zeros(len(told), np.uint32), told[order], times[order], shards)
+            yield _batch(shard=full, payload=replies)
             places = np.unique(filter_place(key[begin[total >= COMMON]].astype(np.uint64) | (np.uint64(shard) << np.uint64(32))))
-            yield _batch(common=places).drop_columns(["shard", "payload"])
+            yield _batch(common=places, shard=np.zeros(len(places), np.int32))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, told, times = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            plain = pc.is_null(batch.column("payload"))
+            rows.append(batch.filter(plain).drop_columns(["shard", "payload"]))
+            for payload in batch.filter(pc.invert(plain)).column("payload"):
+                _, docs, counts = unpack(payload.as_py())
+                told.append(docs)
+                times.append(counts.astype(np.int64))
+        told, at = np.unique(np.concatenate(told), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate(times), minlength=len(told)).astype(np.int64)
+        for batch in rows:
+            ids = np.asarray(batch.column("doc_id").fill_null(-1), np.int64)
+            place = np.minimum(np.searchsorted(told, ids), max(len(told) - 1, 0))
+            more = np.where(told[place] == ids, sums[place], 0) if len(told) else np.zeros(len(ids), np.int64)
+            yield batch.set_column(4, "shared", pc.add(batch.column("shared"), pa.array(more)))
 
     schema = ", ".join(f"{f.name} {'int' if f.name == 'shard' else 'binary' if f.name == 'payload' else 'long'}" for f in _RECORDS)
-    packed = docs.mapInArrow(scan, schema)
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(meet, _REPLIES)
+    counted = docs.mapInArrow(scan, schema).repartitionById(shards, F.col("shard")).mapInArrow(meet, schema)
+    return counted.repartitionById(shards, F.col("shard")).mapInArrow(total, _REPLIES)
+
+
+def _home(ids: np.ndarray, shards: int) -> np.ndarray:
+    """The task that adds up what a document shares."""
+    return (mixed(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -349,16 +375,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = sharing(rows).groupBy("doc_id", "sig_a", "sig_b").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-    told = stored(spark, told.where("doc_id IS NOT NULL"), "sharing")
-    texts = told.where("n IS NOT NULL").select("doc_id", "sig_a", "sig_b", "n")
-    shared = told.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    kept = texts.where("n > 0").join(shared, "doc_id").where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
+    told = sharing(rows).where("n IS NOT NULL").groupBy("doc_id", "sig_a", "sig_b").agg(F.max("n").alias("n"), F.max("shared").alias("shared"))
+    texts = stored(spark, told, "sharing")
+    kept = texts.where("n > 0").where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
     kept = stored(spark, kept.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id")), "kept")
     sets = stored(spark, _sets(rows, kept), "sets")
     # Equal texts are one vertex now: what each shares with other vertices is less than what it shared with rows.
     told = stored(spark, sharing(sets.select("id", "shingles"), _read_sets), "sharing")
-    shared = told.where("shared IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.sum("shared").alias("shared"))
+    shared = told.where("n IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("shared").alias("shared"))
     keys = stored(spark, _keys(sets.join(shared, "id"), common_bits(told), shards), "keys")
     hubs = stored(spark, _hub_links(keys, sets), "hubs")
     near = components(hubs)
