@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels
 from ..operators import ingest
@@ -364,18 +365,42 @@ def stale_recovery(spark, root):
     return eventlog.recovery_counts(star_trace(spark, root), "2025-01-01 00:00:00")
 
 
-@query("T12_live_deltas")
+@query(
+    "T12_live_deltas",
+    """select conv_id as session_id, conv_id * 1000 + turn as current_snapshot_id, conv_id * 1000 + before as previous_snapshot_id, n as repeated_blocks,
+         0 as changed_blocks, 1 as new_blocks, 0 as removed_blocks, cast(t as bigint) as repeated_tokens, length(text) as new_tokens, n as common_prefix_blocks
+       from (select *, lag(turn) over w as before, count(*) over p as n, sum(length(text)) over p as t from conversations
+             window w as (partition by conv_id order by turn), p as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding))
+       where before is not null""",
+)
 def live_deltas(spark, root):
-    """Deltas of dialogue snapshots (all turns so far) computed statefully, one snapshot per turn."""
+    """Deltas of dialogue snapshots, each holding all turns so far, as they arrive on a stream."""
     folder = _scratch(spark)
-    schema = read(spark, root, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(root)
-    snapshots = turns.select(
+    turns = read(spark, root, "conversations")
+    earlier = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.col("text").alias("x"))
+    block = F.struct("t", F.sha2("x", 256).alias("exact"), F.sha2("r", 256).alias("semantic"), F.length("x").cast("bigint").alias("tokens"))
+    whole = turns.join(earlier, (F.col("conv_id") == F.col("c")) & (F.col("t") <= F.col("turn"))).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    snapshots = whole.select(
         F.col("conv_id").cast("bigint").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("snapshot_id"),
         F.col("turn").cast("bigint").alias("position"),
-        F.array(F.struct(F.sha2("text", 256).alias("exact"), F.sha2("role", 256).alias("semantic"), F.length("text").cast("bigint").alias("tokens"))).alias("blocks"),
+        F.transform("b", lambda x: F.struct(x["exact"].alias("exact"), x["semantic"].alias("semantic"), x["tokens"].alias("tokens"))).alias("blocks"),
     )
-    return eventlog.run_to_table(eventlog.live_deltas(snapshots), spark, f"{folder}/deltas", f"{folder}/state", "append")
+    snapshots.write.parquet(f"{folder}/in")
+    return eventlog.live_deltas(spark.readStream.schema(snapshots.schema).parquet(f"{folder}/in"), spark, folder)
+
+
+@query("T02_stateful_fold", _FOLD)
+def stateful_fold(spark, root):
+    """The same observations from the stateful form, over several micro-batches."""
+    folder = _scratch(spark)
+    chunks = stream_chunks(spark, root)
+    half = F.max("seq").over(Window.partitionBy("attempt_id")) / 2
+    placed = chunks.withColumn("late", F.col("seq") > half)
+    for late in (False, True):
+        placed.where(F.col("late") == late).select("attempt_id", "seq", "chunk", "closing").write.mode("append").parquet(f"{folder}/in/{int(late)}")
+    first = len(spark.read.parquet(f"{folder}/in/0").inputFiles())
+    stream = spark.readStream.schema(placed.select("attempt_id", "seq", "chunk", "closing").schema).option("maxFilesPerTrigger", first).parquet(f"{folder}/in/*")
+    return eventlog.run_to_table(sse.observe_stream(stream), spark, f"{folder}/out", f"{folder}/state", "append")
 
 
 @query(

@@ -227,19 +227,6 @@ def report_sink(spark, root):
     return spark.read.parquet(f"{folder}/parquet/by_kind").select("name", "block_count", "bytes")
 
 
-@query(
-    "S12_generated_trace",
-    """select (select count(*) from customer) as sessions, (select count(*) from customer) * 12 as blocks,
-         (select count(*) from customer) * 3 as requests""",
-)
-def generated_trace(spark, root):
-    """The synthetic generator scaled by the number of customers."""
-    sessions = read(spark, root, "customer").count()
-    trace = files.generate_trace(spark, sessions, 3, 4)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(trace.sessions, "sessions").crossJoin(n(trace.blocks, "blocks")).crossJoin(n(trace.requests, "requests"))
-
-
 @query(
     "P14_privacy_projection",
     "select block_id, kind, role, origin, raw_bytes, estimated_tokens from t_blocks",

@@ -6,9 +6,12 @@ They run inside Arrow-batched pandas UDFs; a caller passes NULL for rows that ne
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -234,19 +237,29 @@ def _json_candidate(text: str, candidate: str):
 
 
 def block_runs(lines: list[str]):
-    """Greedy cover by the pattern of 2..8 lines that repeats over the most lines."""
+    """Cover of the lines by repeated patterns of 2 to 8 lines: from each place on, the pattern over the most lines.
+
+    For each pattern size, line i is compared with line i + size once; the length of the run of equal
+    pairs from a place gives the repeats there.
+    """
+    n = len(lines)
+    ids = pd.factorize(pd.Series(lines, dtype=object))[0] if n else np.zeros(0, int)
+    covered, repeats = np.ones(n, int), {1: np.ones(n, int)}
+    sizes = np.ones(n, int)
+    for size in range(2, 9):
+        if 2 * size > n:
+            break
+        equal = ids[:-size] == ids[size:]
+        stop = np.flatnonzero(np.append(~equal, True))
+        run = stop[np.searchsorted(stop, np.arange(len(equal)))] - np.arange(len(equal))
+        repeats[size] = np.pad(run // size + 1, (0, size), constant_values=1)
+        gain = np.where(repeats[size] > 1, size * repeats[size], 0)
+        sizes, covered = np.where(gain > covered, size, sizes), np.maximum(covered, gain)
     at = 0
-    while at < len(lines):
-        best = None
-        for size in range(2, min(8, (len(lines) - at) // 2) + 1):
-            times = 1
-            while lines[at:at + size] == lines[at + times * size:at + (times + 1) * size]:
-                times += 1
-            if times > 1 and (best is None or size * times > best[0] * best[1]):
-                best = (size, times)
-        size, times = best or (1, 1)
-        yield times, lines[at:at + size]
-        at += size * times
+    while at < n:
+        size = int(sizes[at])
+        yield int(repeats[size][at]), lines[at : at + size]
+        at += int(covered[at])
 
 
 def block_fold(text: str):
@@ -284,55 +297,66 @@ def structured_candidate(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
 MATCHES = _row(matches=T.ArrayType(_row(file=_TEXT, line=_LONG, text=_TEXT)), leftovers=T.ArrayType(_TEXT))
 
 
-def _number(text: str):
-    digits = text[1:] if text.startswith("+") else text
-    return int(digits) if digits.isascii() and digits.isdigit() else None
+_HEADING = re.compile(r"[^ ]+:")
+_UNDER_HEADING = re.compile(r"\+?([0-9]+)\t(.*)", re.DOTALL)
+_PLAIN = re.compile(r"([^:]*):\+?([0-9]+):(.*)", re.DOTALL)
+_JSON_START = re.compile(r"\s*[{\[\"\-0-9tfn]")
+_QUIET_EVENTS = {"begin", "end", "summary"}
+
+
+class _Malformed(Exception):
+    """A match event without its fields: the text is no search output."""
+
+
+def _grouped_lines(text: str) -> list[tuple[str | None, str]]:
+    """Lines that carry something, each with the heading it stands under."""
+    lines = [x.removesuffix("\r") for x in text.split("\n")]
+    lines = [x for x in lines if x and x != "[search results]"]
+    is_heading = [bool(_HEADING.fullmatch(x)) for x in lines]
+    headings = accumulate(zip(lines, is_heading), lambda h, x: x[0][:-1] if x[1] else h, initial="")
+    return [(h or None, x) for h, x, own in zip(islice(headings, 1, None), lines, is_heading) if not own]
+
+
+def _json_line(line: str) -> tuple[list, list] | None:
+    """(matches, leftovers) of a line that is a JSON value."""
+    if not _JSON_START.match(line):
+        return None
+    try:
+        value = strict(line)
+    except (ValueError, RecursionError):
+        return None
+    kind = value.get("type") if isinstance(value, dict) else None
+    if kind != "match":
+        return [], [] if kind in _QUIET_EVENTS else ["structured_event"]
+    try:
+        data = value["data"]
+        file, number, body = data["path"]["text"], data["line_number"], data["lines"]["text"].rstrip("\r\n")
+    except (KeyError, TypeError, AttributeError) as error:
+        raise _Malformed from error
+    if not isinstance(file, str) or not isinstance(number, int) or number < 0:
+        raise _Malformed
+    return [(file, number, body)], []
+
+
+def _read_line(heading: str | None, line: str) -> tuple[list, list]:
+    under = _UNDER_HEADING.fullmatch(line) if heading is not None else None
+    if under:
+        return [(heading, int(under[1]), under[2].replace("\\n", "\n"))], []
+    value = _json_line(line)
+    if value is not None:
+        return value
+    plain = _PLAIN.fullmatch(line)
+    return ([(plain[1], int(plain[2]), plain[3])], []) if plain else ([], [line])
 
 
 def parse_search(text: str):
     """Matches and other lines of `path:line:text`, grouped or JSON-lines search output."""
-    matches, rest, group = [], [], None
-    for line in text.split("\n"):
-        line = line.removesuffix("\r")
-        if not line or line == "[search results]":
-            continue
-        if line.endswith(":") and len(line) > 1 and " " not in line:
-            group = line[:-1]
-            continue
-        if group is not None and "\t" in line:
-            number, _, body = line.partition("\t")
-            if _number(number) is not None:
-                matches.append((group, _number(number), body.replace("\\n", "\n")))
-                continue
-        if line.lstrip()[:1] in tuple('{["-0123456789tfn'):
-            try:
-                value = strict(line)
-            except (ValueError, RecursionError):
-                value = _absent
-            if value is not _absent:
-                kind = value.get("type") if isinstance(value, dict) else None
-                if kind == "match":
-                    try:
-                        data = value["data"]
-                        item = (data["path"]["text"], data["line_number"], data["lines"]["text"].rstrip("\r\n"))
-                    except (KeyError, TypeError, AttributeError):
-                        return None
-                    if not isinstance(item[0], str) or not isinstance(item[1], int) or item[1] < 0:
-                        return None
-                    matches.append(item)
-                elif kind not in ("begin", "end", "summary"):
-                    rest.append("structured_event")
-                continue
-        fields = line.split(":", 2)
-        number = _number(fields[1]) if len(fields) == 3 else None
-        if number is None:
-            rest.append(line)
-        else:
-            matches.append((fields[0], number, fields[2]))
-    return (sorted(matches), rest) if matches else None
-
-
-_absent = object()
+    try:
+        read = [_read_line(h, x) for h, x in _grouped_lines(text)]
+    except _Malformed:
+        return None
+    matches = sorted(m for found, _ in read for m in found)
+    return (matches, [x for _, rest in read for x in rest]) if matches else None
 
 
 @F.pandas_udf(MATCHES)
@@ -400,8 +424,6 @@ def json_shape(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def _envelope(text: str):
     """Search output inside exactly one string of a JSON document; the rest stays byte for byte."""
-    import re
-
     try:
         strict(text)
     except (ValueError, RecursionError):

@@ -297,41 +297,52 @@ def arm_usage(requests: DataFrame, keys: list[str]) -> DataFrame:
     return requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), *[complete_sum(c).alias(c) for c in columns])
 
 
+def arm_weights(maps: DataFrame, arms: list[str]) -> DataFrame:
+    """One row a fingerprint with its weight in every arm, NULL where the arm lacks it: one shuffle for all set algebra."""
+    weight = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("weight")))
+    return maps.where(F.col("arm").isin(*arms)).groupBy("fp").agg(*[weight(arm).alias(arm) for arm in dict.fromkeys(arms)])
+
+
+def _total(condition: Column, weight: Column | str) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col(weight) if isinstance(weight, str) else weight)), F.lit(0))
+
+
+def _lost(left: str, right: str) -> Column:
+    """Tokens of blocks that the left arm has and the right one lacks."""
+    return _total(F.col(left).isNotNull() & F.col(right).isNull(), left)
+
+
 def attribution(maps: DataFrame, control: str, ignored: str, markers: dict[str, str]) -> DataFrame:
     """Where instruction tokens come from: common, control only, ignored only and per marker arm."""
     arms = [control, ignored, *markers.values()]
-    a, b = arm_of(maps, control), arm_of(maps, ignored)
-    shared = common_blocks(maps.where(F.col("arm").isin(*arms)), "arm", len(arms))
-    out = weight_of(shared, "common_tokens").crossJoin(
-        shared.agg(F.coalesce(F.bool_and("consistent"), F.lit(True)).alias("weight_consistent"))
-    )
-    out = out.crossJoin(weight_of(only_in(a, b), f"{control}_only_tokens")).crossJoin(weight_of(only_in(b, a), f"{ignored}_only_tokens"))
+    everywhere = F.lit(True)
+    for arm in arms:
+        everywhere = everywhere & F.col(arm).isNotNull()
+    least, greatest = F.least(*arms), F.greatest(*arms)
+    sums = [
+        _total(everywhere, least).alias("common_tokens"), F.coalesce(F.bool_and(F.when(everywhere, least == greatest)), F.lit(True)).alias("weight_consistent"),
+        _lost(control, ignored).alias(f"{control}_only_tokens"), _lost(ignored, control).alias(f"{ignored}_only_tokens"),
+    ]
     for name, arm in markers.items():
-        m = arm_of(maps, arm)
-        out = out.crossJoin(weight_of(only_in(m, b), f"{name}_only_tokens")).crossJoin(weight_of(only_in(b, m), f"{name}_removed_tokens"))
-    return out
+        sums += [_lost(arm, ignored).alias(f"{name}_only_tokens"), _lost(ignored, arm).alias(f"{name}_removed_tokens")]
+    return arm_weights(maps, arms).agg(*sums)
 
 
 def layer_decomposition(maps: DataFrame, baseline: str, twin: str, layers: dict[str, str], combined: str, ignored: str) -> DataFrame:
     """Tokens each layer removes and adds, and how far single layers explain the combined removal."""
-    base = arm_of(maps, baseline)
-    out = maps_equal(base, arm_of(maps, twin)).select(F.col("equal").alias("baseline_match"))
-    removed = {}
-    for name, arm in {**layers, "combined": combined}.items():
-        other = arm_of(maps, arm)
-        removed[name] = only_in(base, other)
-        out = out.crossJoin(weight_of(removed[name], f"{name}_removed_tokens")).crossJoin(weight_of(only_in(other, base), f"{name}_added_tokens"))
-    single = None
-    for name in layers:
-        single = removed[name] if single is None else single.unionByName(removed[name])
-    single = single.select("fp").distinct()
-    explained = removed["combined"].join(single, "fp", "left_semi")
-    alone = removed["combined"].join(single, "fp", "left_anti")
-    none, ign = arm_of(maps, combined), arm_of(maps, ignored)
-    return (
-        out.crossJoin(weight_of(explained, "explained_tokens")).crossJoin(weight_of(alone, "interaction_only_tokens"))
-        .crossJoin(weight_of(only_in(none, ign), "combined_only_tokens")).crossJoin(weight_of(only_in(ign, none), "ignored_only_tokens"))
-    )
+    base, every = F.col(baseline), {**layers, "combined": combined}
+    sums = [F.coalesce(F.bool_and(F.when(base.isNotNull() | F.col(twin).isNotNull(), base.eqNullSafe(F.col(twin)))), F.lit(True)).alias("baseline_match")]
+    for name, arm in every.items():
+        sums += [_lost(baseline, arm).alias(f"{name}_removed_tokens"), _lost(arm, baseline).alias(f"{name}_added_tokens")]
+    single = F.lit(False)
+    for arm in layers.values():
+        single = single | F.col(arm).isNull()
+    removed = base.isNotNull() & F.col(combined).isNull()
+    sums += [
+        _total(removed & single, baseline).alias("explained_tokens"), _total(removed & ~single, baseline).alias("interaction_only_tokens"),
+        _lost(combined, ignored).alias("combined_only_tokens"), _lost(ignored, combined).alias("ignored_only_tokens"),
+    ]
+    return arm_weights(maps, [baseline, twin, *every.values(), ignored]).agg(*sums)
 
 
 def recurrence(blocks: DataFrame) -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import sys
-from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.measures import count_where
+from ..operators.delta import context_deltas
 from ..sources.trace import Trace
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,84 +107,42 @@ def stale_after(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 # --- live deltas -------------------------------------------------------------------------------------------
 
 
-def compare(before: list, after: list) -> dict:
-    """Delta of two block lists of (exact, semantic, tokens), in block order."""
-    exact = Counter(b[0] for b in before if b[0] is not None)
-    used, preferred = Counter(), Counter()
-    repeated, open_blocks = [], []
-    for block in after:
-        if exact[block[0]] > 0:
-            exact[block[0]] -= 1
-            used[block[0]] += 1
-            preferred[(block[0], block[1])] += 1
-            repeated.append(block)
-        else:
-            open_blocks.append(block)
-    left = []
-    for block in before:
-        key = (block[0], block[1])
-        if preferred[key] > 0:
-            preferred[key] -= 1
-            used[block[0]] -= 1
-        else:
-            left.append(block)
-    rest = []
-    for block in left:
-        if used[block[0]] > 0:
-            used[block[0]] -= 1
-        else:
-            rest.append(block)
-    semantic = Counter(b[1] for b in rest if b[1] is not None)
-    changed, new = 0, []
-    for block in open_blocks:
-        if block[1] is not None and semantic[block[1]] > 0:
-            semantic[block[1]] -= 1
-            changed += 1
-        else:
-            new.append(block)
-    total = lambda blocks: None if any(b[2] is None for b in blocks) else sum(b[2] for b in blocks)
-    prefix = []
-    for old, block in zip(before, after):
-        if old[0] is None or old[0] != block[0]:
-            break
-        prefix.append(block)
-    return {
-        "repeated_blocks": len(repeated), "changed_blocks": changed, "new_blocks": len(new), "removed_blocks": len(rest) - changed,
-        "repeated_tokens": total(repeated), "new_tokens": total(new), "common_prefix_blocks": len(prefix),
-    }
-
-
-DELTA = (
-    "session_id bigint, current_snapshot_id bigint, previous_snapshot_id bigint, repeated_blocks bigint, changed_blocks bigint,"
-    " new_blocks bigint, removed_blocks bigint, repeated_tokens bigint, new_tokens bigint, common_prefix_blocks bigint"
-)
-
-
-def live_deltas(snapshots: DataFrame) -> DataFrame:
-    """Delta of each arriving snapshot against the session's previous one.
+def live_deltas(snapshots: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Delta of each arriving snapshot against the session's previous one, by the batch operator.
 
-    Expects (session_id, snapshot_id, position, blocks) with blocks a bounded array of
-    (exact, semantic, tokens). State is the last block list of the session.
+    Expects a stream of (session_id, snapshot_id, position, blocks) with blocks an array of (exact, semantic,
+    tokens). A micro-batch reads the last snapshot of each session from the table its predecessor
+    left, and writes its deltas and the new last snapshots to folders named by its number: a batch that
+    is run again writes the same again. Returns all deltas.
     """
+    last = "session_id bigint, snapshot_id bigint, position bigint, blocks array<struct<exact: string, semantic: string, tokens: bigint>>"
+
+    def step(arrived: DataFrame, number: int) -> None:
+        own = arrived.sparkSession
+        before = own.read.schema(last).parquet(f"{folder}/last/{number - 1}") if number else own.createDataFrame([], last)
+        rows = before.unionByName(arrived.select("session_id", "snapshot_id", "position", "blocks"))
+        in_order = Window.partitionBy("session_id").orderBy("position")  # what one batch brings of a session
+        pairs = rows.select(
+            "session_id", F.col("snapshot_id").alias("current_snapshot_id"), F.lag("snapshot_id").over(in_order).alias("previous_snapshot_id"),
+            F.lit("complete").alias("current_status"), F.lit("complete").alias("previous_status"),
+        ).where("previous_snapshot_id is not null")
+        blocks = rows.select("snapshot_id", F.posexplode("blocks").alias("ordinal", "b")).select(
+            "snapshot_id", "ordinal", F.col("b.exact").alias("exact_fp"), F.col("b.semantic").alias("semantic_fp"), F.col("b.tokens").alias("estimated_tokens")
+        )
+        found = context_deltas(pairs, blocks).join(pairs.select("session_id", "current_snapshot_id"), "current_snapshot_id")
+        found.select(*LIVE).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
+        newest = rows.groupBy("session_id").agg(F.max_by(F.struct("snapshot_id", "position", "blocks"), "position").alias("s")).select("session_id", "s.*")
+        newest.write.mode("overwrite").parquet(f"{folder}/last/{number}")
+
+    query = snapshots.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/deltas").select(*LIVE)
+
 
-    def step(key, batches: Iterator[pd.DataFrame], state):
-        last = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("position")
-        out = []
-        for snapshot, blocks in zip(rows["snapshot_id"], rows["blocks"]):
-            now = [(b["exact"], b["semantic"], None if b["tokens"] is None or b["tokens"] != b["tokens"] else int(b["tokens"])) for b in blocks]
-            if last is not None:
-                before = [tuple(b) for b in last["blocks"]]
-                out.append({"session_id": key[0], "current_snapshot_id": int(snapshot), "previous_snapshot_id": last["id"], **compare(before, now)})
-            last = {"id": int(snapshot), "blocks": now}
-        state.update((json.dumps(last),))
-        if out:
-            frame = pd.DataFrame(out)
-            for column in ("repeated_tokens", "new_tokens"):
-                frame[column] = frame[column].astype("Int64")
-            yield frame
-
-    return snapshots.groupBy("session_id").applyInPandasWithState(step, DELTA, "last string", "append", "NoTimeout")
+LIVE = (
+    "session_id", "current_snapshot_id", "previous_snapshot_id", "repeated_blocks", "changed_blocks", "new_blocks", "removed_blocks",
+    "repeated_tokens", "new_tokens", "common_prefix_blocks",
+)
 
 
 def recovery_counts(trace: Trace, recovered_at) -> DataFrame:

@@ -8,6 +8,7 @@ gives the same result for any cut of the stream.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -128,99 +129,72 @@ def fold_events(events: DataFrame, closings: DataFrame, key: str = "attempt_id")
 # --- stateful form ---------------------------------------------------------------------------------------
 
 
-class Fold:
-    """Framing and observation of one stream, kept as a small JSON state."""
-
-    def __init__(self, saved: str | None):
-        self.s = json.loads(saved) if saved else {
-            "line": "", "cr": False, "name": None, "data": "", "size": 0, "events": 0, "late": 0, "id": None, "model": None,
-            "error": None, "usage": None, "state": None, "terminal": False, "status": 0, "broken": False,
-        }
-
-    def save(self) -> str:
-        return json.dumps(self.s)
-
-    def feed(self, chunk: str) -> None:
-        s = self.s
-        for char in chunk:
-            if s["cr"]:
-                s["cr"] = False
-                self._line()
-                if char == "\n":
-                    continue
-            if char == "\r":
-                s["cr"] = True
-            elif char == "\n":
-                self._line()
-            else:
-                s["line"] += char
-
-    def close(self, closing: str) -> None:
-        s = self.s
-        if s["cr"] or s["line"]:
-            s["cr"] = False
-            self._line()
-        if s["name"] is not None or s["data"]:
-            self._emit()
-        if not s["terminal"]:
-            s["state"], status = CLOSINGS[closing]
-            s["status"] = max(s["status"], SEVERITY.index(status))
-        elif s["state"] == "completed" and s["usage"] is None:
-            s["status"] = max(s["status"], 1)
-
-    def _line(self) -> None:
-        s = self.s
-        line, s["line"] = s["line"], ""
-        if not line:
-            if s["name"] is not None or s["data"]:
-                self._emit()
-            s["size"] = 0
-            return
-        s["size"] += len(line.encode()) + (1 if s["size"] else 0)
-        if line.startswith(":"):
-            return
-        field, _, value = line.partition(":")
-        value = value.removeprefix(" ")
-        if field == "event":
-            s["name"] = value
-        elif field == "data":
-            s["data"] += ("\n" if s["data"] else "") + value
-
-    def _emit(self) -> None:
-        s = self.s
-        name, data = s["name"], s["data"]
-        s["name"], s["data"], s["size"] = None, "", 0
-        if s["terminal"]:
-            s["late"] += 1
-            return
-        s["events"] += 1
-        state = STATES.get(name)
-        try:
-            document = json.loads(data)
-        except ValueError:
-            if state is not None:
-                s["status"] = max(s["status"], 1)
-            return
-        body = document.get("response", document) if isinstance(document, dict) else {}
-        body = body if isinstance(body, dict) else {}
-        text = lambda v: v if isinstance(v, str) else None
-        s["id"] = s["id"] if s["id"] is not None else text(body.get("id"))
-        s["model"] = s["model"] if s["model"] is not None else text(body.get("model"))
-        error = body.get("error")
-        if s["error"] is None and isinstance(error, dict):
-            s["error"] = text(error.get("code"))
-        if isinstance(body.get("usage"), dict):
-            s["usage"] = json.dumps(body["usage"], separators=(",", ":"), sort_keys=True)
-        if state is not None:
-            s["state"] = state
-            s["terminal"] = state in TERMINAL
-
-    def row(self) -> dict:
-        s = self.s
-        return {
-            "response_id": s["id"], "model": s["model"], "error_code": s["error"], "usage": s["usage"], "state": s["state"],
-            "status": SEVERITY[s["status"]], "terminal": s["terminal"], "events": s["events"], "late_events": s["late"],
-        }
+def cut_events(text: str, final: bool = False) -> tuple[list[tuple[str | None, str]], str]:
+    """Complete (event, data) pairs of a stretch of a stream, and the text that waits for more.
+
+    The same rules as `frame_events`, by pattern: line ends become line feeds, blank lines part events. A
+    carriage return at the very end waits, since a line feed may follow.
+    """
+    held = "\r" if text.endswith("\r") and not final else ""
+    body = re.sub("\r\n?", "\n", text[: len(text) - len(held)])
+    whole, _, rest = (body, "", "") if final else body.rpartition("\n\n")
+    found = []
+    for block in filter(None, re.split("\n{2,}", whole)):
+        fields = [(name, value.removeprefix(" ")) for name, _, value in (line.partition(":") for line in block.split("\n"))]
+        names = [value for name, value in fields if name == "event"]
+        data = "\n".join(value for name, value in fields if name == "data").lstrip("\n")
+        if names or data:
+            found.append((names[-1] if names else None, data))
+    return found, rest + held
+
+
+def _parsed(data: str):
+    try:
+        return json.loads(data)
+    except ValueError:
+        return None
+
+
+def observe(seen: dict, events: list[tuple[str | None, str]]) -> dict:
+    """An observation with more events: the first id, model and error code, the last usage and state up to the
+    terminal event; what comes after it only counts."""
+    rows = [(STATES.get(name), _parsed(data)) for name, data in events]
+    ends = [i for i, (state, doc) in enumerate(rows) if state in TERMINAL and doc is not None]
+    live = rows[: 0 if seen["terminal"] else ends[0] + 1 if ends else len(rows)]
+    bodies = [doc.get("response", doc) for _, doc in live if isinstance(doc, dict)]
+    bodies = [b for b in bodies if isinstance(b, dict)]
+    errors = [b["error"] for b in bodies if isinstance(b.get("error"), dict)]
+    usages = [b["usage"] for b in bodies if isinstance(b.get("usage"), dict)]
+    states = [state for state, doc in live if state is not None and doc is not None]
+    broken = any(state is not None and doc is None for state, doc in live)
+
+    def first(known, found: list, field: str):
+        return known if known is not None else next((x[field] for x in found if isinstance(x.get(field), str)), None)
+
+    return {
+        "response_id": first(seen["response_id"], bodies, "id"),
+        "model": first(seen["model"], bodies, "model"),
+        "error_code": first(seen["error_code"], errors, "code"),
+        "usage": json.dumps(usages[-1], separators=(",", ":"), sort_keys=True) if usages else seen["usage"],
+        "state": states[-1] if states else seen["state"],
+        "status": max(seen["status"], SEVERITY.index("partial") if broken else 0),
+        "terminal": seen["terminal"] or bool(ends),
+        "events": seen["events"] + len(live),
+        "late_events": seen["late_events"] + len(rows) - len(live),
+    }
+
+
+NOTHING = dict(response_id=None, model=None, error_code=None, usage=None, state=None, status=0, terminal=False, events=0, late_events=0)
+
+
+def closed(seen: dict, closing: str) -> dict:
+    """The observation of a stream that ended: without a terminal event it takes state and status of its closing."""
+    status = seen["status"]
+    if not seen["terminal"]:
+        state, worse = CLOSINGS[closing]
+        return {**seen, "state": state, "status": SEVERITY[max(status, SEVERITY.index(worse))]}
+    bare = seen["state"] == "completed" and seen["usage"] is None
+    return {**seen, "status": SEVERITY[max(status, SEVERITY.index("partial")) if bare else status]}
 
 
 OBSERVATION = (
@@ -238,23 +212,19 @@ def observe_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> Dat
     by attempt gives that) and are ordered by `seq` within a batch.
     """
     def step(key, batches: Iterator[pd.DataFrame], state):
-        fold = Fold(state.get[0] if state.exists else None)
-        closing = None
-        if state.hasTimedOut:
-            closing = "disconnect"
-        else:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for chunk, end in zip(rows["chunk"], rows["closing"]):
-                fold.feed(chunk or "")
-                closing = end if isinstance(end, str) else closing
-        if closing is None:
-            state.update((fold.save(),))
-            if timeout_minutes is not None:
-                state.setTimeoutDuration(timeout_minutes * 60_000)
+        rest, seen = json.loads(state.get[0]) if state.exists else ("", NOTHING)
+        rows = pd.DataFrame() if state.hasTimedOut else pd.concat(list(batches)).sort_values("seq")
+        ends = ["disconnect"] if state.hasTimedOut else [c for c in rows["closing"] if isinstance(c, str)]
+        text = rest + ("" if state.hasTimedOut else "".join(c for c in rows["chunk"] if isinstance(c, str)))
+        events, rest = cut_events(text, final=bool(ends))
+        seen = observe(seen, events)
+        if ends:
+            state.remove()
+            yield pd.DataFrame([{"attempt_id": key[0], **closed(seen, ends[-1])}])
             return
-        fold.close(closing)
-        state.remove()
-        yield pd.DataFrame([{"attempt_id": key[0], **fold.row()}])
+        state.update((json.dumps([rest, seen]),))
+        if timeout_minutes is not None:
+            state.setTimeoutDuration(timeout_minutes * 60_000)
 
     return chunks.groupBy("attempt_id").applyInPandasWithState(
         step, OBSERVATION, "fold string", "append", "NoTimeout" if timeout_minutes is None else "ProcessingTimeTimeout"

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from sessionlens.functions.jsontext import NAME, block_fold, block_runs
 from sessionlens.operators import blocktext, composition, delta, ingest, lineage, quality, reduce, sessions
 from sessionlens.plans import experiments
-from sessionlens.sources.files import generate_trace
 from sessionlens.sources.trace import Trace, UnknownSessions, cohort
-from sessionlens.streaming.eventlog import close_stale_sessions, compare
+from sessionlens.streaming.eventlog import close_stale_sessions
+
+from trace_maker import generate_trace
 
 
 @pytest.fixture(scope="module")
@@ -72,16 +74,45 @@ def test_delta_of_very_long_snapshots(spark):
     assert (row.status, row.repeated_blocks, row.new_blocks, row.common_prefix_blocks) == ("complete", 9000, 1, 9000)
 
 
+def delta_by_fingerprint(before, after):
+    """The delta rules said per fingerprint: which blocks pair off exactly, then by meaning."""
+    repeated, fresh, left = [], [], []
+    for exact in {b[0] for b in [*before, *after]}:
+        old, now = [b for b in before if b[0] == exact], [b for b in after if b[0] == exact]
+        pairs = min(len(old), len(now))
+        repeated += now[:pairs]
+        fresh += now[pairs:]
+        wanted = Counter(b[1] for b in now[:pairs])
+        of_meaning = {m: [i for i, b in enumerate(old) if b[1] == m][:n] for m, n in wanted.items()}
+        used = [i for places in of_meaning.values() for i in places]
+        used += [i for i in range(len(old)) if i not in used][: pairs - len(used)]
+        left += [b for i, b in enumerate(old) if i not in used]
+    meanings = lambda blocks: Counter(b[1] for b in blocks if b[1] is not None)
+    quota, new = meanings(fresh) & meanings(left), []
+    changed = sum(quota.values())
+    for b in (b for b in after if any(b is f for f in fresh)):
+        if quota[b[1]] > 0:
+            quota[b[1]] -= 1
+        else:
+            new.append(b)
+    tokens = lambda blocks: None if any(b[2] is None for b in blocks) else sum(b[2] for b in blocks)
+    same = [a[0] == b[0] for a, b in zip(before, after)]
+    return {
+        "repeated_blocks": len(repeated), "changed_blocks": changed, "new_blocks": len(new), "removed_blocks": len(left) - changed,
+        "repeated_tokens": tokens(repeated), "new_tokens": tokens(new), "common_prefix_blocks": same.index(False) if False in same else len(same),
+    }
+
+
 def test_delta_against_brute_force(spark):
     rng = random.Random(5)
     blocks, pairs, want = [], [], {}
     for case in range(40):
         sides = []
         for side in (0, 1):
-            sides.append([(rng.choice("ABCD"), rng.choice(["s", "t", None]), rng.choice([1, 2, None])) for _ in range(rng.randrange(7))])
+            sides.append([tuple([rng.choice("ABCD"), rng.choice(["s", "t", None]), rng.choice([1, 2, None])]) for _ in range(rng.randrange(7))])
             blocks += [(case * 2 + side, i, *b) for i, b in enumerate(sides[-1])]
         pairs.append((case * 2 + 1, case * 2, "complete", "complete"))
-        want[case * 2 + 1] = compare(*sides)
+        want[case * 2 + 1] = delta_by_fingerprint(*sides)
     frame = spark.createDataFrame(pairs, "current_snapshot_id bigint, previous_snapshot_id bigint, current_status string, previous_status string")
     for row in delta.context_deltas(frame, spark.createDataFrame(blocks, DELTA)).collect():
         expected = want[row.current_snapshot_id]

@@ -1,6 +1,7 @@
 """Streams: any cut of a stream and any batch split give the batch result."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,14 +54,12 @@ def test_batch_fold_is_invariant_to_cuts(spark, expected, width):
 @pytest.mark.parametrize("width", list(range(1, 40)))
 def test_stateful_fold_matches(expected, width):
     for attempt, body in BODIES.items():
-        saved = None
+        rest, seen = "", sse.NOTHING
         for start in range(0, len(body), width):
-            fold = sse.Fold(saved)
-            fold.feed(body[start:start + width])
-            saved = fold.save()
-        fold = sse.Fold(saved)
-        fold.close("disconnect")
-        assert {"attempt_id": attempt, **fold.row()} == expected[attempt]
+            events, rest = sse.cut_events(rest + body[start:start + width])
+            seen = sse.observe(seen, events)
+        seen = sse.observe(seen, sse.cut_events(rest, final=True)[0])
+        assert {"attempt_id": attempt, **sse.closed(seen, "disconnect")} == expected[attempt]
 
 
 def test_stream_over_several_batches(spark, expected):
@@ -82,11 +81,17 @@ def test_live_deltas_match_pairs(spark):
         rows = [(s, s * 10 + turn, turn, h[turn]) for s, h in history.items()]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    got = {r.current_snapshot_id: r for r in eventlog.run_to_table(eventlog.live_deltas(stream), spark, f"{folder}/out", f"{folder}/state", "append").collect()}
+    got = {r.current_snapshot_id: r for r in eventlog.live_deltas(stream, spark, folder).collect()}
     for s, h in history.items():
         for turn in range(1, 4):
-            want = eventlog.compare(h[turn - 1], h[turn])
-            assert {k: got[s * 10 + turn][k] for k in want} == want
+            before, after, row = h[turn - 1], h[turn], got[s * 10 + turn]
+            old, new = Counter(b[0] for b in before), Counter(b[0] for b in after)
+            repeated = sum((old & new).values())
+            same = [a[0] == b[0] for a, b in zip(before, after)]
+            assert row.repeated_blocks == repeated and row.changed_blocks + row.new_blocks == len(after) - repeated
+            assert row.removed_blocks == len(before) - repeated - row.changed_blocks
+            assert row.common_prefix_blocks == (same.index(False) if False in same else len(same))
+            assert row.previous_snapshot_id == s * 10 + turn - 1
 
 
 def test_stale_gap(spark):
