@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import common_bits, stored
 from .components import components
-from .packed import by_shard, filter_place, runs, shard_of, unpack
+from .packed import by_shard, filter_place, home_of, runs, shard_of, unpack
 from .words import Text, in_sequence, mixed, pieces
 
 WORDS = 5
@@ -147,7 +147,7 @@ def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] =
         for batch in batches:
             docs_only = batch.filter(pc.is_null(batch.column("payload")))
             if docs_only.num_rows:
-                home = _home(np.asarray(docs_only.column("doc_id"), np.int64), shards)
+                home = home_of(np.asarray(docs_only.column("doc_id"), np.int64), shards)
                 yield docs_only.set_column(0, "shard", pa.array(home))
             for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if payload.is_valid:
@@ -159,7 +159,7 @@ def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] =
             begin, slices = runs(key)
             total = np.add.reduceat(count, begin)
             told, times = np.unique(doc[np.repeat(slices > 1, slices) & (count == 1)], return_counts=True)
-            home = _home(told, shards)
+            home = home_of(told, shards)
             order = np.argsort(home, kind="stable")
             full, replies = by_shard(home[order], np.zeros(len(told), np.uint32), told[order], times[order], shards)
             yield _batch(shard=full, payload=replies)
@@ -188,11 +188,6 @@ def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] =
     return counted.repartitionById(shards, F.col("shard")).mapInArrow(total, _REPLIES)
 
 
-def _home(ids: np.ndarray, shards: int) -> np.ndarray:
-    """The task that adds up what a document shares."""
-    return (mixed(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-
-
 def _batch(**columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _RECORDS], schema=_RECORDS)

@@ -164,6 +164,10 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
     words, language) in order. Null texts and texts without a letter are `und` with score 0 and no
     spans. Equal shares go to the language first in name order.
     """
+    spans = "array<struct<first:int,words:int,lang:string>>"
+    if not model.languages:
+        known = {"lang_pred": F.lit(NONE), "score": F.lit(0.0), **({"spans": F.array().cast(spans)} if with_spans else {})}
+        return docs.select(*keep, *[c.alias(name) for name, c in known.items()])
     names = np.array([*model.languages, NONE], dtype=object)
     n_languages = len(model.languages)
 
@@ -182,21 +186,20 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
                     parts.append((owner + at, scores, letters))
                     at = stop
                 owner, scores, letters = (np.concatenate(x) for x in zip(*parts))
-                label = viterbi(owner, scores, penalty, n) if n_languages else np.zeros(len(owner), np.int8)
+                label = viterbi(owner, scores, penalty, n)
                 mass = np.zeros((n, n_languages + 1))
                 np.add.at(mass, (owner, label), letters)
                 for i in np.flatnonzero(mass.sum(axis=1) == 0):  # letters outside the script table, if any
-                    if n_languages and any(map(str.isalpha, (texts[i] or b"").decode("utf-8", "replace"))):
+                    if any(map(str.isalpha, (texts[i] or b"").decode("utf-8", "replace"))):
                         mass[i] = np.bincount(label[owner == i], minlength=n_languages + 1)
                 whole = mass.sum(axis=1)
-                pick = np.where(whole > 0, mass[:, : n_languages or 1].argmax(axis=1), n_languages)
+                pick = np.where(whole > 0, mass[:, :n_languages].argmax(axis=1), n_languages)
                 share = np.where(whole > 0, mass.max(axis=1) / np.maximum(whole, 1), 0.0)
                 out = [batch.column(c).slice(row, n) for c in keep] + [pa.array(names[pick], pa.string()), pa.array(share)]
                 if with_spans:
                     out.append(_spans(owner, label, whole > 0, names, n))
                 yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    spans = "array<struct<first:int,words:int,lang:string>>"
     source = docs.select(*keep, F.col(text).alias(own))
     shape = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(None).cast(spans).alias("spans")] * with_spans)
     columns = shape.columns

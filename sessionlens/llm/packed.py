@@ -67,3 +67,8 @@ def by_shard(shard: np.ndarray, key: np.ndarray, doc: np.ndarray, count: np.ndar
     edges = np.searchsorted(shard, np.arange(shards + 1))
     full = np.flatnonzero(np.diff(edges))
     return full.astype(np.int32), [pack(key[a:b], doc[a:b], count[a:b]) for a, b in zip(edges[full], edges[full + 1])]
+
+
+def home_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """The shard at which what concerns a document meets."""
+    return (mixed(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int32)

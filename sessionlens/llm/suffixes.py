@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, common_bits, stored
-from .packed import by_shard, filter_place, runs, shard_of, unpack
+from .packed import by_shard, filter_place, home_of, runs, shard_of, unpack
 from .words import Text, mixed, pieces
 
 LENGTH = 100
 K = 48
 SLICE = 8 << 20
-#: Occurrences from which an anchor's windows are compared one by one (step 4).
-COMMON = 4096
+#: Occurrences from which an anchor's windows are compared one by one (step 4). Below, the contexts of an anchor,
+#: under 200 bytes each, take at most some ten megabytes of one task.
+COMMON = 1 << 16
 #: Bytes of contexts sorted together.
 TOGETHER = 2 << 20
 
@@ -87,7 +88,7 @@ class Anchors:
         return self.first + offset, self.last + offset + LENGTH
 
 
-_RECORDS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("common", pa.int64()), ("payload", pa.binary())])
+_RECORDS = pa.schema([("shard", pa.int32()), ("origin", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("common", pa.int64()), ("payload", pa.binary())])
 
 
 def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -115,7 +116,7 @@ def _repeating(docs: DataFrame, shards: int) -> DataFrame:
         begin, count = runs(key, shard)
         several = np.repeat(count > 1, count)
         told, keys = _by_doc(ids[of[several]], key[several].astype(np.uint64) | (shard[several].astype(np.uint64) << np.uint64(32)))
-        yield _batch(_RECORDS, doc_id=told, keys=keys, shard=(np.arange(len(told)) % shards).astype(np.int32))
+        yield _batch(_RECORDS, doc_id=told, keys=keys, shard=home_of(told, shards))
         full, payload = by_shard(shard[begin], key[begin], np.where(count > 1, 0, ids[of[begin]]), count, shards)
         yield _batch(_RECORDS, shard=full, payload=payload)
 
@@ -130,7 +131,7 @@ def _repeating(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             told = batch.filter(pc.is_null(batch.column("payload")))
             if told.num_rows:
-                yield told.drop_columns(["shard", "payload"])
+                yield told
             for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload")):
                 if payload.is_valid:
                     got.setdefault(shard, []).append(unpack(payload.as_py()))
@@ -141,13 +142,34 @@ def _repeating(docs: DataFrame, shards: int) -> DataFrame:
             begin, slices = runs(key)
             key64 = key.astype(np.uint64) | (np.uint64(shard) << np.uint64(32))
             tell = np.repeat(slices > 1, slices) & (count == 1)
-            told, keys = _by_doc(doc[tell], key64[tell])
-            yield _batch(_RECORDS, doc_id=told, keys=keys).drop_columns(["shard", "payload"])
+            doc, key_ = doc[tell], key[tell]
+            home = home_of(doc, shards)
+            order = np.argsort(home, kind="stable")  # keys stay in order
+            full, replies = by_shard(home[order], key_[order], doc[order], np.ones(len(doc), np.int64), shards)
+            yield _batch(_RECORDS, shard=full, origin=np.full(len(full), shard, np.int32), payload=replies)
             often = begin[np.add.reduceat(count, begin) >= COMMON]
-            yield _batch(_RECORDS, common=np.unique(filter_place(key64[often]))).drop_columns(["shard", "payload"])
+            places = np.unique(filter_place(key64[often]))
+            yield _batch(_RECORDS, common=places, shard=np.zeros(len(places), np.int32))
 
-    packed = docs.mapInArrow(scan, "shard int, doc_id long, keys binary, common long, payload binary")
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(meet, "doc_id long, keys binary, common long")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            plain = batch.filter(pc.is_valid(batch.column("common")))
+            yield plain.drop_columns(["shard", "origin", "payload"])
+            for doc_id, keys, origin, payload in zip(*(batch.column(c) for c in ("doc_id", "keys", "origin", "payload"))):
+                if keys.is_valid:
+                    key.append(np.frombuffer(keys.as_buffer(), np.uint64))
+                    doc.append(np.full(len(key[-1]), doc_id.as_py()))
+                elif payload.is_valid:
+                    found, docs, _ = unpack(payload.as_py())
+                    key.append(found.astype(np.uint64) | (np.uint64(origin.as_py()) << np.uint64(32)))
+                    doc.append(docs)
+        told, keys = _by_doc(np.concatenate(doc), np.concatenate(key))
+        yield _batch(_RECORDS, doc_id=told, keys=keys).drop_columns(["shard", "origin", "payload"])
+
+    kinds = "shard int, origin int, doc_id long, keys binary, common long, payload binary"
+    met = docs.mapInArrow(scan, kinds).repartitionById(shards, F.col("shard")).mapInArrow(meet, kinds)
+    return met.repartitionById(shards, F.col("shard")).mapInArrow(gather, "doc_id long, keys binary, common long")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[int, Anchors]]]]:
@@ -195,7 +217,7 @@ def _occurrences(candidates: DataFrame, common: np.ndarray, shards: int) -> Data
         edges = np.searchsorted(anchors.owner, np.arange(len(texts) + 1))
         told = np.zeros(len(key64), bool)
         for i, keys in enumerate(batch.column("keys").slice(row, len(texts))):
-            mine = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in keys])
+            mine = np.frombuffer(keys.as_buffer(), np.uint64)
             told[edges[i] : edges[i + 1]] = np.isin(key64[edges[i] : edges[i + 1]], mine)
         if not told.any():
             return [], []
@@ -457,7 +479,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     one = stored(spark, one, "digests")
     originals = one.groupBy("sha").agg(F.min("doc_id").alias("original"))
     told = stored(spark, _repeating(rows.where(F.octet_length("text") >= LENGTH), shards), "anchors")
-    keys = told.where("keys IS NOT NULL").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # no more than its anchors
+    keys = told.where("keys IS NOT NULL").select("doc_id", "keys")
     wanted = one.join(originals, "sha").where("doc_id = original").select("doc_id", "sha").join(keys, "doc_id")
     candidates = rows.join(wanted, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "keys")
     candidates = bucketed(spark, candidates, "doc_id", shards, "candidates")
