@@ -84,7 +84,7 @@ def test_licences(spark, odd, none):
 def test_vectors(spark):
     rows = [(i, [float(i % 3), 1.0, float(i)]) for i in range(1, 12)]
     rows += [(20, None), (21, [0.0, 0.0, 0.0]), (22, [1.0, None, 1.0]), (23, [float("nan"), 1.0, 1.0]), (24, [1.0]), (None, [1.0, 1.0, 1.0]), rows[0]]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = neighbours.nearest(frame, frame.where("vec_id in (3, 20, 21)"), k=20).orderBy("rank").collect()
     want = sorted(((-sum(a * b for a, b in zip(v, rows[2][1])), i) for i, v in rows[:11] if i != 3))
     assert [(r.query_id, r.vec_id) for r in got] == [(3, i) for _, i in want] and [r.score for r in got] == [-s for s, _ in want]
