@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import common_bits, stored
+from .common import bucketed, common_bits, stored
 from .components import components
 from .packed import by_shard, filter_place, home_of, runs, shard_of, unpack
 from .words import Text, in_sequence, mixed, pieces
@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(spark, told, "sharing")
     kept = texts.where("n > 0").where(BOTTOM * F.col("shared") >= TOP * F.col("n"))
     kept = stored(spark, kept.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("id")), "kept")
-    sets = stored(spark, _sets(rows, kept), "sets")
+    sets = bucketed(spark, _sets(rows, kept), "id", shards, "sets")  # every later join on id leaves them in place
     # Equal texts are one vertex now: what each shares with other vertices is less than what it shared with rows.
     told = stored(spark, sharing(sets.select("id", "shingles"), _read_sets), "sharing")
     shared = told.where("n IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("shared").alias("shared"))
