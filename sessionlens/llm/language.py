@@ -175,7 +175,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in pieces(batch, own, most=1 << 24):
+            for row, texts in pieces(batch, own, most=1 << 23):
                 n, parts, at = len(texts), [], 0
                 while at < n:  # features take many bytes a byte of text, the pass over words few
                     stop, size = at, 0

@@ -31,7 +31,7 @@ MARK = "▁"
 _STEP = 0x5851F42D4C957F2D
 
 #: Stretches remembered by a worker; forgotten ones are searched again.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 Path = tuple[float, tuple[int, ...]]
 
