@@ -16,19 +16,21 @@ from ..sources.trace import Trace
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def unique_events(events: DataFrame, event_id: str = "event_id", time: str = "timestamp", delay: str = "1 hour") -> DataFrame:
-    """Every event once. On a stream, ids are remembered for the watermark delay."""
-    if events.isStreaming:
-        return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([event_id])
-    return events.dropDuplicates([event_id])
+def append_events(events: DataFrame, path: str, checkpoint: str):
+    """Start the append-only sink: an event id enters the log once, however late its repeats come.
 
+    A micro-batch is compared with the log by event id and written to a folder of its number, so a batch
+    that is run again writes the same again. No event is dropped for being late.
+    """
 
-def append_events(events: DataFrame, path: str, checkpoint: str):
-    """Start the append-only sink; restarts continue from the checkpoint without duplicates."""
-    return (
-        unique_events(events).writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    )
+    def store(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(["event_id"])
+        if number:
+            logged = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).select("event_id")
+            fresh = fresh.join(logged, "event_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counters(events: DataFrame) -> DataFrame:
@@ -45,17 +47,18 @@ def windowed_counters(events: DataFrame, size: str = "1 day", delay: str = "1 ho
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is available, keep its latest result as a table, and read that."""
+    """Run a stream over what is available and read its result: the rows of all micro-batches, or of the last in
+    complete mode. Each is written to a folder of its number, so one that is run again writes the same again."""
 
-    def store(batch: DataFrame, _number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    if mode == "complete":
+        written = written.where(F.col("batch") == written.agg(F.max("batch")).first()[0])
+    return written.drop("batch")
 
 
 def drop_accounting(events: DataFrame, key: str) -> DataFrame:

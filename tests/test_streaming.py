@@ -97,3 +97,13 @@ def test_live_deltas_match_pairs(spark):
 def test_stale_gap(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 600), ("a", 9000)], "session_id string, s bigint").withColumn("timestamp", F.timestamp_seconds("s"))
     assert sorted(r.events for r in eventlog.stale_after(rows).collect()) == [1, 2]
+
+
+def test_log_takes_an_event_once_however_late(spark):
+    folder = new_folder(spark, "t")
+    schema = "event_id bigint, timestamp timestamp"
+    for rows in ([(1, 0), (1, 0), (2, 90000)], [(1, 200000), (3, 5)], [(2, 1), (4, 300000)]):
+        spark.createDataFrame(rows, "event_id bigint, s bigint").select("event_id", F.timestamp_seconds("s").alias("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        eventlog.append_events(stream, f"{folder}/log", f"{folder}/state").awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(f"{folder}/log").collect()) == [1, 2, 3, 4]
