@@ -67,12 +67,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as sentence pieces: doc_id, source, ids of the best segmentation, the two best scores, and whether
-    decoding the ids gives the text back."""
+    """Every text as sentence pieces: doc_id, source, ids of the best segmentation, scores and ids of the three best, and
+    whether decoding the ids gives the text back."""
     plain = docs.select("doc_id", "source", "text")
-    found = encoded(plain, public_tokenizers.path("piece_bpe_32k.model"), n_best=2, keep=("doc_id", "source", "text"))
+    found = encoded(plain, public_tokenizers.path("piece_bpe_32k.model"), n_best=3, keep=("doc_id", "source", "text"))
     same = F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " ")
-    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", same.alias("round_trip"))
+    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", "n_best_ids", same.alias("round_trip"))
 
 
 STAGES = [

@@ -54,31 +54,19 @@ class Segmenter:
             self.surface[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
-        # For many stretches at once: characters by number, pairs that stand together, pieces by hash.
+        # Characters by number, and the pairs that stand together.
         letters = sorted({c for p in self.piece for c in p})
         self.number = np.zeros(0x110000, np.int32)
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.pairs = np.zeros((len(letters) + 1,) * 2, bool)
         for a, b in self.together:
             self.pairs[self.number[ord(a)], self.number[ord(b)]] = True
-        hashes = np.array([self.hash(p) for p in self.piece], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, by_hash = hashes[order], np.array(list(self.piece.values()))[order]
-        self.hash_id, self.hash_score = by_hash[:, 0].astype(np.int32), by_hash[:, 1]
-        self.single = np.array([chr(c) in self.piece for c in range(0x110000)])
         self.forget()
 
-    @staticmethod
-    def hash(text: str) -> int:
-        got = 0
-        for c in text:
-            got = (got * _STEP + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return got
-
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.used, self.ids = 0, np.zeros(1 << 16, np.uint16 if len(self.surface) <= 1 << 16 else np.uint32)
-        self.scores, self.spans = np.zeros((1 << 12, self.n), np.float64), np.zeros((1 << 12, 2), np.int64)
+        self.scores, self.spans = np.zeros((1 << 12, self.n), np.float64), np.zeros((1 << 12, self.n, 2), np.int64)
 
     def search(self, text: str) -> list[Path]:
         """The n best segmentations of a stretch of text, best first; among equal scores the first one found."""
@@ -125,55 +113,6 @@ class Segmenter:
                 break
         return out
 
-    def search_many(self, stretches: list[str]) -> Iterator[tuple[str, list[float], tuple[int, ...]]]:
-        """(stretch, its n best scores, ids of the best), in any order."""
-        groups: dict[int, list[str]] = {}
-        for x in stretches:
-            groups.setdefault(len(x) if self.n == 2 and len(x) <= 24 else 0, []).append(x)
-        for size, words in groups.items():
-            codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4") if size else np.zeros(0, np.uint32)
-            codes = codes.reshape(len(words), size) if size else codes
-            plain = self.single[codes].all(axis=1) if size else np.zeros(len(words), bool)
-            for x in (w for w, p in zip(words, plain) if not p):
-                found = self.search(x)
-                yield x, [s for s, _ in found], found[0][1]
-            if plain.any():
-                yield from zip((w for w, p in zip(words, plain) if p), *self._two_best(codes[plain]))
-
-    def _two_best(self, codes: np.ndarray) -> tuple[list[list[float]], list[tuple[int, ...]]]:
-        """The search with two results, step by step for stretches of one length.
-
-        The first result follows the best way from the end and queues, at each position on it, the other
-        pieces ending there. The second is the best of the queue, since the forward scores are exact.
-        """
-        n, size = codes.shape
-        hashes = np.zeros((size, n), np.uint64)  # of the stretch from each position, growing
-        best, second = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
-        length, piece = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int32)
-        best[0] = 0
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(size)]
-        columns = codes.T.astype(np.uint64) + np.uint64(1)
-        for j in range(size):
-            for i in range(max(0, j + 1 - self.longest), j + 1):
-                hashes[i] = hashes[i] * np.uint64(_STEP) + columns[j]
-                at = np.minimum(np.searchsorted(self.hashes, hashes[i]), len(self.hashes) - 1)
-                value = np.where(self.hashes[at] == hashes[i], self.hash_score[at], -np.inf) + best[i]
-                better = value > best[j + 1]
-                second[j + 1] = np.where(better, best[j + 1], np.maximum(second[j + 1], value))
-                best[j + 1] = np.where(better, value, best[j + 1])
-                length[j + 1] = np.where(better, j + 1 - i, length[j + 1])
-                piece[j + 1] = np.where(better, self.hash_id[at], piece[j + 1])
-        other, total = np.full(n, -np.inf), best[size]
-        taken, on = np.full((size, n), -1, np.int32), np.full(n, size)
-        rows = np.arange(n)
-        for k in range(size):
-            live = on > 0
-            other = np.where(live, np.maximum(other, total - best[on, rows] + second[on, rows]), other)
-            taken[size - 1 - k] = np.where(live, piece[on, rows], -1)
-            on = np.where(live, on - length[on, rows], 0)
-        ids = [tuple(x for x in row if x >= 0) for row in taken.T.tolist()]
-        return [[a, b] if b > -np.inf else [a] for a, b in zip(total.tolist(), other.tolist())], ids
-
     def stretches(self, text: str) -> list[str]:
         """A text as the model sees it, cut at neighbours that no piece holds together."""
         if not text:
@@ -184,7 +123,7 @@ class Segmenter:
         return [shown[a:b] for a, b in zip([0, *cuts], [*cuts, len(shown)])]
 
     def learn(self, stretches: set[str]) -> None:
-        """Search stretches and keep their best lists as rows of arrays."""
+        """Search stretches and keep their best lists, scores and ids, as rows of arrays."""
         new = list(stretches.difference(self.place))
         if len(self.place) + len(new) > REMEMBERED and self.place:
             self.forget()
@@ -192,33 +131,35 @@ class Segmenter:
         row = len(self.place)
         while row + len(new) > len(self.spans):
             self.scores, self.spans = np.concatenate([self.scores] * 2), np.concatenate([self.spans] * 2)
-        for stretch, scores, ids in self.search_many(new):
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids] * 2)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.spans[row] = self.used, len(ids)
-            self.scores[row, : len(scores)] = scores
-            self.scores[row, len(scores) :] = -np.inf
+        for stretch in new:
+            found = self.search(stretch)
+            self.scores[row] = [score for score, _ in found] + [-np.inf] * (self.n - len(found))
+            for rank, (_, ids) in enumerate(found):
+                while self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids] * 2)
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.spans[row, rank] = self.used, len(ids)
+                self.used += len(ids)
             self.place[stretch] = row
-            self.used, row = self.used + len(ids), row + 1
+            row += 1
 
-    def best(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, int]]]]]:
-        """For each text: ids of its best segmentation, its n best scores, and for each of these the
-        (stretch, rank) that differ from the best."""
+    def best(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray]]]:
+        """For each text: ids of its best segmentation, its n best scores, and the ids of each of these, the best first."""
         cut = [self.stretches(t) for t in texts]
         self.learn(set().union(*cut))
         for stretches in cut:
             if not stretches:
-                yield np.zeros(0, self.ids.dtype), [0.0], [[]]
+                none = np.zeros(0, self.ids.dtype)
+                yield none, [0.0], [none]
                 continue
             rows = np.fromiter(map(self.place.__getitem__, stretches), np.int64, len(stretches))
-            begin, size = self.spans[rows].T
+            begin, size = self.spans[rows, 0].T
             ends = np.cumsum(size)
             ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]
             scores = self.scores[rows]
             total = float(scores[:, 0].sum())
             if self.n == 1:
-                yield ids, [total], [[]]
+                yield ids, [total], [ids]
                 continue
             # A list of n needs no more than the n - 1 stretches whose second choice costs least.
             loss = scores[:, :1] - scores
@@ -226,13 +167,20 @@ class Segmenter:
             for p in _least(loss[:, 1], self.n - 1):
                 ranks = [(float(loss[p, r]), r) for r in range(self.n) if loss[p, r] < np.inf]
                 options = heapq.nsmallest(self.n, ((c + l, w + [(int(p), r)] * (r > 0)) for c, w in options for l, r in ranks), key=lambda o: o[0])
-            yield ids, [total - c for c, _ in options], [w for _, w in options]
+            lists = []
+            for _, changes in options:
+                parts, at = [], 0
+                for p, rank in sorted(changes):
+                    other, n = self.spans[rows[p], rank]
+                    parts += [ids[at : ends[p] - size[p]], self.ids[other : other + n]]
+                    at = ends[p]
+                lists.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
+            yield ids, [total - c for c, _ in options], lists
 
     def all_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text with their ids."""
-        [(_, scores, changes)] = self.best([text])
-        lists = [self.search(x) for x in self.stretches(text)]
-        return [(s, [i for p, found in enumerate(lists) for i in found[dict(c).get(p, 0)][1]]) for s, c in zip(scores, changes)]
+        [(_, scores, lists)] = self.best([text])
+        return [(s, ids.tolist()) for s, ids in zip(scores, lists)]
 
     def decode(self, ids) -> bytes:
         """The text of ids, without the space put in front; bytes that are no text stay as they are."""
@@ -262,10 +210,19 @@ def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]
         yield row, [(t or b"").decode() for t in texts]
 
 
+def _offsets(lists: list) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_offsets(ids)), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, `ids` (best segmentation), `scores` (n best, falling) and `decoded`, the text that the ids give back.
+    """The columns `keep`, `ids` (best segmentation), `scores` (n best, falling), `n_best_ids` (the ids of each of these)
+    and `decoded`, the text that the ids give back.
 
-    Null and empty texts have no ids, the one score 0 and the empty text. A text has fewer scores than
+    Null and empty texts have no ids, the one score 0 with an empty list of ids, and the empty text. A text has fewer scores than
     `n_best` only if it has fewer segmentations. Decoding gives the text back, but for U+2581, which
     the model cannot tell from a space. One row for every row of `docs`; no shuffle.
     """
@@ -276,45 +233,45 @@ def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", ke
         found = segmenter(model, n_best)
         for batch in batches:
             for row, texts in _runs(batch, own):
-                part, ids, scores, back = batch.slice(row, len(texts)), [], [], []
-                for best, top, _ in found.best(texts):
+                part, ids, scores, every, back = batch.slice(row, len(texts)), [], [], [], []
+                for best, top, lists in found.best(texts):
                     ids.append(best)
                     scores.append(top)
+                    every.append(lists)
                     back.append(found.decode(best.tolist()).decode("utf-8", "replace"))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                values = np.concatenate(ids).astype(np.int32)
+                nested = pa.ListArray.from_arrays(pa.array(_offsets(every)), _lists([x for lists in every for x in lists]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())],
+                    [*(part.column(c) for c in keep), _lists(ids), pa.array(scores, pa.list_(pa.float64())), nested, pa.array(back, pa.string())],
                     names=names,
                 )
 
     source = docs.select(*keep, F.col(text).alias(own))
-    names = [*keep, "ids", "scores", "decoded"]
-    kinds = {"ids": "array<int>", "scores": "array<double>", "decoded": "string"}
+    names = [*keep, "ids", "scores", "n_best_ids", "decoded"]
+    kinds = {"ids": "array<int>", "scores": "array<double>", "n_best_ids": "array<array<int>>", "decoded": "string"}
     schema = source.select(*keep, *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).schema
     return source.mapInArrow(run, schema)
 
 
 def digested(docs: DataFrame, model: str, n_best: int = 3) -> DataFrame:
-    """(doc_id, n_pieces, score, scores, ids_crc32, round_trip): what `encoded` finds, without carrying ids and texts
-    out of the task. `ids_crc32` is over the best ids as little-endian unsigned 32-bit numbers; `round_trip`
-    says that decoding the ids gives the text (null: the empty text)."""
+    """(doc_id, n_pieces, score, scores, ids_crc32, n_best_crc32, round_trip): what `encoded` finds, without carrying ids
+    and texts out of the task. `ids_crc32` is over the best ids as little-endian unsigned 32-bit numbers, `n_best_crc32`
+    has the same of each of the n best segmentations; `round_trip` says that decoding the ids gives the text (null: the empty text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = segmenter(model, n_best)
         for batch in batches:
-            n, scores, crc, same = [], [], [], []
+            n, scores, crc, same = [], [], [], []  # crc: of each of the n best
             for _, texts in _runs(batch, "text"):
-                for text, (best, top, _) in zip(texts, found.best(texts)):
+                for text, (best, top, lists) in zip(texts, found.best(texts)):
                     n.append(len(best))
                     scores.append(top)
-                    crc.append(zlib.crc32(best.astype("<u4").tobytes()))
+                    crc.append([zlib.crc32(x.astype("<u4").tobytes()) for x in lists])
                     same.append(found.decode(best.tolist()) == text.replace(MARK, " ").encode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([s[0] for s in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
-                names=["doc_id", "n_pieces", "score", "scores", "ids_crc32", "round_trip"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([s[0] for s in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array([c[0] for c in crc], pa.int64()), pa.array(crc, pa.list_(pa.int64())), pa.array(same, pa.bool_())],
+                names=["doc_id", "n_pieces", "score", "scores", "ids_crc32", "n_best_crc32", "round_trip"],
             )
 
     source = docs.select("doc_id", "text")
-    kinds = {"n_pieces": "long", "score": "double", "scores": "array<double>", "ids_crc32": "long", "round_trip": "boolean"}
+    kinds = {"n_pieces": "long", "score": "double", "scores": "array<double>", "ids_crc32": "long", "n_best_crc32": "array<long>", "round_trip": "boolean"}
     return source.mapInArrow(run, source.select("doc_id", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).schema)

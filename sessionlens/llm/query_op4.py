@@ -1,4 +1,4 @@
-"""op4: best segmentations of every document, and their decoding."""
+"""op4: the three best segmentations of every document, and the decoding of the best."""
 
 from __future__ import annotations
 
@@ -12,4 +12,4 @@ from .queries import query
 
 @query("op4_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=2)
+    return digested(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=3)

@@ -230,3 +230,31 @@ def test_pipeline_stages(spark, docs):
     taken = {r.doc_id: r.taken // r["size"] for r in query_op10.mixed(spark, DATA).collect() if r.taken}
     assert Counter(r.doc_id for r in pipeline.mixed(spark, frame, DATA).select("doc_id").collect()) == taken
     assert pipeline.pieces(spark, frame, DATA).where("round_trip").count() == len(docs)
+
+
+def test_three_best_with_their_ids(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    segmenter = Segmenter(path, 3)
+
+    def every(text):
+        if not text:
+            return [(0.0, ())]
+        return [(segmenter.piece[text[:k]][1] + s, (segmenter.piece[text[:k]][0], *ids)) for k in range(1, len(text) + 1) if text[:k] in segmenter.piece for s, ids in every(text[k:])]
+
+    for text in ("hello", "the cat", "aa aa", "in a house"):
+        paths = dict((ids, s) for s, ids in every(MARK + text.replace(" ", MARK)))
+        found = segmenter.all_best(text)
+        assert len(found) == len({tuple(ids) for _, ids in found}) == 3
+        assert [paths[tuple(ids)] for _, ids in found] == pytest.approx(sorted(paths.values(), reverse=True)[:3])
+        assert [segmenter.decode(ids).decode() for _, ids in found] == [text] * 3
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "s", "the cat, é"), (2, "s", ""), (3, "s", "in a house")], "doc_id long, source string, text string")
+    crcs = lambda lists: [zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists]
+    staged = {r.doc_id: r for r in corpus_pipeline.pieces(spark, docs, "").collect()}
+    assert [staged[3].n_best_ids, staged[3].scores] == [[ids for _, ids in segmenter.all_best("in a house")], [s for s, _ in segmenter.all_best("in a house")]]
+    assert staged[1].n_best_ids[0] == staged[1].ids and len(staged[1].n_best_ids) == 3 and staged[2].n_best_ids == [[]]
+    got = {r.doc_id: r for r in query_op4.digested(docs, path).collect()}
+    assert all(got[i].n_best_crc32 == crcs(staged[i].n_best_ids) and got[i].ids_crc32 == got[i].n_best_crc32[0] for i in got)
+    assert {len(r.n_best_crc32) for r in query_op4.pieces(spark, DATA).collect()} == {3}
