@@ -134,7 +134,7 @@ def cutoffs(labelled: DataFrame, most_false: float = 0.05, confidence: float = 0
         by_step = np.bincount(found["step"], weights=found["n"], minlength=len(grid) + 1).astype(int)
         rejected = by_step[::-1].cumsum()[::-1][1:]  # beyond the first cutoff, the second, ...
         good = [i for i in range(len(grid)) if passes(int(rejected[i]), int(by_step.sum()), part, error)]
-        return found[["stratum", "rule"]].iloc[:1].assign(cutoff=int(grid[max(good)]) if good else None).dropna().astype({"cutoff": "int64"})
+        return found[["stratum", "rule"]].iloc[:1].assign(cutoff=int(grid[max(good)]) if good else None).dropna(subset=["cutoff"]).astype({"cutoff": "int64"})
 
     return counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff long")
 

@@ -81,6 +81,17 @@ def test_licences(spark, odd, none):
     assert licences.scanned(none, {"MIT": "a b"}, 0.8).count() == 0 and licences.scanned(odd, {}, 0.8).count() == 0
 
 
+def test_cutoffs_of_the_null_stratum(spark):
+    schema = "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in quality.MEASURES)
+    rows = [(i, None if i % 2 else "en", 100, 500, 0, 0, 10, 0) for i in range(4000)]  # good: no symbols, no repeats, words of five letters
+    beyond = [(4000, None, 100, 500, 400, 0, 10, 0), (4001, "en", 100, 500, 400, 0, 10, 0)]
+    chosen = quality.cutoffs(spark.createDataFrame(rows, schema).drop("doc_id"))
+    found = {(r.stratum, r.rule): r.cutoff for r in chosen.collect()}
+    assert {r for s, r in found if s is None} == {r for s, r in found if s == "en"} == set(quality.RULES)
+    kept = by_id(quality.judged(spark.createDataFrame(rows[:2] + beyond, schema), chosen))
+    assert [kept[i].kept for i in (0, 1, 4000, 4001)] == [True, True, False, False]
+
+
 def test_vectors(spark):
     rows = [(i, [float(i % 3), 1.0, float(i)]) for i in range(1, 12)]
     rows += [(20, None), (21, [0.0, 0.0, 0.0]), (22, [1.0, None, 1.0]), (23, [float("nan"), 1.0, 1.0]), (24, [1.0]), (None, [1.0, 1.0, 1.0]), rows[0]]
