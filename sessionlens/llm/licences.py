@@ -9,6 +9,8 @@ template's, so a unit meets only the templates of fitting size, found by an equi
 Templates are a short list given as a parameter, at most `MOST_TEMPLATES` of at most `MOST_WORDS`
 words, which bounds the broadcast. The scan adds no shuffle: every unit is judged on the row of its
 document. Everything here is DataFrame and SQL functions.
+
+`passages` compares windows of the whole text's words, which lines and whole texts miss.
 """
 
 from __future__ import annotations
@@ -67,3 +69,65 @@ def scanned(docs: DataFrame, templates: dict[str, str], least: float, text: str
     common = F.size(F.array_intersect(F.col("__bigrams"), F.col("__t.bigrams")))
     dice = 2 * common / (F.size("__bigrams") + F.size("__t.bigrams"))
     return pairs.select(*keep, "line", F.col("__t.name").alias("licence"), dice.alias("dice")).where(F.col("dice") >= F.lit(least))
+
+
+def passages(docs: DataFrame, templates: dict[str, str], least: float, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, `word`, `n_words`, `licence` and `dice`: windows of the whole text of Dice `least` or more.
+
+    Line breaks are gaps like any other. A window begins and ends with a bigram of the template (others only lower
+    its Dice); `word` counts from 1. Its bigrams are as many as the size bounds allow, repeated ones counted, where the
+    template's own repeated ones count too. Of windows of one template that overlap, the one of the highest Dice stays,
+    then the first, then the shorter; next to it those that it does not touch. A template of one word is compared with
+    single words. Null texts match nothing; repeated rows give repeated results.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must lie in (0, 1]")
+    if len(templates) > MOST_TEMPLATES or any(len(t.split()) > MOST_WORDS for t in templates.values()):
+        raise ValueError(f"at most {MOST_TEMPLATES} templates of {MOST_WORDS} words")
+    source = docs.select(*keep, F.col(text).alias("__text")).where("__text IS NOT NULL")
+    if not templates:
+        return source.select(*keep, F.lit(0).alias("word"), F.lit(0).alias("n_words"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0)
+    listed = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in sorted(templates.items())])
+    rows = docs.sparkSession.range(1, numPartitions=1).select(F.explode(listed).alias("t")).select("t.name", words_of(F.col("t.text")).alias("words"))
+    size, long = F.size("bigrams"), F.greatest(F.size("words") - 1, F.lit(1))
+    low, high = F.ceil(size * F.lit(least / (2 - least)) - F.lit(1e-9)), F.floor(long * F.lit((2 - least) / least) + F.lit(1e-9))
+    rows = rows.withColumn("bigrams", bigrams_of(F.col("words"))).where(size > 0)
+    rows = rows.select("name", "bigrams", (F.size("words") == 1).alias("single"), F.greatest(low, F.lit(1)).cast("int").alias("low"), high.cast("int").alias("high"))
+    every = rows.agg(F.array_distinct(F.flatten(F.collect_list("bigrams"))).alias("__every"))
+
+    # Common bigrams are at least `low`, since 2 c >= least * (c + size).
+    worded = source.select(*keep, words_of(F.col("__text")).alias("__words")).crossJoin(F.broadcast(every))
+    met = F.array_intersect(F.concat(_pairs(F.col("__words")), F.col("__words")), F.col("__every"))
+    met = worded.select(*keep, "__words", met.alias("__met"))
+    fitted = met.join(F.broadcast(rows), F.size(F.array_intersect(F.col("__met"), rows["bigrams"])) >= rows["low"])
+    fitted = fitted.select(*keep, "name", "bigrams", "single", "low", "high", F.when(F.col("single"), F.col("__words")).otherwise(_pairs(F.col("__words"))).alias("__grams"))
+
+    grams, wanted = F.col("__grams"), F.col("bigrams")
+
+    def begins(at: Column) -> Column:
+        return F.array_contains(wanted, F.element_at(grams, at)) & (F.size(F.array_intersect(F.slice(grams, at, F.col("high")), wanted)) >= F.col("low"))
+
+    def measured(at: Column, n: Column) -> Column:
+        window = F.slice(grams, at, n)
+        common = F.size(F.array_intersect(window, wanted))
+        return F.struct((2 * common / (F.size(F.array_distinct(window)) + F.size(wanted))).alias("dice"), (-at).alias("at"), (-n).alias("n"))
+
+    def best(at: Column) -> Column:
+        last = F.least(F.col("high"), F.size(grams) - at + 1)
+        ends = F.filter(F.sequence(F.col("low"), last), lambda n: F.array_contains(wanted, F.element_at(grams, at + n - 1)))
+        return F.array_max(F.transform(F.when(last >= F.col("low"), ends), lambda n: measured(at, n)))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size(grams)), begins)
+    found = fitted.where(F.size(grams) >= F.col("low")).select(*keep, "name", "single", F.filter(F.transform(starts, best), lambda w: w["dice"] >= F.lit(least)).alias("__found"))
+    found = found.select(*keep, "name", "single", F.sort_array("__found", asc=False).alias("__found"))
+    apart = lambda a, b: (-a["at"] - a["n"] <= -b["at"]) | (-b["at"] - b["n"] <= -a["at"])
+    # Windows of bigrams that follow each other share a word, but no bigram: they count as apart.
+    chosen = F.aggregate("__found", F.slice("__found", 1, 0), lambda got, w: F.when(F.forall(got, lambda g: apart(g, w)), F.concat(got, F.array(w))).otherwise(got))
+    chosen = found.select(*keep, "name", "single", F.explode(chosen).alias("__w"))
+    n_words = -F.col("__w.n") + F.when(F.col("single"), 0).otherwise(1)
+    return chosen.select(*keep, (-F.col("__w.at")).alias("word"), n_words.alias("n_words"), F.col("name").alias("licence"), F.col("__w.dice").alias("dice"))
+
+
+def _pairs(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+import textwrap
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +84,34 @@ def test_licences(spark, odd, none):
     assert licences.scanned(none, {"MIT": "a b"}, 0.8).count() == 0 and licences.scanned(odd, {}, 0.8).count() == 0
 
 
+def test_licence_passages(spark, odd, none):
+    from sessionlens.llm.query_op8 import LEAST, TEMPLATES
+
+    wrapped = "\n".join(textwrap.wrap("MIT License Copyright (c) 2020 Somebody " + TEMPLATES["MIT permission"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of what follows. It comes as is and without any warranty of any kind, express or implied, and nobody is liable for claims or damages.", 80))
+    header = "\n".join("# " + x for x in textwrap.wrap(TEMPLATES["Apache-2.0 header"], 70)) + "\nimport os\n" + "\n".join(f"value_{i} = call(os.name, {i})" for i in range(20))
+    inside = "Some notes about the tool and how to use it. Released under the MIT License. See the web page for more."
+    twice = " and then ".join([TEMPLATES["MIT"]] * 2)
+    texts = [wrapped, header, inside, twice, None, "", "mit", "the license of the software is hereby granted to the public " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.licence) for r in licences.scanned(docs, TEMPLATES, LEAST).where("doc_id < 3").collect()} <= {(1, "Apache-2.0")}
+    got = licences.passages(docs, TEMPLATES, LEAST).collect()
+    assert {(r.doc_id, r.licence) for r in got if r.doc_id in (0, 2)} == {(0, "MIT permission"), (2, "MIT")}
+    assert {r.licence for r in got if r.doc_id == 1} == {"Apache-2.0", "Apache-2.0 header"}
+    assert [(r.word, r.n_words, r.dice) for r in got if r.doc_id == 2] == [(11, 5, 1.0)]
+    assert sorted(r.word for r in got if r.doc_id == 3) == [1, 8] and not [r for r in got if r.doc_id > 3]
+
+    for r in got:  # against plain Python: no window of the same size bounds is better than the best reported one
+        words, wanted = (re.findall("[a-z0-9]+", x.lower()) for x in (texts[r.doc_id], TEMPLATES[r.licence]))
+        pairs, t = list(zip(words, words[1:])), set(zip(wanted, wanted[1:]))
+        dice = lambda u: 2 * len(u & t) / (len(u) + len(t))
+        assert r.dice == pytest.approx(dice(set(pairs[r.word - 1 : r.word + r.n_words - 2])))
+        sizes = range(1, int((len(wanted) - 1) * 1.5) + 1)
+        top = max(dice(set(pairs[i : i + n])) for i in range(len(pairs)) for n in sizes)
+        assert max(x.dice for x in got if (x.doc_id, x.licence) == (r.doc_id, r.licence)) == pytest.approx(top)
+    assert [(r.word, r.n_words) for r in licences.passages(docs, {"one": "MIT"}, 0.8).where("doc_id = 2").collect()] == [(14, 1)]
+    assert licences.passages(none, {"MIT": "a b"}, 0.8).count() == 0 and licences.passages(odd, {}, 0.8).count() == 0
+
+
 def test_cutoffs_of_the_null_stratum(spark):
     schema = "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in quality.MEASURES)
     rows = [(i, None if i % 2 else "en", 100, 500, 0, 0, 10, 0) for i in range(4000)]  # good: no symbols, no repeats, words of five letters
