@@ -5,11 +5,14 @@ the corners of a cube (alternating signs and an orthogonal fit), one bit a direc
 into substrings, each with a table from its value to the rows. Two codes within a Hamming radius
 agree in some substring within a part of that radius (the pigeonhole), so probing the values around
 each substring of a query finds every code in the radius; those are ranked by the inner product of
-the original vectors in double precision. The radius is the one that holds `recall` of the true
-neighbours within the sample that the rotation is fitted on, whose neighbours are farther than the
-neighbours among all rows.
-
-The sample has at most `SAMPLE` rows, those with the smallest hash of vec_id. Every row is indexed:
+the original vectors in double precision. Codes know directions only, so rows are split by norm into
+ranges of a factor of sqrt(2), each with tables and a radius of its own: the one that holds `recall`
+of the true neighbours within the sample of the range, whose neighbours are farther than those among
+all its rows. A query visits the ranges from the largest norms down and leaves out those whose norms
+are too small for its k best.
+
+A range's sample has about `SAMPLE` rows at most, chosen by the hash of vec_id (fewer with more than
+`FULL_RANGES` ranges); the rotation is fitted on as many of all samples. Every row is indexed:
 rows are dealt by a hash of vec_id into shards of about `SHARD_ROWS`, each with its tables, so equal
 vectors spread; the stated queries visit the shards in blocks of about `BLOCK_QUERIES`. A shard
 returns its k best for each query, and these are merged. Queries that find fewer than k in the radius
@@ -22,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 SAMPLE = 8192
+FULL_RANGES = 32
 SHARD_ROWS = 65_536
 BLOCK_QUERIES = 8_192
 #: Shards at least, so that small tables use several tasks.
@@ -41,7 +45,7 @@ _FOUND = "query_id long, vec_id long, score double"
 class Coder:
     mean: np.ndarray
     turn: np.ndarray
-    radius: int
+    radii: dict[int, int]
 
     @property
     def bits(self) -> int:
@@ -59,10 +63,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def fit(sample: np.ndarray, k: int, recall: float, rounds: int = 40) -> Coder:
-    """Rotation and radius from a sample of vectors (float64, one a row)."""
-    vectors = np.unique(sample, axis=0)
-    unit = _unit(vectors)
+def fit(sample: np.ndarray, ranges: np.ndarray, k: int, recall: float, rounds: int = 40) -> Coder:
+    """Rotation, and a radius for each range of norms, from a sample of vectors (float64, one a row) and their ranges."""
+    vectors, first = np.unique(sample, axis=0, return_index=True)
+    ranges = ranges[first]
+    unit = _unit(vectors[np.linspace(0, len(vectors) - 1, min(SAMPLE, len(vectors))).astype(int)])
     mean = unit.mean(axis=0)
     _, _, directions = np.linalg.svd(unit - mean, full_matrices=False)
     directions = directions[: min(64, vectors.shape[1])].T
@@ -71,17 +76,19 @@ def fit(sample: np.ndarray, k: int, recall: float, rounds: int = 40) -> Coder:
     for _ in range(rounds):
         left, _, right = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
         turn = (left @ right).T
-    coder = Coder(mean, directions @ turn, 0)
+    coder = Coder(mean, directions @ turn, {})
     codes = coder.codes(vectors)
     ask = np.linspace(0, len(vectors) - 1, min(256, len(vectors))).astype(int)
-    nearness = vectors[ask] @ vectors.T
-    nearness[np.arange(len(ask)), ask] = -np.inf
-    k = min(k, len(vectors) - 1)
-    if k < 1:
-        return Coder(mean, coder.turn, coder.bits)
-    near = np.argpartition(-nearness, k - 1, axis=1)[:, :k]
-    distance = np.bitwise_count(codes[ask][:, None] ^ codes[near])
-    return Coder(mean, coder.turn, int(np.quantile(distance, recall, method="higher")))
+    for one in np.unique(ranges):
+        rows = np.flatnonzero(ranges == one)
+        if len(rows) <= k:
+            coder.radii[int(one)] = coder.bits
+            continue
+        nearness = np.where(ask[:, None] == rows, -np.inf, vectors[ask] @ vectors[rows].T)
+        near = rows[np.argpartition(-nearness, k - 1, axis=1)[:, :k]]
+        distance = np.bitwise_count(codes[ask][:, None] ^ codes[near])
+        coder.radii[int(one)] = int(np.quantile(distance, recall, method="higher"))
+    return coder
 
 
 class Tables:
@@ -122,19 +129,29 @@ def _balls() -> dict[int, list[np.ndarray]]:
 _BALLS = _balls()
 
 
-def search(base_ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, coder: Coder, k: int, radius: int):
-    """(query ids, vec ids, scores): for each query its k best rows within the radius, ties to the smaller id."""
-    tables = Tables(coder.codes(base), coder.bits)
+def search(base_ids: np.ndarray, base: np.ndarray, ranges: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, coder: Coder, k: int, limited: bool):
+    """(query ids, vec ids, scores): for each query its k best rows, within the radius of their range if `limited`;
+    ties to the smaller id."""
+    codes, parts = coder.codes(base), []
+    for one in np.unique(ranges)[::-1]:
+        at = np.flatnonzero(ranges == one)
+        radius = coder.radii.get(int(one), coder.bits) if limited else coder.bits
+        parts.append((at, radius, Tables(codes[at], coder.bits) if radius < coder.bits else None, float(np.linalg.norm(base[at], axis=1).max())))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for query_id, query, code in zip(query_ids, queries, coder.codes(queries)):
-        rows = tables.within(code, radius)
-        rows = rows[base_ids[rows] != query_id]
-        score = (base[rows] * query).sum(axis=1)
-        if len(rows) > 4 * k:  # all that tie with the k-th stay for the order below
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[keep], score[keep]
-        order = np.lexsort((base_ids[rows], -score))[:k]
-        out.append((np.full(len(order), query_id), base_ids[rows[order]], score[order]))
+        rows, score, length = np.zeros(0, np.int64), np.zeros(0), float(np.linalg.norm(query))
+        for at, radius, tables, norm in parts:
+            if len(rows) == k and score[-1] > norm * length * (1 + 1e-9):
+                break
+            new = at[tables.within(code, radius)] if tables else at
+            new = new[base_ids[new] != query_id]
+            rows, score = np.concatenate((rows, new)), np.concatenate((score, (base[new] * query).sum(axis=1)))
+            if len(rows) > 4 * k:  # all that tie with the k-th stay for the order below
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[keep], score[keep]
+            order = np.lexsort((base_ids[rows], -score))[:k]
+            rows, score = rows[order], score[order]
+        out.append((np.full(len(rows), query_id), base_ids[rows], score))
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -156,41 +173,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     if not sizes:
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     dim = sizes[0]["n"]
-    base = _usable(vectors).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    base = _usable(vectors).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("range", _norm_range(F.col("v")))
     asked = _usable(queries).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    coder = fit(np.stack(sample["v"].to_numpy()).astype(np.float64), k, recall)
-    n_rows, n_queries = base.count(), asked.count()
+    counts = {row["range"]: row["count"] for row in base.groupBy("range").count().collect()}
+    most = SAMPLE if len(counts) <= FULL_RANGES else max(1, FULL_RANGES * SAMPLE // len(counts))
+    # the share of a range with the smallest remainders of its hashes; a range of few rows as a whole
+    shares = F.create_map(*[F.lit(x) for one, n in counts.items() for x in (one, min(1.0, most / n))])
+    chosen = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < shares[F.col("range")] * (1 << 30)
+    sample = base.where(chosen).toPandas().sort_values("vec_id")
+    coder = fit(np.stack(sample["v"].to_numpy()).astype(np.float64), sample["range"].to_numpy(), k, recall)
+    n_rows, n_queries = sum(counts.values()), asked.count()
     shards, blocks = max(LEAST_SHARDS, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
 
-    def visited(asked: DataFrame, radius: int) -> DataFrame:
+    def visited(asked: DataFrame, limited: bool) -> DataFrame:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
                 return empty
             ids, found, score = search(
-                np.asarray(left["vec_id"].combine_chunks()), _matrix(left["v"], dim), np.asarray(right["vec_id"].combine_chunks()), _matrix(right["v"], dim), coder, k, radius
+                np.asarray(left["vec_id"].combine_chunks()), _matrix(left["v"], dim), np.asarray(left["range"].combine_chunks()), np.asarray(right["vec_id"].combine_chunks()), _matrix(right["v"], dim), coder, k, limited
             )
             return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
 
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
         zero = F.lit(0).cast("long")
-        indexed = base.select("vec_id", "v", shard.alias("shard"), F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("block"))
+        indexed = base.select("vec_id", "v", "range", shard.alias("shard"), F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("block"))
         asking = asked.select("vec_id", "v", F.explode(F.sequence(zero, F.lit(shards - 1).cast("long"))).alias("shard"), block.alias("block"))
         return indexed.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInArrow(run, _FOUND)
 
-    first = stored(spark, visited(asked, coder.radius), "neighbours")
+    first = stored(spark, visited(asked, True), "neighbours")
     enough = first.groupBy("query_id").count().where(F.col("count") >= min(k, n_rows - 1)).select(F.col("query_id").alias("vec_id"))
     lacking = stored(spark, asked.join(enough, "vec_id", "left_anti"), "lacking")
     found = first
     if not lacking.isEmpty():
-        again = visited(lacking, 64)
+        again = visited(lacking, False)
         found = first.join(lacking.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # shards * k rows a query
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _norm_range(v: Column) -> Column:
+    """Norms from sqrt(2) ^ (n - 1/2) to sqrt(2) ^ (n + 1/2) are range n; no intermediate value overflows."""
+    top = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(F.transform(v, lambda x: (x / top) * (x / top)), F.lit(0.0), lambda a, x: a + x)
+    return F.floor(2 * F.log2(top) + F.log2(squares) + 0.5).cast("int")
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)

@@ -172,6 +172,24 @@ def test_neighbours(spark):
     assert found / len(got) >= 0.9 and got.query_id.nunique() == (ids % 20 == 0).sum()
 
 
+@pytest.mark.parametrize("n_large", [15, 60])
+def test_neighbours_of_mixed_norms(spark, monkeypatch, n_large):
+    monkeypatch.setattr(neighbours, "SAMPLE", 512)
+    vectors = np.random.default_rng(11).normal(size=(6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    # The large rows are those that a sample by the smallest hash misses.
+    order = [r.id for r in spark.range(len(vectors)).orderBy(F.xxhash64("id")).collect()]
+    vectors[order[-n_large:]] *= 20
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": list(vectors)}), "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, frame.where("vec_id < 100"), k=20).toPandas()
+    found = 0
+    for q, part in got.groupby("query_id"):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        found += len(set(np.argsort(-score)[:20]) & set(part.vec_id))
+    assert len(got) == 2000 and found / 2000 >= 0.97, found / 2000
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 40, 500, dtype=np.uint64)
