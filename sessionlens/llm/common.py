@@ -56,3 +56,9 @@ def common_bits(told: DataFrame) -> np.ndarray:
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
     return out.view(np.uint8)
+
+
+def lowered(text: str) -> Column:
+    """A text with A-Z as a-z and all else as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(F.col(text), upper, upper.lower())
