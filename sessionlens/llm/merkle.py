@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, positions, stored
 
 #: Children of a parent, and levels inside a tile.
 FAN, LEVELS = 16, 3
@@ -277,12 +277,7 @@ def _hand(key: tuple, parents: pa.Table, over: pa.Table) -> pa.Table:
 
 
 def _of_children(parents: DataFrame, tiles: DataFrame) -> DataFrame:
-    return parents.groupBy("tree", "tile").cogroup(_apart(tiles).groupBy("tree", "tile")).applyInArrow(_hand, _PATHS)
-
-
-def _apart(frame: DataFrame) -> DataFrame:
-    """The frame with columns of its own, so that it can meet a frame that it comes from."""
-    return frame.select(*[F.col(c).alias(c) for c in frame.columns])
+    return parents.groupBy("tree", "tile").cogroup(apart(tiles).groupBy("tree", "tile")).applyInArrow(_hand, _PATHS)
 
 
 def _of_tiles(storeys: list[DataFrame], trees: DataFrame) -> DataFrame:
@@ -301,18 +296,6 @@ def _of_tiles(storeys: list[DataFrame], trees: DataFrame) -> DataFrame:
     return known
 
 
-def positions(frame: DataFrame, order: list[Column]) -> DataFrame:
-    """`frame` (with a column `tree` that is never null) and its rows' `pos` in their tree, from 0, and the tree's `n` rows."""
-    spark = frame.sparkSession
-    sort = [F.col("tree").asc(), *order]
-    ordered = frame.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    ordered = stored(spark, ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ordered")
-    counts = ordered.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("shift", F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).withColumn("n", F.sum("rows").over(Window.partitionBy("tree")))
-    return ordered.join(counts.select("tree", "part", "shift", "n"), ["tree", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 def leaf(columns: list[Column]) -> Column:
     """The digest of fields: each `-` if null, else its UTF-8 byte count, a colon and its value."""
     shown = [c.cast("string") for c in columns]
@@ -405,6 +388,6 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "la
         parents = parents.unionByName(storeys[0].select(*parents.columns))
     rows = placed.select("doc_id", "tree", _tile("pos").alias("tile"), "pos", "digest", "replaced")
 
-    folded = rows.groupBy("tree", "tile").cogroup(_apart(parents).groupBy("tree", "tile")).applyInArrow(_fold, _FOLDED)
+    folded = rows.groupBy("tree", "tile").cogroup(apart(parents).groupBy("tree", "tile")).applyInArrow(_fold, _FOLDED)
     shown = folded.select("doc_id", *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")])
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
