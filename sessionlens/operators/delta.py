@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.measures import count_where
+from ..functions.ranking import numbered
 from ..sources.trace import Trace
 from .views import ordered_snapshots
 
@@ -28,13 +29,21 @@ def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
     )
 
 
+#: Positions in one piece of a snapshot, for row numbers and for the common prefix.
+PIECE = 4096
+
+
 def context_deltas(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Delta per pair: exact multiset match first, then semantic match among the leftovers.
 
-    Both sides are stacked and shuffled once by pair; every later step is a window or aggregate whose
-    keys start with the pair, so it stays in place. A pair holds at most 2 x max_blocks rows.
+    Both sides of a pair are stacked. Matching is work inside one fingerprint of a pair, so rows are dealt by
+    (pair, exact fingerprint) and then by (pair, semantic fingerprint); rows without a fingerprint match
+    nothing and are dealt by their position. The common prefix is found in pieces of `PIECE` positions,
+    whose first mismatches meet as one row a piece. No step has the pair alone as its key but the last
+    sums, which are combined before they are shuffled: a snapshot with a tenth of all blocks is spread
+    over as many tasks as the others.
     """
-    columns = ["ordinal", "exact_fp", "semantic_fp", "estimated_tokens"]
+    columns = ["position", "exact_fp", "semantic_fp", "estimated_tokens"]
     size = blocks.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("size"))
     limits = (
         pairs.join(size.select(F.col("snapshot_id").alias("current_snapshot_id"), F.col("size").alias("cs")),
@@ -50,74 +59,108 @@ def context_deltas(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
             ).alias("limited"),
         )
     )
-    kept = blocks.select("snapshot_id", *columns)
+    placed = blocks if "position" in blocks.columns else numbered(
+        blocks.select("snapshot_id", "ordinal", *columns[1:]), ["snapshot_id"], [F.col("ordinal")], "position", F.floor(F.col("ordinal") / PIECE)
+    )
+    kept = placed.select("snapshot_id", *columns)
     current = pairs.select(F.col("current_snapshot_id").alias("pair"), F.col("current_snapshot_id").alias("snapshot_id")).join(
         kept, "snapshot_id"
     )
     previous = pairs.select(F.col("current_snapshot_id").alias("pair"), F.col("previous_snapshot_id").alias("snapshot_id")).join(
         kept, "snapshot_id"
     )
-    rows = (
-        current.select("pair", F.lit(True).alias("now"), *columns)
-        .unionByName(previous.select("pair", F.lit(False).alias("now"), *columns))
-        .repartition("pair")
+    rows = current.select("pair", F.lit(True).alias("now"), *columns).unionByName(
+        previous.select("pair", F.lit(False).alias("now"), *columns)
+    )
+    counted = _matched(rows).join(_prefixes(rows), "pair")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cut = F.col("cs") == F.col("ps")
+    unsure = F.col("limited") & ~F.coalesce("__mismatch", F.lit(False)) & cut
+    empty = F.col("pair").isNull()  # neither side has a block
+    return limits.join(counted, limits.current_snapshot_id == counted.pair, "left").select(
+        "current_snapshot_id", "previous_snapshot_id",
+        F.when(F.col("limited"), "resource_limit").otherwise("complete").alias("status"),
+        zero("repeated_blocks").alias("repeated_blocks"), zero("new_blocks").alias("new_blocks"),
+        zero("changed_blocks").alias("changed_blocks"), zero("removed_blocks").alias("removed_blocks"),
+        F.when(empty, F.lit(0)).otherwise(F.col("repeated_tokens")).alias("repeated_tokens"),
+        F.when(empty, F.lit(0)).otherwise(F.col("new_tokens")).alias("new_tokens"),
+        F.when(~unsure, zero("__prefix")).alias("common_prefix_blocks"),
+        F.when(~unsure, F.when(empty, F.lit(0)).otherwise(F.col("__prefix_tokens"))).alias("common_prefix_tokens"),
+    )
+
+
+def _tokens(flag: str) -> Column:
+    """Tokens of the flagged rows, NULL if one of them has none."""
+    return F.when(
+        count_where(F.col(flag) & F.col("estimated_tokens").isNull()) == 0,
+        F.coalesce(F.sum(F.when(F.col(flag), F.col("estimated_tokens"))), F.lit(0)),
     )
+
+
+def _matched(rows: DataFrame) -> DataFrame:
+    """Repeated, changed, new and removed blocks of each pair."""
     now, then = F.col("now"), ~F.col("now")
+    alone = F.concat(F.lit("#"), F.col("now").cast("string"), F.col("position").cast("string"))  # a fingerprint is hex
     over = lambda *keys: Window.partitionBy("pair", *keys)
-    rank = lambda *keys: F.row_number().over(over(*keys).orderBy("ordinal"))
+    rank = lambda *keys: F.row_number().over(over(*keys).orderBy("position"))
     total = lambda condition, *keys: F.sum(condition.cast("int")).over(over(*keys))
     known = F.col("exact_fp").isNotNull()
-    step = rows.withColumn("position", rank("now"))
-    step = step.withColumn("repeated", now & known & (rank("exact_fp", "now") <= total(then, "exact_fp")))
-    step = step.withColumn("used", total(F.col("repeated"), "exact_fp")).withColumn(
+    step = rows.withColumn("__exact", F.coalesce("exact_fp", alone)).repartition("pair", "__exact")
+    step = step.withColumn("repeated", now & known & (rank("__exact", "now") <= total(then, "__exact")))
+    step = step.withColumn("used", total(F.col("repeated"), "__exact")).withColumn(
         "preferred",
-        then & known & (rank("exact_fp", "semantic_fp", "now") <= total(F.col("repeated"), "exact_fp", "semantic_fp")),
+        then & known & (rank("__exact", "semantic_fp", "now") <= total(F.col("repeated"), "__exact", "semantic_fp")),
     )
-    step = step.withColumn("open", F.col("used") - total(F.col("preferred"), "exact_fp")).withColumn(
+    step = step.withColumn("open", F.col("used") - total(F.col("preferred"), "__exact")).withColumn(
         "taken",
         F.col("preferred")
-        | (then & known & ~F.col("preferred") & (rank("exact_fp", "now", "preferred") <= F.col("open"))),
+        | (then & known & ~F.col("preferred") & (rank("__exact", "now", "preferred") <= F.col("open"))),
     )
-    step = step.withColumn("left_over", then & ~F.col("taken"))
-    step = step.withColumn("seeks", now & ~F.col("repeated") & F.col("semantic_fp").isNotNull()).withColumn(
-        "changed", F.col("seeks") & (rank("semantic_fp", "seeks") <= total(F.col("left_over"), "semantic_fp"))
+    step = step.withColumn("left_over", then & ~F.col("taken")).withColumn(
+        "seeks", now & ~F.col("repeated") & F.col("semantic_fp").isNotNull()
     )
+    step = step.select("pair", "now", "position", "semantic_fp", "estimated_tokens", "repeated", "left_over", "seeks")
+    step = step.withColumn("__semantic", F.coalesce("semantic_fp", alone)).repartition("pair", "__semantic")
+    step = step.withColumn("changed", F.col("seeks") & (rank("__semantic", "seeks") <= total(F.col("left_over"), "__semantic")))
     step = step.withColumn("new", now & ~F.col("repeated") & ~F.col("changed"))
-    here = over("position")
-    before_fp = F.max(F.when(then, F.col("exact_fp"))).over(here)
-    now_fp = F.max(F.when(now, F.col("exact_fp"))).over(here)
-    both = F.count(F.lit(1)).over(here) == 2
-    step = step.withColumn("matches", F.coalesce(both & (before_fp == now_fp), F.lit(False))).withColumn("both", both)
-    stop = F.min(F.when(~F.col("matches"), F.col("position"))).over(over())
-    step = step.withColumn("in_prefix", now & (F.col("position") < F.coalesce(stop, F.lit(2147483647))))
-    tokens = lambda flag: F.when(
-        count_where(F.col(flag) & F.col("estimated_tokens").isNull()) == 0,
-        F.coalesce(F.sum(F.when(F.col(flag), F.col("estimated_tokens"))), F.lit(0)),
-    )
-    counted = step.groupBy("pair").agg(
+    return step.groupBy("pair").agg(
         count_where(F.col("repeated")).alias("repeated_blocks"),
         count_where(F.col("changed")).alias("changed_blocks"),
         count_where(F.col("new")).alias("new_blocks"),
         (count_where(F.col("left_over")) - count_where(F.col("changed"))).alias("removed_blocks"),
-        tokens("repeated").alias("repeated_tokens"),
-        tokens("new").alias("new_tokens"),
-        count_where(F.col("in_prefix")).alias("__prefix"),
-        tokens("in_prefix").alias("__prefix_tokens"),
-        F.coalesce(F.bool_or(F.col("both") & ~F.col("matches")), F.lit(False)).alias("__mismatch"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    cut = F.col("cs") == F.col("ps")
-    unsure = F.col("limited") & ~F.coalesce("__mismatch", F.lit(False)) & cut
-    empty = F.col("pair").isNull()  # neither side has a block
-    return limits.join(counted, limits.current_snapshot_id == counted.pair, "left").select(
-        "current_snapshot_id", "previous_snapshot_id",
-        F.when(F.col("limited"), "resource_limit").otherwise("complete").alias("status"),
-        zero("repeated_blocks").alias("repeated_blocks"), zero("new_blocks").alias("new_blocks"),
-        zero("changed_blocks").alias("changed_blocks"), zero("removed_blocks").alias("removed_blocks"),
-        F.when(empty, F.lit(0)).otherwise(F.col("repeated_tokens")).alias("repeated_tokens"),
-        F.when(empty, F.lit(0)).otherwise(F.col("new_tokens")).alias("new_tokens"),
-        F.when(~unsure, zero("__prefix")).alias("common_prefix_blocks"),
-        F.when(~unsure, F.when(empty, F.lit(0)).otherwise(F.col("__prefix_tokens"))).alias("common_prefix_tokens"),
+        _tokens("repeated").alias("repeated_tokens"),
+        _tokens("new").alias("new_tokens"),
+    )
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """Length and tokens of the common prefix of each pair, and whether the two sides differ at a common position."""
+    now = F.col("now")
+    piece = F.floor((F.col("position") - 1) / PIECE)
+    met = rows.withColumn("piece", piece).repartition("pair", "piece").groupBy("pair", "piece", "position").agg(
+        F.max(F.when(now, F.col("exact_fp"))).alias("here"),
+        F.max(F.when(~now, F.col("exact_fp"))).alias("there"),
+        (F.count(F.lit(1)) == 2).alias("both"),
+        F.bool_or(now).alias("now"),
+        F.max(F.when(now, F.col("estimated_tokens"))).alias("estimated_tokens"),
+    )
+    met = met.withColumn("same", F.coalesce(F.col("both") & (F.col("here") == F.col("there")), F.lit(False)))
+    so_far = Window.partitionBy("pair", "piece").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumn("clean", F.bool_and("same").over(so_far))
+    pieces = met.groupBy("pair", "piece").agg(
+        F.bool_and("same").alias("whole"),
+        F.bool_or(F.col("both") & ~F.col("same")).alias("mismatch"),
+        count_where(F.col("clean") & F.col("now")).alias("n"),
+        count_where(F.col("clean") & F.col("estimated_tokens").isNull()).alias("unknown"),
+        F.sum(F.when(F.col("clean"), F.col("estimated_tokens"))).alias("tokens"),
+    )
+    # the pieces up to the first that is not common as a whole
+    broken = pieces.groupBy("pair").agg(F.min(F.when(~F.col("whole"), F.col("piece"))).alias("last"), F.bool_or("mismatch").alias("__mismatch"))
+    counts = F.col("last").isNull() | (F.col("piece") <= F.col("last"))
+    return pieces.join(broken, "pair").groupBy("pair").agg(
+        F.first("__mismatch").alias("__mismatch"),
+        F.coalesce(F.sum(F.when(counts, F.col("n"))), F.lit(0)).alias("__prefix"),
+        F.when(F.coalesce(F.sum(F.when(counts, F.col("unknown"))), F.lit(0)) == 0, F.coalesce(F.sum(F.when(counts, F.col("tokens"))), F.lit(0))).alias("__prefix_tokens"),
     )
 
 
@@ -144,7 +187,8 @@ def reconcile(
 def survival(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Survived tokens by content kind between a `before` and an `after` snapshot per pair.
 
-    Matching is a multiset match on the semantic, else exact, fingerprint in block order.
+    Matching is a multiset match on the semantic, else exact, fingerprint in block order: the later side is one count a
+    fingerprint, and the earlier side is ranked in pieces, so that no pair and no fingerprint is gathered.
     """
     fingerprint = F.coalesce("semantic_fp", "exact_fp")
     field = F.when(F.col("semantic_fp").isNotNull(), "semantic").otherwise("exact")
@@ -155,21 +199,11 @@ def survival(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     before = pairs.select("pair", F.col("before_id").alias("snapshot_id")).join(rows, "snapshot_id").where(
         "estimated_tokens is not null"
     )
-    after = pairs.select("pair", F.col("after_id").alias("snapshot_id")).join(rows, "snapshot_id")
-    stacked = (
-        before.select("pair", F.lit(True).alias("early"), "ordinal", "field", "fp", "name", "estimated_tokens")
-        .unionByName(after.select("pair", F.lit(False).alias("early"), "ordinal", "field", "fp", "name", "estimated_tokens"))
-        .repartition("pair")
-    )
-    key = Window.partitionBy("pair", "field", "fp")
-    rank = F.row_number().over(Window.partitionBy("pair", "field", "fp", "early").orderBy("ordinal"))
-    later = F.sum((~F.col("early")).cast("int")).over(key)
-    matched = stacked.withColumn("kept", F.col("early") & F.col("fp").isNotNull() & (rank <= later))
-    return (
-        matched.where("early")
-        .groupBy("pair", "name")
-        .agg(
-            F.sum("estimated_tokens").alias("before_tokens"),
-            F.coalesce(F.sum(F.when(F.col("kept"), F.col("estimated_tokens"))), F.lit(0)).alias("survived_tokens"),
-        )
+    after = pairs.select("pair", F.col("after_id").alias("snapshot_id")).join(rows, "snapshot_id").where("fp is not null")
+    later = after.groupBy("pair", "field", "fp").agg(F.count(F.lit(1)).alias("later"))
+    ranked = numbered(before, ["pair", "field", "fp"], [F.col("ordinal")], "rank", F.floor(F.col("ordinal") / PIECE))
+    matched = ranked.join(later, ["pair", "field", "fp"], "left").withColumn("kept", F.col("rank") <= F.col("later"))
+    return matched.groupBy("pair", "name").agg(
+        F.sum("estimated_tokens").alias("before_tokens"),
+        F.coalesce(F.sum(F.when(F.col("kept"), F.col("estimated_tokens"))), F.lit(0)).alias("survived_tokens"),
     )

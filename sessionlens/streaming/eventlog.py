@@ -130,7 +130,7 @@ def live_deltas(snapshots: DataFrame, spark: SparkSession, folder: str) -> DataF
             F.lit("complete").alias("current_status"), F.lit("complete").alias("previous_status"),
         ).where("previous_snapshot_id is not null")
         blocks = rows.select("snapshot_id", F.posexplode("blocks").alias("ordinal", "b")).select(
-            "snapshot_id", "ordinal", F.col("b.exact").alias("exact_fp"), F.col("b.semantic").alias("semantic_fp"), F.col("b.tokens").alias("estimated_tokens")
+            "snapshot_id", (F.col("ordinal") + 1).alias("position"), F.col("b.exact").alias("exact_fp"), F.col("b.semantic").alias("semantic_fp"), F.col("b.tokens").alias("estimated_tokens")
         )
         found = context_deltas(pairs, blocks).join(pairs.select("session_id", "current_snapshot_id"), "current_snapshot_id")
         found.select(*LIVE).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
