@@ -3,8 +3,9 @@
 Texts are cut into pieces and words; a phrase is a run of words inside a piece. Only phrases whose
 parts are frequent can be frequent, so lengths are counted one after the other:
 
-1. A task turns each slice of texts into a stream of word numbers and counts its words. Spark adds up
-   the counts of equal words; frequent words get ids, and each slice learns the ids of its words.
+1. A task turns each slice of texts into a stream of word numbers and counts its words. Shards of the
+   words, ranges of a hash, add up the counts; frequent words become ids, and each slice learns those
+   of its words.
 2. For every length, a slice packs each run whose first n - 1 words and last n - 1 words are frequent
    into one number, (id of the first n - 1 words, id of the last word), and counts these numbers in
    counting quotient filters (`quotient`), one a shard of the permuted numbers.
@@ -17,6 +18,7 @@ none grows with the corpus. No dictionary is broadcast; slices meet their ids in
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, bucketed, positions, stored
+from .common import apart, bucketed, stored
 from .quotient import Filter, permuted, restored
-from .words import LOWER, pieces
+from .words import LOWER, Text, mixed, pieces
 
 #: Bytes of texts in a slice, and words in a shard.
 SLICE, SHARD = 8 << 20, 1 << 24
@@ -67,21 +69,20 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.insert(number, np.flatnonzero(cut) + 1, 0), words.dictionary, np.bincount(number, minlength=len(words.dictionary) + 1)[1:]
 
 
-_SLICES = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("local", pa.int64()), ("n", pa.int64()), ("stream", pa.binary())])
+_SLICES = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("stream", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of words (lang, word, local, n) and of streams, by slice; a slice has one language."""
+    """One row a slice: its language, its number of words, their stream, and its words with their counts."""
     made, waiting, held = TaskContext.get().partitionId() << 32, {}, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal made
         for lang, texts in waiting.items():
             numbers, words, counts = stream(texts)
-            n = len(words)
-            columns = [np.full(n, made), pa.array([lang] * n, pa.string()), words.cast(pa.string()), np.arange(1, n + 1), counts, pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_SLICES)
-            yield pa.RecordBatch.from_pylist([{"slice": made, "lang": lang, "stream": packed(numbers)}], schema=_SLICES)
+            spelt = zstandard.ZstdCompressor(level=1).compress(b" ".join(words.to_pylist()))
+            row = {"slice": made, "lang": lang, "n": int(counts.sum()), "stream": packed(numbers), "words": spelt, "counts": packed(counts)}
+            yield pa.RecordBatch.from_pylist([row], schema=_SLICES)
             made += 1
         waiting.clear()
 
@@ -97,6 +98,58 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+_DEALT = pa.schema([("shard", pa.int64()), ("slice", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("local", pa.binary()), ("counts", pa.binary())])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], shard_bits: int) -> Iterator[pa.RecordBatch]:
+    """The words of slices by shard, a range of the hashes of language and word."""
+    for batch in batches:
+        for made, lang, data, counts in zip(*(batch.column(c).to_pylist() for c in ("slice", "lang", "words", "counts"))):
+            spelt, counts = zstandard.ZstdDecompressor().decompress(data), unpacked(counts)
+            if not len(counts):
+                continue
+            text = Text([spelt])
+            hashes = mixed(text.hashes(*text.words()) + np.uint64(zlib.crc32(lang.encode())))
+            shard = (hashes >> np.uint64(64 - shard_bits)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            words = pa.array(spelt.split(b" "), pa.large_binary()).take(pa.array(order)).to_pylist()
+            edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+            rows = [
+                {"shard": int(shard[order[a]]), "slice": made, "lang": lang, "words": b" ".join(words[a:b]), "local": packed(order[a:b] + 1), "counts": packed(counts[order[a:b]])}
+                for a, b in zip(edges[:-1], edges[1:])
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=_DEALT)
+
+
+_NAMED = pa.schema([("shard", pa.int64()), ("rank", pa.int64()), ("lang", pa.string()), ("spelt", pa.string()), ("f", pa.int64()), ("slice", pa.int64()), ("values", pa.binary()), ("ranks", pa.binary())])
+_NAMED_SQL = "shard long, rank long, lang string, spelt string, f long, slice long, `values` binary, ranks binary"
+
+
+def _name(key: tuple, rows: pa.Table, least: int) -> pa.Table:
+    """The frequent words of a shard, ranked, and for each slice its numbers of those that it has."""
+    parts = [x.as_py().split(b" ") for x in rows["words"]]
+    sizes, counts = [len(p) for p in parts], np.concatenate([unpacked(x.as_py()) for x in rows["counts"]]).astype(np.int64)
+    langs, of = np.unique(np.array(rows["lang"].to_pylist(), object), return_inverse=True)
+    # one number for each pair of a language and a word
+    words = pa.array([w for p in parts for w in p], pa.large_binary()).dictionary_encode()
+    pairs, at = np.unique(np.asarray(words.indices, np.int64) * len(langs) + np.repeat(of, sizes), return_inverse=True)
+    total = np.bincount(at, weights=counts).astype(np.int64)
+    frequent = np.flatnonzero(total >= least)
+    n = len(frequent)
+    rank = np.full(len(pairs), -1)
+    rank[frequent] = np.arange(n)
+    spelt = words.dictionary.take(pa.array(pairs[frequent] // len(langs))).cast(pa.binary()).cast(pa.string())
+    table = {"shard": np.full(n, key[0].as_py()), "rank": np.arange(n), "lang": langs[pairs[frequent] % len(langs)], "spelt": spelt, "f": total[frequent]}
+    out = [pa.table({f.name: pa.array(table[f.name], f.type) if f.name in table else pa.nulls(n, f.type) for f in _NAMED})]
+    replies, end = [], 0
+    for made, local, size in zip(rows["slice"].to_pylist(), rows["local"], sizes):
+        mine, end = rank[at[end : end + size]], end + size
+        hit = mine >= 0
+        if hit.any():
+            replies.append({"shard": key[0].as_py(), "slice": made, "values": packed(unpacked(local.as_py())[hit]), "ranks": packed(mine[hit])})
+    return pa.concat_tables([*out, pa.Table.from_pylist(replies, schema=_NAMED)])
+
+
 def keyed(words: np.ndarray, starts: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the runs of n words that may be frequent, and their packed numbers.
 
@@ -145,7 +198,8 @@ def _first_step(key: tuple, streams: pa.Table, ids: pa.Table, word_bits: int, sh
         return _STEP.empty_table()
     local = unpacked(streams["stream"][0].as_py())
     known = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-    known[np.asarray(ids["local"])] = np.asarray(ids["id"])
+    for shift, values, ranks in zip(*(ids[c].to_pylist() for c in ("shift", "values", "ranks"))):
+        known[unpacked(values)] = unpacked(ranks).astype(np.int64) + shift + 1
     words = known[local]
     words = words[(words > 0) | (np.append(words[1:], 0) > 0)]  # one 0 between runs
     _, keys = keyed(words, words, 2, word_bits)
@@ -216,6 +270,13 @@ def _bits(n: int) -> int:
     return max(1, int(n).bit_length())
 
 
+def _shifts(met: DataFrame) -> DataFrame:
+    """(shard, shift): how many frequent entries the shards before have; one row a shard."""
+    per_shard = met.where("f IS NOT NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return per_shard.select("shard", F.coalesce(before, F.lit(0)).alias("shift"))
+
+
 def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, f, parts) of every phrase of 1 to `longest` words that occurs `least` times or more in its language,
     where parts[k] is the count of its first k + 1 words; and (lang, n), the words of each language.
@@ -225,53 +286,52 @@ def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs["text"].alias("text"))
-    slices = bucketed(spark, rows.mapInArrow(_sliced, "slice long, lang string, word string, local long, n long, stream binary"), "slice", buckets, "slices")
-    seen = slices.where("word IS NOT NULL")
-    totals = stored(spark, seen.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    sizes = stored(spark, totals.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
+    slices = bucketed(spark, rows.mapInArrow(_sliced, "slice long, lang string, n long, stream binary, words binary, counts binary"), "slice", buckets, "slices")
+    sizes = stored(spark, slices.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "sizes")
     n_words = sizes.agg(F.sum("n")).first()[0] or 0
-    frequent = positions(totals.where(F.col("f") >= least).select(F.lit("all").alias("tree"), "lang", "word", "f"), [F.col("lang").asc(), F.col("word").asc()])
-    words = stored(spark, frequent.select((F.col("pos") + 1).alias("id"), "lang", "word", "f"), "vocabulary")
-    word_bits = _bits(words.agg(F.max("id")).first()[0] or 0)
-    wanted_shards = _bits(n_words // SHARD) if n_words > SHARD else 0
+    shards = max(_bits(n_words // SHARD), (buckets - 1).bit_length(), 1)  # bits
 
     def shard_bits(bits: int) -> int:
-        return min(bits - 1, max(wanted_shards, (buckets - 1).bit_length()))
+        return min(bits - 1, shards)
 
-    ids = seen.select("slice", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"]).select("slice", "local", "id")
+    dealt = slices.select("slice", "lang", "words", "counts").mapInArrow(lambda batches, s=shards: _dealt(batches, s), "shard long, slice long, lang string, words binary, local binary, counts binary")
+    named = stored(spark, dealt.groupBy("shard").applyInArrow(_with(_name, least), _NAMED_SQL), "named")
+    shifts = _shifts(named)
+    words = named.where("f IS NOT NULL").join(shifts, "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "lang", F.col("spelt").alias("word"), "f")
+    words = stored(spark, words, "vocabulary")
+    word_bits = _bits(words.agg(F.max("id")).first()[0] or 0)
+    ids = named.where("f IS NULL").join(shifts, "shard").select("slice", "shift", "values", "ranks")
     pair_bits, pair_shards = 2 * word_bits, shard_bits(2 * word_bits)
-    streams = slices.where("stream IS NOT NULL").select("slice", "stream")
+    streams = slices.select("slice", "stream")
     first = streams.groupBy("slice").cogroup(apart(ids).groupBy("slice")).applyInArrow(_with_both(_first_step, word_bits, pair_shards), _STEP_SQL)
     step = bucketed(spark, first, "slice", buckets, "step")
     streams = step.where("words IS NOT NULL").select("slice", "words", F.lit(None).cast("binary").alias("starts"))
     phrases = [words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("parts"))]
-    start_bits, bits, shards = word_bits, pair_bits, pair_shards
+    start_bits, bits, split = word_bits, pair_bits, pair_shards
     for n in range(2, longest + 1):
         filters = step.where("filter IS NOT NULL").select("slice", "shard", "filter")
-        met = filters.groupBy("shard").applyInArrow(_with(_meet, least, word_bits, bits, shards), _MET_SQL)
+        met = filters.groupBy("shard").applyInArrow(_with(_meet, least, word_bits, bits, split), _MET_SQL)
         met = stored(spark, met, "met")
         found = met.where("f IS NOT NULL")
-        per_shard = found.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-        shift = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        shifts = stored(spark, per_shard.select("shard", shift.alias("shift"), "n"), "shifts")
-        n_found = shifts.agg(F.sum("n")).first()[0] or 0
+        n_found = found.count()
         if not n_found:
             break
-        numbered = found.join(shifts.select("shard", "shift"), "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "prefix", "word", "f")
+        shifts = _shifts(met)
+        numbered = found.join(shifts, "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "prefix", "word", "f")
         before = phrases[-1].select(F.col("id").alias("prefix"), "lang", "words", "parts")
         last = words.select(F.col("id").alias("word"), F.col("word").alias("spelt"))
         whole = numbered.join(before, "prefix").join(last, "word")
         phrases.append(stored(spark, whole.select("id", "lang", F.concat("words", F.array("spelt")).alias("words"), "f", F.concat("parts", F.array("f")).alias("parts")), "phrases"))
         if n == longest:
             break
-        replies = met.where("f IS NULL").join(shifts.select("shard", "shift"), "shard").select("slice", "shard", "shift", "values", "ranks")
+        replies = met.where("f IS NULL").join(shifts, "shard").select("slice", "shard", "shift", "values", "ranks")
         state = streams if n == 2 else streams.unionByName(step.where("starts IS NOT NULL").select("slice", F.lit(None).cast("binary").alias("words"), "starts"))
         next_bits = _bits(n_found)
         next_shards = shard_bits(next_bits + word_bits)
-        next_step = _with_both(_next_step, n, word_bits, start_bits, next_bits, shards, next_shards)
+        next_step = _with_both(_next_step, n, word_bits, start_bits, next_bits, split, next_shards)
         further = state.groupBy("slice").cogroup(apart(replies).groupBy("slice")).applyInArrow(next_step, _STEP_SQL)
         step = stored(spark, further, "step")
-        start_bits, bits, shards = next_bits, next_bits + word_bits, next_shards
+        start_bits, bits, split = next_bits, next_bits + word_bits, next_shards
     whole = phrases[0].drop("id")
     for more in phrases[1:]:
         whole = whole.unionByName(more.drop("id"))
