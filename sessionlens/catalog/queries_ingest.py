@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import labels
 from ..operators import ingest
 from ..session import new_folder
-from ..sources.bindings import raw_requests, read, session_of_event_stream, star_trace, stream_chunks, usage_documents
+from ..sources.bindings import dialogue_chunks, raw_requests, read, session_of_event_stream, star_trace, stream_chunks, usage_documents
 from ..streaming import eventlog, sse
 from .registry import query
 
@@ -237,15 +237,20 @@ def canonical_events(spark, root):
 _TERM = "o_orderkey % 5 in (0, 1, 2, 4)"
 
 
+# Every event of every attempt, by name and data; comments and the ends of lines leave no trace.
 @query(
     "T01_sse_events",
-    """select o_orderkey as attempt_id, 2 + o_orderkey % 4 + case when o_orderkey % 5 = 4 then 1 else 0 end as events, o_orderkey % 4 +
-         case when o_orderkey % 5 = 4 then 1 else 0 end as deltas from orders""",
+    """select o_orderkey as attempt_id, cast(row_number() over (partition by o_orderkey order by p, i) - 1 as integer) as event_no, event, data from (
+         select o_orderkey, 0 as p, 0 as i, 'response.created' as event, '{"response":{"id":"resp-' || o_orderkey || '","model":"m' || o_orderkey % 3 || '"}}' as data from orders
+         union all select o_orderkey, 1, unnest(range(o_orderkey % 4)), 'response.output_text.delta', '{"delta":"x"}' from orders
+         union all select o_orderkey, 2, 0, case o_orderkey % 5 when 0 then 'response.completed' when 1 then 'response.incomplete' when 2 then 'response.failed'
+             when 4 then 'response.completed' else 'response.in_progress' end,
+           case o_orderkey % 5 when 0 then '{"response":' || chr(10) || '{"usage":{"input_tokens":' || o_orderkey || '}}}' when 1 then '{"response":{}}'
+             when 2 then '{"response":{"error":{"code":"overloaded"}}}' when 4 then '{"response":{"usage":{"input_tokens":1}}}' else '{oops' end from orders
+         union all select o_orderkey, 3, 0, 'response.output_text.delta', '{"usage":{"input_tokens":9}}' from orders where o_orderkey % 5 = 4)""",
 )
 def sse_events(spark, root):
-    return sse.frame_events(stream_chunks(spark, root)).groupBy("attempt_id").agg(
-        F.count(F.lit(1)).alias("events"), F.count(F.when(F.col("event").contains("delta"), 1)).alias("deltas")
-    )
+    return sse.frame_events(stream_chunks(spark, root)).select("attempt_id", "event_no", "event", "data")
 
 
 _FOLD = f"""select o_orderkey as attempt_id, 'resp-' || o_orderkey as response_id, 'm' || o_orderkey % 3 as model,
@@ -265,7 +270,24 @@ def folded(spark, root):
 
 @query("T02_stream_fold", _FOLD)
 def stream_fold(spark, root):
-    return folded(spark, root)
+    return folded(spark, root).drop("incomplete_reason", "compaction_output_seen")
+
+
+@query(
+    "T02_observation_fields",
+    """select conv_id as attempt_id, case when r = 1 then 'max_output_tokens' end as incomplete_reason, m in (0, 3) as compaction_output_seen,
+         case when r = 3 then 'unavailable' when r = 4 then 'unavailable' when r = 2 or m = 2 then 'partial' else 'final' end as usage_status,
+         case when r not in (3, 4) then size end as input_total, case when r not in (3, 4) and m = 1 then size // 2 end as input_cached,
+         case when r not in (3, 4) then turns end as output_total, case when r not in (3, 4) then case when m = 2 then 1 else size + turns end end as total,
+         case when r in (3, 4) then 'partial' when r = 2 then 'cancelled' else 'complete' end as status
+       from (select conv_id, count(*) as turns, cast(sum(length(text)) as bigint) as size, conv_id % 5 as r, conv_id % 4 as m from conversations group by 1)""",
+)
+def observation_fields(spark, root):
+    """Reason, compaction and normalised usage of streams whose deltas carry the turns of dialogues."""
+    chunks = dialogue_chunks(spark, root)
+    closings = chunks.where("closing is not null").select("attempt_id", "closing")
+    out = sse.with_usage(sse.fold_events(sse.frame_events(chunks), closings))
+    return out.select("attempt_id", "incomplete_reason", "compaction_output_seen", "usage_status", "input_total", "input_cached", "output_total", "total", "status")
 
 
 @query("T03_late_events", "select late_events, count(*) as attempts from f group by 1", f=_FOLD)
@@ -400,7 +422,8 @@ def stateful_fold(spark, root):
         placed.where(F.col("late") == late).select("attempt_id", "seq", "chunk", "closing").write.mode("append").parquet(f"{folder}/in/{int(late)}")
     first = len(spark.read.parquet(f"{folder}/in/0").inputFiles())
     stream = spark.readStream.schema(placed.select("attempt_id", "seq", "chunk", "closing").schema).option("maxFilesPerTrigger", first).parquet(f"{folder}/in/*")
-    return eventlog.run_to_table(sse.observe_stream(stream), spark, f"{folder}/out", f"{folder}/state", "append")
+    out = eventlog.run_to_table(sse.observe_stream(stream), spark, f"{folder}/out", f"{folder}/state", "append")
+    return out.drop("incomplete_reason", "compaction_output_seen")
 
 
 @query(

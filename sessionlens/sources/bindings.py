@@ -30,8 +30,23 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}.parquet")
 
 
+#: Bytes of a table whose rows cost much work that are worth a task, and that a scan puts into one task anyway.
+HEAVY_TASK, SCAN_TASK = 1 << 20, 128 << 20
+
+
 def read_text(spark: SparkSession, root: str, table: str, *columns: str) -> DataFrame:
-    return read(spark, root, table).select(*columns)
+    """Columns of a table whose rows cost much work: texts, and keys that streams and bodies are made of.
+
+    A file of one row group is one task, however much work its rows are. A table that scans would
+    leave to fewer tasks than the cluster has cores is therefore stored once per application in so many files as
+    its bytes are worth; one with more than `SCAN_TASK` bytes a core never is.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    wanted = min(spark.sparkContext.defaultParallelism, -(-size // HEAVY_TASK))
+    if wanted <= -(-size // SCAN_TASK):
+        return read(spark, root, table).select(*columns)
+    return _ingested(spark, root, f"{table}_dealt", lambda: read(spark, root, table).repartition(wanted)).select(*columns)
 
 
 def whole(expr: str) -> Column:
@@ -567,7 +582,7 @@ def usage_documents(spark: SparkSession, root: str) -> DataFrame:
 
 def stream_chunks(spark: SparkSession, root: str, source: DataFrame | None = None) -> DataFrame:
     """Response streams derived from orders, cut into chunks at arbitrary places."""
-    orders = read(spark, root, "orders") if source is None else source
+    orders = read_text(spark, root, "orders", "o_orderkey") if source is None else source
     text = F.expr(
         r"""concat('event: response.created\ndata: {"response":{"id":"resp-', o_orderkey, '","model":"m', o_orderkey % 3, '"}}\n\n: ping\n\n',
         repeat('event: response.output_text.delta\ndata: {"delta":"x"}\n\n', cast(o_orderkey % 4 as int)),
@@ -592,6 +607,30 @@ def stream_chunks(spark: SparkSession, root: str, source: DataFrame | None = Non
     )
 
 
+def dialogue_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Response streams of dialogues: a delta a turn with its text, then usage, reasons and a compaction item by kind of dialogue."""
+    turns = read(spark, root, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"), F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size")
+    )
+    delta = F.transform("turns", lambda t: F.concat(F.lit("event: response.output_text.delta\ndata: "), F.to_json(F.struct(t["text"].alias("delta"))), F.lit("\n\n")))
+    rest = F.expr(
+        r"""concat(case conv_id % 4 when 0 then 'event: response.output_item.done\ndata: {"item":{"type":"compaction"}}\n\n'
+              when 1 then 'event: response.output_item.done\ndata: {"item":{"text":"\\\"type\\\":\\\"compaction\\\""}}\n\n'
+              when 3 then 'event: note\ndata: {"items":[{"parts":[{"b":1,"type":"compaction"}]}]}\n\n' else '' end,
+            case conv_id % 5 when 1 then 'event: response.incomplete\ndata: {"response":{"incomplete_details":{"reason":"max_output_tokens"},"usage":'
+              when 2 then 'event: response.in_progress\ndata: {"response":{"usage":' else 'event: response.completed\ndata: {"response":{"usage":' end,
+            case conv_id % 5 when 3 then '"none"' when 4 then '{}' else concat('{"input_tokens":', size,
+              case when conv_id % 4 = 1 then concat(',"input_tokens_details":{"cached_tokens":', size div 2, '}') else '' end, ',"output_tokens":', n,
+              ',"total_tokens":', case when conv_id % 4 = 2 then 1 else size + n end, '}') end, '}}\n\n')"""
+    )
+    body = turns.select("conv_id", F.concat(F.array_join(delta, ""), rest).alias("body"), (F.col("conv_id") % 61 + 40).cast("int").alias("w"))
+    cut = body.select("conv_id", "body", "w", F.explode(F.expr("sequence(0, cast((length(body) - 1) div w as int))")).alias("seq"))
+    return cut.select(
+        F.col("conv_id").cast("bigint").alias("attempt_id"), F.col("seq").cast("bigint").alias("seq"), F.expr("substring(body, seq * w + 1, w)").alias("chunk"),
+        F.expr("case when seq = (length(body) - 1) div w then case when conv_id % 5 = 2 then 'cancel' else 'end' end end").alias("closing"),
+    )
+
+
 def session_of_event_stream(spark: SparkSession, root: str) -> DataFrame:
     """The event table as a stream."""
     schema = read(spark, root, "events").schema

@@ -1,8 +1,9 @@
 """Server-sent event streams: framing and folding, as a batch job and as a stateful stream.
 
-The batch form is the specification. It needs a whole stream per attempt, which the limits below
-bound; the stateful form carries the unfinished line and the folded observation between batches and
-gives the same result for any cut of the stream.
+The batch form is the specification. It never puts a whole stream together: chunks are cut at blank
+lines where they are, and only the pieces of an event that crosses chunks meet. The stateful form
+carries the unfinished event and the folded observation between batches and gives the same result for
+any cut of the stream.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.ranking import numbered
+from ..operators.ingest import normalize_usage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,30 +46,66 @@ def worst(status: Column) -> Column:
     return F.get(names, F.max(place[status]))
 
 
-def frame_events(chunks: DataFrame, key: str = "attempt_id") -> DataFrame:
-    """Chunks (seq, chunk) to events: CR, LF and CRLF end lines, data lines join, comments go.
+#: Chunks, and events, in one piece of an attempt.
+PIECE = 1024
+
 
-    The text of one attempt is put together in order; everything after that is per-row array work.
+def frame_events(chunks: DataFrame, key: str = "attempt_id") -> DataFrame:
+    """Chunks (seq, chunk) to events (event_no, event, data, size): CR, LF and CRLF end lines, blank lines end events,
+    data lines join, comments go. Attempts are never null; a null or empty chunk adds nothing.
+
+    A segmented scan over pieces of `PIECE` chunks. A piece is cut at its blank lines: its first part may
+    go on with an event of the piece before, its last part may go on in the next, and what lies between are whole
+    events. What a piece needs of those before it, their last character and their number of blank lines,
+    is a running sum over one small row a piece. Only parts at the edges of pieces are grouped by (attempt,
+    number) and joined in order. So an attempt of any length is spread over as many tasks as it has pieces.
     """
-    whole = chunks.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("body")
+    line_end, break_ = F.array(F.lit("\r"), F.lit("\n")), "\n{2,}"
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "")
+    pieces = chunks.where("chunk <> ''").groupBy(key, F.floor(F.col("seq") / PIECE).alias("__piece")).agg(joined.alias("__raw"))
+    pieces = pieces.withColumn("__text", F.regexp_replace("__raw", "\r\n|\r", "\n"))
+    ahead = Window.partitionBy(key).orderBy("__piece")
+    edges = pieces.select(
+        key, "__piece", F.right("__raw", F.lit(1)).alias("__last"), F.col("__raw").startswith("\n").alias("__feed"),
+        F.col("__text").rlike("^\n(?!\n)").alias("__one"), F.regexp_count("__text", F.lit(break_)).alias("__breaks"),
     )
-    newline = F.regexp_replace("body", "\r\n|\r", "\n")
-    pieces = F.filter(F.split(F.regexp_replace(newline, "\n{2,}", "\n\n"), "\n\n"), lambda p: p != "")
-
-    def fields(piece: Column, name: str) -> Column:
-        lines = F.filter(F.split(piece, "\n"), lambda l: (l == name) | l.startswith(f"{name}:"))
+    edges = edges.withColumn("__before", F.lag("__last").over(ahead)).withColumn("__open", F.lead("__last").over(ahead).isNotNull())
+    edges = edges.withColumn("__start", F.coalesce(F.array_contains(line_end, F.col("__before")), F.lit(False)))
+    edges = edges.withColumn("__split", F.col("__start") & (F.col("__before") == "\r") & F.col("__feed"))  # a line end cut in two
+    cuts = F.col("__breaks") + (F.col("__start") & ~F.col("__split") & F.col("__one")).cast("int")
+    shift = F.coalesce(F.sum(cuts).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(key, "__piece", "__start", "__split", "__open", F.col("__before").isNotNull().alias("__goes_on"), shift.alias("__shift"))
+
+    def parts(some: DataFrame) -> DataFrame:
+        """(attempt, piece, number, text, and whether the part may go on before or after its piece)"""
+        # the line feed before a piece, so that a blank line across its edge is seen
+        text = F.when(F.col("__start") & ~F.col("__split"), F.concat(F.lit("\n"), "__text")).otherwise(F.col("__text"))
+        placed = pieces.join(some, [key, "__piece"]).select("*", F.split(text, break_).alias("__parts")).drop("__raw", "__text")
+        placed = placed.select("*", F.posexplode("__parts").alias("__i", "__part"))
+        own = F.when(F.col("__start") & (F.col("__i") == 0), F.regexp_replace("__part", "^\n", "")).otherwise(F.col("__part"))
+        crosses = ((F.col("__i") == 0) & F.col("__goes_on")) | ((F.col("__i") == F.size("__parts") - 1) & F.col("__open"))
+        return placed.select(key, "__piece", (F.col("__shift") + F.col("__i")).alias("block"), own.alias("text"), crosses.alias("__crosses"))
+
+    several = F.col("__goes_on") | F.col("__open")
+    crossing = parts(edges.where(several)).where("__crosses and text <> ''").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("__piece", "text"))).alias("__texts"))
+    crossing = crossing.select(key, "block", F.array_join(F.transform("__texts", lambda c: c["text"]), "").alias("text"))
+    whole = parts(edges).where("not __crosses").select(key, "block", "text").unionByName(crossing)
+    return _read_events(whole.withColumn("text", F.regexp_replace("text", "^\n+|\n+$", "")), key)
+
+
+def _read_events(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks of lines to events, numbered from 0 in each attempt; blocks without event name and data are no events."""
+
+    def fields(name: str) -> Column:
+        lines = F.filter(F.split("text", "\n"), lambda l: (l == name) | l.startswith(f"{name}:"))
         return F.transform(lines, lambda l: F.regexp_replace(l, f"^{name}:? ?", ""))
 
-    def event(piece: Column) -> Column:
-        names, data = fields(piece, "event"), fields(piece, "data")
-        # An empty data line adds nothing before the first byte of data.
-        joined = F.regexp_replace(F.array_join(data, "\n"), "^\n+", "")
-        return F.struct(F.try_element_at(names, F.lit(-1)).alias("event"), joined.alias("data"), F.octet_length(piece).alias("size"))
-
-    events = F.filter(F.transform(pieces, lambda p: event(F.regexp_replace(p, "^\n+", ""))), lambda e: e["event"].isNotNull() | (e["data"] != ""))
-    rows = whole.select(key, F.posexplode(events).alias("event_no", "e")).select(key, "event_no", "e.*")
-    return rows
+    # An empty data line adds nothing before the first byte of data.
+    data = F.regexp_replace(F.array_join(fields("data"), "\n"), "^\n+", "")
+    events = blocks.select(key, "block", F.try_element_at(fields("event"), F.lit(-1)).alias("event"), data.alias("data"), F.octet_length("text").alias("size"))
+    events = events.where(F.col("event").isNotNull() | (F.col("data") != ""))
+    placed = numbered(events, [key], [F.col("block")], "event_no", F.floor(F.col("block") / PIECE))
+    return placed.select(key, (F.col("event_no") - 1).cast("int").alias("event_no"), "event", "data", "size")
 
 
 def bound_events(events: DataFrame, max_events: int, max_bytes: int) -> DataFrame:
@@ -92,14 +133,19 @@ def fold_events(events: DataFrame, closings: DataFrame, key: str = "attempt_id")
     usage = F.when(live, F.to_json(F.try_variant_get("__r", "$.usage", "variant")))
     usage = F.when(usage.startswith("{"), usage)
     state = F.when(live & F.col("doc").isNotNull(), F.col("state"))
+    odd_usage = live & F.col("doc").isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_variant_get("__r", "$.usage", "variant")).rlike("^(OBJECT|VOID)"), F.lit(True))
     status = (
-        F.when(live & F.col("state").isNotNull() & F.col("doc").isNull(), "partial")
+        F.when((live & F.col("state").isNotNull() & F.col("doc").isNull()) | odd_usage, "partial")
         .otherwise("complete")
     )
+    # `type` of any object in the document; a quote inside a text is escaped
+    compaction = live & F.to_json("doc").rlike(r'(?<!\\)"type":"compaction"')
     folded = rows.groupBy(key).agg(
         first(text("$.id")).alias("response_id"),
         first(text("$.model")).alias("model"),
         first(text("$.error.code")).alias("error_code"),
+        first(text("$.incomplete_details.reason")).alias("incomplete_reason"),
+        F.coalesce(F.bool_or(compaction), F.lit(False)).alias("compaction_output_seen"),
         F.max_by(usage, F.when(usage.isNotNull(), F.col("event_no"))).alias("usage"),
         F.max_by(state, F.when(state.isNotNull(), F.col("event_no"))).alias("state"),
         F.count(F.when(live, 1)).alias("events"),
@@ -123,9 +169,22 @@ def fold_events(events: DataFrame, closings: DataFrame, key: str = "attempt_id")
         F.when(terminal, F.col("state")).otherwise(closing_state).alias("state"),
         status.alias("status"), terminal.alias("terminal"),
         F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("late_events", F.lit(0)).alias("late_events"),
+        "incomplete_reason", F.coalesce("compaction_output_seen", F.lit(False)).alias("compaction_output_seen"),
     )
 
 
+def with_usage(observations: DataFrame) -> DataFrame:
+    """Observations of either form with the normalised usage: six counters, and a status that is final only after a
+    terminal event. A completed response whose usage says nothing is partial."""
+    out = normalize_usage(observations)
+    kept = F.when(F.col("usage").isNotNull(), F.col("usage_status")).otherwise("unavailable")
+    settled = F.when((kept == "final") & ~F.col("terminal"), "partial").otherwise(kept)
+    out = out.withColumn("usage_status", settled)
+    silent = F.col("terminal") & (F.col("state") == "completed") & (F.col("usage_status") == "unavailable") & (F.col("status") == "complete")
+    counters = ("input_total", "input_cached", "cache_write", "output_total", "output_reasoning", "total")
+    return out.withColumn("status", F.when(silent, "partial").otherwise(F.col("status"))).select(*observations.columns, "usage_status", *counters)
+
+
 # --- stateful form ---------------------------------------------------------------------------------------
 
 
@@ -166,7 +225,8 @@ def observe(seen: dict, events: list[tuple[str | None, str]]) -> dict:
     errors = [b["error"] for b in bodies if isinstance(b.get("error"), dict)]
     usages = [b["usage"] for b in bodies if isinstance(b.get("usage"), dict)]
     states = [state for state, doc in live if state is not None and doc is not None]
-    broken = any(state is not None and doc is None for state, doc in live)
+    broken = any(state is not None and doc is None for state, doc in live) or any(b.get("usage") is not None and not isinstance(b["usage"], dict) for b in bodies)
+    details = [b["incomplete_details"] for b in bodies if isinstance(b.get("incomplete_details"), dict)]
 
     def first(known, found: list, field: str):
         return known if known is not None else next((x[field] for x in found if isinstance(x.get(field), str)), None)
@@ -181,10 +241,26 @@ def observe(seen: dict, events: list[tuple[str | None, str]]) -> dict:
         "terminal": seen["terminal"] or bool(ends),
         "events": seen["events"] + len(live),
         "late_events": seen["late_events"] + len(rows) - len(live),
+        "incomplete_reason": first(seen["incomplete_reason"], details, "reason"),
+        "compaction_output_seen": seen["compaction_output_seen"] or any(_has_compaction(doc) for _, doc in live),
     }
 
 
-NOTHING = dict(response_id=None, model=None, error_code=None, usage=None, state=None, status=0, terminal=False, events=0, late_events=0)
+def _has_compaction(value) -> bool:
+    """Whether an object of type compaction stands anywhere in a document."""
+    open_values = [value]
+    while open_values:
+        one = open_values.pop()
+        if isinstance(one, dict):
+            if one.get("type") == "compaction":
+                return True
+            open_values.extend(one.values())
+        elif isinstance(one, list):
+            open_values.extend(one)
+    return False
+
+
+NOTHING = dict(response_id=None, model=None, error_code=None, usage=None, state=None, status=0, terminal=False, events=0, late_events=0, incomplete_reason=None, compaction_output_seen=False)
 
 
 def closed(seen: dict, closing: str) -> dict:
@@ -199,7 +275,7 @@ def closed(seen: dict, closing: str) -> dict:
 
 OBSERVATION = (
     "attempt_id bigint, response_id string, model string, error_code string, usage string, state string,"
-    " status string, terminal boolean, events bigint, late_events bigint"
+    " status string, terminal boolean, events bigint, late_events bigint, incomplete_reason string, compaction_output_seen boolean"
 )
 
 

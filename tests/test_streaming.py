@@ -51,6 +51,40 @@ def test_batch_fold_is_invariant_to_cuts(spark, expected, width):
     assert batch_fold(spark, width) == expected
 
 
+def test_framing_of_random_streams(spark):
+    """Names and data of events against the sequential form, for streams of every mix of line ends cut anywhere."""
+    rng, rows, expected = random.Random(5), [], {}
+    words = ["data: a", "data:b", "data", "event: e", "event:f", ": note", "id: 4", "data:  two", "", "", ""]
+    for attempt in range(300):
+        ends = rng.choice([["\n"], ["\r\n"], ["\r"], ["\n", "\r", "\r\n"]])
+        body = "".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randrange(40))) + rng.choice(["", "data: last"])
+        expected[attempt] = sse.cut_events(body, final=True)[0]
+        seq = rng.choice([0, 1000, 1020])  # some attempts cross from one piece to the next
+        while body:
+            n = rng.choice([0, 1, 1, 2, 5, 30])
+            rows.append((attempt, seq, body[:n] or rng.choice(["", None]), None))
+            body, seq = body[n:], seq + 1
+    got = {a: [] for a in expected}
+    for r in sse.frame_events(spark.createDataFrame(rows, SCHEMA).repartition(5)).orderBy("attempt_id", "event_no").collect():
+        assert r.event_no == len(got[r.attempt_id])
+        got[r.attempt_id].append((r.event, r.data))
+    assert got == expected
+
+
+def test_long_attempt_is_spread(spark):
+    """One attempt with most of the chunks: no task of the shuffles holds most of them."""
+    rows = spark.range(40_000).select(
+        F.lit(1).cast("bigint").alias("attempt_id"), F.col("id").alias("seq"),
+        F.concat(F.lit("data: "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "\n").otherwise("\n\n")).alias("chunk"), F.lit(None).cast("string").alias("closing"),
+    )
+    events = sse.frame_events(rows)
+    assert events.count() == sum(1 for i in range(40_000) if i % 3 or i == 39_999)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = events.groupBy(F.spark_partition_id().alias('p')).count().agg(F.max('count').alias('most'), F.count('*').alias('tasks')).first()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread.tasks > 1 and spread.most < 20_000
+
+
 @pytest.mark.parametrize("width", list(range(1, 40)))
 def test_stateful_fold_matches(expected, width):
     for attempt, body in BODIES.items():
