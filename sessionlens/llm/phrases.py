@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -206,13 +207,15 @@ def _first_step(key: tuple, streams: pa.Table, ids: pa.Table, word_bits: int, sh
     return _step_rows(made, words, None, list(_filters(made, keys, 2 * word_bits, shard_bits)))
 
 
-def _next_step(key: tuple, state: pa.Table, replies: pa.Table, n: int, word_bits: int, start_bits: int, next_bits: int, shard_bits: int, next_shard_bits: int) -> pa.Table:
+def _next_step(key: tuple, streams: pa.Table, replies: pa.Table, n: int, word_bits: int, start_bits: int, next_bits: int, shard_bits: int, next_shard_bits: int) -> pa.Table:
     """Ids of the runs of n words from the replies to a slice, and the filters of the runs of n + 1."""
     made = key[0].as_py()
-    if not state.num_rows or not replies.num_rows:
+    before = next((x for x in replies["starts"] if x.is_valid), None)
+    replies = replies.filter(pc.is_valid(replies["values"]))
+    if not streams.num_rows or not replies.num_rows:
         return _STEP.empty_table()
-    words = next(unpacked(x.as_py()) for x in state["words"] if x.is_valid)
-    before = next((unpacked(x.as_py()) for x in state["starts"] if x.is_valid), words)
+    words = unpacked(streams["words"][0].as_py())
+    before = words if before is None else unpacked(before.as_py())
     bits = start_bits + word_bits
     at, keys = keyed(words, before, n, word_bits)
     values = permuted(keys, bits)
@@ -305,7 +308,7 @@ def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[
     streams = slices.select("slice", "stream")
     first = streams.groupBy("slice").cogroup(apart(ids).groupBy("slice")).applyInArrow(_with_both(_first_step, word_bits, pair_shards), _STEP_SQL)
     step = bucketed(spark, first, "slice", buckets, "step")
-    streams = step.where("words IS NOT NULL").select("slice", "words", F.lit(None).cast("binary").alias("starts"))
+    streams = step.where("words IS NOT NULL").select("slice", "words")  # in buckets, so never shuffled
     phrases = [words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("parts"))]
     start_bits, bits, split = word_bits, pair_bits, pair_shards
     for n in range(2, longest + 1):
@@ -324,12 +327,14 @@ def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[
         phrases.append(stored(spark, whole.select("id", "lang", F.concat("words", F.array("spelt")).alias("words"), "f", F.concat("parts", F.array("f")).alias("parts")), "phrases"))
         if n == longest:
             break
-        replies = met.where("f IS NULL").join(shifts, "shard").select("slice", "shard", "shift", "values", "ranks")
-        state = streams if n == 2 else streams.unionByName(step.where("starts IS NOT NULL").select("slice", F.lit(None).cast("binary").alias("words"), "starts"))
+        replies = met.where("f IS NULL").join(shifts, "shard").select("slice", "shard", "shift", "values", "ranks", F.lit(None).cast("binary").alias("starts"))
+        if n > 2:
+            nothing = [F.lit(None).cast(k).alias(c) for c, k in (("shard", "long"), ("shift", "long"), ("values", "binary"), ("ranks", "binary"))]
+            replies = replies.unionByName(step.where("starts IS NOT NULL").select("slice", *nothing, "starts"))
         next_bits = _bits(n_found)
         next_shards = shard_bits(next_bits + word_bits)
         next_step = _with_both(_next_step, n, word_bits, start_bits, next_bits, split, next_shards)
-        further = state.groupBy("slice").cogroup(apart(replies).groupBy("slice")).applyInArrow(next_step, _STEP_SQL)
+        further = streams.groupBy("slice").cogroup(apart(replies).groupBy("slice")).applyInArrow(next_step, _STEP_SQL)
         step = stored(spark, further, "step")
         start_bits, bits, split = next_bits, next_bits + word_bits, next_shards
     whole = phrases[0].drop("id")
