@@ -265,7 +265,7 @@ _FOLD = f"""select o_orderkey as attempt_id, 'resp-' || o_orderkey as response_i
 def folded(spark, root):
     chunks = stream_chunks(spark, root)
     closings = chunks.where("closing is not null").select("attempt_id", "closing")
-    return sse.fold_events(sse.frame_events(chunks), closings)
+    return sse.fold_events(sse.frame_events(chunks, dense=False), closings)
 
 
 @query("T02_stream_fold", _FOLD)
@@ -286,7 +286,7 @@ def observation_fields(spark, root):
     """Reason, compaction and normalised usage of streams whose deltas carry the turns of dialogues."""
     chunks = dialogue_chunks(spark, root)
     closings = chunks.where("closing is not null").select("attempt_id", "closing")
-    out = sse.with_usage(sse.fold_events(sse.frame_events(chunks), closings))
+    out = sse.with_usage(sse.fold_events(sse.frame_events(chunks, dense=False), closings))
     return out.select("attempt_id", "incomplete_reason", "compaction_output_seen", "usage_status", "input_total", "input_cached", "output_total", "total", "status")
 
 

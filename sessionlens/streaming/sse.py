@@ -50,9 +50,10 @@ def worst(status: Column) -> Column:
 PIECE = 1024
 
 
-def frame_events(chunks: DataFrame, key: str = "attempt_id") -> DataFrame:
+def frame_events(chunks: DataFrame, key: str = "attempt_id", dense: bool = True) -> DataFrame:
     """Chunks (seq, chunk) to events (event_no, event, data, size): CR, LF and CRLF end lines, blank lines end events,
-    data lines join, comments go. Attempts are never null; a null or empty chunk adds nothing.
+    data lines join, comments go. Attempts are never null; a null or empty chunk adds nothing. Event numbers rise with the
+    stream; where they need not be 0, 1, 2, …, `dense=False` saves a shuffle.
 
     A segmented scan over pieces of `PIECE` chunks. A piece is cut at its blank lines: its first part may
     go on with an event of the piece before, its last part may go on in the next, and what lies between are whole
@@ -90,11 +91,11 @@ def frame_events(chunks: DataFrame, key: str = "attempt_id") -> DataFrame:
     crossing = parts(edges.where(several)).where("__crosses and text <> ''").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("__piece", "text"))).alias("__texts"))
     crossing = crossing.select(key, "block", F.array_join(F.transform("__texts", lambda c: c["text"]), "").alias("text"))
     whole = parts(edges).where("not __crosses").select(key, "block", "text").unionByName(crossing)
-    return _read_events(whole.withColumn("text", F.regexp_replace("text", "^\n+|\n+$", "")), key)
+    return _read_events(whole.withColumn("text", F.regexp_replace("text", "^\n+|\n+$", "")), key, dense)
 
 
-def _read_events(blocks: DataFrame, key: str) -> DataFrame:
-    """Blocks of lines to events, numbered from 0 in each attempt; blocks without event name and data are no events."""
+def _read_events(blocks: DataFrame, key: str, dense: bool) -> DataFrame:
+    """Blocks of lines to events; blocks without event name and data are no events."""
 
     def fields(name: str) -> Column:
         lines = F.filter(F.split("text", "\n"), lambda l: (l == name) | l.startswith(f"{name}:"))
@@ -104,6 +105,8 @@ def _read_events(blocks: DataFrame, key: str) -> DataFrame:
     data = F.regexp_replace(F.array_join(fields("data"), "\n"), "^\n+", "")
     events = blocks.select(key, "block", F.try_element_at(fields("event"), F.lit(-1)).alias("event"), data.alias("data"), F.octet_length("text").alias("size"))
     events = events.where(F.col("event").isNotNull() | (F.col("data") != ""))
+    if not dense:
+        return events.withColumnRenamed("block", "event_no")
     placed = numbered(events, [key], [F.col("block")], "event_no", F.floor(F.col("block") / PIECE))
     return placed.select(key, (F.col("event_no") - 1).cast("int").alias("event_no"), "event", "data", "size")
 
@@ -127,7 +130,7 @@ def fold_events(events: DataFrame, closings: DataFrame, key: str = "attempt_id")
     )
     response = F.coalesce(F.try_variant_get("doc", "$.response", "variant"), F.col("doc"))
     rows = named.join(stop, key, "left").withColumn("__r", response)
-    live = F.col("event_no") <= F.coalesce("stop", F.lit(2147483647))
+    live = F.col("stop").isNull() | (F.col("event_no") <= F.col("stop"))
     text = lambda path: F.when(live, F.try_variant_get("__r", path, "string"))
     first = lambda value: F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.col("event_no")))
     usage = F.when(live, F.to_json(F.try_variant_get("__r", "$.usage", "variant")))
