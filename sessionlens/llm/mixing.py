@@ -3,8 +3,8 @@
 Every source gets a share of the words of the whole corpus by its weight, at most `most_repeats`
 times its own size. A source whose target is above its size is repeated whole as often as it fits;
 what is left of the budget is filled by picking documents. Documents are counted by exact length,
-each length first gives the same part of its documents, and the last stretch of the budget is fitted
-by a bounded-knapsack dynamic programme over the lengths still in stock. Which documents of a length
+each length first gives the same part of its documents, and the last stretch of the budget, which is
+some times the longest document, is fitted by a bounded-knapsack dynamic programme over the lengths still in stock. Which documents of a length
 are taken is decided by a seeded hash, so reruns agree.
 
 Scale: documents are reduced to (source, length, slice) counts before anything meets; a slice is a
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 #: Slices of the seeded hash inside one (source, length).
 SLICES = 4096
-#: Words that the dynamic programme fits at most; the even part of the budget leaves less than this
-#: unless single documents are longer, and then the whole rest is fitted greedily first.
-LAST_STRETCH = 1 << 16
+#: The dynamic programme fits the last stretch of a budget: so many words, or so many times the longest
+#: document, whichever is more.
+LAST_STRETCH, LONGEST_TIMES = 1 << 16, 4
 
 PICKS = "source string, size long, epochs long, picked long"
 
@@ -62,20 +62,24 @@ def fit(sizes: np.ndarray, stock: np.ndarray, budget: int) -> np.ndarray:
     total = int((size * left).sum())
     if total <= budget:
         return stock.astype(np.int64)
-    # The same part of every length.
-    taken = np.array([int(n) * budget // total for n in left], dtype=np.int64)
+    # In units of the lengths' common divisor; a rest of the budget below one unit fits nothing.
+    unit = int(np.gcd.reduce(size[left > 0]))
+    size, budget, total = size // unit, budget // unit, total // unit
+    stretch = max(LAST_STRETCH // unit, LONGEST_TIMES * int(size[left > 0].max()))
+    # The same part of every length, of all but the last stretch.
+    even = max(0, budget - stretch // 2)
+    taken = np.array([int(n) * even // total for n in left], dtype=np.int64)
     rest = budget - int((size * taken).sum())
-    # Long lengths first until the rest is a stretch that the programme can hold.
+    # Long lengths first until the rest is a stretch: as no length is above a quarter of it, none is left out for its size.
     for i in range(len(size)):
-        if rest <= LAST_STRETCH // 2:
+        if rest <= stretch:
             break
-        more = min(int(left[i] - taken[i]), (rest - LAST_STRETCH // 4) // int(size[i]))
+        more = min(int(left[i] - taken[i]), (rest - stretch // 2) // int(size[i]))
         if more > 0:
             taken[i] += more
             rest -= more * int(size[i])
     # Bounded knapsack: `by[s]` is the length that first reached the sum s, on top of sums reached before.
-    rest = min(rest, LAST_STRETCH)
-    reached, by = np.zeros(rest + 1, dtype=bool), np.full(rest + 1, -1, dtype=np.int64)
+    reached, by = np.zeros(rest + 1, dtype=bool), np.full(rest + 1, -1, dtype=np.int32)
     reached[0] = True
     for i in range(len(size)):
         if reached[rest]:
@@ -89,6 +93,8 @@ def fit(sizes: np.ndarray, stock: np.ndarray, budget: int) -> np.ndarray:
                 break
             reached |= front
             by[front] = i
+            if reached[rest]:
+                break
     at = int(np.flatnonzero(reached)[-1])
     while at:
         taken[by[at]] += 1

@@ -141,21 +141,27 @@ def test_mixing(spark, docs):
         assert part.loc[part["size"] > 0, "taken"].mod(part.loc[part["size"] > 0, "size"]).eq(0).all()
 
 
-def test_fit_is_best():
-    from sessionlens.llm.mixing import fit
-
-    rng = np.random.default_rng(5)
-    for _ in range(60):
-        sizes = rng.choice(np.arange(2, 30), 4, replace=False)
+@pytest.mark.parametrize("least, greatest", [(2, 30), (100, 5000), (50_000, 300_000), (10**6, 2 * 10**6)])
+def test_fit_is_best(least, greatest):
+    from sessionlens.llm.mixing import LAST_STRETCH, LONGEST_TIMES, fit
+
+    assert fit(np.array([100000, 90000]), np.array([1, 1]), 100000).tolist() == [1, 0]
+    assert fit(np.array([200000, 70000]), np.array([1, 3]), 140000).tolist() == [0, 2]
+    rng = np.random.default_rng(least)
+    for _ in range(40 if greatest < 10**5 else 12):
+        sizes = rng.choice(np.arange(least, greatest), 4, replace=False)
         stock = rng.integers(1, 4, 4)
         budget = int(rng.integers(0, int((sizes * stock).sum()) + 5))
         taken = fit(sizes, stock, budget)
         assert (taken <= stock).all() and (taken >= 0).all() and (sizes * taken).sum() <= budget
-        start = np.array([int(n) * budget // int((sizes * stock).sum()) for n in stock]) if budget < (sizes * stock).sum() else stock
-        sums = {int((start * sizes).sum())}
-        for s, n in zip(sizes, stock - start):
+        sums = {0}
+        for s, n in zip(sizes, stock):
             sums = {x + int(s) * k for x in sums for k in range(int(n) + 1)}
-        assert (sizes * taken).sum() == max(x for x in sums if x <= budget)
+        best = max(x for x in sums if x <= budget)
+        if budget <= max(LAST_STRETCH, LONGEST_TIMES * sizes.max()) // 2 or budget >= (sizes * stock).sum():
+            assert (sizes * taken).sum() == best
+        else:  # a part is taken evenly first
+            assert (sizes * taken).sum() > budget - sizes.min()
 
 
 def test_neighbours(spark):
