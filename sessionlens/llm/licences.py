@@ -6,6 +6,10 @@ single word stands for itself), Dice = 2 * common / (sizes added). A Dice of `le
 possible if the unit's size lies between least / (2 - least) and (2 - least) / least times the
 template's, so a unit meets only the templates of fitting size, found by an equi join on the size.
 
+Most units are passed over before they are cut into words: of a template's longest words, a few touch so
+many of its bigrams that a unit with none of them has too few in common, so a unit must hold one of these
+anchors (`anchors`), which one pattern over the text tells.
+
 Templates are a short list given as a parameter, at most `MOST_TEMPLATES` of at most `MOST_WORDS`
 words, which bounds the broadcast. The scan adds no shuffle: every unit is judged on the row of its
 document. Everything here is DataFrame and SQL functions.
@@ -15,9 +19,14 @@ document. Everything here is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MOST_TEMPLATES = 500
 MOST_WORDS = 20_000
 
@@ -33,6 +42,25 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.when(n == 1, words).otherwise(pairs))
 
 
+def anchors(templates: dict[str, str], least: float) -> str:
+    """A pattern that the lower-cased text of every unit and window of Dice `least` or more contains.
+
+    A Dice of `least` needs least / (2 - least) of the template's bigrams. Words are taken, longest first,
+    until the bigrams without any of them are fewer than that.
+    """
+    found = set()
+    for text in templates.values():
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        bigrams = set(zip(words, words[1:])) if len(words) > 1 else {(w,) for w in words}
+        needed = math.ceil(len(bigrams) * least / (2 - least) - 1e-9)
+        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+            if len(bigrams) < needed:
+                break
+            found.add(word)
+            bigrams = {b for b in bigrams if word not in b}
+    return "|".join(sorted(found)) or "(?!)"
+
+
 def _templates(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
     """(size, [(name, bigrams)]): for each unit size the templates that may reach `least`."""
     if len(templates) > MOST_TEMPLATES or any(len(t.split()) > MOST_WORDS for t in templates.values()):
@@ -50,15 +78,17 @@ def scanned(docs: DataFrame, templates: dict[str, str], least: float, text: str
 
     Lines count from 1; the text as a whole is line 0 and is compared only if it has several lines
     with words. Null and empty texts and lines without a letter or digit match nothing. Repeated
-    rows give repeated results; no rows or no templates give none.
+    rows give repeated results; no rows or no templates give none. Long texts are read whole, a line at a time and
+    once as a whole. Where `keep` has a name of a result, the result gets an underscore.
     """
     if not 0 < least <= 1:
         raise ValueError("least must lie in (0, 1]")
-    source = docs.select(*keep, F.col(text).alias("__text")).where("__text IS NOT NULL")
+    source, keep, results = _inner(docs, text, keep, ("line", "licence", "dice"), templates, least)
     if not templates:
-        return source.select(*keep, F.lit(0).alias("line"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0)
+        return results(source.select(*keep, F.lit(0).alias("line"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0))
+    likely = anchors(templates, least)
     by_size = _templates(docs.sparkSession, templates, least)
-    lines = source.select(*keep, F.posexplode(F.split(F.col("__text"), "\n")).alias("__at", "__unit"))
+    lines = source.select(*keep, F.posexplode(F.split(F.col("__text"), "\n")).alias("__at", "__unit")).where(F.lower("__unit").rlike(likely))
     lines = lines.select(*keep, (F.col("__at") + 1).alias("line"), words_of(F.col("__unit")).alias("__words"))
     several = F.size(F.filter(F.split(F.col("__text"), "\n"), lambda x: F.lower(x).rlike("[a-z0-9]"))) > 1
     whole = source.where(several).select(*keep, F.lit(0).alias("line"), words_of(F.col("__text")).alias("__words"))
@@ -68,7 +98,20 @@ def scanned(docs: DataFrame, templates: dict[str, str], least: float, text: str
     pairs = fitted.select(*keep, "line", "__bigrams", F.explode("fitting").alias("__t"))
     common = F.size(F.array_intersect(F.col("__bigrams"), F.col("__t.bigrams")))
     dice = 2 * common / (F.size("__bigrams") + F.size("__t.bigrams"))
-    return pairs.select(*keep, "line", F.col("__t.name").alias("licence"), dice.alias("dice")).where(F.col("dice") >= F.lit(least))
+    return results(pairs.select(*keep, "line", F.col("__t.name").alias("licence"), dice.alias("dice")).where(F.col("dice") >= F.lit(least)))
+
+
+def _inner(docs: DataFrame, text: str, keep: tuple[str, ...], own: tuple[str, ...], templates: dict[str, str], least: float):
+    """The texts that may hold a template, with the kept columns under inner names; these names; and how a result gets its outer names."""
+    names = tuple(f"__kept{i}" for i in range(len(keep)))
+    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("__text"))
+    source = source.where(F.lower("__text").rlike(anchors(templates, least)))  # null texts go as well
+    outer = fresh(docs.select(*keep), *own)
+
+    def results(frame: DataFrame) -> DataFrame:
+        return frame.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *[F.col(c).alias(o) for c, o in zip(own, outer)])
+
+    return source, names, results
 
 
 def passages(docs: DataFrame, templates: dict[str, str], least: float, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -78,15 +121,17 @@ def passages(docs: DataFrame, templates: dict[str, str], least: float, text: str
     its Dice); `word` counts from 1. Its bigrams are as many as the size bounds allow, repeated ones counted, where the
     template's own repeated ones count too. Of windows of one template that overlap, the one of the highest Dice stays,
     then the first, then the shorter; next to it those that it does not touch. A template of one word is compared with
-    single words. Null texts match nothing; repeated rows give repeated results.
+    single words. Null texts match nothing; repeated rows give repeated results. Where `keep` has a name of a result, the
+    result gets an underscore. A long text costs, for every place where a bigram of a template that it has enough of
+    stands, a look at the window from there.
     """
     if not 0 < least <= 1:
         raise ValueError("least must lie in (0, 1]")
     if len(templates) > MOST_TEMPLATES or any(len(t.split()) > MOST_WORDS for t in templates.values()):
         raise ValueError(f"at most {MOST_TEMPLATES} templates of {MOST_WORDS} words")
-    source = docs.select(*keep, F.col(text).alias("__text")).where("__text IS NOT NULL")
+    source, keep, results = _inner(docs, text, keep, ("word", "n_words", "licence", "dice"), templates, least)
     if not templates:
-        return source.select(*keep, F.lit(0).alias("word"), F.lit(0).alias("n_words"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0)
+        return results(source.select(*keep, F.lit(0).alias("word"), F.lit(0).alias("n_words"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0))
     listed = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in sorted(templates.items())])
     rows = docs.sparkSession.range(1, numPartitions=1).select(F.explode(listed).alias("t")).select("t.name", words_of(F.col("t.text")).alias("words"))
     size, long = F.size("bigrams"), F.greatest(F.size("words") - 1, F.lit(1))
@@ -125,7 +170,7 @@ def passages(docs: DataFrame, templates: dict[str, str], least: float, text: str
     chosen = F.aggregate("__found", F.slice("__found", 1, 0), lambda got, w: F.when(F.forall(got, lambda g: apart(g, w)), F.concat(got, F.array(w))).otherwise(got))
     chosen = found.select(*keep, "name", "single", F.explode(chosen).alias("__w"))
     n_words = -F.col("__w.n") + F.when(F.col("single"), 0).otherwise(1)
-    return chosen.select(*keep, (-F.col("__w.at")).alias("word"), n_words.alias("n_words"), F.col("name").alias("licence"), F.col("__w.dice").alias("dice"))
+    return results(chosen.select(*keep, (-F.col("__w.at")).alias("word"), n_words.alias("n_words"), F.col("name").alias("licence"), F.col("__w.dice").alias("dice")))
 
 
 def _pairs(words: Column) -> Column:

@@ -144,3 +144,34 @@ def test_pipeline(spark, odd, none):
                 assert out.dtypes == frame.dtypes
             docs = out
         assert docs.where("not round_trip").count() == 0
+
+
+def test_licences_with_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "Released under the MIT License.", "s", 7, "n", 1, 2, "d")], "doc_id long, text string, size string, fitting int, name string, low int, line int, dice string")
+    everything = ("doc_id", "size", "fitting", "name", "low", "line", "dice")
+    [row] = licences.scanned(frame, {"MIT": "Released under the MIT License."}, 0.8, keep=everything).collect()
+    assert row.asDict() == {"doc_id": 1, "size": "s", "fitting": 7, "name": "n", "low": 1, "line": 2, "dice": "d", "line_": 1, "licence": "MIT", "dice_": 1.0}
+    [row] = licences.passages(frame, {"MIT": "Released under the MIT License."}, 0.8, keep=everything).collect()
+    assert row.dice == "d" and row.dice_ == 1.0 and row.word == 1 and row.name == "n"
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_anchors_miss_nothing(spark, least):
+    """Units made of parts of templates: those that the pattern passes over have too low a Dice."""
+    import random
+
+    from sessionlens.llm.query_op8 import TEMPLATES
+
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        words = re.sub("[^a-z0-9]+", " ", rng.choice(list(TEMPLATES.values())).lower()).split()
+        kept = [w for w in words if rng.random() < rng.choice([0.5, 0.8, 0.95])] + rng.sample(["one", "two", "three"], rng.randrange(3))
+        rows.append((i, " ".join(kept)))
+    sets = {k: set(zip(w, w[1:])) or set(w) for k, v in TEMPLATES.items() for w in [re.sub("[^a-z0-9]+", " ", v.lower()).split()]}
+    want = set()
+    for i, text in rows:
+        w = text.split()
+        mine = set(zip(w, w[1:])) if len(w) > 1 else {(x,) for x in w}
+        want |= {(i, k) for k, s in sets.items() if mine and 2 * len(mine & s) / (len(mine) + len(s)) >= least}
+    got = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), TEMPLATES, least).select("doc_id", "licence").collect()
+    assert {tuple(r) for r in got} == want and len(want) > 5
