@@ -10,7 +10,7 @@ parts are frequent can be frequent, so lengths are counted one after the other:
    into one number, (id of the first n - 1 words, id of the last word), and counts these numbers in
    counting quotient filters (`quotient`), one a shard of the permuted numbers.
 3. A shard merges the filters of all slices. Frequent numbers become ids of that length, and each
-   slice gets back those that it has. Filters are lossless: all counts are exact.
+   slice gets back those that it has, to find longer runs with. Filters are lossless: all counts are exact.
 
 A word or phrase that is everywhere is one entry a slice. Shards are as many as the words need, so
 none grows with the corpus. No dictionary is broadcast; slices meet their ids in joins by slice.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,28 +76,29 @@ _SLICES = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("n", pa.int6
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a slice: its language, its number of words, their stream, and its words with their counts."""
-    made, waiting, held = TaskContext.get().partitionId() << 32, {}, 0
+    made, waiting, sizes = TaskContext.get().partitionId() << 32, {}, {}
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal made
-        for lang, texts in waiting.items():
-            numbers, words, counts = stream(texts)
-            spelt = zstandard.ZstdCompressor(level=1).compress(b" ".join(words.to_pylist()))
-            row = {"slice": made, "lang": lang, "n": int(counts.sum()), "stream": packed(numbers), "words": spelt, "counts": packed(counts)}
-            yield pa.RecordBatch.from_pylist([row], schema=_SLICES)
-            made += 1
-        waiting.clear()
+        numbers, words, counts = stream(waiting.pop(lang))
+        spelt = zstandard.ZstdCompressor(level=1).compress(b" ".join(words.to_pylist()))
+        row = {"slice": made, "lang": lang, "n": int(counts.sum()), "stream": packed(numbers), "words": spelt, "counts": packed(counts)}
+        made, sizes[lang] = made + 1, 0
+        yield pa.RecordBatch.from_pylist([row], schema=_SLICES)
 
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for row, texts in pieces(batch, "text"):
             for lang, text in zip(langs[row : row + len(texts)], texts):
                 waiting.setdefault(lang, []).append(text or b"")
-                held += len(text or b"") + 1
-            if held >= SLICE:
-                yield from flush()
-                held = 0
-    yield from flush()
+                sizes[lang] = sizes.get(lang, 0) + len(text or b"") + 1
+                if sizes[lang] >= SLICE:
+                    yield from flush(lang)
+            if sum(sizes.values()) >= 4 * SLICE:  # many languages with little each
+                for lang in list(waiting):
+                    yield from flush(lang)
+    for lang in list(waiting):
+        yield from flush(lang)
 
 
 _DEALT = pa.schema([("shard", pa.int64()), ("slice", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("local", pa.binary()), ("counts", pa.binary())])
@@ -179,59 +181,58 @@ def _filters(made: int, keys: np.ndarray, bits: int, shard_bits: int) -> Iterato
         yield made, int(shard[a]), Filter(inner, low[a:b], whole.counts[a:b]).to_bytes()
 
 
-_STEP = pa.schema([("slice", pa.int64()), ("words", pa.binary()), ("starts", pa.binary()), ("shard", pa.int64()), ("filter", pa.binary())])
-_STEP_SQL = "slice long, words binary, starts binary, shard long, filter binary"
+_FILTERS = pa.schema([("slice", pa.int64()), ("shard", pa.int64()), ("filter", pa.binary())])
+_FILTERS_SQL = "slice long, shard long, filter binary"
 
 
-def _step_rows(made: int, words: np.ndarray | None, starts: np.ndarray | None, filters: list[tuple[int, int, bytes]]) -> pa.Table:
-    rows = [{"slice": s, "shard": shard, "filter": data} for s, shard, data in filters]
-    if starts is not None:
-        rows.append({"slice": made, "starts": packed(starts)})
-    if words is not None:
-        rows.append({"slice": made, "words": packed(words)})
-    return pa.Table.from_pylist(rows, schema=_STEP)
+@dataclass(frozen=True)
+class Level:
+    """Runs of n words: bits of a packed number, and how many of them, permuted, are the shard."""
 
+    n: int
+    bits: int
+    shard_bits: int
 
-def _first_step(key: tuple, streams: pa.Table, ids: pa.Table, word_bits: int, shard_bits: int) -> pa.Table:
-    """The stream of a slice in ids (0: a cut or a word that is not frequent), and the filters of its pairs."""
+
+def _step(key: tuple, streams: pa.Table, replies: pa.Table, levels: list[Level], word_bits: int) -> pa.Table:
+    """The filters of a slice for the last of `levels`, from its stream and the replies for all lengths before.
+
+    The ids of words (0: a cut or a word that is not frequent) and then of longer and longer runs come from
+    the replies again at each length, so that nothing of a slice but its stream is kept between lengths.
+    """
     made = key[0].as_py()
-    if not streams.num_rows or not ids.num_rows:
-        return _STEP.empty_table()
+    if not streams.num_rows or not replies.num_rows:
+        return _FILTERS.empty_table()
     local = unpacked(streams["stream"][0].as_py())
     known = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-    for shift, values, ranks in zip(*(ids[c].to_pylist() for c in ("shift", "values", "ranks"))):
-        known[unpacked(values)] = unpacked(ranks).astype(np.int64) + shift + 1
+    told = {}
+    for n, shard, shift, values, ranks in zip(*(replies[c].to_pylist() for c in ("n", "shard", "shift", "values", "ranks"))):
+        ids = unpacked(ranks).astype(np.int64) + shift + 1
+        if n == 1:
+            known[unpacked(values)] = ids
+        else:
+            told.setdefault(n, []).append((shard, Filter.from_bytes(values).values, ids))
     words = known[local]
     words = words[(words > 0) | (np.append(words[1:], 0) > 0)]  # one 0 between runs
-    _, keys = keyed(words, words, 2, word_bits)
-    return _step_rows(made, words, None, list(_filters(made, keys, 2 * word_bits, shard_bits)))
-
-
-def _next_step(key: tuple, streams: pa.Table, replies: pa.Table, n: int, word_bits: int, start_bits: int, next_bits: int, shard_bits: int, next_shard_bits: int) -> pa.Table:
-    """Ids of the runs of n words from the replies to a slice, and the filters of the runs of n + 1."""
-    made = key[0].as_py()
-    before = next((x for x in replies["starts"] if x.is_valid), None)
-    replies = replies.filter(pc.is_valid(replies["values"]))
-    if not streams.num_rows or not replies.num_rows:
-        return _STEP.empty_table()
-    words = unpacked(streams["words"][0].as_py())
-    before = words if before is None else unpacked(before.as_py())
-    bits = start_bits + word_bits
-    at, keys = keyed(words, before, n, word_bits)
-    values = permuted(keys, bits)
-    told, ids = [], []
-    for shard, shift, payload, ranks in zip(*(replies[c].to_pylist() for c in ("shard", "shift", "values", "ranks"))):
-        told.append(Filter.from_bytes(payload).values | np.uint64(shard << (bits - shard_bits)))
-        ids.append(unpacked(ranks).astype(np.int64) + shift + 1)
-    told, ids = np.concatenate(told), np.concatenate(ids)
-    order = np.argsort(told)
-    told, ids = told[order], ids[order]
-    place = np.minimum(np.searchsorted(told, values), len(told) - 1)
-    found = told[place] == values
-    starts = np.zeros(len(words), np.int64)
-    starts[at[found]] = ids[place[found]]
-    _, keys = keyed(words, starts, n + 1, word_bits)
-    return _step_rows(made, None, starts, list(_filters(made, keys, next_bits + word_bits, next_shard_bits)))
+    starts = words
+    for level in levels[:-1]:
+        if level.n not in told:
+            return _FILTERS.empty_table()
+        at, keys = keyed(words, starts, level.n, word_bits)
+        inner = np.uint64(level.bits - level.shard_bits)
+        values = np.concatenate([v | (np.uint64(shard) << inner if level.shard_bits else np.uint64(0)) for shard, v, _ in told[level.n]])
+        ids = np.concatenate([i for *_, i in told[level.n]])
+        order = np.argsort(values)
+        values, ids = values[order], ids[order]
+        wanted = permuted(keys, level.bits)
+        place = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        found = values[place] == wanted
+        starts = np.zeros(len(words), np.int64)
+        starts[at[found]] = ids[place[found]]
+    last = levels[-1]
+    _, keys = keyed(words, starts, last.n, word_bits)
+    rows = [{"slice": s, "shard": shard, "filter": data} for s, shard, data in _filters(made, keys, last.bits, last.shard_bits)]
+    return pa.Table.from_pylist(rows, schema=_FILTERS)
 
 
 _MET = pa.schema([("shard", pa.int64()), ("rank", pa.int64()), ("prefix", pa.int64()), ("word", pa.int64()), ("f", pa.int64()), ("slice", pa.int64()), ("values", pa.binary()), ("ranks", pa.binary())])
@@ -303,40 +304,27 @@ def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[
     words = named.where("f IS NOT NULL").join(shifts, "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "lang", F.col("spelt").alias("word"), "f")
     words = stored(spark, words, "vocabulary")
     word_bits = _bits(words.agg(F.max("id")).first()[0] or 0)
-    ids = named.where("f IS NULL").join(shifts, "shard").select("slice", "shift", "values", "ranks")
-    pair_bits, pair_shards = 2 * word_bits, shard_bits(2 * word_bits)
-    streams = slices.select("slice", "stream")
-    first = streams.groupBy("slice").cogroup(apart(ids).groupBy("slice")).applyInArrow(_with_both(_first_step, word_bits, pair_shards), _STEP_SQL)
-    step = bucketed(spark, first, "slice", buckets, "step")
-    streams = step.where("words IS NOT NULL").select("slice", "words")  # in buckets, so never shuffled
+    answers = lambda met, n: met.where("f IS NULL").join(_shifts(met), "shard").select("slice", F.lit(n).alias("n"), "shard", "shift", "values", "ranks")
+    replies = answers(named, 1)
+    streams = slices.select("slice", "stream")  # in buckets, so never shuffled
     phrases = [words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("parts"))]
-    start_bits, bits, split = word_bits, pair_bits, pair_shards
+    levels, start_bits = [], word_bits
     for n in range(2, longest + 1):
-        filters = step.where("filter IS NOT NULL").select("slice", "shard", "filter")
-        met = filters.groupBy("shard").applyInArrow(_with(_meet, least, word_bits, bits, split), _MET_SQL)
-        met = stored(spark, met, "met")
+        bits = start_bits + word_bits
+        levels = [*levels, Level(n, bits, shard_bits(bits))]
+        step, meet = _with_both(_step, levels, word_bits), _with(_meet, least, word_bits, bits, levels[-1].shard_bits)
+        filters = streams.groupBy("slice").cogroup(apart(replies).groupBy("slice")).applyInArrow(step, _FILTERS_SQL)
+        met = stored(spark, filters.groupBy("shard").applyInArrow(meet, _MET_SQL), "met")
         found = met.where("f IS NOT NULL")
         n_found = found.count()
         if not n_found:
             break
-        shifts = _shifts(met)
-        numbered = found.join(shifts, "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "prefix", "word", "f")
+        numbered = found.join(_shifts(met), "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "prefix", "word", "f")
         before = phrases[-1].select(F.col("id").alias("prefix"), "lang", "words", "parts")
         last = words.select(F.col("id").alias("word"), F.col("word").alias("spelt"))
         whole = numbered.join(before, "prefix").join(last, "word")
         phrases.append(stored(spark, whole.select("id", "lang", F.concat("words", F.array("spelt")).alias("words"), "f", F.concat("parts", F.array("f")).alias("parts")), "phrases"))
-        if n == longest:
-            break
-        replies = met.where("f IS NULL").join(shifts, "shard").select("slice", "shard", "shift", "values", "ranks", F.lit(None).cast("binary").alias("starts"))
-        if n > 2:
-            nothing = [F.lit(None).cast(k).alias(c) for c, k in (("shard", "long"), ("shift", "long"), ("values", "binary"), ("ranks", "binary"))]
-            replies = replies.unionByName(step.where("starts IS NOT NULL").select("slice", *nothing, "starts"))
-        next_bits = _bits(n_found)
-        next_shards = shard_bits(next_bits + word_bits)
-        next_step = _with_both(_next_step, n, word_bits, start_bits, next_bits, split, next_shards)
-        further = streams.groupBy("slice").cogroup(apart(replies).groupBy("slice")).applyInArrow(next_step, _STEP_SQL)
-        step = stored(spark, further, "step")
-        start_bits, bits, split = next_bits, next_bits + word_bits, next_shards
+        replies, start_bits = replies.unionByName(answers(met, n)), _bits(n_found)
     whole = phrases[0].drop("id")
     for more in phrases[1:]:
         whole = whole.unionByName(more.drop("id"))
