@@ -8,7 +8,7 @@ template's, so a unit meets only the templates of fitting size, found by an equi
 
 Most units are passed over before they are cut into words: of a template's longest words, a few touch so
 many of its bigrams that a unit with none of them has too few in common, so a unit must hold one of these
-anchors (`anchors`), which one pattern over the text tells.
+anchors (`anchors`), which a search for their letters tells.
 
 Templates are a short list given as a parameter, at most `MOST_TEMPLATES` of at most `MOST_WORDS`
 words, which bounds the broadcast. The scan adds no shuffle: every unit is judged on the row of its
@@ -42,23 +42,47 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(F.when(n == 1, words).otherwise(pairs))
 
 
-def anchors(templates: dict[str, str], least: float) -> str:
-    """A pattern that the lower-cased text of every unit and window of Dice `least` or more contains.
+#: Words of so many letters are rare enough to be anchors by themselves.
+RARE = 7
 
-    A Dice of `least` needs least / (2 - least) of the template's bigrams. Words are taken, longest first,
-    until the bigrams without any of them are fewer than that.
+
+def anchors(templates: dict[str, str], least: float) -> list[tuple[str, ...]]:
+    """Words, or pairs of words, of which the lower-cased text of every unit and window of Dice `least` or more contains one.
+
+    A Dice of `least` needs least / (2 - least) of the template's bigrams. Long words are taken, the
+    longest first, then bigrams, until the bigrams with none of them are fewer than that. Short templates choose
+    first, and what they chose serves for longer ones too, inside words as well.
     """
-    found = set()
-    for text in templates.values():
-        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    found: list[tuple[str, ...]] = []
+    split = [re.sub("[^a-z0-9]+", " ", text.lower()).split() for text in templates.values()]
+    for words in sorted(split, key=lambda w: (len(w), w)):
         bigrams = set(zip(words, words[1:])) if len(words) > 1 else {(w,) for w in words}
         needed = math.ceil(len(bigrams) * least / (2 - least) - 1e-9)
-        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        seen = lambda b: any(all(any(a in w for w in b) for a in anchor) for anchor in found)
+        bigrams = {b for b in bigrams if not seen(b)}
+        single = [(w,) for w in sorted({w for w in words if len(w) >= RARE}, key=lambda w: (-len(w), w))]
+        for anchor in [*single, *sorted(bigrams, key=lambda b: (-sum(map(len, b)), b))]:
             if len(bigrams) < needed:
                 break
-            found.add(word)
-            bigrams = {b for b in bigrams if word not in b}
-    return "|".join(sorted(found)) or "(?!)"
+            if any(all(a in b for a in anchor) for b in bigrams):
+                found.append(anchor)
+                bigrams = {b for b in bigrams if not seen(b)}
+    return sorted(set(found), key=lambda a: (len(a), -len(a[0]), a))
+
+
+def _likely(text: str, pairs: list[tuple[str, ...]]) -> Column:
+    """Whether a text holds the words of an anchor, in lower case, which is worked out once for all of them."""
+
+    def holds(lower: Column) -> Column:
+        out = F.lit(False)
+        for first, *more in pairs:
+            here = lower.contains(first)
+            for w in more:
+                here = here & lower.contains(w)
+            out = out | here
+        return out
+
+    return F.exists(F.array(F.lower(F.col(text))), holds)
 
 
 def _templates(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
@@ -88,11 +112,12 @@ def scanned(docs: DataFrame, templates: dict[str, str], least: float, text: str
         return results(source.select(*keep, F.lit(0).alias("line"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0))
     likely = anchors(templates, least)
     by_size = _templates(docs.sparkSession, templates, least)
-    lines = source.select(*keep, F.posexplode(F.split(F.col("__text"), "\n")).alias("__at", "__unit")).where(F.lower("__unit").rlike(likely))
-    lines = lines.select(*keep, (F.col("__at") + 1).alias("line"), words_of(F.col("__unit")).alias("__words"))
-    several = F.size(F.filter(F.split(F.col("__text"), "\n"), lambda x: F.lower(x).rlike("[a-z0-9]"))) > 1
-    whole = source.where(several).select(*keep, F.lit(0).alias("line"), words_of(F.col("__text")).alias("__words"))
-    units = lines.unionByName(whole).select(*keep, "line", bigrams_of(F.col("__words")).alias("__bigrams"))
+    lines = F.split(F.col("__text"), "\n")
+    several = F.size(F.filter(lines, lambda x: F.lower(x).rlike("[a-z0-9]"))) > 1
+    unit = lambda line, text: F.struct(line.cast("int").alias("line"), text.alias("unit"))
+    every = F.concat(F.transform(lines, lambda x, i: unit(i + 1, x)), F.when(several, F.array(unit(F.lit(0), F.col("__text")))).otherwise(F.array().cast("array<struct<line: int, unit: string>>")))
+    units = source.select(*keep, F.explode(every).alias("__u")).select(*keep, "__u.*").where(_likely("unit", likely))
+    units = units.select(*keep, "line", bigrams_of(words_of(F.col("unit"))).alias("__bigrams"))
     units = units.where(F.size("__bigrams") > 0)
     fitted = units.join(F.broadcast(by_size), F.size("__bigrams") == by_size["size"])
     pairs = fitted.select(*keep, "line", "__bigrams", F.explode("fitting").alias("__t"))
@@ -105,7 +130,7 @@ def _inner(docs: DataFrame, text: str, keep: tuple[str, ...], own: tuple[str, ..
     """The texts that may hold a template, with the kept columns under inner names; these names; and how a result gets its outer names."""
     names = tuple(f"__kept{i}" for i in range(len(keep)))
     source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("__text"))
-    source = source.where(F.lower("__text").rlike(anchors(templates, least)))  # null texts go as well
+    source = source.where(F.col("__text").isNotNull() & _likely("__text", anchors(templates, least)))
     outer = fresh(docs.select(*keep), *own)
 
     def results(frame: DataFrame) -> DataFrame:
