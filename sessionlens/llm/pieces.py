@@ -30,8 +30,9 @@ from .words import pieces
 MARK = "▁"
 _STEP = 0x5851F42D4C957F2D
 
-#: Stretches remembered by a worker; forgotten ones are searched again.
-REMEMBERED = 250_000
+#: Stretches remembered by a worker. Beyond that the ones that came back stay, half of it at most; forgotten
+#: ones are searched again.
+REMEMBERED = 300_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -66,7 +67,26 @@ class Segmenter:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.used, self.ids = 0, np.zeros(1 << 16, np.uint16 if len(self.surface) <= 1 << 16 else np.uint32)
-        self.scores, self.spans = np.zeros((1 << 12, self.n), np.float64), np.zeros((1 << 12, self.n, 2), np.int64)
+        self.scores, self.spans, self.uses = np.zeros((1 << 12, self.n), np.float64), np.zeros((1 << 12, self.n, 2), np.int64), np.zeros(1 << 12, np.int32)
+
+    def thin(self) -> None:
+        """Keep what was used again since the last time, the most used half of what a worker may remember at most."""
+        n = len(self.place)
+        keep = np.flatnonzero(self.uses[:n] > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], REMEMBERED // 2)[: REMEMBERED // 2]])
+        names = list(self.place)  # in the order of their rows
+        self.place = {names[r]: i for i, r in enumerate(keep.tolist())}
+        size = max(1 << 12, 1 << int(len(keep)).bit_length())
+        spans, scores, uses = np.zeros((size, self.n, 2), np.int64), np.zeros((size, self.n), np.float64), np.zeros(size, np.int32)
+        begin, length = self.spans[keep].reshape(-1, 2).T
+        ends = np.cumsum(length)
+        self.used = int(ends[-1]) if len(ends) else 0
+        ids = np.zeros(max(1 << 16, 1 << self.used.bit_length()), self.ids.dtype)
+        ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(begin - ends + length, length)]
+        spans[: len(keep)] = np.stack([ends - length, length], axis=1).reshape(-1, self.n, 2)
+        scores[: len(keep)], uses[: len(keep)] = self.scores[keep], self.uses[keep] // 2
+        self.ids, self.spans, self.scores, self.uses = ids, spans, scores, uses
 
     def search(self, text: str) -> list[Path]:
         """The n best segmentations of a stretch of text, best first; among equal scores the first one found."""
@@ -126,13 +146,14 @@ class Segmenter:
         """Search stretches and keep their best lists, scores and ids, as rows of arrays."""
         new = list(stretches.difference(self.place))
         if len(self.place) + len(new) > REMEMBERED and self.place:
-            self.forget()
-            new = list(stretches)
+            self.thin()
+            new = list(stretches.difference(self.place))
         row = len(self.place)
         while row + len(new) > len(self.spans):
-            self.scores, self.spans = np.concatenate([self.scores] * 2), np.concatenate([self.spans] * 2)
+            self.scores, self.spans, self.uses = (np.concatenate([x] * 2) for x in (self.scores, self.spans, self.uses))
         for stretch in new:
             found = self.search(stretch)
+            self.uses[row] = 0
             self.scores[row] = [score for score, _ in found] + [-np.inf] * (self.n - len(found))
             for rank, (_, ids) in enumerate(found):
                 while self.used + len(ids) > len(self.ids):
@@ -140,6 +161,7 @@ class Segmenter:
                 self.ids[self.used : self.used + len(ids)] = ids
                 self.spans[row, rank] = self.used, len(ids)
                 self.used += len(ids)
+            self.spans[row, len(found) :] = 0
             self.place[stretch] = row
             row += 1
 
@@ -153,6 +175,7 @@ class Segmenter:
                 yield none, [0.0], [none]
                 continue
             rows = np.fromiter(map(self.place.__getitem__, stretches), np.int64, len(stretches))
+            self.uses[rows] += 1
             begin, size = self.spans[rows, 0].T
             ends = np.cumsum(size)
             ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]
