@@ -164,7 +164,7 @@ def sharing(docs: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Read] =
             full, replies = by_shard(home[order], np.zeros(len(told), np.uint32), told[order], times[order], shards)
             yield _batch(shard=full, payload=replies)
             places = np.unique(filter_place(key[begin[total >= COMMON]].astype(np.uint64) | (np.uint64(shard) << np.uint64(32))))
-            yield _batch(common=places, shard=np.zeros(len(places), np.int32))
+            yield _batch(common=places, shard=(places % shards).astype(np.int32))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, told, times = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -149,7 +149,7 @@ def _repeating(docs: DataFrame, shards: int) -> DataFrame:
             yield _batch(_RECORDS, shard=full, origin=np.full(len(full), shard, np.int32), payload=replies)
             often = begin[np.add.reduceat(count, begin) >= COMMON]
             places = np.unique(filter_place(key64[often]))
-            yield _batch(_RECORDS, common=places, shard=np.zeros(len(places), np.int32))
+            yield _batch(_RECORDS, common=places, shard=(places % shards).astype(np.int32))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
