@@ -387,6 +387,46 @@ def stale_recovery(spark, root):
     return eventlog.recovery_counts(star_trace(spark, root), "2025-01-01 00:00:00")
 
 
+def _in_time_order(spark, rows, folder: str, parts: int = 4):
+    """A stream of rows in several micro-batches, each of a stretch of time: rows (…, timestamp)."""
+    edges = rows.agg(F.percentile_approx("timestamp", [i / parts for i in range(1, parts)]).alias("e")).first()["e"]
+    files = 0
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+        mine = rows.where((F.lit(low is None) | (F.col("timestamp") >= F.lit(low))) & (F.lit(high is None) | (F.col("timestamp") < F.lit(high))))
+        mine.repartition(2).write.parquet(f"{folder}/in/{i}")
+        files = max(files, len(spark.read.parquet(f"{folder}/in/{i}").inputFiles()))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
+
+
+@query(
+    "T08_stale_sessions_stream",
+    """select user_id as session_id, epoch_us(min(ts)) as started_us, epoch_us(max(ts)) + 7200000000 as stale_us, count(*) as events from (
+         select *, sum(case when before is null or ts - before >= interval 2 hours then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as run
+         from (select *, lag(ts) over (partition by user_id order by ts) as before from events))
+       group by user_id, run having epoch_us(max(ts)) + 7200000000 <= (select epoch_us(max(ts)) from events) - 7200000000""",
+)
+def stale_sessions_stream(spark, root):
+    """Sessions without events for two hours, closed on a stream of several micro-batches by the watermark."""
+    folder = _scratch(spark)
+    stream = _in_time_order(spark, _as_log(read(spark, root, "events")), folder)
+    closed = eventlog.stale_after(stream, "2 hours").select("session_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("stale_at").alias("stale_us"), "events")
+    return eventlog.run_to_table(closed, spark, f"{folder}/out", f"{folder}/state", "append")
+
+
+@query(
+    "U05_seen_ids_stream",
+    """select event_type, user_id, epoch_us(ts) as at_us, coalesce(ts - before <= interval 12 hours, false) as seen
+       from (select *, lag(ts) over (partition by event_type, user_id order by ts) as before from events)""",
+)
+def seen_ids_stream(spark, root):
+    """Whether a user's event type was seen in the twelve hours before, over several micro-batches."""
+    folder = _scratch(spark)
+    rows = _as_log(read(spark, root, "events")).select(F.concat_ws("|", "event_type", "session_id").alias("id"), "timestamp")
+    seen = eventlog.seen_before(_in_time_order(spark, rows, folder), "12 hours")
+    out = eventlog.run_to_table(seen, spark, f"{folder}/out", f"{folder}/state", "append")
+    return out.select(F.split_part("id", F.lit("|"), F.lit(1)).alias("event_type"), F.split_part("id", F.lit("|"), F.lit(2)).cast("bigint").alias("user_id"), F.unix_micros("timestamp").alias("at_us"), "seen")
+
+
 @query(
     "T12_live_deltas",
     """select conv_id as session_id, conv_id * 1000 + turn as current_snapshot_id, conv_id * 1000 + before as previous_snapshot_id, n as repeated_blocks,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import sys
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +19,33 @@ from ..sources.trace import Trace
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def append_events(events: DataFrame, path: str, checkpoint: str):
+#: Folders that ids are dealt over by their hash; a micro-batch reads those that its own ids fall into.
+BUCKETS = 256
+
+
+def append_events(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
     """Start the append-only sink: an event id enters the log once, however late its repeats come.
 
-    A micro-batch is compared with the log by event id and written to a folder of its number, so a batch
-    that is run again writes the same again. No event is dropped for being late.
+    The log is laid out by writer, batch and hash of the id. A micro-batch reads the ids of the buckets that its own
+    ids fall into, and leaves out what stands there already; so reading grows with the batch, not with the
+    log. It writes to a folder of its query's id and its number: a batch that is run again writes the same
+    again, and a query with a new checkpoint never touches what others wrote. No event is dropped for
+    being late. The number of buckets must stay the same for the life of a log.
     """
+    writer: list[str] = []
 
     def store(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["event_id"])
-        if number:
-            logged = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).select("event_id")
-            fresh = fresh.join(logged, "event_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        if not writer:  # the id that the checkpoint keeps for the query
+            writer.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        own = f"{writer[0]}-{number}"
+        fresh = batch.dropDuplicates(["event_id"]).withColumn("bucket", F.pmod(F.xxhash64(F.col("event_id").cast("string")), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if touched and root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            logged = spark.read.parquet(path).where(F.col("bucket").isin(touched) & (F.col("batch") != own)).select("event_id", "bucket")
+            fresh = fresh.join(logged, ["event_id", "bucket"], "left_anti")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={own}")
 
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -100,13 +117,43 @@ def close_stale_sessions(trace: Trace, recovered_at) -> tuple[DataFrame, DataFra
 
 
 def stale_after(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions as runs of events without a longer gap; on a stream each closes when the gap passes."""
+    """Sessions as runs of events without a longer gap. On a stream each is written once, when the watermark has passed its
+    end; those still open at the end of what is available stay in the state."""
     source = events.withWatermark("timestamp", gap) if events.isStreaming else events
     return source.groupBy(F.session_window("timestamp", gap), "session_id").agg(F.count(F.lit(1)).alias("events")).select(
         "session_id", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("stale_at"), "events"
     )
 
 
+def seen_before(ids: DataFrame, expiry: str, key: str = "id") -> DataFrame:
+    """Whether an id was seen in the time `expiry` before, for every row of a stream of (`key`, timestamp).
+
+    State holds one time an id, the last one seen, and goes when the watermark has passed it by the
+    expiry; an id that comes back later is new again. Rows of an id are taken in the order of their
+    times within a micro-batch; the stream brings batches in that order, apart from lateness below the watermark.
+    Returns (`key`, timestamp, seen).
+    """
+    span = pd.Timedelta(expiry)
+
+    def step(group, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
+        times = rows["timestamp"].reset_index(drop=True)
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.NaT
+        before = times.shift(1)
+        before.iloc[0] = last
+        newest = max([t for t in (last, times.iloc[-1]) if t is not pd.NaT])
+        state.update((int(newest.value // 1000),))
+        state.setTimeoutTimestamp(int((newest + span).value // 1_000_000) + 1)
+        yield pd.DataFrame({key: group[0], "timestamp": times, "seen": (times - before) <= span})
+
+    kind = ids.schema[key].dataType.simpleString()
+    source = ids.select(key, "timestamp").withWatermark("timestamp", "0 seconds")
+    return source.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, timestamp timestamp, seen boolean", "last bigint", "append", "EventTimeTimeout")
+
+
 # --- live deltas -------------------------------------------------------------------------------------------
 
 

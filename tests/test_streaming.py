@@ -141,3 +141,15 @@ def test_log_takes_an_event_once_however_late(spark):
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
         eventlog.append_events(stream, f"{folder}/log", f"{folder}/state").awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(f"{folder}/log").collect()) == [1, 2, 3, 4]
+
+
+def test_log_survives_a_new_checkpoint(spark):
+    """Another query with a checkpoint of its own adds to a log, and repeats of logged events stay out."""
+    folder = new_folder(spark, "log")
+    rows = lambda ids: spark.createDataFrame([(i, "t") for i in ids], "event_id string, event_type string")
+    rows("aab").write.parquet(f"{folder}/one")
+    rows("cab").write.parquet(f"{folder}/two")
+    for source, state in (("one", "s1"), ("two", "s2"), ("one", "s3"), ("two", "s2")):
+        stream = spark.readStream.schema("event_id string, event_type string").parquet(f"{folder}/{source}")
+        eventlog.append_events(stream, f"{folder}/log", f"{folder}/{state}", buckets=8).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(f"{folder}/log").collect()) == ["a", "b", "c"]
