@@ -161,18 +161,18 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
     """The columns `keep`, `lang_pred`, `score` and, if asked for, `spans`, one row for every row of `docs`.
 
     `score` is the share of the letters that carry the language. `spans` are (first word, number of
-    words, language) in order. Null texts and texts without a letter are `und` with score 0 and no
-    spans. Equal shares go to the language first in name order.
+    words, language) in order. Null texts and texts without a letter (by code points: signs, digits and
+    marks are none) are `und` with score 0 and no spans. Equal shares go to the language first in name order.
+    Where `keep` has a name of a result, the result gets an underscore.
     """
+    predicted, score, cuts, own, lettered = fresh(docs.select(*keep), "lang_pred", "score", "spans", "text_", "lettered")
     spans = "array<struct<first:int,words:int,lang:string>>"
     if not model.languages:
-        known = {"lang_pred": F.lit(NONE), "score": F.lit(0.0), **({"spans": F.array().cast(spans)} if with_spans else {})}
+        known = {predicted: F.lit(NONE), score: F.lit(0.0), **({cuts: F.array().cast(spans)} if with_spans else {})}
         return docs.select(*keep, *[c.alias(name) for name, c in known.items()])
     names = np.array([*model.languages, NONE], dtype=object)
     n_languages = len(model.languages)
 
-    [own] = fresh(docs.select(*keep), "text_")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in pieces(batch, own, most=1 << 23):
@@ -192,6 +192,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
                 for i in np.flatnonzero(mass.sum(axis=1) == 0):  # letters outside the script table, if any
                     if any(map(str.isalpha, (texts[i] or b"").decode("utf-8", "replace"))):
                         mass[i] = np.bincount(label[owner == i], minlength=n_languages + 1)
+                mass[~np.asarray(batch.column(lettered).slice(row, n).to_pylist(), bool)] = 0
                 whole = mass.sum(axis=1)
                 pick = np.where(whole > 0, mass[:, :n_languages].argmax(axis=1), n_languages)
                 share = np.where(whole > 0, mass.max(axis=1) / np.maximum(whole, 1), 0.0)
@@ -200,8 +201,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: tuple[st
                     out.append(_spans(owner, label, whole > 0, names, n))
                 yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    source = docs.select(*keep, F.col(text).alias(own))
-    shape = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(None).cast(spans).alias("spans")] * with_spans)
+    source = docs.select(*keep, F.col(text).alias(own), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(lettered))
+    shape = source.select(*keep, F.lit("").alias(predicted), F.lit(0.0).alias(score), *[F.lit(None).cast(spans).alias(cuts)] * with_spans)
     columns = shape.columns
     return source.mapInArrow(run, shape.schema)
 

@@ -18,4 +18,4 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()).select("text", "lang"))
-    return identified(docs, model, with_spans=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identified(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")

@@ -194,3 +194,12 @@ def test_thinned_memory_gives_the_same_pieces(monkeypatch):
         monkeypatch.setattr(pieces, "REMEMBERED", 60)
         assert got == want
     assert len(small.place) <= 60 + 40 and {"▁word", "▁other"} <= set(small.place)
+
+
+def test_signs_are_no_letters(spark):
+    texts = ["×", "。", "١٢٣ ४५", "÷ 12 «»", "a", "日", None]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    learnt = spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de")], "text string, lang string")
+    got = by_id(language.identified(frame, language.train(learnt), keep=("doc_id", "score")))
+    assert [got[i].lang_pred == "und" for i in range(7)] == [True, True, True, True, False, False, True]
+    assert all(got[i].score == "s" for i in range(7)) and got[0].score_ == 0 and got[0].spans == [] and got[4].score_ == 1 and len(got[4].spans) == 1
