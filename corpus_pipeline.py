@@ -57,12 +57,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed by weights 1, 2, 3: a document stands there as often as the mix takes it; documents that it does
-    not take, and documents without words, go. Rows that repeat a document share its decision and count once."""
-    sized = docs.select("doc_id", "source", word_count(docs["text"]).alias("size"))
+    not take, and documents without words, go. Rows that repeat a document share its decision and count once; a row
+    without a doc_id is known by its text."""
+    known = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
+    sized = docs.select(known.alias("doc_id"), "source", word_count(docs["text"]).alias("size"))
     taken = mix(stored(spark, sized.distinct(), "sizes"), keep_source=True).where("taken > 0")
     [of, source, size, times] = fresh(docs, "of", "from", "size", "times")
     taken = taken.select(F.col("doc_id").alias(of), F.col("source").alias(source), F.col("size").alias(size), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    match = docs["doc_id"].eqNullSafe(taken[of]) & docs["source"].eqNullSafe(taken[source]) & (word_count(docs["text"]) == taken[size])
+    match = (known == taken[of]) & docs["source"].eqNullSafe(taken[source]) & (word_count(docs["text"]) == taken[size])
     return docs.join(taken, match).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)
 
 
