@@ -284,7 +284,7 @@ _D = "abs({0} - {1}) / greatest(({0} + {1}) / 2.0, 1.0)"
     sched=_SCHED,
 )
 def schedule_usage(spark, root):
-    rows = arm_requests(spark, root).join(F.broadcast(ex.williams_schedule(spark, ORDER)), ["arm", "round"])
+    rows = arm_requests(spark, root).join(ex.williams_schedule(spark, ORDER), ["arm", "round"])
     return rows.groupBy("arm", "position").agg(F.count(F.lit(1)).alias("requests"), F.sum("uncached_input_tokens").alias("uncached"))
 
 

@@ -392,7 +392,7 @@ def crossover(usage: DataFrame, schedule: DataFrame, control: str, null: str, tr
 
     Expects arm, round and the usage columns per run.
     """
-    placed = usage.join(F.broadcast(schedule), ["arm", "round"])  # the schedule has 18 rows
+    placed = usage.join(schedule, ["arm", "round"])
     by_position = arm_usage(placed, ["arm", "position"])
     by_arm = arm_usage(placed, ["arm"])
     value = lambda arm, column: F.max(F.when(F.col("arm") == arm, F.col(column)))

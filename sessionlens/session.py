@@ -30,8 +30,9 @@ def build_session(app: str = "sessionlens", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by `spark.checkpoint.dir`.
 
-    Where the setting is absent (tests, a first try), the session gets one below the warehouse, which
-    all executors share as well; it is removed when the session's JVM ends.
+    Where the setting is absent (tests, a first try), the session gets one below the warehouse; it is
+    removed when the session's JVM ends. On a cluster a warehouse on a local disk is shared by nobody, and
+    this is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -39,7 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     application = spark.sparkContext.applicationId
     if application in _OWN_FOLDERS:
         return _OWN_FOLDERS[application]
-    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise RuntimeError(f"set spark.checkpoint.dir: {warehouse} is a local folder, which the executors of a cluster do not share")
+    own = f"{warehouse.rstrip('/')}/_scratch-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(own)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path)
