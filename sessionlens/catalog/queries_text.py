@@ -707,6 +707,37 @@ def gate_line_fold(spark, root):
     )
 
 
+_GATED = f"""select doc_id, candidate is not null as applies, case when candidate is null then 'not_applicable'
+      when strlen(candidate) >= strlen(text) or ct >= it then 'no_improvement' else 'applicable' end as status
+    from (select *, {tokens_sql('text')} as it, {tokens_sql('candidate')} as ct from (select doc_id, text, case when len(st) < len(ls) then
+      'Agenttrace line-fold v1' || chr(10) || array_to_string(list_transform(range(1, len(st) + 1),
+      lambda k: case when coalesce(st[k + 1], len(ls) + 1) - st[k] >= 2 then 'repeat=' || (coalesce(st[k + 1], len(ls) + 1) - st[k]) || ' ' else '' end
+        || 'line=' || to_json(ls[st[k]]) || chr(10)), '') end as candidate from runs join documents using (doc_id)))"""
+
+
+@query(
+    "G01_recovery_gate",
+    """select 'text.readable_line_fold' as candidate_id, doc_id, status from gated
+       union all select 'planted.loss', doc_id, case when applies and doc_id % 2 = 1 then 'recovery_failed' else status end from gated
+       union all select 'planted.noise', doc_id, case when applies and doc_id % 3 = 0 then 'internal_error' else status end from gated""",
+    runs=_RUNS, gated=_GATED,
+)
+def recovery_gate(spark, root):
+    """The line fold, one that loses its last run and one that never gives the same twice, through the whole gate."""
+    rows = documents(spark, root).withColumn("detected_kind", F.lit("plain_text"))
+    fold = red.INVERSES["text.readable_line_fold"]
+
+    def loss(df, text="text"):
+        cut = F.regexp_replace("candidate", "(?<=\n)[^\n]*\n$", "")
+        return red.line_fold(df, text).withColumn("candidate", F.when(F.col("doc_id") % 2 == 1, cut).otherwise(F.col("candidate")))
+
+    def noise(df, text="text"):
+        return red.line_fold(df, text).withColumn("candidate", F.when(F.col("doc_id") % 3 == 0, F.concat("candidate", F.uuid())).otherwise(F.col("candidate")))
+
+    tried = red.gated(rows, "text.readable_line_fold").unionByName(red.gated(rows, "planted.loss", job=loss, inverse=fold)).unionByName(red.gated(rows, "planted.noise", job=noise, inverse=fold))
+    return red.evaluate(tried).select("candidate_id", "doc_id", "status")
+
+
 @query(
     "G02_candidate_plan",
     """select candidate_id, count(*) as blocks from (select unnest(list_filter(case when detected_kind = 'json' then

@@ -223,8 +223,77 @@ def propose(blocks: DataFrame, candidates: list[str], text: str = "text") -> Dat
     return out
 
 
+SPACES = r"[ \t\n\f\r]"
+
+
+def _literal(quoted: Column) -> Column:
+    """The string of a JSON literal."""
+    return F.from_json(F.concat(F.lit('{"s":'), quoted, F.lit("}")), "s string")["s"]
+
+
+def unfolded(candidate: Column | str) -> Column:
+    """The text of a line fold or a prefix fold; NULL where the candidate is none.
+
+    A folded token goes back before the last white space after the first token of its line. A line with more white space
+    behind its second token comes back changed, which the gate finds out.
+    """
+    candidate = F.col(candidate) if isinstance(candidate, str) else candidate
+    rows = F.filter(F.slice(F.split(candidate, "\n"), 2, F.size(F.split(candidate, "\n"))), lambda r: r != "")
+
+    def under(tail: Column, token: Column) -> Column:
+        head = F.regexp_extract(tail, f"^({SPACES}*[^ \\t\\n\\f\\r]+{SPACES}+)(?={SPACES})", 1)
+        return F.concat(head, token, F.substr(tail, F.length(head) + 1))
+
+    def read(row: Column) -> Column:
+        prefix = _literal(F.regexp_extract(row, r'^prefix=("(?:[^"\\]|\\.)*") tails=', 1))
+        tails = F.from_json(F.regexp_extract(row, r" tails=(\[.*\])$", 1), "array<string>")
+        token = F.substr(prefix, F.lit(1), F.length(prefix) - 1)
+        many = F.array_join(F.transform(tails, lambda t: under(t, token)), "")
+        times = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(row, r"^repeat=(\d+) line=", 1), F.lit("")), F.lit("9999999999")).cast("int"), F.lit(1))
+        return F.when(row.startswith("prefix="), many).otherwise(F.repeat(_literal(F.regexp_extract(row, r'^(?:repeat=\d+ )?line=(".*")$', 1)), times))
+
+    return F.array_join(F.transform(rows, read), "")
+
+
+def _same_document(candidate: Column, text: Column) -> Column:
+    return F.to_json(F.try_parse_json(candidate)) == F.to_json(F.try_parse_json(text))
+
+
+# How the gate knows that a candidate gives its text back: (candidate, text) -> condition.
+INVERSES: dict[str, Callable[[Column, Column], Column]] = {
+    "json.noop": lambda c, t: c == t,
+    "text.noop": lambda c, t: c == t,
+    "json.minify": _same_document,
+    "text.readable_line_fold": lambda c, t: unfolded(c) == t,
+    "text.log_prefix_fold": lambda c, t: unfolded(c) == t,
+}
+
+
+def gated(
+    blocks: DataFrame, name: str, text: str = "text", job: Callable[[DataFrame, str], DataFrame] | None = None,
+    inverse: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """A candidate proposed twice and recovered: like `propose` for one candidate, with two more failures.
+
+    `internal_error`: the second evaluation differs from the first. `recovery_failed`: the inverse does not
+    give the text back. Both come after the candidate's own failure and before the sizes, which `evaluate`
+    looks at. `job` and `inverse` default to those of the registry; without an inverse only the second
+    evaluation counts. Everything is decided on the row.
+    """
+    kinds, readable, known = REGISTRY.get(name, (None, "opaque_custom_encoding", job))
+    job, inverse = job or known, inverse or INVERSES.get(name)
+    rows = blocks if kinds is None else blocks.where(F.col("detected_kind").isin(*kinds))
+    first = job(rows, text).withColumnsRenamed({"candidate": "__first", "failure": "__failure"})
+    both = job(first, text)
+    differs = ~F.col("candidate").eqNullSafe(F.col("__first"))
+    lost = F.lit(False) if inverse is None else F.col("__first").isNotNull() & ~F.coalesce(inverse(F.col("__first"), F.col(text)), F.lit(False))
+    failure = F.when(F.col("__failure").isNotNull(), F.col("__failure")).when(differs, "internal_error").when(lost, "recovery_failed")
+    out = both.withColumn("failure", failure).withColumn("candidate", F.col("__first")).drop("__first", "__failure")
+    return out.withColumn("candidate_id", F.lit(name)).withColumn("readability", F.lit(readable))
+
+
 def evaluate(proposed: DataFrame, text: str = "text") -> DataFrame:
-    """Gate a candidate: its own failure, then never worse in bytes and in tokens.
+    """Gate a candidate: its own failure (with `gated`, also of determinism and recovery), then never worse in bytes and in tokens.
 
     The originals stay in place beside the candidates, so recovery is the original itself. Optional
     columns `request_offset`, `request_bytes` and `persistence` give the preserved prefix and risk.

@@ -248,3 +248,18 @@ def test_results_do_not_depend_on_partitioning(synthetic):
         key = lambda r: r.name
         assert sorted(composition.composition(scattered.blocks, group).collect(), key=key) == sorted(composition.composition(synthetic.blocks, group).collect(), key=key)
     assert sorted(sessions.session_rollup(scattered).collect()) == sorted(sessions.session_rollup(synthetic).collect())
+
+
+def test_folds_give_their_texts_back(spark):
+    """The inverse of both folds on awkward lines; where white space is ambiguous the gate says so."""
+    from sessionlens.operators import reduce as red
+
+    texts = ["a\na\na\nb\n", "no fold", "x x\n" * 5 + "end", 'q "quoted" \\ back\n' * 3, "t1 INFO one\nt2 INFO two\nt3 INFO three\n", "é ü\té\né ü\té\n", "\n\n\n",
+             "t1  $1\\ one\nt2  $1\\ two\n", "t1 INFO  two gaps\nt2 INFO  two gaps again\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("detected_kind", F.lit("plain_text"))
+    for name, lossy in (("text.readable_line_fold", set()), ("text.log_prefix_fold", {8}), ("text.noop", set())):
+        got = {r.id: r.failure for r in red.gated(rows, name).select("id", "failure").collect()}
+        assert {i for i, f in got.items() if f == "recovery_failed"} == lossy and "internal_error" not in got.values(), (name, got)
+        assert any(f is None for f in got.values())
+    json = spark.createDataFrame([(1, '{"a" : 1,\n "b": [1, "x y"]}')], "id int, text string").withColumn("detected_kind", F.lit("json"))
+    assert [r.failure for r in red.gated(json, "json.minify").select("failure").collect()] == [None]
