@@ -492,9 +492,9 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(0, batch.num_rows, 200):
-                part = batch.slice(row, 200)
-                got = [_cut((t or "").encode(), s) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+            for row, texts in pieces(batch, "text", 1 << 22):
+                part = batch.slice(row, len(texts))
+                got = [_cut(t or b"", s) for t, s in zip(texts, part.column("spans").to_pylist())]
                 arrays = [part.column("doc_id"), *(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got])]
                 names = ["doc_id", "n_removed", "n_spans", "kept_sha256"]
                 if with_text:
