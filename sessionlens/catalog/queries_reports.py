@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -576,9 +578,25 @@ def registered_compressor(spark, root):
     def squeeze(df, text="text"):
         return df.withColumn("candidate", F.regexp_replace(text, " +", " ")).withColumn("failure", F.lit(None).cast("string"))
 
-    red.register_compressor("text.squeeze", ("plain_text",), squeeze, min_bytes=256)
     rows = read(spark, root, "documents").select("doc_id", "text").withColumn("detected_kind", F.lit("plain_text"))
-    out = red.evaluate(red.propose(rows, ["text.squeeze"]))
-    red.REGISTRY.pop("text.squeeze")
-    red.REDUCERS.pop("text.squeeze")
+    out = red.evaluate(red.gated(rows, "text.squeeze", job=squeeze, min_bytes=256))
     return out.select("doc_id", F.when(F.col("output_bytes") >= F.col("input_bytes"), "no_improvement").otherwise(F.col("status")).alias("status"), "output_bytes")
+
+
+@query(
+    "U04_registered_reducer",
+    """select doc_id, decision, strlen(c) as candidate_bytes, strlen(text) >= 300 and strlen(c) < strlen(text) as accepted,
+         strlen(text) >= 300 and strlen(c) < strlen(text) and decision = 'accepted_opt_in' as applied,
+         sha256(case when strlen(text) >= 300 and strlen(c) < strlen(text) and decision = 'accepted_opt_in' then c else text end) as output_fp
+       from (select doc_id, text, regexp_replace(text, '\n+', chr(10), 'g') as c, unnest(['accepted_opt_in', 'shadow_only']) as decision from documents)""",
+)
+def registered_reducer(spark, root):
+    """A reducer of one's own as a table function: empty lines go, where the policy says so."""
+    red.register_reducer(spark, "without_empty_lines", lambda text: re.sub("\n+", "\n", text), min_bytes=300)
+    docs = read(spark, root, "documents").select("doc_id", "text")
+    parts = []
+    for decision in ("accepted_opt_in", "shadow_only"):
+        part = spark.sql(f"SELECT * FROM without_empty_lines(TABLE({{docs}}), column => 'text', decision => '{decision}')", docs=docs)
+        parts.append(part.withColumn("decision", F.lit(decision)))
+    whole = parts[0].unionByName(parts[1])
+    return whole.select("doc_id", "decision", "candidate_bytes", "accepted", "applied", F.sha2("output", 256).alias("output_fp"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 from ..functions.jsontext import NAME, search_view, structured_candidate
 from ..functions.labels import cache_risk
@@ -271,14 +273,14 @@ INVERSES: dict[str, Callable[[Column, Column], Column]] = {
 
 def gated(
     blocks: DataFrame, name: str, text: str = "text", job: Callable[[DataFrame, str], DataFrame] | None = None,
-    inverse: Callable[[Column, Column], Column] | None = None,
+    inverse: Callable[[Column, Column], Column] | None = None, min_bytes: int | None = None,
 ) -> DataFrame:
     """A candidate proposed twice and recovered: like `propose` for one candidate, with two more failures.
 
     `internal_error`: the second evaluation differs from the first. `recovery_failed`: the inverse does not
     give the text back. Both come after the candidate's own failure and before the sizes, which `evaluate`
-    looks at. `job` and `inverse` default to those of the registry; without an inverse only the second
-    evaluation counts. Everything is decided on the row.
+    looks at. `job`, `inverse` and `min_bytes` default to those of the registry; without an inverse only the second
+    evaluation counts, and texts below `min_bytes` stay as they are. Everything is decided on the row.
     """
     kinds, readable, known = REGISTRY.get(name, (None, "opaque_custom_encoding", job))
     job, inverse = job or known, inverse or INVERSES.get(name)
@@ -287,8 +289,10 @@ def gated(
     both = job(first, text)
     differs = ~F.col("candidate").eqNullSafe(F.col("__first"))
     lost = F.lit(False) if inverse is None else F.col("__first").isNotNull() & ~F.coalesce(inverse(F.col("__first"), F.col(text)), F.lit(False))
-    failure = F.when(F.col("__failure").isNotNull(), F.col("__failure")).when(differs, "internal_error").when(lost, "recovery_failed")
-    out = both.withColumn("failure", failure).withColumn("candidate", F.col("__first")).drop("__first", "__failure")
+    least = min_bytes if min_bytes is not None else REDUCERS.get(name)
+    small = F.lit(False) if least is None else F.octet_length(text) < least
+    failure = F.when(small, "below_minimum").when(F.col("__failure").isNotNull(), F.col("__failure")).when(differs, "internal_error").when(lost, "recovery_failed")
+    out = both.withColumn("failure", failure).withColumn("candidate", F.when(~small, F.col("__first"))).drop("__first", "__failure")
     return out.withColumn("candidate_id", F.lit(name)).withColumn("readability", F.lit(readable))
 
 
@@ -468,3 +472,34 @@ def active_allowed(df: DataFrame, reducer: str = "reducer_id", family: str = "co
     joined = df.join(registry, F.col(reducer) == F.col("__r"), "left")
     allowed = (F.col("__f") == F.col(family)) & (F.col("__m") == "active") & (F.col("__d") == "accepted_opt_in")
     return joined.withColumn("active_allowed", F.coalesce(allowed, F.lit(False))).drop("__r", "__f", "__m", "__d")
+
+
+def register_reducer(spark, name: str, reducer: Callable[[str], str | None], min_bytes: int = 0) -> None:
+    """Register a reducer of one's own as the table function `name(TABLE(t), column => 'c', decision => 'd')`.
+
+    Its rows are those of the table, whatever columns it has, with `candidate`, `candidate_bytes`, `accepted`
+    (shorter, and the text has `min_bytes` or more), `applied` and `output`: an accepted candidate is put
+    in the text's place only where the policy decision is accepted_opt_in. A null text, or None from the
+    reducer, is no candidate. Names of the table that are like results get the results an underscore.
+    """
+
+    class Reduce:
+        @staticmethod
+        def analyze(row: AnalyzeArgument, column: AnalyzeArgument, decision: AnalyzeArgument) -> AnalyzeResult:
+            schema, taken = StructType(list(row.dataType.fields)), {f.name.lower() for f in row.dataType.fields}
+            for field, kind in (("candidate", StringType()), ("candidate_bytes", LongType()), ("accepted", BooleanType()), ("applied", BooleanType()), ("output", StringType())):
+                while field in taken:
+                    field += "_"
+                schema = schema.add(field, kind)
+            return AnalyzeResult(schema=schema)
+
+        def eval(self, row: Row, column: str, decision: str):
+            text = row[column]
+            candidate = None if text is None else reducer(text)
+            size = None if candidate is None else len(candidate.encode())
+            raw = 0 if text is None else len(text.encode())
+            accepted = size is not None and raw >= min_bytes and size < raw
+            applied = accepted and decision == "accepted_opt_in"
+            yield (*row, candidate, size, accepted, applied, candidate if applied else text)
+
+    spark.udtf.register(name, udtf(Reduce))
