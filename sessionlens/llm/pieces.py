@@ -14,6 +14,7 @@ queue as well. Characters outside the vocabulary become their UTF-8 byte pieces,
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ from .words import pieces
 MARK = "▁"
 _STEP = 0x5851F42D4C957F2D
 
-#: Stretches remembered by a worker. Beyond that the ones that came back stay, half of it at most; forgotten
-#: ones are searched again.
-REMEMBERED = 300_000
+#: Stretches remembered by a worker, about 300 bytes each. Beyond that the ones that came back stay, half of it
+#: at most; forgotten ones are searched again. A stage that shares its workers with others should remember fewer.
+REMEMBERED = 250_000
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -40,14 +41,15 @@ Path = tuple[float, tuple[int, ...]]
 class Segmenter:
     """Best lists of texts under the pieces and scores of a model file."""
 
-    def __init__(self, path: str, n: int):
+    def __init__(self, path: str, n: int, remembered: int = REMEMBERED):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.n, ids = n, range(model.get_piece_size())
+        self.n, self.remembered, ids = n, remembered, range(model.get_piece_size())
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         normal = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.piece = {model.id_to_piece(i): (i, model.get_score(i)) for i in normal}
-        self.longest = max(map(len, self.piece))
-        self.prefixes = {p[:i] for p in self.piece for i in range(1, len(p))}
+                # Every beginning of a piece: its id and score, if it is a piece itself, and whether a longer piece begins with it.
+        longer = {p[:i] for p in self.piece for i in range(1, len(p))}
+        self.beginning = {p: (*self.piece.get(p, (None, 0.0)), p in longer) for p in longer.union(self.piece)}
         self.together = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.unknown = min(s for _, s in self.piece.values() if s > -1e8) - 10.0
         self.surface = [b""] * len(ids)
@@ -73,8 +75,9 @@ class Segmenter:
         """Keep what was used again since the last time, the most used half of what a worker may remember at most."""
         n = len(self.place)
         keep = np.flatnonzero(self.uses[:n] > 1)
-        if len(keep) > REMEMBERED // 2:
-            keep = np.sort(keep[np.argpartition(-self.uses[keep], REMEMBERED // 2)[: REMEMBERED // 2]])
+        half = self.remembered // 2
+        if len(keep) > half:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], half)[:half]])
         names = list(self.place)  # in the order of their rows
         self.place = {names[r]: i for i, r in enumerate(keep.tolist())}
         size = max(1 << 12, 1 << int(len(keep)).bit_length())
@@ -90,39 +93,50 @@ class Segmenter:
 
     def search(self, text: str) -> list[Path]:
         """The n best segmentations of a stretch of text, best first; among equal scores the first one found."""
-        size, piece, prefixes, longest = len(text), self.piece, self.prefixes, self.longest
+        size, beginning = len(text), self.beginning
         ending: list[list[tuple]] = [[] for _ in range(size + 1)]
         best = [0.0] + [-np.inf] * size
         for i in range(size):
-            here = best[i]
-            for j in range(i + 1, min(size, i + longest) + 1):
-                stretch = text[i:j]
-                found = piece.get(stretch)
-                if found:
-                    value = found[1]
-                    ending[j].append((i, found[0], value))
+            here, alone = best[i], True
+            for j in range(i + 1, size + 1):
+                known = beginning.get(text[i:j])
+                if known is None:
+                    break
+                found, value, more = known
+                if found is not None:
+                    ending[j].append((i, found, value))
                     if here + value > best[j]:
                         best[j] = here + value
-                elif stretch not in prefixes:
+                    if j == i + 1:
+                        alone = False
+                if not more:
                     break
-            if text[i] not in piece:
+            if alone:
                 ending[i + 1].append((i, tuple(self.bytes[b] for b in text[i].encode()), self.unknown))
                 best[i + 1] = max(best[i + 1], here + self.unknown)
         out: list[Path] = []
         # (minus the final score, order of arrival, position, score so far, pieces after it)
         queue: list[tuple] = [(-best[size], 0, size, 0.0, None)]
+        # Final scores are exact, so each hypothesis is one segmentation: only the n best of all ever queued can come out.
+        tops, n = [-best[size]], self.n
         arrival, pop, push = 0, heapq.heappop, heapq.heappush
         while queue:
             _, _, at, score, after = pop(queue)
             while at:  # follow the best way down, queue the others
-                edges, down = ending[at], None
-                top = best[at]
-                for start, found, value in edges:
-                    if down is None and best[start] + value == top:
+                down, top = None, best[at]
+                for start, found, value in ending[at]:
+                    whole = best[start] + value
+                    if down is None and whole == top:
                         down = start, score + value, (found, after)
-                    else:
-                        arrival += 1
-                        push(queue, (-(score + value + best[start]), arrival, start, score + value, (found, after)))
+                        continue
+                    cost = -(score + value + best[start])
+                    if len(tops) == n:
+                        if cost >= tops[-1]:
+                            continue
+                        tops.pop()
+                    bisect.insort(tops, cost)
+                    arrival += 1
+                    push(queue, (cost, arrival, start, score + value, (found, after)))
                 at, score, after = down
             ids: list[int] = []
             while after:
@@ -145,7 +159,7 @@ class Segmenter:
     def learn(self, stretches: set[str]) -> None:
         """Search stretches and keep their best lists, scores and ids, as rows of arrays."""
         new = list(stretches.difference(self.place))
-        if len(self.place) + len(new) > REMEMBERED and self.place:
+        if len(self.place) + len(new) > self.remembered and self.place:
             self.thin()
             new = list(stretches.difference(self.place))
         row = len(self.place)
@@ -218,14 +232,15 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return at[np.argsort(values[at], kind="stable")][:n]
 
 
-_LOADED: dict[tuple[str, int], Segmenter] = {}
+_LOADED: dict[tuple[str, int, int], Segmenter] = {}
 
 
-def segmenter(path: str, n: int) -> Segmenter:
+def segmenter(path: str, n: int, remembered: int) -> Segmenter:
     """The worker's segmenter for a model file."""
-    if (path, n) not in _LOADED:
-        _LOADED[path, n] = Segmenter(path, n)
-    return _LOADED[path, n]
+    key = path, n, remembered
+    if key not in _LOADED:
+        _LOADED[key] = Segmenter(*key)
+    return _LOADED[key]
 
 
 def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
@@ -241,7 +256,7 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(_offsets(ids)), pa.array(np.concatenate(ids).astype(np.int32)))
 
 
-def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED) -> DataFrame:
     """The columns `keep`, `ids` (best segmentation), `scores` (n best, falling), `n_best_ids` (the ids of each of these)
     and `decoded`, the text that the ids give back.
 
@@ -253,7 +268,7 @@ def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", ke
     [own] = fresh(docs.select(*keep), "text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = segmenter(model, n_best)
+        found = segmenter(model, n_best, remembered)
         for batch in batches:
             for row, texts in _runs(batch, own):
                 part, ids, scores, every, back = batch.slice(row, len(texts)), [], [], [], []
@@ -275,13 +290,13 @@ def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", ke
     return source.mapInArrow(run, schema)
 
 
-def digested(docs: DataFrame, model: str, n_best: int = 3) -> DataFrame:
+def digested(docs: DataFrame, model: str, n_best: int = 3, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_pieces, score, scores, ids_crc32, n_best_crc32, round_trip): what `encoded` finds, without carrying ids
     and texts out of the task. `ids_crc32` is over the best ids as little-endian unsigned 32-bit numbers, `n_best_crc32`
     has the same of each of the n best segmentations; `round_trip` says that decoding the ids gives the text (null: the empty text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = segmenter(model, n_best)
+        found = segmenter(model, n_best, remembered)
         for batch in batches:
             n, scores, crc, same = [], [], [], []  # crc: of each of the n best
             for _, texts in _runs(batch, "text"):

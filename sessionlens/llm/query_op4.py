@@ -12,4 +12,4 @@ from .queries import query
 
 @query("op4_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
+    return digested(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=3, remembered=600_000)

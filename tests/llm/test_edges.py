@@ -177,21 +177,18 @@ def test_anchors_miss_nothing(spark, least):
     assert {tuple(r) for r in got} == want and len(want) > 5
 
 
-def test_thinned_memory_gives_the_same_pieces(monkeypatch):
+def test_thinned_memory_gives_the_same_pieces():
     """Stretches that come back stay, others are searched again: results do not depend on what a worker remembers."""
     import random
 
-    monkeypatch.setattr(pieces, "REMEMBERED", 60)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    small, large = pieces.Segmenter(path, 3), pieces.Segmenter(path, 3)
+    small, large = pieces.Segmenter(path, 3, 60), pieces.Segmenter(path, 3)
     rng = random.Random(9)
     words = ["word", "other", "läuft", "naïve", "x", "tokenization", "日本", "😀"] + ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
     for _ in range(40):
         texts = [" ".join(rng.choices(words, weights=[30] * 8 + [1] * 300, k=12)) for _ in range(3)]
         got = [(b.tolist(), s, [x.tolist() for x in l]) for b, s, l in small.best(texts)]
-        monkeypatch.setattr(pieces, "REMEMBERED", 10**9)
         want = [(b.tolist(), s, [x.tolist() for x in l]) for b, s, l in large.best(texts)]
-        monkeypatch.setattr(pieces, "REMEMBERED", 60)
         assert got == want
     assert len(small.place) <= 60 + 40 and {"▁word", "▁other"} <= set(small.place)
 
