@@ -109,3 +109,25 @@ def test_tool_and_shell_families(spark):
     )
     got = [(r.f, r.s) for r in rows.select(labels.tool_family("n").alias("f"), labels.shell_family("c", "o").alias("s")).collect()]
     assert got == [("version_control", "version_control"), ("search", "unknown"), ("unknown", "unknown"), ("unknown", "generic")]
+
+
+@pytest.mark.parametrize("most", [1, 30, 10_000])
+def test_numbering_by_size_of_the_groups(spark, most):
+    rng = random.Random(3)
+    data = [(rng.choice(["hot"] * 5 + ["a", "b", None]), i, rng.randrange(50)) for i in range(300)]
+    rows = spark.createDataFrame(data, "k string, id bigint, t bigint").repartition(5)
+    order = [F.col("t").asc(), F.col("id").asc()]
+    want = numbered(rows, ["k"], order, "n", F.floor(F.col("t") / 9))
+    got = numbered(rows, ["k"], order, "n", F.floor(F.col("t") / 9), most=most)
+    assert got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+
+
+def test_rows_of_small_groups_are_shuffled_once(spark, tmp_path):
+    """Numbering small groups deals their rows once; buckets are for groups that one task should not take."""
+    spark.range(2000).selectExpr("id", "id % 300 as k").write.parquet(f"{tmp_path}/rows")
+    out = numbered(spark.read.parquet(f"{tmp_path}/rows"), ["k"], [F.col("id").asc()], "n", F.floor(F.col("id") / 64), most=1000)
+    assert out.agg(F.sum("n")).first()[0] == sum(i // 300 + 1 for i in range(2000))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") <= 2  # the rows, and the counts of the groups
