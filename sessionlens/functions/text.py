@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,24 +175,55 @@ def _removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_signals(text: Column | str) -> list[Column]:
-    """All signal counters of a text as native expressions (no lambda, no UDF)."""
-    text = _col(text)
-    doubled = F.concat(F.lit("\n"), F.replace(text, F.lit("\n"), F.lit("\n\n")))
-    counts = [
-        F.regexp_count(doubled, F.lit(SCAN_PATTERNS.get(name, pattern))).alias(name)
-        for name, pattern in LINE_PATTERNS.items()
-    ]
+# Strings without which a pattern finds nothing; looking for them is much cheaper than a match. `WORD_NEEDLES` are for
+# patterns that ignore case, and are looked for in the lower-cased text; they have no i, whose lower case depends on the place.
+NEEDLES = {
+    "json_starts": ("[", "{"),
+    "diff_headers": ("diff --git ", "Index: "),
+    "diff_old_files": ("--- ",),
+    "diff_new_files": ("+++ ",),
+    "diff_marks": ("+", "-"),
+    "diff_hunks": ("@@",),
+    "timestamps": (":",),
+    "levels": ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "CRITICAL", "NOTICE", "SEVERE", "error", "warning", "note"),
+    "path_lines": (":",),
+    "test_markers": ("test ", "PASS", "FAIL", "--- SKIP", "[ RUN ", "[       OK ]", "ok ", "\u2713", "\u2717"),
+    "test_summaries": ("test result:", "Tests run:", "OK (", "FAILED (", "Ran ", "running ", " passed"),
+}
+WORD_NEEDLES = {"error_lines": ("error", "fatal", "pan", "except", "traceback"), "warning_lines": ("warn", "deprecated")}
+
+
+def doubled(text: Column) -> Column:
+    """The text with a newline before it and every newline doubled, as line patterns want it."""
+    return F.concat(F.lit("\n"), F.replace(text, F.lit("\n"), F.lit("\n\n")))
+
+
+def line_count(name: str, text: Column, twice: Column) -> Column:
+    """Matches of a line pattern, given the text and its doubled form."""
+    found = F.regexp_count(twice, F.lit(SCAN_PATTERNS.get(name, LINE_PATTERNS[name])))
+    needles = [F.contains(text, F.lit(n)) for n in NEEDLES.get(name, ())]
+    needles += [F.contains(F.lower(text), F.lit(n)) for n in WORD_NEEDLES.get(name, ())]
+    return F.when(~reduce(or_, needles), F.lit(0)).otherwise(found) if needles else found
+
+
+def signal_counts(text: Column, twice: Column) -> dict[str, Column]:
+    """All signal counters of a text by name, as native expressions (no lambda, no UDF)."""
     ascii_only = F.octet_length(text) == F.length(text)
     # A word starts at a visible character that no visible character precedes.
     words = F.when(ascii_only, _removed(text, r"(?<!\S)\S")).otherwise(_removed(text, f"(?<![^{BLANK}])[^{BLANK}]"))
     visible = F.when(ascii_only, F.length(text) - _removed(text, r"\s+")).otherwise(
         F.length(text) - _removed(text, f"[{BLANK}]+")
     )
-    return [
-        *counts,
-        _removed(text, r"\p{L}+").alias("letters"),
-        visible.alias("visible"),
-        words.alias("words"),
-        F.regexp_count(text, F.lit(TEXT_PATTERNS["controls"])).alias("controls"),
-    ]
+    return {
+        **{name: line_count(name, text, twice) for name in LINE_PATTERNS},
+        "letters": _removed(text, r"\p{L}+"),
+        "visible": visible,
+        "words": words,
+        "controls": F.regexp_count(text, F.lit(TEXT_PATTERNS["controls"])),
+    }
+
+
+def line_signals(text: Column | str) -> list[Column]:
+    """All signal counters of a text as columns."""
+    text = _col(text)
+    return [count.alias(name) for name, count in signal_counts(text, doubled(text)).items()]

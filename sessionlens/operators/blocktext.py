@@ -6,13 +6,15 @@ native expressions; Python sees only rows that can be JSON at all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import json_facts, json_shape, search_matches
 from ..functions.labels import length_bucket
 from ..functions.measures import basis_points, complete_sum, count_where, parts_per_million
-from ..functions.text import feature_lines, line_signals, structural_tokens
+from ..functions.text import doubled, feature_lines, line_count, line_signals, signal_counts, structural_tokens
 
 # Kinds whose content is held elsewhere, so there is nothing to inspect.
 UNINSPECTABLE = (
@@ -34,9 +36,9 @@ def _share(part: Column, whole: Column, percent: int) -> Column:
     return (whole > 0) & (part * 100 >= whole * percent)
 
 
-def content_kind(kind: Column | None = None) -> Column:
-    """Struct (kind, confidence) from `sig` and `js`; rules in fixed precedence."""
-    s = lambda name: F.col(f"sig.{name}")
+def content_kind(s: Callable[[str], Column], kind: Column | None = None) -> Column:
+    """Struct (kind, confidence) from the counters `s` and `js`, by rules in fixed precedence; NULL where none but the
+    last one, for prose, is left."""
     js = lambda name: F.coalesce(F.col(f"js.{name}"), F.lit(0))
     lines = s("considered")
     verdict = lambda name, sure: F.struct(F.lit(name).alias("kind"), F.lit(sure).alias("confidence"))
@@ -61,10 +63,6 @@ def content_kind(kind: Column | None = None) -> Column:
     )
     dense = _share(s("code_punctuation"), lines, 50)
 
-    prose = (
-        (lines >= 1) & _share(s("letters"), s("visible"), 60) & _share(s("words"), lines, 300)
-        & ~_share(s("code_punctuation"), lines, 50)
-    )
     rules = (
         F.when(s("bytes") == 0, nothing)
         .when(F.contains(F.col("text"), F.lit("\x00")), verdict("binary_like", "high"))
@@ -83,16 +81,51 @@ def content_kind(kind: Column | None = None) -> Column:
         .when((lines >= 2) & (stamped | levelled), verdict("log", "medium"))
         .when((marks >= 2) & dense & (lines >= 3), verdict("source_code", "high"))
         .when(((marks >= 2) & (lines >= 2)) | ((marks >= 1) & dense & (lines >= 3)), verdict("source_code", "medium"))
-        .when(prose, verdict("plain_text", "medium"))
-        .otherwise(nothing)
     )
     return rules if kind is None else F.when(kind.isin(*UNINSPECTABLE), nothing).otherwise(rules)
 
 
+def _prose(s: Callable[[str], Column]) -> Column:
+    """Whether a text of no other kind is prose."""
+    lines = s("considered")
+    return (
+        (lines >= 1) & ~_share(s("code_punctuation"), lines, 50) & _share(s("words"), lines, 300)
+        & _share(s("letters"), s("visible"), 60)
+    )
+
+
+# Counters of the rule for prose, and those of no rule.
+LATE, UNRULED = ("letters", "visible", "words"), ("error_lines", "warning_lines")
+
+
 def detect(df: DataFrame, kind: Column | None = None) -> DataFrame:
-    """Add `detected_kind` and `confidence` for the column `text`."""
-    out = with_signals(df).withColumn("__v", content_kind(kind))
-    return out.withColumn("detected_kind", F.col("__v.kind")).withColumn("confidence", F.col("__v.confidence")).drop("__v")
+    """Add `sig`, `js`, `detected_kind` and `confidence` for the column `text`.
+
+    Each counter is a column of its own and is counted where a rule asks for it: none in a JSON document, the three for
+    prose only in texts that no earlier rule names. `sig` holds all of them, and counts the rest where it is read.
+    """
+    content = F.col("text")
+    plausible = content.rlike(MAY_BE_JSON) | (line_count("json_starts", content, doubled(content)) >= 2)
+    counts = signal_counts(content, F.col("__twice"))
+    s = lambda name: F.col(f"__s_{name}")
+    ruled = [name for name in counts if name not in (*LATE, *UNRULED, "controls")]
+    out = df.withColumn("js", json_facts(F.when(plausible, content))).withColumn("__twice", doubled(content))
+    document = F.coalesce(F.col("js.document"), F.lit(False))
+    out = out.select(
+        "*", *[F.when(~document, counts[name]).alias(f"__s_{name}") for name in ruled],
+        counts["controls"].alias("__s_controls"), F.octet_length(content).alias("__s_bytes"),
+    )
+    out = out.withColumn("__early", content_kind(s, kind))
+    left = F.col("__early").isNull()
+    out = out.select("*", *[F.when(left, counts[name]).alias(f"__s_{name}") for name in LATE]).withColumn("__prose", left & _prose(s))
+    found = lambda field, prose, other: (
+        F.when(~left, F.col(f"__early.{field}")).when(F.col("__prose"), prose).otherwise(other).alias(field)
+    )
+    whole = lambda name: counts[name] if name in UNRULED else F.coalesce(s(name), counts[name])
+    return out.select(
+        *df.columns, F.struct(*[whole(name).alias(name) for name in counts], s("bytes").alias("bytes")).alias("sig"), "js",
+        found("kind", "plain_text", "unknown").alias("detected_kind"), found("confidence", "medium", "low").alias("confidence"),
+    )
 
 
 def features(df: DataFrame) -> DataFrame:
