@@ -29,17 +29,19 @@ def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
     )
 
 
-#: Positions in one piece of a snapshot, for row numbers and for the common prefix.
-PIECE = 4096
+#: Positions in one piece of a snapshot, for row numbers and for the common prefix; blocks of a snapshot, and of both
+#: sides of a pair, that one task may take.
+PIECE, LARGE = 4096, 1 << 17
 
 
 def context_deltas(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Delta per pair: exact multiset match first, then semantic match among the leftovers.
 
-    Both sides of a pair are stacked. Matching is work inside one fingerprint of a pair, so rows are dealt by
-    (pair, exact fingerprint) and then by (pair, semantic fingerprint); rows without a fingerprint match
-    nothing and are dealt by their position. The common prefix is found in pieces of `PIECE` positions,
-    whose first mismatches meet as one row a piece. No step has the pair alone as its key but the last
+    Both sides of a pair are stacked. Pairs of up to `LARGE` blocks are dealt by pair once and matched where they are.
+    Larger ones must not land in one task: matching is work inside one fingerprint of a pair, so their rows are dealt
+    by (pair, exact fingerprint) and then by (pair, semantic fingerprint); rows without a fingerprint match
+    nothing and are dealt by their position. Their common prefix is found in pieces of `PIECE` positions,
+    whose first mismatches meet as one row a piece. No step on them has the pair alone as its key but the last
     sums, which are combined before they are shuffled: a snapshot with a tenth of all blocks is spread
     over as many tasks as the others.
     """
@@ -60,19 +62,20 @@ def context_deltas(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
         )
     )
     placed = blocks if "position" in blocks.columns else numbered(
-        blocks.select("snapshot_id", "ordinal", *columns[1:]), ["snapshot_id"], [F.col("ordinal")], "position", F.floor(F.col("ordinal") / PIECE)
+        blocks.select("snapshot_id", "ordinal", *columns[1:]), ["snapshot_id"], [F.col("ordinal")], "position", F.floor(F.col("ordinal") / PIECE), most=LARGE
     )
     kept = placed.select("snapshot_id", *columns)
-    current = pairs.select(F.col("current_snapshot_id").alias("pair"), F.col("current_snapshot_id").alias("snapshot_id")).join(
-        kept, "snapshot_id"
-    )
-    previous = pairs.select(F.col("current_snapshot_id").alias("pair"), F.col("previous_snapshot_id").alias("snapshot_id")).join(
-        kept, "snapshot_id"
-    )
-    rows = current.select("pair", F.lit(True).alias("now"), *columns).unionByName(
-        previous.select("pair", F.lit(False).alias("now"), *columns)
-    )
-    counted = _matched(rows).join(_prefixes(rows), "pair")
+
+    def sides(some: DataFrame) -> DataFrame:
+        side = lambda column, now: some.select(
+            F.col("current_snapshot_id").alias("pair"), F.col(column).alias("snapshot_id")
+        ).join(kept, "snapshot_id").select("pair", F.lit(now).alias("now"), *columns)
+        return side("current_snapshot_id", True).unionByName(side("previous_snapshot_id", False))
+
+    # fewer pairs are large than blocks are in two snapshots a `LARGE`th
+    is_large = F.col("cs") + F.col("ps") > LARGE
+    rows = sides(F.broadcast(limits.where(is_large)))
+    counted = _matched(rows).join(_prefixes(rows), "pair").unionByName(_compared(sides(limits.where(~is_large))))
     zero = lambda c: F.coalesce(c, F.lit(0))
     cut = F.col("cs") == F.col("ps")
     unsure = F.col("limited") & ~F.coalesce("__mismatch", F.lit(False)) & cut
@@ -97,15 +100,30 @@ def _tokens(flag: str) -> Column:
     )
 
 
-def _matched(rows: DataFrame) -> DataFrame:
-    """Repeated, changed, new and removed blocks of each pair."""
+def _compared(rows: DataFrame) -> DataFrame:
+    """`_matched` and `_prefixes` of small pairs, which are dealt once."""
+    here = Window.partitionBy("pair", "position")
+    of = lambda side: F.max(F.when(side, F.col("exact_fp"))).over(here)
+    met = rows.repartition("pair").withColumn("both", F.count(F.lit(1)).over(here) == 2)
+    met = met.withColumn("same", F.coalesce(F.col("both") & (of(F.col("now")) == of(~F.col("now"))), F.lit(False)))
+    met = met.withColumn("stop", F.min(F.when(~F.col("same"), F.col("position"))).over(Window.partitionBy("pair")))
+    clean = F.col("now") & (F.col("stop").isNull() | (F.col("position") < F.col("stop")))
+    met = met.withColumn("mismatch", F.col("both") & ~F.col("same")).withColumn("clean", clean).drop("both", "same", "stop")
+    return _matched(met, dealt=True)
+
+
+def _matched(rows: DataFrame, dealt: bool = False) -> DataFrame:
+    """Repeated, changed, new and removed blocks of each pair; `dealt` rows are together by pair and hold what the common
+    prefix is summed from."""
+    deal = lambda frame, column: frame if dealt else frame.repartition("pair", column)
+    prefix = ["mismatch", "clean"] if dealt else []
     now, then = F.col("now"), ~F.col("now")
     alone = F.concat(F.lit("#"), F.col("now").cast("string"), F.col("position").cast("string"))  # a fingerprint is hex
     over = lambda *keys: Window.partitionBy("pair", *keys)
     rank = lambda *keys: F.row_number().over(over(*keys).orderBy("position"))
     total = lambda condition, *keys: F.sum(condition.cast("int")).over(over(*keys))
     known = F.col("exact_fp").isNotNull()
-    step = rows.withColumn("__exact", F.coalesce("exact_fp", alone)).repartition("pair", "__exact")
+    step = deal(rows.withColumn("__exact", F.coalesce("exact_fp", alone)), "__exact")
     step = step.withColumn("repeated", now & known & (rank("__exact", "now") <= total(then, "__exact")))
     step = step.withColumn("used", total(F.col("repeated"), "__exact")).withColumn(
         "preferred",
@@ -119,8 +137,8 @@ def _matched(rows: DataFrame) -> DataFrame:
     step = step.withColumn("left_over", then & ~F.col("taken")).withColumn(
         "seeks", now & ~F.col("repeated") & F.col("semantic_fp").isNotNull()
     )
-    step = step.select("pair", "now", "position", "semantic_fp", "estimated_tokens", "repeated", "left_over", "seeks")
-    step = step.withColumn("__semantic", F.coalesce("semantic_fp", alone)).repartition("pair", "__semantic")
+    step = step.select("pair", "now", "position", "semantic_fp", "estimated_tokens", "repeated", "left_over", "seeks", *prefix)
+    step = deal(step.withColumn("__semantic", F.coalesce("semantic_fp", alone)), "__semantic")
     step = step.withColumn("changed", F.col("seeks") & (rank("__semantic", "seeks") <= total(F.col("left_over"), "__semantic")))
     step = step.withColumn("new", now & ~F.col("repeated") & ~F.col("changed"))
     return step.groupBy("pair").agg(
@@ -130,6 +148,7 @@ def _matched(rows: DataFrame) -> DataFrame:
         (count_where(F.col("left_over")) - count_where(F.col("changed"))).alias("removed_blocks"),
         _tokens("repeated").alias("repeated_tokens"),
         _tokens("new").alias("new_tokens"),
+        *([F.bool_or("mismatch").alias("__mismatch"), count_where(F.col("clean")).alias("__prefix"), _tokens("clean").alias("__prefix_tokens")] if dealt else []),
     )
 
 

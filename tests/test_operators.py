@@ -263,3 +263,31 @@ def test_folds_give_their_texts_back(spark):
         assert any(f is None for f in got.values())
     json = spark.createDataFrame([(1, '{"a" : 1,\n "b": [1, "x y"]}')], "id int, text string").withColumn("detected_kind", F.lit("json"))
     assert [r.failure for r in red.gated(json, "json.minify").select("failure").collect()] == [None]
+
+
+def test_deltas_do_not_depend_on_the_size_of_a_pair(spark, monkeypatch):
+    """Small pairs are compared where they are, large ones by fingerprint; both ways give the same rows."""
+    rng = random.Random(5)
+    fp = lambda n: rng.choice([None, *(f"f{i}" for i in range(n))])
+    blocks = spark.createDataFrame(
+        [(s, o, fp(5), fp(3), rng.choice([None, 3, 7, 9])) for s in range(12) for o in range(rng.randrange(14))],
+        "snapshot_id bigint, ordinal bigint, exact_fp string, semantic_fp string, estimated_tokens bigint",
+    )
+    prefixed = blocks.where("snapshot_id = 3").withColumn("snapshot_id", F.lit(20).cast("bigint"))
+    pairs = spark.createDataFrame([(i, i - 1, "complete" if i % 4 else "partial", "complete") for i in range(1, 13)] + [(20, 3, "complete", "complete")], "current_snapshot_id bigint, previous_snapshot_id bigint, current_status string, previous_status string")
+    found = []
+    for large in (0, 9, 1000):
+        monkeypatch.setattr(delta, "LARGE", large)
+        found.append(sorted(delta.context_deltas(pairs, blocks.unionByName(prefixed)).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 13
+
+
+def test_signals_are_counted_where_a_rule_asks(spark):
+    """Counters of a document are not counted for its kind, and `sig` still holds them; guards find what patterns find."""
+    texts = ['{"error": 1}', "ok \nERROR: it Panicked\n", "--- FAIL: x\n[ RUN      ] y\n", "a WARNING\n12:00:00 go\n", "The quick brown fox jumps\n", None, ""]
+    rows = blocktext.detect(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plan = rows.select("detected_kind")._jdf.queryExecution().optimizedPlan().toString()
+    assert "traceback" not in plan  # words of errors are in no rule
+    want = blocktext.with_signals(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r.text: r.sig for r in rows.collect()} == {r.text: r.sig for r in want.collect()}
+    assert {r.text: r.sig.error_lines for r in rows.collect()} == {texts[0]: 1, texts[1]: 1, texts[2]: 0, texts[3]: 0, texts[4]: 0, None: None, "": 0}
