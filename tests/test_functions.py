@@ -131,3 +131,12 @@ def test_rows_of_small_groups_are_shuffled_once(spark, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") <= 2  # the rows, and the counts of the groups
+
+
+def test_rows_without_a_bucket_have_one_place(spark):
+    """A null in the second column of the order leaves a row without a bucket, in small and in large groups."""
+    data = [("k", i, i % 4, None if i % 5 == 0 else i % 3) for i in range(60)]
+    rows = spark.createDataFrame(data, "k string, id bigint, a bigint, b bigint")
+    order, bucket = [F.col("a").asc(), F.col("b").asc(), F.col("id").asc()], F.col("a") * 10 + F.col("b")
+    got = [sorted(numbered(rows, ["k"], order, "n", bucket, most=m).collect(), key=lambda r: r.id) for m in (1, 1000)]
+    assert got[0] == got[1] == sorted(numbered(rows, ["k"], order, "n", bucket).collect(), key=lambda r: r.id)
