@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlens.functions import labels, measures, text
+from sessionlens.functions import jsontext, labels, measures, text
 from sessionlens.functions.ranking import Rank, distribution, exact_percentiles, numbered, running_sum
 
 
@@ -140,3 +140,14 @@ def test_rows_without_a_bucket_have_one_place(spark):
     order, bucket = [F.col("a").asc(), F.col("b").asc(), F.col("id").asc()], F.col("a") * 10 + F.col("b")
     got = [sorted(numbered(rows, ["k"], order, "n", bucket, most=m).collect(), key=lambda r: r.id) for m in (1, 1000)]
     assert got[0] == got[1] == sorted(numbered(rows, ["k"], order, "n", bucket).collect(), key=lambda r: r.id)
+
+
+def test_rows_are_rendered_with_one_encoder(monkeypatch):
+    """A row of cells is encoded once, not cell by cell, and reads the same."""
+    rows = [{"b": [1, {"y": "ü", "x": None}], "a": 1.5, "c": "q\"]"}, {"b": [], "a": True, "c": ""}]
+    calls = []
+    compact = jsontext.compact
+    monkeypatch.setattr(jsontext, "compact", lambda value: calls.append(value) or compact(value))
+    got = jsontext.readable(rows, "elision")
+    assert got.split("\n")[2:] == ['(1.5,[1,{"x":null,"y":"ü"}],"q\\"]")', '(true,[],"")', ""]
+    assert len(calls) == 3 + len(rows)
