@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import labels
 from ..operators import ingest
@@ -455,15 +454,12 @@ def live_deltas(spark, root):
 def stateful_fold(spark, root):
     """The same observations from the stateful form, over several micro-batches."""
     folder = _scratch(spark)
-    chunks = stream_chunks(spark, root)
-    half = F.max("seq").over(Window.partitionBy("attempt_id")) / 2
-    placed = chunks.withColumn("late", F.col("seq") > half)
+    placed = stream_chunks(spark, root, None, (F.col("seq") > F.col("last") / 2).alias("late"))
     for late in (False, True):
         placed.where(F.col("late") == late).select("attempt_id", "seq", "chunk", "closing").write.mode("append").parquet(f"{folder}/in/{int(late)}")
     first = len(spark.read.parquet(f"{folder}/in/0").inputFiles())
     stream = spark.readStream.schema(placed.select("attempt_id", "seq", "chunk", "closing").schema).option("maxFilesPerTrigger", first).parquet(f"{folder}/in/*")
-    out = eventlog.run_to_table(sse.observe_stream(stream), spark, f"{folder}/out", f"{folder}/state", "append")
-    return out.drop("incomplete_reason", "compaction_output_seen")
+    return sse.observe_to_table(stream, folder).drop("incomplete_reason", "compaction_output_seen")
 
 
 @query(

@@ -14,6 +14,7 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -282,6 +283,12 @@ OBSERVATION = (
 )
 
 
+_FOLDED = pa.schema([
+    ("attempt_id", pa.int64()), *[(c, pa.string()) for c in ("response_id", "model", "error_code", "usage", "state", "status")], ("terminal", pa.bool_()),
+    ("events", pa.int64()), ("late_events", pa.int64()), ("incomplete_reason", pa.string()), ("compaction_output_seen", pa.bool_()), ("fold", pa.string()), ("open", pa.int32()),
+])
+
+
 def observe_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
     """Stateful fold of a stream of (attempt_id, seq, chunk, closing).
 
@@ -310,6 +317,48 @@ def observe_stream(chunks: DataFrame, timeout_minutes: int | None = None) -> Dat
     )
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(attempt_id, fold, text, closing) to observations of attempts that ended, and the folds of those that go on."""
+    for batch in batches:
+        rows = []
+        for attempt, fold, text, closing in zip(*(batch.column(c).to_pylist() for c in ("attempt_id", "fold", "text", "closing"))):
+            rest, seen = json.loads(fold) if fold is not None else ("", NOTHING)
+            events, rest = cut_events(rest + text, final=closing is not None)
+            seen = observe(seen, events)
+            own = closed(seen, closing) if closing is not None else {"fold": json.dumps([rest, seen])}
+            rows.append({"attempt_id": attempt, **own, "open": int(closing is None)})
+        yield pa.RecordBatch.from_pylist(rows, schema=_FOLDED)
+
+
+def observe_to_table(chunks: DataFrame, folder: str) -> DataFrame:
+    """The stateful fold over what is available of a stream of (attempt_id, seq, chunk, closing), with the state in tables.
+
+    The rules are those of `observe_stream`, without timeouts. A micro-batch puts the chunks of an attempt in
+    order, adds them to the fold that its predecessor left, and writes observations and open folds to a folder of its
+    number; so one that is run again writes the same again. An attempt costs a row of a batch, not a call of its own.
+    """
+    spark = chunks.sparkSession
+
+    def step(arrived: DataFrame, number: int) -> None:
+        own = arrived.sparkSession
+        rows = arrived.select("attempt_id", "seq", "chunk", "closing", F.lit(None).cast("string").alias("fold"))
+        if number:
+            none = [F.lit(None).cast(t).alias(c) for c, t in (("seq", "bigint"), ("chunk", "string"), ("closing", "string"))]
+            rows = rows.unionByName(own.read.schema(f"{OBSERVATION}, fold string, open int").parquet(f"{folder}/fold/batch={number - 1}").where("open = 1").select("attempt_id", *none, "fold"))
+        piece = F.when(F.col("chunk").isNotNull(), F.struct("seq", "chunk"))
+        together = rows.groupBy("attempt_id").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda c: c["chunk"]), "").alias("text"),
+            F.max_by("closing", F.when(F.col("closing").isNotNull(), F.col("seq"))).alias("closing"), F.max("fold").alias("fold"),
+        )
+        found = together.mapInArrow(_folded, f"{OBSERVATION}, fold string, open int")
+        found.write.mode("overwrite").partitionBy("open").parquet(f"{folder}/fold/batch={number}")
+
+    query = chunks.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = spark.read.schema(f"{OBSERVATION}, fold string, open int, batch int").parquet(f"{folder}/fold")
+    return written.where("open = 0").drop("fold", "open", "batch")
+
+
 def first_latencies(events: DataFrame, key: str) -> DataFrame:
     """Time to first event, to first output and to the end; expects event, at_us and started_us."""
     output = F.col("event").contains("output") & (F.col("event").contains("delta") | F.col("event").contains("item"))

@@ -153,3 +153,17 @@ def test_log_survives_a_new_checkpoint(spark):
         stream = spark.readStream.schema("event_id string, event_type string").parquet(f"{folder}/{source}")
         eventlog.append_events(stream, f"{folder}/log", f"{folder}/{state}", buckets=8).awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(f"{folder}/log").collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("width", [3, 31])
+def test_fold_with_its_state_in_tables(spark, expected, width):
+    """Attempts over several micro-batches, one that ends early and one that comes back, without a call an attempt."""
+    folder = new_folder(spark, "observed")
+    for part in range(3):
+        rows = [(a, i, t, c) for a, i, t, c in chunks(width) if min(i // (width * 4), 2) == part]
+        rows += [(9, part, None, "cancel" if part == 1 else None)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = {r.attempt_id: r.asDict() for r in sse.observe_to_table(stream, folder).collect()}
+    assert found.pop(9)["state"] == "cancelled"
+    assert found == expected
