@@ -2,11 +2,13 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from trace_maker import generate_trace
 
 from sessionlens.functions.ranking import distribution, numbered
-from sessionlens.operators import repetition
+from sessionlens.functions.jsontext import are_plain, parse_search
+from sessionlens.operators import blocktext, repetition
 from sessionlens.plans import baseline
 
 
@@ -64,3 +66,19 @@ def test_occurrences_without_buckets(spark):
     assert "raw_bytes" not in plan(out)
     ranked = {r.block_id: r.occurrence for r in out.collect()}
     assert ranked["block-0-0-0"] == 1 and ranked["block-0-3-0"] == 4
+
+
+def test_plain_search_output_needs_no_parser(spark):
+    """Texts of plain matches take one pattern, with the parser's results; all others go to the parser."""
+    plain = ["src/a.rs:10:x\nsrc/a.rs:9:y:z\nB.rs:+3: at :9: \u00e9\n", "true:1:t\nnull:2:n", "a b:1:x\x85y", "a:1:x"]
+    other = ["", "\n[search results]\n", "a:1:", "a b:1:", "a:1:x\r\n", "src/lib.rs:\n10\tneedle", "a:1:x\nloose", "a:1:x\n\nb:2:y", '{"type":"begin"}\na:1:x',
+             " a:1:x", "a:x:1", "1:2:3", ":1:x", "\u00e9:1:x", "true", '{"type":"match"}', None]
+    assert are_plain(pa.array(plain + other)).tolist() == [True] * len(plain) + [False] * len(other)
+    rows = spark.createDataFrame(list(enumerate(plain + other)), "id int, text string")
+    found = {}
+    for r in blocktext.search_rows(rows, "id").orderBy("id", "position").collect():
+        found.setdefault(r.id, []).append((r.file, r.line, r.text))
+    parsed = {i: parse_search(t) for i, t in enumerate(plain + other) if t is not None}
+    assert found == {i: p[0] for i, p in parsed.items() if p}
+    left = sorted((r.id, r.line) for r in blocktext.search_leftovers(rows, "id").collect())
+    assert left == sorted((i, line) for i, p in parsed.items() if p for line in p[1])
