@@ -274,11 +274,20 @@ def _bits(n: int) -> int:
     return max(1, int(n).bit_length())
 
 
-def _shifts(met: DataFrame) -> DataFrame:
-    """(shard, shift): how many frequent entries the shards before have; one row a shard."""
-    per_shard = met.where("f IS NOT NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return per_shard.select("shard", F.coalesce(before, F.lit(0)).alias("shift"))
+def _strides(met: DataFrame) -> tuple[int, int]:
+    """How many entries are frequent, and the bits that hold any rank of a shard: an entry's id is its shard's number
+    followed by that many bits of its rank, so no shard needs to know the others' sizes."""
+    n, top = met.where("f IS NOT NULL").agg(F.count(F.lit(1)), F.max("rank")).first()
+    return n, _bits((top or 0) + 1)
+
+
+def _id(bits: int) -> Column:
+    """Ids begin at 1."""
+    return F.col("rank") + _shift(bits) + 1
+
+
+def _shift(bits: int) -> Column:
+    return F.shiftleft(F.col("shard"), bits)
 
 
 def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -300,12 +309,12 @@ def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[
 
     dealt = slices.select("slice", "lang", "words", "counts").mapInArrow(lambda batches, s=shards: _dealt(batches, s), "shard long, slice long, lang string, words binary, local binary, counts binary")
     named = stored(spark, dealt.groupBy("shard").applyInArrow(_with(_name, least), _NAMED_SQL), "named")
-    shifts = _shifts(named)
-    words = named.where("f IS NOT NULL").join(shifts, "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "lang", F.col("spelt").alias("word"), "f")
+    rank_bits = _strides(named)[1]
+    words = named.where("f IS NOT NULL").select(_id(rank_bits).alias("id"), "lang", F.col("spelt").alias("word"), "f")
     words = stored(spark, words, "vocabulary")
     word_bits = _bits(words.agg(F.max("id")).first()[0] or 0)
-    answers = lambda met, n: met.where("f IS NULL").join(_shifts(met), "shard").select("slice", F.lit(n).alias("n"), "shard", "shift", "values", "ranks")
-    replies = answers(named, 1)
+    answers = lambda met, n, bits: met.where("f IS NULL").select("slice", F.lit(n).alias("n"), "shard", _shift(bits).alias("shift"), "values", "ranks")
+    replies = answers(named, 1, rank_bits)
     streams = slices.select("slice", "stream")  # in buckets, so never shuffled
     phrases = [words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("parts"))]
     levels, start_bits = [], word_bits
@@ -316,15 +325,15 @@ def counted(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[
         filters = streams.groupBy("slice").cogroup(apart(replies).groupBy("slice")).applyInArrow(step, _FILTERS_SQL)
         met = stored(spark, filters.groupBy("shard").applyInArrow(meet, _MET_SQL), "met")
         found = met.where("f IS NOT NULL")
-        n_found = found.count()
+        n_found, rank_bits = _strides(met)
         if not n_found:
             break
-        numbered = found.join(_shifts(met), "shard").select((F.col("rank") + F.col("shift") + 1).alias("id"), "prefix", "word", "f")
+        numbered = found.select(_id(rank_bits).alias("id"), "prefix", "word", "f")
         before = phrases[-1].select(F.col("id").alias("prefix"), "lang", "words", "parts")
         last = words.select(F.col("id").alias("word"), F.col("word").alias("spelt"))
         whole = numbered.join(before, "prefix").join(last, "word")
         phrases.append(stored(spark, whole.select("id", "lang", F.concat("words", F.array("spelt")).alias("words"), "f", F.concat("parts", F.array("f")).alias("parts")), "phrases"))
-        replies, start_bits = replies.unionByName(answers(met, n)), _bits(n_found)
+        replies, start_bits = replies.unionByName(answers(met, n, rank_bits)), levels[-1].shard_bits + rank_bits
     whole = phrases[0].drop("id")
     for more in phrases[1:]:
         whole = whole.unionByName(more.drop("id"))

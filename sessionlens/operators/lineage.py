@@ -65,14 +65,17 @@ def followed(rows: DataFrame) -> DataFrame:
     )
 
 
+_CARRIED = ("ordinal", "block_id", "tokens", "raw_bytes", "detected_kind", "tool_name", "workload", "semantic_fp")
+
+
 def lineages(rows: DataFrame) -> DataFrame:
-    """One row per (session, call, exact fingerprint); folds per request first."""
-    per_request = followed(rows).groupBy(*KEY, "request_ordinal").agg(
+    """One row per (session, call, exact fingerprint); folds per request first. Results are dealt once, by lineage: both
+    folds and joins by lineage follow that deal."""
+    dealt = followed(rows).select(*KEY, "request_ordinal", *_CARRIED).repartition(*KEY)
+    per_request = dealt.groupBy(*KEY, "request_ordinal").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("tokens").alias("exposure"),
-        F.min(
-            F.struct("ordinal", "block_id", "tokens", "raw_bytes", "detected_kind", "tool_name", "workload", "semantic_fp")
-        ).alias("first"),
+        F.min(F.struct(*_CARRIED)).alias("first"),
     )
     grouped = per_request.groupBy(*KEY).agg(
         F.min("request_ordinal").alias("first_seen"),
@@ -113,7 +116,8 @@ def semantic_reappearances(rows: DataFrame, found: DataFrame) -> DataFrame:
         (F.col("total") - F.col("through")).alias("later"),
     )
     own = (
-        keyed.groupBy(*KEY, "semantic_fp", "request_ordinal").agg(F.count(F.lit(1)).alias("n"))
+        keyed.select(*KEY, "semantic_fp", "request_ordinal").repartition(*KEY)
+        .groupBy(*KEY, "semantic_fp", "request_ordinal").agg(F.count(F.lit(1)).alias("n"))
         .join(found.select(*KEY, "first_seen", "lineage_semantic_fp"), KEY)
         .where("semantic_fp = lineage_semantic_fp and request_ordinal > first_seen")
         .groupBy(*KEY).agg(F.sum("n").alias("own_later"))

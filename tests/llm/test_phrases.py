@@ -75,3 +75,11 @@ def test_many_slices(spark):
     vocabulary = np.array([f"w{i}" for i in range(300)] + ["the"] * 150)
     rows = [(["en", "de", None][i % 3], " ".join(rng.choice(vocabulary, 200)) + (". the same closing words here" if i % 2 else "")) for i in range(400)]
     assert actual(spark, rows, 12, 5, 2000, 100) == expected(rows, 12, 5, 2000)
+
+
+def test_entries_are_numbered_without_a_join(spark):
+    """An id is its shard's number and its rank, so replies meet no table of shards."""
+    met = spark.createDataFrame([(0, 0, 5), (0, 1, 7), (3, 0, 9), (3, None, None)], "shard long, rank long, f long")
+    n, bits = phrases._strides(met)
+    ids = [r.i for r in met.where("f IS NOT NULL").select(phrases._id(bits).alias("i")).collect()]
+    assert n == 3 and len(set(ids)) == 3 and min(ids) == 1 and max(ids) < 1 << (2 + bits + 1)

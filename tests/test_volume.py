@@ -8,7 +8,7 @@ from trace_maker import generate_trace
 
 from sessionlens.functions.ranking import distribution, numbered
 from sessionlens.functions.jsontext import are_plain, parse_search
-from sessionlens.operators import blocktext, repetition
+from sessionlens.operators import blocktext, lineage, repetition
 from sessionlens.plans import baseline
 
 
@@ -82,3 +82,13 @@ def test_plain_search_output_needs_no_parser(spark):
     assert found == {i: p[0] for i, p in parsed.items() if p}
     left = sorted((r.id, r.line) for r in blocktext.search_leftovers(rows, "id").collect())
     assert left == sorted((i, line) for i, p in parsed.items() if p for line in p[1])
+
+
+def test_lineages_are_dealt_once(spark):
+    """Both folds of lineages follow one deal by session, call and fingerprint."""
+    kinds = "session_id bigint, tool_call_id string, exact_fp string, request_ordinal bigint, ordinal int, block_id string, tokens bigint, raw_bytes bigint, detected_kind string, tool_name string, workload string, semantic_fp string, kind string"
+    rows = spark.createDataFrame([(1, "c", "f", r, o, f"{r}-{o}", 5, 9, None, None, "w", "s", "tool_result") for r, o in ((1, 0), (1, 1), (3, 0))], kinds)
+    out = lineage.lineages(rows)
+    assert len(re.findall("hashpartitioning", plan(out))) == 1
+    (row,) = out.collect()
+    assert (row.first_seen, row.last_seen, row.occurrences, row.exact_reappearances, row.lineage_tokens) == (1, 3, 3, 1, 5)
