@@ -247,12 +247,12 @@ _ELIG = """select l.*, v.visible from ledger l left join (select snapshot_id, su
     **CHAIN, elig=_ELIG, strata=_STRATA,
 )
 def missingness(spark, root):
-    return rounded(missing.missingness(star_trace(spark, root)), "request_coverage", "drop_rate")
+    return rounded(missing.missingness(star_trace(spark, root), stored=True), "request_coverage", "drop_rate")
 
 
 @query("W06_turn_index", "select request_id, turn_index, session_request_count from strata", **CHAIN, elig=_ELIG, strata=_STRATA)
 def turn_index(spark, root):
-    return missing.strata(star_trace(spark, root)).select("request_id", "turn_index", "session_request_count")
+    return missing.turn_index(star_trace(spark, root), stored=True)
 
 
 @query(
@@ -261,7 +261,7 @@ def turn_index(spark, root):
     **CHAIN, elig=_ELIG, strata=_STRATA,
 )
 def quartile_labels(spark, root):
-    return missing.strata(star_trace(spark, root)).groupBy("request_size_quartile", "context_size_quartile").agg(
+    return missing.strata(star_trace(spark, root), stored=True).groupBy("request_size_quartile", "context_size_quartile").agg(
         F.count(F.lit(1)).alias("requests")
     )
 

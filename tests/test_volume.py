@@ -3,13 +3,16 @@
 import re
 
 import pyarrow as pa
+from conftest import DATA
 from pyspark.sql import functions as F
+from __spark_entry__ import queries
 from trace_maker import generate_trace
 
 from sessionlens.functions.ranking import distribution, numbered
 from sessionlens.functions.jsontext import are_plain, parse_search
-from sessionlens.operators import blocktext, lineage, repetition
+from sessionlens.operators import blocktext, lineage, missing, repetition
 from sessionlens.plans import baseline
+from sessionlens.sources.trace import Trace
 
 
 def plan(frame):
@@ -92,3 +95,35 @@ def test_lineages_are_dealt_once(spark):
     assert len(re.findall("hashpartitioning", plan(out))) == 1
     (row,) = out.collect()
     assert (row.first_seen, row.last_seen, row.occurrences, row.exact_reappearances, row.lineage_tokens) == (1, 3, 3, 1, 5)
+
+
+def _requests(spark):
+    rows = [(10 * s + i, 10 * s + i, "/v1/responses", "POST", 500 + i, "turn" if i % 3 else None, None) for s in range(3) for i in range(7)]
+    operations = [(10 * s + i, s if s else None) for s in range(3) for i in range(7)] + [(11, 2)]
+    empty = lambda kinds: spark.createDataFrame([], kinds)
+    return Trace({
+        "requests": spark.createDataFrame([*rows, rows[8]], "request_id long, operation_id long, route string, method string, request_bytes long, request_kind string, observation_status string"),
+        "operations": spark.createDataFrame(operations, "operation_id long, session_id long"),
+        "workloads": spark.createDataFrame([(1, "w", "serial"), (2, "a", "serial"), (2, "b", "serial")], "session_id long, workload string, concurrency_mode string"),
+        "snapshots": spark.createDataFrame([(1, 11, "complete", "correlated", 5, None)], "snapshot_id long, provider_request_id long, status string, correlation_status string, completed_at_us long, recovered_at_us long"),
+        "events": empty("seq long, session_id long, event_type string, payload string"),
+        "blocks": spark.createDataFrame([(1, 7), (1, 8)], "snapshot_id long, estimated_tokens long"),
+    })
+
+
+def test_turns_need_requests_only(spark, monkeypatch):
+    """Turns are those of the strata, with repeated requests, sessions and labels, and in large sessions; the query reads no line items."""
+    trace = _requests(spark)
+    expected = sorted(map(str, missing.strata(trace).select("request_id", "turn_index", "session_request_count").collect()))
+    assert len(expected) > 21
+    for stored, most in ((False, 1 << 18), (True, 1 << 18), (True, 3)):
+        monkeypatch.setattr(missing, "LARGE_SESSION", most)
+        assert sorted(map(str, missing.turn_index(trace, stored).collect())) == expected
+    query = plan(queries()["W06_turn_index"](spark, DATA))
+    assert not re.search("l_orderkey|estimated_tokens|/lines-|snapshot_id", query)
+
+
+def test_strata_are_derived_once(spark):
+    """The quartiles, turns and counts of the strata read one stored table."""
+    query = plan(queries()["D26_missingness"](spark, DATA))
+    assert not re.search("l_orderkey|o_orderkey|/lines-", query)
