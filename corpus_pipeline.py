@@ -20,6 +20,8 @@ from sessionlens.llm.suffixes import without_repeats
 
 #: A text whose main language has less than this share of the letters is rejected.
 LEAST_SHARE = 0.5
+#: Stretches that a worker remembers in the last stage; the workers serve all stages, so these stay small.
+REMEMBERED = 60_000
 
 ORACLE_SQL = None  # learned models, searches and tokenizers: tests/llm compares the stages with brute force
 
@@ -72,7 +74,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as sentence pieces: doc_id, source, ids of the best segmentation, scores and ids of the three best, and
     whether decoding the ids gives the text back."""
     plain = docs.select("doc_id", "source", "text")
-    found = encoded(plain, public_tokenizers.path("piece_bpe_32k.model"), n_best=3, keep=("doc_id", "source", "text"))
+    found = encoded(plain, public_tokenizers.path("piece_bpe_32k.model"), n_best=3, keep=("doc_id", "source", "text"), remembered=REMEMBERED)
     same = F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " ")
     return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", "n_best_ids", same.alias("round_trip"))
 

@@ -243,8 +243,8 @@ def segmenter(path: str, n: int, remembered: int) -> Segmenter:
     return _LOADED[key]
 
 
-def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    for row, texts in pieces(batch, column, most=1 << 22):
+def _runs(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+    for row, texts in pieces(batch, column, most):
         yield row, [(t or b"").decode() for t in texts]
 
 
@@ -270,7 +270,7 @@ def encoded(docs: DataFrame, model: str, n_best: int = 3, text: str = "text", ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = segmenter(model, n_best, remembered)
         for batch in batches:
-            for row, texts in _runs(batch, own):
+            for row, texts in _runs(batch, own, 1 << 20):  # whole results are held, so fewer texts at a time
                 part, ids, scores, every, back = batch.slice(row, len(texts)), [], [], [], []
                 for best, top, lists in found.best(texts):
                     ids.append(best)

@@ -52,6 +52,14 @@ def test_near_duplicates(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_last_stage_remembers_little(monkeypatch, odd):
+    """Its workers serve all stages of the pipeline: what they keep there is a fraction of what op4 keeps."""
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "encoded", lambda docs, *args, **named: asked.update(named) or pieces.encoded(docs, *args, **named))
+    corpus_pipeline.pieces(odd.sparkSession, odd, "")
+    assert 0 < asked.get("remembered", pieces.REMEMBERED) <= pieces.REMEMBERED // 4
+
+
 def test_repeats(odd, none):
     got = by_id(suffixes.without_repeats(odd, with_text=True))
     assert len(got) == 7 and (got[0].n_bytes, got[0].n_removed) == (0, 0) and got[3].n_removed == 0
