@@ -58,6 +58,21 @@ def common_bits(told: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def may_be_among(frame: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows of `frame` whose `key` may stand in the column `key` of `known`: all that do, and some others, so that a
+    join with `known` needs to move few rows. The filter has FILTER_BITS bits, whatever the data; null is never among them."""
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    words = known.where(F.col(key).isNotNull()).select(place.alias("place")).groupBy((F.col("place") / 64).cast("int").alias("word"))
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    [own] = fresh(frame, "words")
+    one = frame.sparkSession.createDataFrame([(bits.tolist(),)], f"{own} array<long>")
+    word = F.get(F.col(own), (place / 64).cast("int"))
+    inside = F.col(key).isNotNull() & (F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return frame.join(F.broadcast(one), inside).drop(own)
+
+
 def lowered(text: str) -> Column:
     """A text with A-Z as a-z and all else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

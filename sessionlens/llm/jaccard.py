@@ -24,7 +24,7 @@ The result is every document's component of links.
 5. *Components* of all links.
 
 Hashes have 64 bits, 48 in a set that is sent to be compared with another. Step 1 uses 32 bits inside a shard, where a chance match only keeps a document
-for the exact steps. Texts cross the network once, to meet the list of documents step 1 keeps.
+for the exact steps. Texts that a filter of the documents kept by step 1 lets through cross the network once; the others never do.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, common_bits, stored
+from .common import bucketed, common_bits, may_be_among, stored
 from .components import components
 from .packed import by_shard, filter_place, home_of, runs, shard_of, unpack
 from .words import Text, in_sequence, mixed, pieces
@@ -235,7 +235,8 @@ def _sets(docs: DataFrame, kept: DataFrame) -> DataFrame:
                     names=["id", "n", "shingles"],
                 )
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(kept.select("id", "sig_a", "sig_b"), "id")
+    # Whether the list is small enough for a broadcast or not, texts that it does not name stay where they are.
+    rows = may_be_among(docs.select(F.col("doc_id").alias("id"), "text"), "id", kept).join(kept.select("id", "sig_a", "sig_b"), "id")
     return rows.mapInArrow(run, "id long, n long, shingles binary")
 
 
@@ -339,6 +340,7 @@ def _search(keys: DataFrame, sets: DataFrame) -> DataFrame:
     several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("most").alias("greatest"))
     # A set can link in a cell only with one that is small enough for it and for which it is small enough.
     met = posted.join(several.where("low < high").select("shingle", "least_n", "greatest"), "shingle").where("least_n <= most AND n <= greatest")
+    met = stored(keys.sparkSession, met.select("shingle", "id", "component", "most"), "met")  # few of the posted rows, read twice
     lists = met.groupBy("shingle").agg(F.min("component").alias("cell"), F.max("component").alias("high"))
     # Lists with the same least component are one cell, so that two sets seldom meet twice.
     members = met.join(lists.where("cell < high").select("shingle", "cell"), "shingle").select("cell", "id", "component", "most").distinct()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sessionlens.llm import jaccard, language, licences, mixing, neighbours, pieces, quality, sharding, suffixes, tokenfile
+from sessionlens.llm import common, jaccard, language, licences, mixing, neighbours, pieces, quality, sharding, suffixes, tokenfile
 from sessionlens.session import new_folder
 
 LONG = "some words that go on and on with numbers %d and letters in between. "
@@ -52,6 +52,24 @@ def test_near_duplicates(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_texts_of_others_stay(spark):
+    """A filter lets all named rows through and few others, before any shuffle, however long the list is."""
+    rows = spark.range(-3000, 3000).select("id", F.lit("text").alias("words")).unionByName(spark.createDataFrame([(None, "x")], "id long, words string"))
+    known = rows.where("id % 7 = 0").select("id")
+    passed = common.may_be_among(rows, "id", known)
+    assert passed.columns == ["id", "words"] and known.join(passed, "id", "left_anti").count() == 0
+    assert known.count() <= passed.count() < 900 and passed.where("id IS NULL").count() == 0
+    assert common.may_be_among(rows, "id", known.limit(0)).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = jaccard._sets(rows.select(F.col("id").alias("doc_id"), F.col("words").alias("text")), known.selectExpr("id", "1L AS sig_a", "2L AS sig_b"))
+        found = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastNestedLoopJoin" in found and "SortMergeJoin" in found
+
+
 def test_last_stage_remembers_little(monkeypatch, odd):
     """Its workers serve all stages of the pipeline: what they keep there is a fraction of what op4 keeps."""
     asked = {}
