@@ -25,7 +25,8 @@ def stored(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, frame: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
-    """Like `stored`, with the rows dealt into buckets by a column, so that joins on it leave them where they are."""
+    """Like `stored`, with the rows dealt into buckets by a column, so that joins on it leave them where they are.
+    Each task writes a file for every bucket of which it has rows: a frame dealt by the key makes a file a bucket."""
     path = new_folder(spark, purpose)
     name = path.rpartition("/")[2].replace("-", "_")
     frame.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)

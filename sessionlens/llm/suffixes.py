@@ -481,8 +481,10 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     told = stored(spark, _repeating(rows.where(F.octet_length("text") >= LENGTH), shards), "anchors")
     keys = told.where("keys IS NOT NULL").select("doc_id", "keys")
     wanted = one.join(originals, "sha").where("doc_id = original").select("doc_id", "sha").join(keys, "doc_id")
-    candidates = rows.join(wanted, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "keys")
-    candidates = bucketed(spark, candidates, "doc_id", shards, "candidates")
+    # Digests are equal if one begins with the other. As an equality this would be a second key of the join, which would then
+    # deal the texts by both keys; dealt by doc_id alone they stand as the buckets want them, and are not dealt again.
+    candidates = rows.join(wanted, "doc_id").where(F.col("sha").startswith(F.sha2("text", 256))).select("doc_id", "text", "keys")
+    candidates = bucketed(spark, candidates.repartition(shards, "doc_id"), "doc_id", shards, "candidates")
     occurrences = stored(spark, _occurrences(candidates, common_bits(told), shards), "occurrences")
     known = occurrences.where("anchor IS NULL AND window_a IS NULL").select("doc_id", "first", "last")
     contexts = stored(spark, _first_contexts(occurrences, shards), "contexts")

@@ -85,6 +85,43 @@ def test_repeats(odd, none):
     assert suffixes.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_a_bucket_is_a_file(spark, monkeypatch, broadcast):
+    """Candidates are dealt by doc_id alone: no task writes a file for every bucket, and a join that dealt them is enough."""
+    import hashlib
+
+    passage = "".join(LONG % i for i in range(4))
+    texts = {i: f"{i:04} own words {'abc' * (i % 7)} {passage if i % 2 else i * 'z'} the end of {i}" for i in range(120)}
+    rows = [*texts.items(), (5, texts[5]), (7, "another text under a known doc_id " * 9), (9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+
+    def watched(spark, frame, *more):
+        seen.append((frame._jdf.queryExecution().executedPlan().toString(), common.bucketed(spark, frame, *more)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(suffixes, "bucketed", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = by_id(suffixes.without_repeats(frame))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    [(plan, table)] = seen
+    assert len(table.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert broadcast != "-1" or not re.search(r"hashpartitioning\([^)]*\), REPARTITION", plan)
+    for i in (7, 9):
+        texts[i] = min([t or "" for k, t in rows if k == i], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    windows, want = set(), {}
+    for i, text in texts.items():
+        data, gone = text.encode(), set()
+        for k in range(len(data) - 99):
+            gone |= set(range(k, k + 100)) if data[k : k + 100] in windows else set()
+            windows.add(data[k : k + 100])
+        want[i] = (len(data), len(gone), hashlib.sha256(bytes(b for k, b in enumerate(data) if k not in gone)).hexdigest())
+    assert {i: (r.n_bytes, r.n_removed, r.kept_sha256) for i, r in got.items()} == want and sum(w[1] > 0 for w in want.values()) > 50
+
+
 def test_rows_stay_whole(spark, odd, none):
     empty = language.train(none.select("text", "lang"))
     model = language.train(odd.select("text", "lang"))
