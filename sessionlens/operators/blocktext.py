@@ -1,20 +1,19 @@
 """Characterise block text: content kind, line and JSON features, opportunity signals, shape, parsers.
 
-Text never crosses a shuffle here: every measure is computed on the row that holds the text, by
-native expressions; Python sees only rows that can be JSON at all.
+Text never crosses a shuffle here: every measure is computed on the row that holds the text, by native expressions, or on
+Arrow batches of such rows. A Python parser sees only rows that can be JSON at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.detection import detected
 from ..functions.jsontext import json_facts, json_shape, search_matches
 from ..functions.labels import length_bucket
 from ..functions.measures import basis_points, complete_sum, count_where, parts_per_million
-from ..functions.text import doubled, feature_lines, line_count, line_signals, signal_counts, structural_tokens
+from ..functions.text import doubled, feature_lines, line_count, line_signals, structural_tokens
 
 # Kinds whose content is held elsewhere, so there is nothing to inspect.
 UNINSPECTABLE = (
@@ -32,99 +31,21 @@ def with_signals(df: DataFrame, text: str = "text", kind: str | None = None) ->
     return counted.withColumn("js", json_facts(F.when(plausible, content)))
 
 
-def _share(part: Column, whole: Column, percent: int) -> Column:
-    return (whole > 0) & (part * 100 >= whole * percent)
-
-
-def content_kind(s: Callable[[str], Column], kind: Column | None = None) -> Column:
-    """Struct (kind, confidence) from the counters `s` and `js`, by rules in fixed precedence; NULL where none but the
-    last one, for prose, is left."""
-    js = lambda name: F.coalesce(F.col(f"js.{name}"), F.lit(0))
-    lines = s("considered")
-    verdict = lambda name, sure: F.struct(F.lit(name).alias("kind"), F.lit(sure).alias("confidence"))
-    nothing = verdict("unknown", "low")
-
-    document = F.coalesce(F.col("js.document"), F.lit(False))
-    too_deep = F.coalesce(F.col("js.too_deep"), F.lit(False))
-    values, containers = js("line_values"), js("line_containers")
-    json_lines = (lines >= 2) & (containers >= 2)
-
-    pair = (s("diff_old_files") >= 1) & (s("diff_new_files") >= 1)
-    changes = s("diff_marks") - s("diff_old_files") - s("diff_new_files")
-
-    tests = (lines >= 2) & (s("test_markers") > 0) & _share(s("test_markers"), lines, 30)
-    summary = s("test_summaries") >= 1
-
-    stamped = _share(s("timestamps"), lines, 50)
-    levelled = (lines >= 3) & _share(s("levels"), lines, 50)
-
-    marks = sum(
-        ((s(c) > 0).cast("int") for c in ("code_declarations", "code_imports", "code_comments")), F.lit(0)
-    )
-    dense = _share(s("code_punctuation"), lines, 50)
-
-    rules = (
-        F.when(s("bytes") == 0, nothing)
-        .when(F.contains(F.col("text"), F.lit("\x00")), verdict("binary_like", "high"))
-        .when(_share(s("controls"), s("bytes"), 5), verdict("binary_like", "medium"))
-        .when(document & ~too_deep, verdict("json", "high"))
-        .when(too_deep, nothing)
-        .when(json_lines & (lines >= 3) & (values == lines), verdict("ndjson", "high"))
-        .when(json_lines & _share(values, lines, 80), verdict("ndjson", "medium"))
-        .when((s("diff_hunks") >= 1) & (pair | (s("diff_headers") >= 1)), verdict("diff", "high"))
-        .when(((s("diff_hunks") >= 1) | pair) & (changes >= 2), verdict("diff", "medium"))
-        .when(tests & summary, verdict("test_results", "high"))
-        .when(tests & (s("test_markers") >= 2), verdict("test_results", "medium"))
-        .when((lines >= 3) & _share(s("path_lines"), lines, 80), verdict("search_results", "high"))
-        .when((lines >= 2) & _share(s("path_lines"), lines, 50), verdict("search_results", "medium"))
-        .when((lines >= 3) & _share(s("timestamps"), lines, 80), verdict("log", "high"))
-        .when((lines >= 2) & (stamped | levelled), verdict("log", "medium"))
-        .when((marks >= 2) & dense & (lines >= 3), verdict("source_code", "high"))
-        .when(((marks >= 2) & (lines >= 2)) | ((marks >= 1) & dense & (lines >= 3)), verdict("source_code", "medium"))
-    )
-    return rules if kind is None else F.when(kind.isin(*UNINSPECTABLE), nothing).otherwise(rules)
-
-
-def _prose(s: Callable[[str], Column]) -> Column:
-    """Whether a text of no other kind is prose."""
-    lines = s("considered")
-    return (
-        (lines >= 1) & ~_share(s("code_punctuation"), lines, 50) & _share(s("words"), lines, 300)
-        & _share(s("letters"), s("visible"), 60)
-    )
-
-
-# Counters of the rule for prose, and those of no rule.
-LATE, UNRULED = ("letters", "visible", "words"), ("error_lines", "warning_lines")
-
-
 def detect(df: DataFrame, kind: Column | None = None) -> DataFrame:
     """Add `sig`, `js`, `detected_kind` and `confidence` for the column `text`.
 
-    Each counter is a column of its own and is counted where a rule asks for it: none in a JSON document, the three for
-    prose only in texts that no earlier rule names. `sig` holds all of them, and counts the rest where it is read.
+    Rules in fixed precedence (`functions/detection.py`) look at whole batches of texts, each text once; what `sig` and
+    `js` hold is found where it is read.
     """
     content = F.col("text")
     plausible = content.rlike(MAY_BE_JSON) | (line_count("json_starts", content, doubled(content)) >= 2)
-    counts = signal_counts(content, F.col("__twice"))
-    s = lambda name: F.col(f"__s_{name}")
-    ruled = [name for name in counts if name not in (*LATE, *UNRULED, "controls")]
-    out = df.withColumn("js", json_facts(F.when(plausible, content))).withColumn("__twice", doubled(content))
-    document = F.coalesce(F.col("js.document"), F.lit(False))
-    out = out.select(
-        "*", *[F.when(~document, counts[name]).alias(f"__s_{name}") for name in ruled],
-        counts["controls"].alias("__s_controls"), F.octet_length(content).alias("__s_bytes"),
-    )
-    out = out.withColumn("__early", content_kind(s, kind))
-    left = F.col("__early").isNull()
-    out = out.select("*", *[F.when(left, counts[name]).alias(f"__s_{name}") for name in LATE]).withColumn("__prose", left & _prose(s))
-    found = lambda field, prose, other: (
-        F.when(~left, F.col(f"__early.{field}")).when(F.col("__prose"), prose).otherwise(other).alias(field)
-    )
-    whole = lambda name: counts[name] if name in UNRULED else F.coalesce(s(name), counts[name])
+    out = df.withColumn("__found", detected("text"))
+    found = lambda field, other: (
+        F.col(f"__found.{field}") if kind is None else F.when(kind.isin(*UNINSPECTABLE), other).otherwise(F.col(f"__found.{field}"))
+    ).alias(field if field == "confidence" else "detected_kind")
     return out.select(
-        *df.columns, F.struct(*[whole(name).alias(name) for name in counts], s("bytes").alias("bytes")).alias("sig"), "js",
-        found("kind", "plain_text", "unknown").alias("detected_kind"), found("confidence", "medium", "low").alias("confidence"),
+        *df.columns, F.struct(*line_signals("text"), F.octet_length("text").alias("bytes")).alias("sig"), json_facts(F.when(plausible, content)).alias("js"),
+        found("kind", "unknown"), found("confidence", "low"),
     )
 
 
