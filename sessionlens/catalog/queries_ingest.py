@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..operators import ingest
 from ..session import new_folder
-from ..sources.bindings import dialogue_chunks, raw_requests, read, session_of_event_stream, star_trace, stream_chunks, usage_documents
+from ..sources.bindings import dialogue_chunks, raw_requests, read, session_of_event_stream, star_trace, stream_chunks, table_bytes, usage_documents
 from ..streaming import eventlog, sse
 from .registry import query
 
@@ -386,13 +386,17 @@ def stale_recovery(spark, root):
     return eventlog.recovery_counts(star_trace(spark, root), "2025-01-01 00:00:00")
 
 
-def _in_time_order(spark, rows, folder: str, parts: int = 4):
-    """A stream of rows in several micro-batches, each of a stretch of time: rows (…, timestamp)."""
+#: Bytes of the event table that are worth a file in each stretch of time.
+STRETCH_FILE = 8 << 20
+
+
+def _in_time_order(spark, rows, folder: str, parts: int = 4, each: int = 2):
+    """A stream of rows in several micro-batches, each of a stretch of time in `each` files: rows (…, timestamp)."""
     edges = rows.agg(F.percentile_approx("timestamp", [i / parts for i in range(1, parts)]).alias("e")).first()["e"]
     files = 0
     for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
         mine = rows.where((F.lit(low is None) | (F.col("timestamp") >= F.lit(low))) & (F.lit(high is None) | (F.col("timestamp") < F.lit(high))))
-        mine.repartition(2).write.parquet(f"{folder}/in/{i}")
+        mine.repartition(each).write.parquet(f"{folder}/in/{i}")
         files = max(files, len(spark.read.parquet(f"{folder}/in/{i}").inputFiles()))
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
 
@@ -421,7 +425,8 @@ def seen_ids_stream(spark, root):
     """Whether a user's event type was seen in the twelve hours before, over several micro-batches."""
     folder = _scratch(spark)
     rows = _as_log(read(spark, root, "events")).select(F.concat_ws("|", "event_type", "session_id").alias("id"), "timestamp")
-    seen = eventlog.seen_before(_in_time_order(spark, rows, folder), "12 hours")
+    each = max(2, min(spark.sparkContext.defaultParallelism, table_bytes(spark, root, "events") // STRETCH_FILE))
+    seen = eventlog.seen_before(_in_time_order(spark, rows, folder, each=each), "12 hours")
     out = eventlog.run_to_table(seen, spark, f"{folder}/out", f"{folder}/state", "append")
     return out.select(F.split_part("id", F.lit("|"), F.lit(1)).alias("event_type"), F.split_part("id", F.lit("|"), F.lit(2)).cast("bigint").alias("user_id"), F.unix_micros("timestamp").alias("at_us"), "seen")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import pickle
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -125,33 +127,55 @@ def stale_after(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
+#: Groups that the ids of `seen_before` are dealt over by their hash; a micro-batch costs a call a group, not a call an id.
+SEEN_GROUPS = 256
+_NEVER = -(1 << 63)
+
+
 def seen_before(ids: DataFrame, expiry: str, key: str = "id") -> DataFrame:
     """Whether an id was seen in the time `expiry` before, for every row of a stream of (`key`, timestamp).
 
-    State holds one time an id, the last one seen, and goes when the watermark has passed it by the
-    expiry; an id that comes back later is new again. Rows of an id are taken in the order of their
+    State holds one time an id, the last one seen, in one row for all ids of a hash group. A time goes when the watermark has
+    passed it by the expiry; an id that comes back later is new again. Rows of an id are taken in the order of their
     times within a micro-batch; the stream brings batches in that order, apart from lateness below the watermark.
     Returns (`key`, timestamp, seen).
     """
-    span = pd.Timedelta(expiry)
+    span = pd.Timedelta(expiry).value // 1000
 
     def step(group, batches: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
+        names, last = pickle.loads(state.get[0]) if state.exists else ([], np.zeros(0, np.int64))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True)
+            came, at = rows["name"].to_numpy(object), rows["at"].to_numpy(np.int64)
+            codes, firsts = pd.factorize(np.append(np.array(names, object), came), use_na_sentinel=False)
+            late = np.full(len(firsts), _NEVER)  # the last time of every id, kept or come
+            late[codes[: len(names)]] = last
+            codes = codes[len(names) :]
+            order = np.lexsort((at, at == _NEVER, codes))  # unknown times last
+            codes, at = codes[order], at[order]
+            begins = np.append(True, codes[1:] != codes[:-1])
+            before = np.where(begins, late[codes], np.append(_NEVER, at[:-1]))
+            known = (before != _NEVER) & (at != _NEVER)
+            seen = known & (np.where(known, at, 0) - np.where(known, before, 0) <= span)
+            np.maximum.at(late, codes, at)
+            names, last = [x if isinstance(x, str) else None for x in firsts], late
+            yield pd.DataFrame({"name": [names[c] for c in codes], "at": at, "seen": seen})
+        ends = (last + span) // 1000 + 1
+        kept = (last != _NEVER) & (ends > state.getCurrentWatermarkMs())
+        if not kept.any():
+            if state.exists:
+                state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
-        times = rows["timestamp"].reset_index(drop=True)
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.NaT
-        before = times.shift(1)
-        before.iloc[0] = last
-        newest = max([t for t in (last, times.iloc[-1]) if t is not pd.NaT])
-        state.update((int(newest.value // 1000),))
-        state.setTimeoutTimestamp(int((newest + span).value // 1_000_000) + 1)
-        yield pd.DataFrame({key: group[0], "timestamp": times, "seen": (times - before) <= span})
-
-    kind = ids.schema[key].dataType.simpleString()
-    source = ids.select(key, "timestamp").withWatermark("timestamp", "0 seconds")
-    return source.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, timestamp timestamp, seen boolean", "last bigint", "append", "EventTimeTimeout")
+        state.update((pickle.dumps(([x for x, k in zip(names, kept) if k], last[kept])),))
+        state.setTimeoutTimestamp(int(ends[kept].min()))
+
+    kind = ids.schema[key].dataType
+    source = ids.select(
+        F.col(key).cast("string").alias("name"), "timestamp", F.coalesce(F.unix_micros("timestamp"), F.lit(_NEVER)).alias("at"),
+        F.pmod(F.xxhash64(key), F.lit(SEEN_GROUPS)).alias("group"),
+    ).withWatermark("timestamp", "0 seconds")
+    out = source.groupBy("group").applyInPandasWithState(step, "name string, at bigint, seen boolean", "kept binary", "append", "EventTimeTimeout")
+    return out.select(F.col("name").cast(kind).alias(key), F.timestamp_micros(F.when(F.col("at") != _NEVER, F.col("at"))).alias("timestamp"), "seen")
 
 
 # --- live deltas -------------------------------------------------------------------------------------------
